@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from .bpe import CodecSource
 from .common import checkpointed
 
-CAPACITY, END_ID = 1024, 50256
+CAPACITY, END_ID = 1024, 2
 
 
 def pieces(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, license_scan, packing, pii, quality, url_filter
+from . import bpe, embedding_dedup, exact_dedup, license_scan, lm_score, minhash, packing, pii, quality, url_filter
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers lie.
@@ -48,24 +48,38 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, URL_RULES))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = packing.pieces(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN, end_id=2)
+    parts = packing.pieces(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
     return packing.pack(parts).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def _held_out() -> F.Column:
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.fit(docs))
+
+
+def held_out() -> F.Column:
+    """Whether a row of doc_id is held out of training."""
     return F.crc32(F.col("doc_id").cast("string")) % HELD_OUT_MOD == 0
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"), where=~_held_out())
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), where=~held_out())
     scored = quality.score(docs, model)
-    return scored.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= QUALITY_LEAST).cast("int").alias("predicted"))
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dups(table(spark, sf_dir, "documents"))
 
 
 def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +91,7 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_pii, op5_url_filter, op6_packing, op8_quality, op10_license)}
+    return {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_pii, op4_embedding_dedup, op5_url_filter, op6_packing, op7_lm_score, op8_quality, op9_minhash, op10_license)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
