@@ -5,7 +5,8 @@ distinct shingles of five words (of fewer words: the whole sequence). Documents
 node. Each of TREES orders sorts the nodes by a rotation of their signature; neighbours that share
 a prefix of at least LEAST_DEPTH values form a region. Within a region
 
-1. every node is compared with the region's least node, which links most of a large group;
+1. every node is compared with the least node of its largest region, which links most of a large
+   group, and then with the least nodes of its other regions that are of another component;
 2. where more than one component is left, all nodes of different components are compared if the
    region is small; crowded regions are taken deeper, each as far as it takes for its parts to be
    small;
@@ -203,13 +204,19 @@ def near_dups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     placed = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", "node", _key(LEAST_DEPTH).alias("key"))
-    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1").select("key", "first")
+    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
     regions = checkpointed(placed.join(shared.repartition(parts), "key"))
     wanted = nodes.select("node", "digest", F.col("least_id").alias("id")).join(regions.select("node").distinct(), "node")
     sets = checkpointed(_sets(rows.join(wanted, rows["id"].eqNullSafe(wanted["id"])).select("node", "digest", "text")))
 
-    stars = regions.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = _rest(regions, nodes, sets, checkpointed(_confirmed(stars, sets)))
+    stars = regions.where("node <> first")
+    largest = stars.groupBy("node").agg(F.max(F.struct("n", "first")).alias("r")).select(F.col("r.first").alias("a"), F.col("node").alias("b"))
+    links = checkpointed(_confirmed(largest, sets))
+    classes = checkpointed(components(links))
+    stars = stars.select(F.col("first").alias("a"), "node").distinct()
+    stars = _with_component(_with_component(stars, classes).select(F.col("a").alias("node"), F.col("node").alias("b"), F.col("component").alias("c")), classes)
+    stars = stars.where("component <> c").select(F.col("node").alias("a"), "b")
+    links = _rest(regions.select("key", "tree", "node"), nodes, sets, links.unionByName(checkpointed(_confirmed(stars, sets))))
     classes = components(links)
     named = _with_component(nodes.select("node", "digest", "least_id"), classes)
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
