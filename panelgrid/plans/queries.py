@@ -1,9 +1,536 @@
-"""Registered panel queries and their SQL."""
+"""Registered queries over the panels, each with the SQL that gives the same result."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from panelgrid.operators import audit, grid, hac, ic, inference, labels, normalize, pit, portfolio, tensor, universe
+from panelgrid.sources import store
+
+from .panels import A_SQL, B_SQL, E_SQL, announcements, order_days, read, supplier_month, user_day, user_day_rows
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+MIN_OBS = 5
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _r(c) -> F.Column:
+    """Six decimals, and no negative zero."""
+    return F.round(F.col(c) if isinstance(c, str) else c, 6) + F.lit(0.0)
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: _r(c) for c in cols})
+
+
+# ---- normalizers -------------------------------------------------------------------------------
+
+_Z = "(x - avg(x) OVER {w}) / nullif(stddev_samp(x) OVER {w}, 0)"
+
+
+def _norm(name: str, panel: str, col: str, sql: str, **kwargs) -> None:
+    source, cte = {"a": (supplier_month, A_SQL), "b": (user_day, B_SQL)}[panel]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = normalize.PROCESSORS[kwargs.get("processor", name)](source(spark, sf_dir), col, "z", **{k: v for k, v in kwargs.items() if k != "processor"})
+        return _rounded(out.select("datetime", "instrument", "z"), "z")
+
+    run.__name__ = name
+    _query(f"WITH {cte}, p AS (SELECT datetime, pos, instrument, {col} AS x FROM {panel}) SELECT datetime, instrument, round(z, 6) + 0.0 AS z FROM ({sql})")(run)
+
+
+_BACK = "(PARTITION BY instrument ORDER BY pos ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+_norm("roll_z", "a", "qty", "SELECT datetime, instrument, CASE WHEN count(x) OVER w >= 6 THEN (x - avg(x) OVER w) / nullif(stddev_samp(x) OVER w, 0) END AS z FROM p WINDOW w AS " + _BACK.format(n=12), length=12, min_periods=6)
+_norm("roll_z_sparse", "b", "val", "SELECT datetime, instrument, CASE WHEN count(x) OVER w >= 4 THEN (x - avg(x) OVER w) / nullif(stddev_samp(x) OVER w, 0) END AS z FROM p WINDOW w AS " + _BACK.format(n=10), processor="roll_z", length=10, min_periods=4)
+_norm("expanding_z", "a", "qty", "SELECT datetime, instrument, CASE WHEN count(x) OVER w >= 20 THEN (x - avg(x) OVER w) / nullif(stddev_samp(x) OVER w, 0) END AS z FROM p WINDOW w AS " + _BACK.format(n="UNBOUNDED"))
+_ROBUST = """
+SELECT datetime, instrument, CASE WHEN x IS NOT NULL AND mad IS NOT NULL AND mad <> 0 THEN greatest(-5.0, least(5.0, (x - med) / (1.4826022 * mad))) END AS z FROM (
+  SELECT *, CASE WHEN count(dev) OVER w >= 6 THEN quantile_cont(dev, 0.5) OVER w END AS mad FROM (
+    SELECT *, abs(past - med) AS dev FROM (
+      SELECT *, CASE WHEN count(past) OVER w >= 6 THEN quantile_cont(past, 0.5) OVER w END AS med FROM (
+        SELECT *, lag(x) OVER (PARTITION BY instrument ORDER BY pos) AS past FROM p)
+      WINDOW w AS (PARTITION BY instrument ORDER BY pos ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)))
+  WINDOW w AS (PARTITION BY instrument ORDER BY pos ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
+"""
+_norm("roll_robust_z", "a", "qty", _ROBUST, length=12, min_periods=6)
+_RANK = "CASE WHEN {x} IS NOT NULL THEN rank() OVER (PARTITION BY datetime, {x} IS NULL ORDER BY {x}) + (count(*) OVER (PARTITION BY datetime, {x}) - 1) / 2.0::DOUBLE END"
+_norm("cs_rank", "b", "n_events", f"SELECT datetime, instrument, ({_RANK.format(x='x')}) / (count(x) OVER (PARTITION BY datetime) + 1.0::DOUBLE) AS z FROM p")
+_norm("cs_z", "b", "val", "SELECT datetime, instrument, " + _Z.format(w="(PARTITION BY datetime)") + " AS z FROM p")
+_norm("cs_robust_z", "b", "val", "SELECT datetime, instrument, CASE WHEN x IS NOT NULL AND mad <> 0 THEN greatest(-5.0, least(5.0, (x - med) / (1.4826022 * mad))) END AS z FROM (SELECT *, median(abs(x - med)) OVER (PARTITION BY datetime) AS mad FROM (SELECT *, median(x) OVER (PARTITION BY datetime) AS med FROM p))")
+_norm("global_z", "a", "qty", "SELECT datetime, instrument, " + _Z.format(w="(PARTITION BY instrument)") + " AS z FROM p", allow_leaky=True)
+
+
+@_query(f"WITH {B_SQL} SELECT datetime, instrument, round((val - avg(val) OVER w) / CASE WHEN stddev_pop(val) OVER w = 0 THEN 1 ELSE stddev_pop(val) OVER w END, 6) + 0.0 AS z FROM b WINDOW w AS (PARTITION BY datetime)")
+def cs_standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(normalize.cs_standardize(user_day(spark, sf_dir), "val", "z").select("datetime", "instrument", "z"), "z")
+
+
+@_query(f"WITH {B_SQL} SELECT datetime, instrument, round(CASE WHEN val IS NOT NULL THEN greatest(quantile_cont(val, 0.05) OVER w, least(quantile_cont(val, 0.95) OVER w, val)) END, 6) + 0.0 AS z FROM b WINDOW w AS (PARTITION BY datetime)")
+def winsorize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(normalize.winsorize(user_day(spark, sf_dir), "val", "z", 0.05).select("datetime", "instrument", "z"), "z")
+
+
+# ---- labels ------------------------------------------------------------------------------------
+
+
+def _lab(h: int, lag: int = 1) -> str:
+    w = "OVER (PARTITION BY instrument ORDER BY pos)"
+    entry = f"lead(qty, {lag}) {w}" if lag else "qty"
+    return f"lead(qty, {lag + h}) {w} / nullif({entry}, 0) - 1"
+
+
+def _forward(h: int) -> None:
+    spec = labels.LabelSpec(horizon=h, field="qty")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(labels.forward_return(supplier_month(spark, sf_dir), spec, "label").select("datetime", "instrument", "label"), "label")
+
+    run.__name__ = f"forward_return_h{h}"
+    _query(f"WITH {A_SQL} SELECT datetime, instrument, round({_lab(h)}, 6) + 0.0 AS label FROM a")(run)
+
+
+_forward(1)
+_forward(5)
+
+
+def _variant(kind: str, sql: str) -> None:
+    spec = labels.LabelSpec(field="qty", variant=kind, winsorize=0.01)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = labels.apply_variant(labels.forward_return(supplier_month(spark, sf_dir), spec, "raw"), "raw", "label", spec)
+        return _rounded(made.select("datetime", "instrument", "label"), "label")
+
+    run.__name__ = f"label_{kind}"
+    wins = "CASE WHEN y IS NOT NULL THEN greatest(quantile_cont(y, 0.01) OVER (PARTITION BY datetime), least(quantile_cont(y, 0.99) OVER (PARTITION BY datetime), y)) END"
+    _query(f"WITH {A_SQL}, l AS (SELECT datetime, instrument, {_lab(1)} AS y FROM a), v AS (SELECT datetime, instrument, {wins} AS x FROM l) SELECT datetime, instrument, round({sql}, 6) + 0.0 AS label FROM v")(run)
+
+
+_variant("raw", "x")
+_variant("rank", f"({_RANK.format(x='x')}) / (count(x) OVER (PARTITION BY datetime) + 1.0::DOUBLE)")
+_variant("zscore", _Z.format(w="(PARTITION BY datetime)"))
+
+_TRADABLE = """
+m AS (SELECT datetime, pos, instrument, qty AS close, n_lines AS volume, lag(qty) OVER (PARTITION BY instrument ORDER BY pos) AS prev, count(qty) OVER (PARTITION BY instrument ORDER BY pos) AS seen FROM a),
+t AS (SELECT datetime, pos, instrument, close, coalesce(close IS NOT NULL AND volume > 0 AND seen >= 6 AND NOT coalesce(CASE WHEN prev = 0 THEN close <> 0 ELSE abs(close / nullif(prev, 0) - 1) >= 0.5 END, false), false) AS tradable FROM m)
+"""
+_RULES = universe.TradabilityRules(min_listed=6, limit=0.5)
+
+
+def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supplier_month(spark, sf_dir).withColumnsRenamed({"qty": "close", "n_lines": "volume"})
+
+
+@_query(f"WITH {A_SQL}, {_TRADABLE} SELECT datetime, instrument, tradable FROM t")
+def tradability_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe.tradability_mask(_market(spark, sf_dir), rules=_RULES).select("datetime", "instrument", "tradable")
+
+
+@_query(f"WITH {A_SQL}, {_TRADABLE} SELECT datetime, instrument, lead(close, 2) OVER w / nullif(lead(close, 1) OVER w, 0) - 1 IS NOT NULL AND coalesce(lead(tradable, 1) OVER w, false) AS available FROM t WINDOW w AS (PARTITION BY instrument ORDER BY pos)")
+def label_available(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = labels.LabelSpec(field="close")
+    made = labels.forward_return(universe.tradability_mask(_market(spark, sf_dir), rules=_RULES), spec, "label")
+    return labels.label_availability(made, "label", "available", spec, tradable="tradable").select("datetime", "instrument", "available")
+
+
+@_query(f"WITH {A_SQL} SELECT datetime, pos FROM cal WHERE abs(pos - 20) <= 5")
+def purge_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = grid.calendar(read(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "month").alias("datetime")))
+    return labels.purge_positions(days, 20, labels.LabelSpec(horizon=5).purge_radius)
+
+
+# ---- intervals ---------------------------------------------------------------------------------
+
+_INTERVALS = "iv AS (SELECT user_id AS instrument, CAST(min(ts) AS DATE) AS s, CAST(max(ts) AS DATE) AS e FROM events GROUP BY user_id, event_type)"
+
+
+def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("instrument"), "event_type").agg(F.to_date(F.min("ts")).alias("start"), F.to_date(F.max("ts")).alias("end")).drop("event_type")
+
+
+@_query(f"WITH {B_SQL}, {_INTERVALS} SELECT datetime, instrument, EXISTS (SELECT 1 FROM iv WHERE iv.instrument = b.instrument AND b.datetime BETWEEN s AND e) AS member FROM b")
+def membership_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe.membership_mask(user_day(spark, sf_dir), _intervals(spark, sf_dir)).select("datetime", "instrument", "member")
+
+
+@_query(f"WITH {_INTERVALS} SELECT instrument, min(s) AS listed FROM iv GROUP BY 1")
+def listing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return universe.listing_dates(_intervals(spark, sf_dir))
+
+
+@_query(f"WITH {_INTERVALS}, r AS (SELECT min(CAST(ts AS DATE)) AS d FROM events) SELECT DISTINCT instrument FROM iv, r WHERE s <= DATE '2024-01-10' AND e >= DATE '2024-01-05'")
+def list_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.list_instruments(_intervals(spark, sf_dir), "2024-01-05", "2024-01-10")
+
+
+# ---- as-of -------------------------------------------------------------------------------------
+
+_SPEC = pit.LagSpec(values=("amount",))
+_START = "ranked AS (SELECT *, (SELECT count(*) FROM days WHERE datetime < announce_date) AS start FROM ok), spans AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY instrument ORDER BY announce_date, report_date, amount), (SELECT count(*) FROM days)) AS stop0 FROM ranked)"
+
+
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return announcements(spark, sf_dir).where("announce_date >= report_date")
+
+
+def _published(name: str, stop: str, **kwargs) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return pit.publish(_late(spark, sf_dir), order_days(spark, sf_dir), _SPEC, **kwargs).select("datetime", "instrument", "amount")
+
+    run.__name__ = name
+    _query(f"WITH {E_SQL}, {_START}, cut AS (SELECT *, {stop} AS stop FROM spans) SELECT datetime, instrument, amount FROM cut JOIN days ON pos >= start AND pos < stop")(run)
+
+
+_published("pit_publish", "stop0")
+_published("pit_publish_stale_periods", "least(stop0, start + 3)", max_periods=3)
+_published("pit_publish_stale_days", "least(stop0, (SELECT count(*) FROM days WHERE datetime <= announce_date + 40))", max_days=40)
+
+
+@_query(f"WITH {E_SQL}, {_START}, pub AS (SELECT datetime, instrument, amount FROM spans JOIN days ON pos >= start AND pos < stop0) SELECT d.datetime, i.instrument, p.amount FROM days d CROSS JOIN (SELECT DISTINCT instrument FROM ok) i LEFT JOIN pub p ON p.datetime = d.datetime AND p.instrument = i.instrument")
+def pit_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days, late = order_days(spark, sf_dir), _late(spark, sf_dir)
+    names = late.select("instrument").distinct()
+    return grid.densify(pit.publish(late, days, _SPEC), ["amount"], days=days, names=names).select("datetime", "instrument", "amount")
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS violations")
+def pit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    late, days = _late(spark, sf_dir), order_days(spark, sf_dir)
+    return pit.verify(pit.publish(late, days, _SPEC), late, _SPEC).agg(F.count(F.lit(1)).alias("violations"))
+
+
+@_query(f"WITH {E_SQL} SELECT instrument, (SELECT min(datetime) FROM days WHERE datetime >= seen) AS first_date FROM (SELECT instrument, min(announce_date) AS seen FROM ev GROUP BY 1)")
+def first_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pit.first_visible(announcements(spark, sf_dir), order_days(spark, sf_dir), _SPEC)
+
+
+@_query(f"WITH {E_SQL} SELECT instrument, count(*) AS n FROM ev WHERE announce_date < report_date GROUP BY 1")
+def negative_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pit.negative_lags(announcements(spark, sf_dir), _SPEC).groupBy("instrument").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- information coefficients and inference ----------------------------------------------------
+
+_PAIRS = f"pairs AS (SELECT datetime, instrument, score, label FROM (SELECT datetime, instrument, CASE WHEN count(qty) OVER w >= 6 THEN (qty - avg(qty) OVER w) / nullif(stddev_samp(qty) OVER w, 0) END AS score, {_lab(1)} AS label FROM a WINDOW w AS (PARTITION BY instrument ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)))"
+_KEPT = f"kept AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY datetime) AS c FROM pairs WHERE score IS NOT NULL AND label IS NOT NULL) WHERE c >= {MIN_OBS}), ranks AS (SELECT datetime, {_RANK.format(x='score')} AS rs, {_RANK.format(x='label')} AS rl, score, label FROM kept)"
+
+
+def _corr(x: str, y: str, frm: str) -> str:
+    return f"SELECT datetime, count(*) AS n, sum(cx * cy) / nullif(sqrt(sum(cx * cx) * sum(cy * cy)), 0) AS ic FROM (SELECT datetime, {x} - avg({x}) OVER (PARTITION BY datetime) AS cx, {y} - avg({y}) OVER (PARTITION BY datetime) AS cy FROM {frm}) GROUP BY 1"
+
+
+_IC = f"{A_SQL}, {_PAIRS}, {_KEPT}, ic0 AS ({_corr('rs', 'rl', 'ranks')}), ic AS (SELECT * FROM ic0 WHERE ic IS NOT NULL)"
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = normalize.roll_z(supplier_month(spark, sf_dir), "qty", "score", length=12, min_periods=6)
+    return labels.forward_return(panel, labels.LabelSpec(field="qty"), "label").select("datetime", "pos", "instrument", "score", "label")
+
+
+def _ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ic.rank_ic(_pairs(spark, sf_dir), min_obs=MIN_OBS)
+
+
+@_query(f"WITH {_IC} SELECT datetime, n, round(ic, 6) + 0.0 AS ic FROM ic")
+def rank_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_ic(spark, sf_dir), "ic")
+
+
+@_query(f"WITH {A_SQL}, {_PAIRS}, {_KEPT} SELECT datetime, n, round(ic, 6) + 0.0 AS ic FROM ({_corr('score', 'label', 'ranks')}) WHERE ic IS NOT NULL")
+def pearson_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ic.pearson_ic(_pairs(spark, sf_dir), min_obs=MIN_OBS), "ic")
+
+
+@_query(f"WITH {B_SQL} SELECT datetime, n, round(ic, 6) + 0.0 AS ic FROM ({_corr('val', 'n_events', '(SELECT * FROM b WHERE val IS NOT NULL AND n_events IS NOT NULL)')})")
+def per_date_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ic.per_date_correlation(user_day(spark, sf_dir), "val", "n_events"), "ic")
+
+
+@_query(f"WITH {B_SQL} SELECT datetime, round(CASE WHEN count(val) >= 4 THEN kurtosis_pop(val) END, 6) + 0.0 AS kurt FROM b GROUP BY 1")
+def cs_kurtosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_day(spark, sf_dir).groupBy("datetime").agg(_r(F.when(F.count("val") >= 4, F.kurtosis("val"))).alias("kurt"))
+
+
+@_query(f"WITH {_IC}, o AS (SELECT count(ic) AS n_obs, avg(ic) AS mean, stddev_samp(ic) AS std FROM ic) SELECT n_obs, round(mean, 6) + 0.0 AS mean, round(std, 6) + 0.0 AS std, round(mean / std, 6) + 0.0 AS icir, round(mean / std * sqrt(12), 6) + 0.0 AS icir_annual, round(mean / std * sqrt(n_obs), 6) + 0.0 AS t_iid FROM o")
+def ic_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ic.moments(_ic(spark, sf_dir), periods_per_year=12), "mean", "std", "icir", "icir_annual", "t_iid")
+
+
+_U = f"{_IC}, s AS (SELECT row_number() OVER (ORDER BY datetime) AS i, ic - avg(ic) OVER () AS u, avg(ic) OVER () AS mean, count(*) OVER () AS n FROM ic)"
+_G = "bw AS (SELECT least(floor(4 * pow(max(n) / 100.0, 2.0 / 9.0)), max(n) - 1) AS bw FROM {s}), g AS (SELECT x.i - y.i AS l, sum(x.u * y.u) / max(x.n) AS gamma FROM {s} x JOIN {s} y ON x.i - y.i BETWEEN 0 AND (SELECT bw FROM bw) GROUP BY 1), v AS (SELECT sum(CASE WHEN l = 0 THEN gamma ELSE 2 * (1 - l / (bw + 1.0)) * gamma END) AS variance, max(bw) AS bw FROM g, bw)"
+_NW = "SELECT n AS n_obs, CAST(bw AS BIGINT) AS bandwidth, round(mean, 6) + 0.0 AS mean, round(variance, 6) + 0.0 AS variance, round(se, 6) + 0.0 AS standard_error, round(mean / se, 6) + 0.0 AS t_stat FROM (SELECT n, bw, mean, {var} AS variance, sqrt({var} / n) * sqrt(n / (n - 2.0::DOUBLE)) AS se FROM v, (SELECT max(n) AS n, max(mean) AS mean{more} FROM {s}))"
+
+
+def _nw(df: DataFrame) -> DataFrame:
+    return _rounded(df.select("n_obs", "bandwidth", "mean", "variance", "standard_error", "t_stat"), "mean", "variance", "standard_error", "t_stat")
+
+
+@_query(f"WITH {_U}, {_G.format(s='s')} {_NW.format(s='s', var='variance', more='')}")
+def newey_west_se(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nw(hac.newey_west(_ic(spark, sf_dir), p_value=False))
+
+
+_RHO = "r AS (SELECT greatest(-0.99, least(0.99, sum(u * p) / sum(p * p))) AS rho FROM (SELECT u, lag(u) OVER (ORDER BY i) AS p FROM s) WHERE p IS NOT NULL)"
+_E = f"{_RHO}, e0 AS (SELECT i, e, mean, rho FROM (SELECT i, u - rho * lag(u) OVER (ORDER BY i) AS e, mean, rho FROM s, r) WHERE e IS NOT NULL), e AS (SELECT row_number() OVER (ORDER BY i) AS i, e - avg(e) OVER () AS u, mean, rho, count(*) OVER () AS n FROM e0)"
+
+
+@_query(f"WITH {_U}, {_E}, {_G.format(s='e')} {_NW.format(s='e', var='(variance / ((1 - rho) * (1 - rho)))', more=', max(rho) AS rho')}")
+def newey_west_prewhitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nw(hac.newey_west(_ic(spark, sf_dir), prewhiten=True, p_value=False))
+
+
+@_query()
+def newey_west_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    series = _ic(spark, sf_dir)
+    return hac.newey_west(series).withColumn("kind", F.lit("normal")).unionByName(hac.newey_west(series, reference="student").withColumn("kind", F.lit("student")))
+
+
+@_query(f"WITH {_U} SELECT CAST(x.i - y.i AS INTEGER) AS lag, round(sum(x.u * y.u) / max(x.n), 9) + 0.0 AS gamma FROM s x JOIN s y ON x.i - y.i BETWEEN 0 AND 6 GROUP BY 1")
+def hac_autocovariances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hac.autocovariances(_ic(spark, sf_dir), 6).withColumn("gamma", F.round("gamma", 9) + F.lit(0.0))
+
+
+@_query(f"WITH {_U}, {_RHO} SELECT (SELECT max(n) FROM s) AS n, round(rho, 6) + 0.0 AS rho FROM r")
+def ar1_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(hac.ar1(_ic(spark, sf_dir)), "rho")
+
+
+@_query(f"WITH {_U} SELECT max(n) AS n, round(sum(u * p) / sum(u * u), 6) + 0.0 AS acf1 FROM (SELECT n, u, lag(u) OVER (ORDER BY i) AS p FROM s)")
+def acf1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(hac.lag1_autocorrelation(_ic(spark, sf_dir)), "acf1")
+
+
+# ---- tensors -----------------------------------------------------------------------------------
+
+
+def _bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = user_day(spark, sf_dir).withColumn("y", F.lead("val").over(grid.BY_NAME)).withColumn("open", F.coalesce(F.col("n_events") > 0, F.lit(False)))
+    return tensor.sequence_bundle(panel, ["n_events", "val"], "y", lookback=5, fill=-1.0, tradable="open", weight="n_events", min_valid_steps=2)
+
+
+_STEPS = f"""{B_SQL},
+k AS (SELECT datetime, pos, instrument, val, n_events, lead(val) OVER (PARTITION BY instrument ORDER BY pos) AS y, coalesce(n_events > 0, false) AS open FROM b),
+st AS (SELECT k.datetime, k.instrument, s.i AS step, h.val, h.n_events, h.val IS NOT NULL AND h.n_events IS NOT NULL AND (k.open OR s.i < 4) AS ok FROM k CROSS JOIN range(5) s(i) LEFT JOIN k h ON h.instrument = k.instrument AND h.pos = k.pos - 4 + s.i),
+bn AS (SELECT k.datetime, k.instrument, k.y IS NOT NULL AS c1, k.open AS c3, n_ok >= 2 AS c4, n_ok, coalesce(k.n_events, 0) AS weight, k.y FROM k JOIN (SELECT datetime, instrument, count(*) FILTER (ok) AS n_ok FROM st GROUP BY 1, 2) q USING (datetime, instrument))"""
+
+
+@_query(f"WITH {_STEPS} SELECT datetime, instrument, step, ok, round(CASE WHEN ok THEN CAST(n_events AS FLOAT) ELSE -1.0 END, 2) + 0.0 AS f_n_events, round(CASE WHEN ok THEN CAST(CAST(val AS FLOAT) AS DOUBLE) ELSE -1.0 END, 2) + 0.0 AS f_val FROM st")
+def sequence_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = _bundle(spark, sf_dir).select("datetime", "instrument", F.posexplode(F.arrays_zip("step_mask", "X")).alias("step", "s"))
+    return steps.select("datetime", "instrument", F.col("step").cast("bigint").alias("step"), F.col("s.step_mask").alias("ok"), *[(F.round(F.element_at("s.X", i + 1).cast("double"), 2) + F.lit(0.0)).alias(f"f_{n}") for i, n in enumerate(("n_events", "val"))])
+
+
+@_query(f"WITH {_STEPS} SELECT count(*) AS n_samples, count(*) FILTER (c1 AND c3 AND c4) AS n_valid, round(avg(CAST(c1 AND c3 AND c4 AS DOUBLE)), 6) AS coverage, 5 AS lookback, 2 AS n_features, round(avg(n_ok), 3) AS mean_valid_steps, count(*) FILTER (NOT c1) AS invalid_by_label_available, CAST(0 AS BIGINT) AS invalid_by_provided_mask, count(*) FILTER (NOT c3) AS invalid_by_tradable_on_decision_date, count(*) FILTER (NOT c4) AS invalid_by_enough_valid_steps FROM bn")
+def bundle_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor.describe(_bundle(spark, sf_dir))
+
+
+@_query(f"WITH {_STEPS} SELECT round(sum(CAST(CAST(y AS FLOAT) AS DOUBLE) * weight) FILTER (c1 AND c3 AND c4) / sum(weight) FILTER (c1 AND c3 AND c4), 4) + 0.0 AS masked_mean FROM bn")
+def masked_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tensor.masked_mean(_bundle(spark, sf_dir), "y", "mask", "weight").withColumn("masked_mean", F.round("masked_mean", 4) + F.lit(0.0))
+
+
+@_query(f"WITH {_STEPS} SELECT datetime, instrument, round(CASE WHEN ok THEN CAST(n_events AS FLOAT) ELSE -1.0 END, 2) + 0.0 AS n_events, round(CASE WHEN ok THEN CAST(CAST(val AS FLOAT) AS DOUBLE) ELSE -1.0 END, 2) + 0.0 AS val FROM st WHERE step = 4")
+def flatten_last_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = tensor.flatten_last_step(_bundle(spark, sf_dir), ["n_events", "val"], fill=-1.0)
+    return flat.withColumns({c: F.round(c, 2) + F.lit(0.0) for c in ("n_events", "val")})
+
+
+# ---- keys, sources -----------------------------------------------------------------------------
+
+
+@_query("SELECT CAST(ts AS DATE) AS datetime, user_id AS instrument, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.duplicate_keys(read(spark, sf_dir, "events").select(F.to_date("ts").alias("datetime"), F.col("user_id").alias("instrument")))
+
+
+@_query(f"WITH {B_SQL} SELECT datetime, count(*) AS n FROM b WHERE val IS NOT NULL GROUP BY 1 HAVING count(*) >= 10")
+def support_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.support_filter(user_day(spark, sf_dir), ["val"], 10).groupBy("datetime").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {B_SQL} SELECT 2 * count(*) AS n_cells, round(avg(CAST(val IS NULL AS DOUBLE)), 6) AS missing_rate FROM b")
+def missing_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.missing_rate(user_day(spark, sf_dir), ["val", "n_events"]).withColumn("missing_rate", F.round("missing_rate", 6))
+
+
+@_query(f"WITH {B_SQL} SELECT min(datetime) AS first_date, max(datetime) AS last_date, count(DISTINCT datetime) AS n_dates, count(DISTINCT instrument) AS n_instruments, count(*) AS n_rows, round(avg(CAST(val IS NULL AS DOUBLE)), 6) AS missing_rate FROM b")
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.inventory(user_day(spark, sf_dir), ["val"]).withColumn("missing_rate", F.round("missing_rate", 6))
+
+
+@_query("SELECT ['starts before the first day', 'ends after the last day'] AS problems")
+def domain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.domain_check(user_day_rows(spark, sf_dir), "1900-01-01", "2999-12-31")
+
+
+@_query(f"WITH {A_SQL} SELECT datetime, pos FROM cal")
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.calendar(read(spark, sf_dir, "lineitem").select(F.trunc("l_shipdate", "month").alias("datetime")))
+
+
+@_query(f"WITH {A_SQL} SELECT datetime, instrument, qty FROM a")
+def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supplier_month(spark, sf_dir).select("datetime", "instrument", "qty")
+
+
+# ---- audits ------------------------------------------------------------------------------------
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS moved_past, true AS leaky_moves")
+def causality_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = supplier_month(spark, sf_dir)
+    run = lambda f: audit.causality_probe(panel, "qty", f, "z", position=30)
+    causal = run(lambda d: normalize.roll_z(d, "qty", "z", length=12, min_periods=6)).agg(F.count(F.lit(1)).alias("moved_past"))
+    leaky = run(lambda d: normalize.global_z(d, "qty", "z", allow_leaky=True)).agg((F.count(F.lit(1)) > 0).alias("leaky_moves"))
+    return causal.crossJoin(leaky)
+
+
+@_query("SELECT CAST(0 AS BIGINT) AS moved_past, true AS leaky_moves")
+def prefix_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = supplier_month(spark, sf_dir)
+    run = lambda f: audit.prefix_invariance(panel, "qty", f, "z", keep=40)
+    causal = run(lambda d: normalize.roll_z(d, "qty", "z", length=12, min_periods=6)).agg(F.count(F.lit(1)).alias("moved_past"))
+    leaky = run(lambda d: normalize.global_z(d, "qty", "z", allow_leaky=True)).agg((F.count(F.lit(1)) > 0).alias("leaky_moves"))
+    return causal.crossJoin(leaky)
+
+
+@_query(f"WITH {B_SQL}, o AS (SELECT r.b, datetime AS source, row_number() OVER (PARTITION BY r.b ORDER BY md5('7|' || r.b || '|' || CAST(datetime AS VARCHAR))) - 1 AS dst FROM bcal CROSS JOIN (VALUES (1), (2), (3)) r(b)) SELECT o.b, c.datetime, o.source FROM o JOIN bcal c ON c.pos = o.dst")
+def permute_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.date_permutation(grid.calendar(user_day_rows(spark, sf_dir)), 7, [1, 2, 3])
+
+
+@_query(f"WITH {A_SQL} SELECT CAST(k AS INTEGER) AS fold, datetime, pos, CASE WHEN pos >= floor(k * n / 5) AND pos < floor((k + 1) * n / 5) THEN 'test' WHEN pos >= floor(k * n / 5) - 1 AND pos < floor((k + 1) * n / 5) + 1 + ceil(n * 0.01) THEN 'purged' ELSE 'train' END AS role FROM cal CROSS JOIN (SELECT count(*) AS n FROM cal) CROSS JOIN range(5) r(k)")
+def purged_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.purged_kfold(calendar(spark, sf_dir), 5, 1)
+
+
+@_query()
+def ridge_oos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _design(spark, sf_dir)
+    n = calendar(spark, sf_dir).count()
+    return audit.ridge_oos(rows, ["score", "trend"], audit.expanding_folds(n, 3, 1))
+
+
+def _design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).withColumn("trend", F.col("pos").cast("double"))
+
+
+@_query()
+def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audit.leakage_audit(_design(spark, sf_dir), ["score"], calendar(spark, sf_dir), radius=1, n_permutations=20, min_obs=MIN_OBS)
+    return spark.createDataFrame([(found["verdict"], found["observed_ic"], found["shuffle_mean_ic"], found["p_value"], found["n_permutations"])], "verdict string, observed_ic double, shuffle_mean_ic double, p_value double, n_permutations int")
+
+
+# ---- portfolios --------------------------------------------------------------------------------
+
+_BUCKETS = f"{A_SQL}, {_PAIRS}, f AS (SELECT * FROM pairs WHERE score IS NOT NULL AND label IS NOT NULL), q AS (SELECT datetime, label, CAST(least(5, ceil(5 * ({_RANK.format(x='score')}) / count(*) OVER (PARTITION BY datetime))) AS INTEGER) AS bucket FROM f), bk AS (SELECT datetime, bucket, count(*) AS n, avg(label) AS ret FROM q GROUP BY 1, 2)"
+
+
+def _quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.quantile_returns(_pairs(spark, sf_dir), 5)
+
+
+@_query(f"WITH {_BUCKETS} SELECT datetime, bucket, n, round(ret, 6) + 0.0 AS ret FROM bk")
+def quantile_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_quantiles(spark, sf_dir), "ret")
+
+
+@_query(f"WITH {_BUCKETS} SELECT datetime, round(spread, 6) + 0.0 AS spread FROM (SELECT datetime, max(CASE WHEN bucket = 5 THEN ret END) - max(CASE WHEN bucket = 1 THEN ret END) AS spread FROM bk GROUP BY 1) WHERE spread IS NOT NULL")
+def long_short(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(inference.long_short(_quantiles(spark, sf_dir), 5), "spread")
+
+
+_WEIGHTS = f"{A_SQL}, {_PAIRS}, h AS (SELECT c.pos, p.datetime, p.instrument, p.label, p.score IS NOT NULL AND row_number() OVER (PARTITION BY p.datetime ORDER BY p.score DESC NULLS LAST, p.instrument) <= 5 AS held FROM pairs p JOIN cal c USING (datetime)), wt AS (SELECT pos, datetime, instrument, label, CASE WHEN held THEN 1.0::DOUBLE / count(*) FILTER (held) OVER (PARTITION BY datetime) ELSE 0.0 END AS weight FROM h), d AS (SELECT datetime, weight - coalesce(lag(weight) OVER (PARTITION BY instrument ORDER BY pos), 0) AS d FROM wt)"
+
+
+def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.topk_weights(_pairs(spark, sf_dir), 5)
+
+
+@_query(f"WITH {_WEIGHTS} SELECT datetime, round(sum(abs(d)) / 2, 6) + 0.0 AS one_side, round(sum(abs(d)), 6) + 0.0 AS gross, round(sum(abs(d)) / 2 * 12, 6) + 0.0 AS annual FROM d GROUP BY 1")
+def turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(portfolio.turnover(_weights(spark, sf_dir), periods_per_year=12), "one_side", "gross", "annual")
+
+
+@_query(f"WITH {_WEIGHTS} SELECT datetime, round(sum(CASE WHEN d > 0 THEN d * 0.0007 WHEN d < 0 THEN -d * 0.0017 ELSE 0 END), 8) + 0.0 AS cost FROM d GROUP BY 1")
+def trading_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portfolio.trading_cost(_weights(spark, sf_dir), buy=0.0005, sell=0.0015, slippage=0.0002).withColumn("cost", F.round("cost", 8) + F.lit(0.0))
+
+
+_RET = f"{_WEIGHTS}, rt AS (SELECT datetime, sum(weight * coalesce(label, 0)) AS ret FROM wt GROUP BY 1), w AS (SELECT datetime, exp(sum(ln(1 + ret)) OVER (ORDER BY datetime)) AS wealth FROM rt)"
+
+
+def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _weights(spark, sf_dir).groupBy("datetime").agg(F.sum(F.col("weight") * F.coalesce("label", F.lit(0.0))).alias("ret"))
+
+
+@_query(f"WITH {_RET} SELECT datetime, round(ln(wealth), 6) + 0.0 AS log_wealth, round(wealth / greatest(1, max(wealth) OVER (ORDER BY datetime)) - 1, 6) + 0.0 AS drawdown FROM w")
+def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(portfolio.drawdown(_returns(spark, sf_dir)).select("datetime", F.log("wealth").alias("log_wealth"), "drawdown"), "log_wealth", "drawdown")
+
+
+@_query("SELECT p_partkey, CAST(floor(floor(p_size * 1000.0::DOUBLE / p_retailprice) / 100) * 100 AS BIGINT) AS shares FROM part")
+def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("weight"), F.col("p_retailprice").alias("price"))
+    return portfolio.lots(targets, nav=1000.0).select("p_partkey", "shares")
+
+
+@_query(f"WITH {A_SQL}, {_PAIRS}, f AS (SELECT datetime, score - avg(score) OVER w AS x, label - avg(label) OVER w AS y FROM pairs WHERE score IS NOT NULL AND label IS NOT NULL WINDOW w AS (PARTITION BY datetime)) SELECT datetime, count(*) AS n, round(sum(x * y) / nullif(sum(x * x), 0), 6) + 0.0 AS beta FROM f GROUP BY 1")
+def beta_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(inference.beta_by_date(_pairs(spark, sf_dir)), "beta")
+
+
+_TESTS = "t AS (SELECT p_partkey AS name, p_size / 1000.0::DOUBLE AS p FROM part)"
+
+
+def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), (F.col("p_size") / F.lit(1000.0)).alias("p"))
+
+
+@_query(f"WITH {_TESTS}, r AS (SELECT *, row_number() OVER (ORDER BY p, name) AS k, count(*) OVER () AS m FROM t) SELECT name, round(p, 6) + 0.0 AS p, round(least(1, min(p * m / k) OVER (ORDER BY k DESC)), 6) + 0.0 AS p_bh FROM r")
+def benjamini_hochberg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(inference.benjamini_hochberg(_tests(spark, sf_dir)), "p", "p_bh")
+
+
+@_query(f"WITH {_TESTS}, r AS (SELECT *, row_number() OVER (ORDER BY p, name) AS k, count(*) OVER () AS m FROM t) SELECT name, round(p, 6) + 0.0 AS p, round(least(1, max(p * (m - k + 1)) OVER (ORDER BY k)), 6) + 0.0 AS p_holm FROM r")
+def holm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(inference.holm(_tests(spark, sf_dir)), "p", "p_holm")
+
+
+@_query()
+def diebold_mariano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _ic(spark, sf_dir).select("datetime", F.col("ic").alias("a")).join(ic.pearson_ic(_pairs(spark, sf_dir), min_obs=MIN_OBS).select("datetime", F.col("ic").alias("b")), "datetime")
+    return inference.diebold_mariano(pairs, "a", "b", horizon=1)
+
+
+@_query()
+def block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.block_bootstrap(_ic(spark, sf_dir), col="ic", replicates=200, block=5, seed=3)
+
+
+@_query(f"WITH {B_SQL}, x AS (SELECT * FROM b WHERE instrument < 20 AND val IS NOT NULL) SELECT p.instrument AS a, q.instrument AS b, count(*) AS n, round(covar_samp(p.val, q.val), 4) + 0.0 AS cov FROM x p JOIN x q USING (datetime) WHERE p.instrument <= q.instrument GROUP BY 1, 2 HAVING count(*) >= 5")
+def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = user_day(spark, sf_dir).where("instrument < 20")
+    return inference.covariance(few, "val", min_obs=5).withColumn("cov", F.round("cov", 4) + F.lit(0.0))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
