@@ -36,3 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def settled(df: DataFrame, rows_each: int = 50_000) -> DataFrame:
+    """Checkpointed, and read back in no more tasks than its rows are worth: a small table would
+    otherwise write as many files in each later shuffle as the session has partitions."""
+    df = checkpointed(df)
+    parts = -(-df.count() // rows_each) or 1
+    return df.coalesce(parts) if parts < shuffle_partitions(df.sparkSession) else df

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_partitions
+from .common import checkpointed, settled, shuffle_partitions
 
 
 def _forest(links: DataFrame) -> DataFrame:
@@ -50,18 +50,21 @@ def components(links: DataFrame) -> DataFrame:
     component is the smallest node that it reaches. Links with a null, and of a node to itself, count for nothing."""
     x, y = (F.col(c) for c in links.columns[:2])
     links = links.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where("a <> b")
-    parts = shuffle_partitions(links.sparkSession)
-    links = checkpointed(_forest(links).distinct())
+    links = settled(_forest(links).distinct())
+    # links never get more: as many tasks as now hold them do for all that follows
+    tasks = links.rdd.getNumPartitions()
+    kept = (lambda df: checkpointed(df.coalesce(tasks))) if tasks < shuffle_partitions(links.sparkSession) else checkpointed
+    parts = tasks
     while True:
         # dealt anew, so that the joins' sides are exchanges that AQE can split
-        least = checkpointed(links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        least = kept(links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
         if least.where("n > 1").limit(1).count():
             handed = links.join(least.where("n > 1").select("a", "m").repartition(parts), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            links = checkpointed(least.select("a", F.col("m").alias("b")).unionByName(handed).distinct())
-            least = checkpointed(links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+            links = kept(least.select("a", F.col("m").alias("b")).unionByName(handed).distinct())
+            least = kept(links.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
         up = least.select(F.col("a").alias("node"), "m").repartition(parts)
         if not links.join(up, F.col("b") == F.col("node"), "left_semi").limit(1).count():
             if not least.where("n > 1").limit(1).count():
                 return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
             continue
-        links = checkpointed(links.join(up, F.col("b") == F.col("node"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct())
+        links = kept(links.join(up, F.col("b") == F.col("node"), "left").select("a", F.coalesce("m", "b").alias("b")).distinct())

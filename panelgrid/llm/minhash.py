@@ -7,8 +7,8 @@ a prefix of at least LEAST_DEPTH values form a region. Within a region
 
 1. every node is compared with the least node of its largest region, which links most of a large
    group, and then with the least nodes of its other regions that are of another component;
-2. where more than one component is left, all nodes of different components are compared if the
-   region is small; crowded regions are taken deeper, each as far as it takes for its parts to be
+2. where more than one component is left, nodes of different components whose signatures and sizes
+   allow a link are compared if the region is small; crowded regions are taken deeper, each as far as it takes for its parts to be
    small;
 3. parts that are still large at the greatest depth are compared with a batch of nodes after the
    other, until no two nodes of different components are uncompared.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, shuffle_partitions
+from .common import checkpointed, settled, shuffle_partitions
 from .components import components
 
 SHINGLE_WORDS = 5
@@ -40,6 +40,8 @@ LEAST_PERCENT = 75
 TREES, LEAST_DEPTH, MOST_DEPTH = 20, 4, 12
 #: Regions up to this size are compared whole.
 SMALL = 64
+#: A pair of different components is compared if so many values of its signatures agree.
+LEAST_AGREED = 36
 #: Nodes of a large part that are compared with all of it at a time.
 BATCH = 16
 CACHE_WORDS = 200_000
@@ -152,46 +154,59 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(stats.repartition(shuffle_partitions(rows.sparkSession)), "key")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs of different components within the keys of small regions."""
-    side = lambda k: rows.select("key", F.col("node").alias(k), F.col("component").alias(f"c_{k}"))
-    return side("a").join(side("b"), "key").where("a < b and c_a <> c_b").select("a", "b").distinct()
+def _likely() -> F.Column:
+    """Whether the sizes (exactly) and the signatures of a pair allow a link: one at 0.75 agrees in fewer
+    than LEAST_AGREED of the 80 values with a probability of 10^-9."""
+    agreed = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
+    return (100 * F.least("n_a", "n_b") >= LEAST_PERCENT * F.greatest("n_a", "n_b")) & (agreed >= LEAST_AGREED)
+
+
+def _side(rows: DataFrame, k: str) -> DataFrame:
+    return rows.select("key", *[F.col(c).alias(a) for c, a in (("node", k), ("component", f"c_{k}"), ("n", f"n_{k}"), ("sig", f"sig_{k}"))])
+
+
+def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Likely pairs of different components within the keys of small regions."""
+    rows = rows.select("key", "node", "component").join(nodes.select("node", "n", "sig"), "node")
+    return _side(rows, "a").join(_side(rows, "b"), "key").where("a < b and c_a <> c_b").where(_likely()).select("a", "b").distinct()
 
 
 def _rest(regions: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     """Links between nodes of different components that share a region (steps 2 and 3)."""
     spark = regions.sparkSession
-    classes = checkpointed(components(links))
-    mixed = checkpointed(_mixed(_with_component(regions, classes)))
+    classes = settled(components(links))
+    mixed = settled(_mixed(_with_component(regions, classes)))
     if not mixed.limit(1).count():
         return links
-    pairs = [_across(mixed.where(F.col("size") <= SMALL))]
+    pairs = [_across(mixed.where(F.col("size") <= SMALL), nodes)]
     large = mixed.where(F.col("size") > SMALL).select("tree", "node", "component").join(nodes.select("node", "sig"), "node")
     keys = F.array(*[F.struct(F.lit(d).alias("depth"), _key(d).alias("key")) for d in range(LEAST_DEPTH + 1, MOST_DEPTH + 1)])
-    deeper = checkpointed(large.select("tree", "node", "component", F.explode(keys).alias("k")).select("tree", "node", "component", "k.depth", "k.key"))
+    deeper = settled(large.select("tree", "node", "component", F.explode(keys).alias("k")).select("tree", "node", "component", "k.depth", "k.key"))
     sized = deeper.join(deeper.groupBy("key").agg(F.count(F.lit(1)).alias("size")).repartition(shuffle_partitions(spark)), "key").where((F.col("size") <= SMALL) | (F.col("depth") == MOST_DEPTH))
     # the least depth at which the node's part is small; parts within a part are alike, as sizes fall with depth
     first = sized.groupBy("tree", "node").agg(F.min("depth").alias("depth"))
-    parts = checkpointed(sized.join(first, ["tree", "node", "depth"]).where("size > 1"))
-    pairs.append(_across(parts.where(F.col("size") <= SMALL)))
-    found = checkpointed(_confirmed(pairs[0].unionByName(pairs[1]).distinct(), sets))
+    parts = settled(sized.join(first, ["tree", "node", "depth"]).where("size > 1"))
+    pairs.append(_across(parts.where(F.col("size") <= SMALL), nodes))
+    found = settled(_confirmed(pairs[0].unionByName(pairs[1]).distinct(), sets))
     links = links.unionByName(found)
 
     dense = parts.where(F.col("size") > SMALL).select("key", "node", F.lit(False).alias("compared"))
     while dense.limit(1).count():
-        classes = checkpointed(components(links))
-        state = checkpointed(_mixed(_with_component(dense, classes)).drop("size"))
+        classes = settled(components(links))
+        state = settled(_mixed(_with_component(dense, classes)).drop("size"))
         each = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
         major = each.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("major"))
         state = state.join(major.repartition(shuffle_partitions(spark)), "key")
         waiting = state.where("component <> major and not compared").select("key", "node", "component")
-        batch = checkpointed(waiting.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("k") <= BATCH).drop("k"))
+        batch = settled(waiting.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("k") <= BATCH).drop("k"))
         if not batch.limit(1).count():
             break
-        pairs = state.join(batch.select("key", F.col("node").alias("b"), F.col("component").alias("c")), "key").where("component <> c").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        links = links.unionByName(checkpointed(_confirmed(pairs, sets)))
+        known = nodes.select("node", "n", "sig")
+        pairs = _side(state.join(known, "node"), "a").join(_side(batch.join(known, "node"), "b").repartition(shuffle_partitions(spark)), "key").where("c_a <> c_b").where(_likely())
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.unionByName(settled(_confirmed(pairs, sets)))
         done = batch.select("key", "node", F.lit(True).alias("now"))
-        dense = checkpointed(state.select("key", "node", "compared").join(done, ["key", "node"], "left").select("key", "node", (F.col("compared") | F.coalesce("now", F.lit(False))).alias("compared")))
+        dense = settled(state.select("key", "node", "compared").join(done, ["key", "node"], "left").select("key", "node", (F.col("compared") | F.coalesce("now", F.lit(False))).alias("compared")))
     return links
 
 
@@ -200,23 +215,23 @@ def near_dups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     parts = shuffle_partitions(df.sparkSession)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = checkpointed(_signatures(rows))
-    nodes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("least_id"), F.first("sig").alias("sig"))
+    nodes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     placed = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", "node", _key(LEAST_DEPTH).alias("key"))
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
-    regions = checkpointed(placed.join(shared.repartition(parts), "key"))
+    regions = settled(placed.join(shared.repartition(parts), "key"))
     wanted = nodes.select("node", "digest", F.col("least_id").alias("id")).join(regions.select("node").distinct(), "node")
     sets = checkpointed(_sets(rows.join(wanted, rows["id"].eqNullSafe(wanted["id"])).select("node", "digest", "text")))
 
     stars = regions.where("node <> first")
     largest = stars.groupBy("node").agg(F.max(F.struct("n", "first")).alias("r")).select(F.col("r.first").alias("a"), F.col("node").alias("b"))
-    links = checkpointed(_confirmed(largest, sets))
-    classes = checkpointed(components(links))
+    links = settled(_confirmed(largest, sets))
+    classes = settled(components(links))
     stars = stars.select(F.col("first").alias("a"), "node").distinct()
     stars = _with_component(_with_component(stars, classes).select(F.col("a").alias("node"), F.col("node").alias("b"), F.col("component").alias("c")), classes)
     stars = stars.where("component <> c").select(F.col("node").alias("a"), "b")
-    links = _rest(regions.select("key", "tree", "node"), nodes, sets, links.unionByName(checkpointed(_confirmed(stars, sets))))
+    links = _rest(regions.select("key", "tree", "node"), nodes, sets, links.unionByName(settled(_confirmed(stars, sets))))
     classes = components(links)
     named = _with_component(nodes.select("node", "digest", "least_id"), classes)
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
