@@ -8,8 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["datetime", "instrument"]
-BY_DATE = Window.partitionBy("datetime")
-BY_NAME = Window.partitionBy("instrument").orderBy("pos")
+
+
+def by_date():
+    """Window of a cross-section."""
+    return Window.partitionBy("datetime")
+
+
+def by_name():
+    """Window of an instrument in time."""
+    return Window.partitionBy("instrument").orderBy("pos")
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
@@ -60,7 +68,7 @@ def support_filter(df: DataFrame, columns: Sequence[str], min_obs: int) -> DataF
     """Complete rows of dates that have at least min_obs of them."""
     if min_obs < 3:
         raise ValueError("min_obs has to be 3 at least")
-    return df.dropna(subset=list(columns)).withColumn("n_obs", F.count(F.lit(1)).over(BY_DATE)).where(F.col("n_obs") >= min_obs).drop("n_obs")
+    return df.dropna(subset=list(columns)).withColumn("n_obs", F.count(F.lit(1)).over(by_date())).where(F.col("n_obs") >= min_obs).drop("n_obs")
 
 
 def missing_rate(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -22,7 +22,9 @@ def _series(df: DataFrame, col: str, order: str) -> DataFrame:
     """One row: n, mean, u (centred values in order). Nulls are gone before lags are formed."""
     kept = df.where(F.col(col).isNotNull()).select(F.struct(order, col).alias("s"))
     one = kept.agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s[col].cast("double")).alias("x"))
-    one = one.withColumn("n", F.size("x").cast("bigint")).withColumn("mean", F.when(F.col("n") > 0, F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / F.col("n")))
+    one = one.withColumn("n", F.size("x").cast("bigint")).withColumn("rough", F.when(F.col("n") > 0, F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / F.col("n")))
+    # a second pass takes the rounding out of the mean, so that a constant series has no variance
+    one = one.withColumn("mean", F.when(F.col("n") > 0, F.col("rough") + F.aggregate("x", F.lit(0.0), lambda a, b: a + (b - F.col("rough"))) / F.col("n")))
     return one.select("n", "mean", F.transform("x", lambda v: v - F.col("mean")).alias("u"))
 
 

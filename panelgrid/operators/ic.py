@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import BY_DATE, KEYS, support_filter
+from .grid import by_date, KEYS, support_filter
 from .normalize import average_rank
 
 MIN_OBS, PERIODS_PER_YEAR = 30, 252
@@ -18,7 +18,7 @@ def align(scores: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _correlation(df: DataFrame, x: str, y: str, *, keep_flat: bool = False) -> DataFrame:
     """(datetime, n, ic) from centred sums: a flat side gives null instead of an error."""
-    cx, cy = (F.col(c) - F.avg(c).over(BY_DATE) for c in (x, y))
+    cx, cy = (F.col(c) - F.avg(c).over(by_date()) for c in (x, y))
     sums = df.select("datetime", cx.alias("cx"), cy.alias("cy")).groupBy("datetime").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("cx") * F.col("cy")).alias("xy"), F.sum(F.col("cx") * F.col("cx")).alias("xx"), F.sum(F.col("cy") * F.col("cy")).alias("yy"))
     out = sums.select("datetime", "n", F.try_divide("xy", F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("ic"))
     return out if keep_flat else out.where("ic is not null")

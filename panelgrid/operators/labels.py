@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import BY_NAME
+from .grid import by_name
 from .normalize import cs_rank, cs_z, winsorize
 
 
@@ -44,7 +44,7 @@ class LabelSpec:
 
 def _ends(spec: LabelSpec) -> tuple[Column, Column]:
     lag, to = spec.window
-    at = lambda k: F.lead(spec.field, k).over(BY_NAME) if k else F.col(spec.field)
+    at = lambda k: F.lead(spec.field, k).over(by_name()) if k else F.col(spec.field)
     return at(lag), at(to)
 
 
@@ -68,7 +68,7 @@ def label_availability(grid: DataFrame, label: str, out: str, spec: LabelSpec, *
     entry, leave = _ends(spec)
     ok = F.col(label).isNotNull() & entry.isNotNull() & leave.isNotNull()
     if tradable:
-        ok = ok & F.coalesce(F.lead(tradable, spec.lag).over(BY_NAME) if spec.lag else F.col(tradable), F.lit(False))
+        ok = ok & F.coalesce(F.lead(tradable, spec.lag).over(by_name()) if spec.lag else F.col(tradable), F.lit(False))
     return grid.withColumn(out, ok)
 
 

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import BY_DATE, BY_NAME
+from .grid import by_date, by_name
 
 #: Fixed value: median absolute deviation to standard deviation of a normal.
 MAD_SCALE = 1.4826022
@@ -36,26 +36,26 @@ def _checked(length: int, min_periods: int) -> None:
 def roll_z(df: DataFrame, col: str, out: str, *, length: int = LENGTH, min_periods: int = MIN_PERIODS) -> DataFrame:
     """z-score by mean and sample deviation of the length rows before."""
     _checked(length, min_periods)
-    w, x = BY_NAME.rowsBetween(-length, -1), F.col(col)
+    w, x = by_name().rowsBetween(-length, -1), F.col(col)
     return df.withColumn(out, F.when(F.count(x).over(w) >= min_periods, _z(x, F.avg(x).over(w), F.stddev_samp(x).over(w))))
 
 
 def roll_robust_z(df: DataFrame, col: str, out: str, *, length: int = LENGTH, min_periods: int = MIN_PERIODS, bound: float = CLIP) -> DataFrame:
     """z-score by the median of the history, and the rolling median of each past row's distance to its own median."""
     _checked(length, min_periods)
-    w = BY_NAME.rowsBetween(-(length - 1), 0)
+    w = by_name().rowsBetween(-(length - 1), 0)
 
     def median(c: str) -> Column:
         return F.when(F.count(c).over(w) >= min_periods, F.percentile(c, 0.5).over(w))
 
-    past = df.withColumn("_past", F.lag(col).over(BY_NAME)).withColumn("_med", median("_past"))
+    past = df.withColumn("_past", F.lag(col).over(by_name())).withColumn("_med", median("_past"))
     dev = past.withColumn("_dev", F.abs(F.col("_past") - F.col("_med"))).withColumn("_mad", median("_dev"))
     return dev.withColumn(out, clip(_z(F.col(col), F.col("_med"), F.lit(MAD_SCALE) * F.col("_mad")), bound)).drop("_past", "_med", "_dev", "_mad")
 
 
 def expanding_z(df: DataFrame, col: str, out: str, *, min_periods: int = MIN_PERIODS) -> DataFrame:
     """z-score by all rows before."""
-    w, x = BY_NAME.rowsBetween(Window.unboundedPreceding, -1), F.col(col)
+    w, x = by_name().rowsBetween(Window.unboundedPreceding, -1), F.col(col)
     return df.withColumn(out, F.when(F.count(x).over(w) >= min_periods, _z(x, F.avg(x).over(w), F.stddev_samp(x).over(w))))
 
 
@@ -69,23 +69,23 @@ def average_rank(col: str, by: list[str]) -> Column:
 
 def cs_rank(df: DataFrame, col: str, out: str) -> DataFrame:
     """Average rank over the number of observations plus 1."""
-    return df.withColumn(out, average_rank(col, ["datetime"]) / (F.count(col).over(BY_DATE) + F.lit(1.0)))
+    return df.withColumn(out, average_rank(col, ["datetime"]) / (F.count(col).over(by_date()) + F.lit(1.0)))
 
 
 def cs_z(df: DataFrame, col: str, out: str) -> DataFrame:
-    return df.withColumn(out, _z(F.col(col), F.avg(col).over(BY_DATE), F.stddev_samp(col).over(BY_DATE)))
+    return df.withColumn(out, _z(F.col(col), F.avg(col).over(by_date()), F.stddev_samp(col).over(by_date())))
 
 
 def cs_robust_z(df: DataFrame, col: str, out: str, *, bound: float = CLIP) -> DataFrame:
     """z-score by the date's median and median absolute deviation."""
-    med = df.withColumn("_med", F.percentile(col, 0.5).over(BY_DATE)).withColumn("_dev", F.abs(F.col(col) - F.col("_med")))
-    return med.withColumn(out, clip(_z(F.col(col), F.col("_med"), F.lit(MAD_SCALE) * F.percentile("_dev", 0.5).over(BY_DATE)), bound)).drop("_med", "_dev")
+    med = df.withColumn("_med", F.percentile(col, 0.5).over(by_date())).withColumn("_dev", F.abs(F.col(col) - F.col("_med")))
+    return med.withColumn(out, clip(_z(F.col(col), F.col("_med"), F.lit(MAD_SCALE) * F.percentile("_dev", 0.5).over(by_date())), bound)).drop("_med", "_dev")
 
 
 def cs_standardize(df: DataFrame, col: str, out: str) -> DataFrame:
     """By mean and population deviation; a date without dispersion is 0."""
-    std = F.stddev_pop(col).over(BY_DATE)
-    return df.withColumn(out, (F.col(col) - F.avg(col).over(BY_DATE)) / F.when(std == 0, 1.0).otherwise(std))
+    std = F.stddev_pop(col).over(by_date())
+    return df.withColumn(out, (F.col(col) - F.avg(col).over(by_date())) / F.when(std == 0, 1.0).otherwise(std))
 
 
 def global_z(df: DataFrame, col: str, out: str, *, allow_leaky: bool = False) -> DataFrame:
@@ -100,7 +100,7 @@ def winsorize(df: DataFrame, col: str, out: str, q: float) -> DataFrame:
     """Clip to the date's linear quantiles q and 1 - q."""
     if not 0 <= q < 0.5:
         raise ValueError("q has to be in [0, 0.5)")
-    lo, hi = (F.percentile(col, p).over(BY_DATE) for p in (q, 1 - q))
+    lo, hi = (F.percentile(col, p).over(by_date()) for p in (q, 1 - q))
     return df.withColumn(out, F.when(F.col(col).isNotNull(), F.greatest(lo, F.least(hi, F.col(col)))))
 
 

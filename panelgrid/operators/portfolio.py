@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import BY_NAME
+from .grid import by_name
 
 
 def topk_weights(scores: DataFrame, k: int) -> DataFrame:
@@ -17,7 +17,7 @@ def topk_weights(scores: DataFrame, k: int) -> DataFrame:
 
 
 def _change():
-    return F.coalesce("weight", F.lit(0.0)) - F.coalesce(F.lag("weight").over(BY_NAME), F.lit(0.0))
+    return F.coalesce("weight", F.lit(0.0)) - F.coalesce(F.lag("weight").over(by_name()), F.lit(0.0))
 
 
 def turnover(weights: DataFrame, *, periods_per_year: int = 252) -> DataFrame:

@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import BY_NAME, finite
+from .grid import by_name, finite
 
 COMPONENTS = ("label_available", "provided_mask", "tradable_on_decision_date", "enough_valid_steps")
 
 
 def window_array(grid: DataFrame, cols: Sequence[str], out: str, lookback: int) -> DataFrame:
     """Array of the last ``lookback`` rows, each an array of cols; null rows stand before the first date."""
-    w = BY_NAME.rowsBetween(-(lookback - 1), 0)
+    w = by_name().rowsBetween(-(lookback - 1), 0)
     steps = F.collect_list(F.struct(F.array(*[finite(F.col(c).cast("double")) for c in cols]).alias("v"))).over(w)
     pad = F.array_repeat(F.array(*[F.lit(None).cast("double") for _ in cols]), F.lit(lookback) - F.size(steps))
     return grid.withColumn(out, F.concat(pad, F.transform(steps, lambda s: s.v)))

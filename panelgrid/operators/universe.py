@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import BY_NAME, require_columns
+from .grid import by_name, require_columns
 
 
 @dataclass(frozen=True)
@@ -44,11 +44,11 @@ def tradability_mask(grid: DataFrame, *, intervals: DataFrame | None = None, rul
     if rules.require_volume:
         ok = ok & F.coalesce(F.col("volume") > 0, F.lit(False))
     if rules.min_listed is not None:
-        ok = ok & (F.count("close").over(BY_NAME.rowsBetween(Window.unboundedPreceding, 0)) >= rules.min_listed)
+        ok = ok & (F.count("close").over(by_name().rowsBetween(Window.unboundedPreceding, 0)) >= rules.min_listed)
     if intervals is not None:
         ok = ok & F.col("member")
     if rules.limit is not None:
-        before = F.lag("close").over(BY_NAME)
+        before = F.lag("close").over(by_name())
         # a move from 0 is beyond any limit; without a previous close there is no move
         locked = F.when(before == 0, F.col("close") != 0).otherwise(F.abs(F.col("close") / F.nullif(before, F.lit(0.0)) - 1) >= rules.limit)
         ok = ok & ~F.coalesce(locked, F.lit(False))

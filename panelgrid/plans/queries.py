@@ -317,7 +317,7 @@ def acf1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = user_day(spark, sf_dir).withColumn("y", F.lead("val").over(grid.BY_NAME)).withColumn("open", F.coalesce(F.col("n_events") > 0, F.lit(False)))
+    panel = user_day(spark, sf_dir).withColumn("y", F.lead("val").over(grid.by_name())).withColumn("open", F.coalesce(F.col("n_events") > 0, F.lit(False)))
     return tensor.sequence_bundle(panel, ["n_events", "val"], "y", lookback=5, fill=-1.0, tradable="open", weight="n_events", min_valid_steps=2)
 
 
