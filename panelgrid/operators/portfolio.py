@@ -52,3 +52,26 @@ def performance(returns: DataFrame, *, col: str = "ret", periods_per_year: int =
     worst = drawdown(returns, col=col).agg(F.min("drawdown").alias("max_drawdown"))
     one = returns.agg(F.count(col).alias("n"), (F.avg(col) * periods_per_year).alias("mean_annual"), (F.stddev_samp(col) * periods_per_year**0.5).alias("vol_annual"))
     return one.crossJoin(worst).select("n", "mean_annual", "vol_annual", (F.col("mean_annual") / F.nullif(F.col("vol_annual"), F.lit(0.0))).alias("sharpe"), "max_drawdown", (F.col("mean_annual") / F.nullif(F.abs("max_drawdown"), F.lit(0.0))).alias("calmar"))
+
+
+def net_returns(weights: DataFrame, *, buy: float, sell: float) -> DataFrame:
+    """(datetime, gross, cost, net) of a dense grid with weight and label; a missing label earns nothing."""
+    moved = weights.select("datetime", (F.col("weight") * F.coalesce("label", F.lit(0.0))).alias("g"), _change().alias("d"))
+    cost = F.when(F.col("d") > 0, F.col("d") * buy).otherwise(-F.col("d") * sell)
+    return moved.groupBy("datetime").agg(F.sum("g").alias("gross"), F.sum(cost).alias("cost")).withColumn("net", F.col("gross") - F.col("cost"))
+
+
+def capacity_curve(weights: DataFrame, amounts: list[float], *, eta: float, periods_per_year: int = 252) -> DataFrame:
+    """(amount, ir, holds): information ratio after square-root impact at each amount of money, and whether it
+    is at least half of that at 0. weights: a dense grid with weight, label, sigma and adv (daily money traded).
+
+    Impact is proportional to the root of the amount, so each date has one coefficient, whatever the grid of amounts.
+    """
+    d = F.abs(F.col("d"))
+    moved = weights.select("datetime", "sigma", "adv", (F.col("weight") * F.coalesce("label", F.lit(0.0))).alias("g"), _change().alias("d"))
+    impact = F.coalesce(d * eta * F.col("sigma") * F.sqrt(d / F.when(F.col("adv") > 0, F.col("adv"))), F.lit(0.0))
+    dates = moved.groupBy("datetime").agg(F.sum("g").alias("gross"), F.sum(impact).alias("k"))
+    each = dates.withColumn("amount", F.explode(F.array(*[F.lit(float(a)) for a in sorted({0.0, *amounts})])))
+    net = F.col("gross") - F.sqrt("amount") * F.col("k")
+    curve = each.groupBy("amount").agg((F.avg(net) / F.nullif(F.stddev_samp(net), F.lit(0.0)) * periods_per_year**0.5).alias("ir"))
+    return curve.withColumn("holds", F.col("ir") >= 0.5 * F.max(F.when(F.col("amount") == 0, F.col("ir"))).over(Window.partitionBy()))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelgrid.operators import audit, grid, hac, ic, inference, labels, normalize, pit, portfolio, tensor, universe
+from panelgrid.operators import audit, calibration, grid, hac, ic, inference, labels, normalize, pit, portfolio, risk, selection, tensor, universe
 from panelgrid.sources import store
 
 from .panels import A_SQL, B_SQL, E_SQL, announcements, order_days, read, supplier_month, user_day, user_day_rows
@@ -527,6 +527,111 @@ def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     few = user_day(spark, sf_dir).where("instrument < 20")
     return inference.covariance(few, "val", min_obs=5).withColumn("cov", F.round("cov", 4) + F.lit(0.0))
 
+_LW = f"""
+{B_SQL}, x0 AS (SELECT datetime, instrument, val - avg(val) OVER (PARTITION BY instrument) AS x FROM b WHERE instrument < 20),
+x AS (SELECT datetime, instrument, coalesce(x, 0) AS x FROM x0 WHERE instrument IN (SELECT instrument FROM x0 WHERE x IS NOT NULL)),
+q AS (SELECT count(*) AS t, sum(q * q) AS q2 FROM (SELECT sum(x * x) AS q FROM x GROUP BY datetime)),
+s AS (SELECT p.instrument AS a, r.instrument AS b, sum(p.x * r.x) / max(t) AS s FROM x p JOIN x r USING (datetime), q WHERE p.instrument <= r.instrument GROUP BY 1, 2),
+m AS (SELECT sum(CASE WHEN a = b THEN s * s ELSE 2 * s * s END) AS s2, sum(s) FILTER (a = b) AS tr, count(*) FILTER (a = b) AS n FROM s),
+k AS (SELECT least(1, greatest(0, (q2 / (t * t) - s2 / t) / nullif(s2 - tr * tr / n, 0))) AS delta, tr / n AS level FROM m, q),
+lw AS (SELECT a, b, (1 - delta) * s + CASE WHEN a = b THEN delta * level ELSE 0 END AS cov, delta FROM s, k)
+"""
+
+
+def _few(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return user_day(spark, sf_dir).where("instrument < 20")
+
+
+@_query(f"WITH {_LW} SELECT a, b, round(cov, 4) + 0.0 AS cov, round(delta, 6) + 0.0 AS delta FROM lw")
+def ledoit_wolf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(risk.ledoit_wolf(_few(spark, sf_dir), "val"), "delta").withColumn("cov", F.round("cov", 4) + F.lit(0.0))
+
+
+@_query(f"WITH {_LW}, e AS (SELECT datetime, instrument, 1.0::DOUBLE / count(*) OVER (PARTITION BY datetime) AS w FROM b WHERE instrument < 20 AND val IS NOT NULL), v AS (SELECT p.datetime, sqrt(sum(p.w * r.w * cov * CASE WHEN a = b THEN 1 ELSE 2 END)) AS vol FROM lw JOIN e p ON p.instrument = a JOIN e r ON r.instrument = b AND r.datetime = p.datetime GROUP BY 1) SELECT datetime, instrument, round(w * 10 / vol, 6) + 0.0 AS weight FROM e JOIN v USING (datetime)")
+def volatility_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    few = _few(spark, sf_dir)
+    held = few.where("val is not null").select("datetime", "instrument", (1.0 / F.count(F.lit(1)).over(Window.partitionBy("datetime"))).alias("weight"))
+    return _rounded(risk.volatility_target(held, risk.ledoit_wolf(few, "val"), 10.0), "weight")
+
+
+_CSCV = f"""
+{_BUCKETS}, tr AS (SELECT datetime, bucket, ret FROM bk WHERE ret IS NOT NULL),
+gd AS (SELECT datetime, (row_number() OVER (ORDER BY datetime) - 1) * 8 // count(*) OVER () AS g FROM (SELECT DISTINCT datetime FROM tr)),
+gs AS (SELECT bucket, g, sum(ret) AS s, count(*) AS n FROM tr JOIN gd USING (datetime) GROUP BY 1, 2),
+mk AS (SELECT CAST(range AS INTEGER) AS split FROM range(256) WHERE bit_count(CAST(range AS INTEGER)) = 4),
+cs AS (SELECT split, bucket, sum(s) FILTER ((split >> g) & 1 = 1) / sum(n) FILTER ((split >> g) & 1 = 1) AS ins, sum(s) FILTER ((split >> g) & 1 = 0) / sum(n) FILTER ((split >> g) & 1 = 0) AS oos FROM gs, mk GROUP BY 1, 2),
+cv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY ins DESC, bucket) AS r, median(oos) OVER (PARTITION BY split) AS med FROM cs WHERE ins IS NOT NULL AND oos IS NOT NULL) WHERE r = 1)
+"""
+
+
+def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _quantiles(spark, sf_dir).select("datetime", F.col("bucket").alias("trial"), "ret")
+
+
+@_query(f"WITH {_CSCV} SELECT split, bucket AS best, round(oos, 6) + 0.0 AS oos, round(med, 6) + 0.0 AS median FROM cv")
+def cscv_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(selection.cscv(_trials(spark, sf_dir), 8), "oos", "median")
+
+
+@_query(f"WITH {_CSCV} SELECT count(*) AS n_splits, round(avg(CASE WHEN oos < med THEN 1.0::DOUBLE ELSE 0 END), 6) + 0.0 AS pbo FROM cv")
+def pbo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(selection.pbo(_trials(spark, sf_dir), 8), "pbo")
+
+
+@_query()
+def monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.monotonicity(_quantiles(spark, sf_dir), 5, replicates=200, block=5, seed=3)
+
+
+_SOFT = f"{A_SQL}, {_PAIRS}, k AS (SELECT *, {_RANK.format(x='label')} AS rl, count(*) OVER (PARTITION BY datetime) AS n FROM pairs WHERE score IS NOT NULL AND label IS NOT NULL), sr AS (SELECT p.datetime, p.instrument, p.rl, p.n, sum(1 / (1 + exp((o.score - p.score) / 0.5))) AS soft FROM k p JOIN k o USING (datetime) GROUP BY 1, 2, 3, 4)"
+
+
+@_query(f"WITH {_SOFT} SELECT datetime, instrument, round(soft, 6) + 0.0 AS soft_rank, round(-(soft - avg(soft) OVER w) / nullif(stddev_samp(soft) OVER w, 0) * (rl - avg(rl) OVER w) / nullif(stddev_samp(rl) OVER w, 0) / n, 6) + 0.0 AS loss FROM sr WINDOW w AS (PARTITION BY datetime)")
+def soft_rank_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(calibration.soft_rank_loss(_pairs(spark, sf_dir), 0.5), "soft_rank", "loss")
+
+
+@_query()
+def copula_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(calibration.copula_loss(_pairs(spark, sf_dir)), "loss")
+
+
+def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") / 110_000.0).alias("u"))
+
+
+_U = "u AS (SELECT l_extendedprice / 110000.0::DOUBLE AS u FROM lineitem)"
+
+
+@_query(f"WITH {_U} SELECT CAST(least(19, floor(u * 20)) AS INTEGER) AS bin, count(*) AS n FROM u WHERE u BETWEEN 0 AND 1 GROUP BY 1")
+def pit_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return calibration.pit_histogram(_probabilities(spark, sf_dir), "u")
+
+
+@_query(f"WITH {_U}, r AS (SELECT u, row_number() OVER (ORDER BY u) AS k, count(*) OVER () AS n FROM u WHERE u BETWEEN 0 AND 1) SELECT max(n) AS n, round(max(greatest(k / n::DOUBLE - u, u - (k - 1) / n::DOUBLE)), 6) + 0.0 AS ks FROM r")
+def ks_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(calibration.ks_uniform(_probabilities(spark, sf_dir), "u"), "ks")
+
+
+@_query(f"WITH {_U} SELECT level, count(*) AS n, round(avg(CASE WHEN u >= (1 - level) / 2 AND u <= (1 + level) / 2 THEN 1.0::DOUBLE ELSE 0 END), 6) + 0.0 AS covered FROM u, (VALUES (0.5::DOUBLE), (0.9::DOUBLE)) l(level) WHERE u IS NOT NULL GROUP BY 1")
+def interval_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(calibration.interval_coverage(_probabilities(spark, sf_dir), "u"), "covered")
+
+
+_NET = f"{_WEIGHTS}, dd AS (SELECT datetime, instrument, weight * coalesce(label, 0) AS g, weight - coalesce(lag(weight) OVER (PARTITION BY instrument ORDER BY pos), 0) AS d FROM wt)"
+
+
+@_query(f"WITH {_NET}, n AS (SELECT datetime, sum(g) AS gross, sum(CASE WHEN d > 0 THEN d * 0.0007 ELSE -d * 0.0017 END) AS cost FROM dd GROUP BY 1) SELECT datetime, round(gross, 6) + 0.0 AS gross, round(cost, 6) + 0.0 AS cost, round(gross - cost, 6) + 0.0 AS net FROM n")
+def net_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(portfolio.net_returns(_weights(spark, sf_dir), buy=0.0007, sell=0.0017), "gross", "cost", "net")
+
+
+@_query(f"WITH {_NET}, t AS (SELECT datetime, sum(g) AS g, sum(abs(d) * 0.1 * 0.02 * sqrt(abs(d) / 1e6)) AS k FROM dd GROUP BY 1), c AS (SELECT amount, avg(g - sqrt(amount) * k) / nullif(stddev_samp(g - sqrt(amount) * k), 0) * sqrt(12) AS ir FROM t, (VALUES (0.0::DOUBLE), (1e6), (1e8), (1e10)) a(amount) GROUP BY 1) SELECT amount, round(ir, 6) + 0.0 AS ir, ir >= 0.5 * max(ir) FILTER (amount = 0) OVER () AS holds FROM c")
+def capacity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _weights(spark, sf_dir).withColumns({"sigma": F.lit(0.02), "adv": F.lit(1e6)})
+    return _rounded(portfolio.capacity_curve(held, [1e6, 1e8, 1e10], eta=0.1, periods_per_year=12), "ir")
+
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
