@@ -101,3 +101,29 @@ def covariance(df: DataFrame, col: str, *, min_obs: int = 2) -> DataFrame:
     side = lambda k: df.where(F.col(col).isNotNull()).select("datetime", F.col("instrument").alias(k), F.col(col).alias(f"x_{k}"))
     both = side("a").join(side("b"), "datetime").where("a <= b")
     return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.covar_samp("x_a", "x_b").alias("cov")).where(F.col("n") >= min_obs)
+
+
+def mean_gap(series: DataFrame, *, periods_per_year: float = 252) -> DataFrame:
+    """One row (n, mean_gap, per_year) of dates with their calendar positions: the mean step, and how many such steps a year has."""
+    steps = series.select((F.col("pos") - F.lag("pos").over(Window.orderBy("pos"))).alias("d"))
+    return steps.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_gap"), F.try_divide(F.lit(float(periods_per_year)), F.avg("d")).alias("per_year"))
+
+
+def residualize(df: DataFrame, col: str, exposures: list[str], out: str = "residual") -> DataFrame:
+    """Adds what is left of col after a regression with intercept on the exposures of its date; null where any of them
+    is missing. A date's cross-section is one group, bounded by the number of instruments."""
+    from pyspark.sql.types import DoubleType, StructField, StructType
+
+    def one(part):
+        import numpy as np
+
+        full = part[[col, *exposures]].astype("float64").notna().all(axis=1)
+        x = np.column_stack([np.ones(int(full.sum())), part.loc[full, exposures].astype("float64")])
+        y = part.loc[full, col].astype("float64").to_numpy()
+        part[out] = np.nan
+        if len(y):
+            part.loc[full, out] = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        return part
+
+    made = df.groupBy("datetime").applyInPandas(one, StructType([*df.schema.fields, StructField(out, DoubleType())]))
+    return made.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))

@@ -75,3 +75,15 @@ def label_availability(grid: DataFrame, label: str, out: str, spec: LabelSpec, *
 def purge_positions(days: DataFrame, center: int, radius: int) -> DataFrame:
     """Positions at most radius from center."""
     return days.where(F.abs(F.col("pos") - center) <= radius)
+
+
+def segment_roles(days: DataFrame, segments) -> DataFrame:
+    """Adds role to a calendar (datetime, pos): train, valid or test, purged within purge_radius positions before the
+    next segment, null outside. segments has closed pairs of dates train, valid and test, and purge_radius."""
+    inside = lambda pair: F.col("datetime").between(F.to_date(F.lit(pair[0])), F.to_date(F.lit(pair[1])))
+    named = F.when(inside(segments.train), "train").when(inside(segments.valid), "valid").when(inside(segments.test), "test")
+    roles = days.withColumn("role", named)
+    first = F.broadcast(roles.agg(*[F.min(F.when(F.col("role") == r, F.col("pos"))).alias(f"_{r}") for r in ("valid", "test")]))  # one row
+    near = lambda c: F.coalesce(F.col("pos") >= F.col(c) - segments.purge_radius, F.lit(False))
+    purged = ((F.col("role") == "train") & (near("_valid") | near("_test"))) | ((F.col("role") == "valid") & near("_test"))
+    return roles.crossJoin(first).withColumn("role", F.when(purged, "purged").otherwise(F.col("role"))).drop("_valid", "_test")

@@ -58,3 +58,33 @@ def monotonicity(buckets: DataFrame, q: int, *, replicates: int, block: int, see
     ranks = out.select("m", F.posexplode("m").alias("k", "v")).select("k", average_rank("v", ["m"]).alias("r"))
     rho = ranks.agg(F.corr("k", "r").alias("spearman"))
     return out.crossJoin(rho).select("n", "gap", "p_mono", (F.get("m", F.lit(q - 1)) - F.get("m", F.lit(0))).alias("spread"), F.get("_t", F.lit(0)).alias("spread_lo"), F.get("_t", F.lit(1)).alias("spread_hi"), "spearman")
+
+
+def trial_moments(trials: DataFrame) -> DataFrame:
+    """(trial, n, sharpe, skew, kurt): Sharpe ratio of a period, and population skewness and kurtosis (3 for a normal)."""
+    return trials.groupBy("trial").agg(F.count("ret").alias("n"), F.try_divide(F.avg("ret"), F.nullif(F.stddev_samp("ret"), F.lit(0.0))).alias("sharpe"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt"))
+
+
+def effective_trials(trials: DataFrame, *, redundant: float = 0.95) -> DataFrame:
+    """One row (m, k_eff): the trials, less those that correlate with an earlier one (by name) at ``redundant`` or more over common dates."""
+    side = lambda k: trials.where("ret is not null").select("datetime", F.col("trial").alias(k), F.col("ret").alias(f"r_{k}"))
+    alike = side("a").join(side("b"), "datetime").where("a < b").groupBy("a", "b").agg(F.corr("r_a", "r_b").alias("rho")).where((F.col("rho") >= redundant) & ~F.isnan("rho"))
+    counts = trials.agg(F.count_distinct("trial").alias("m")).crossJoin(F.broadcast(alike.agg(F.count_distinct("b").alias("_same"))))  # one row each
+    return counts.select("m", (F.col("m") - F.col("_same")).alias("k_eff"))
+
+
+def deflated_sharpe(trials: DataFrame, *, redundant: float = 0.95) -> DataFrame:
+    """One row of the trial with the largest Sharpe ratio: trial, n, sharpe, k_eff, sharpe_star (the largest
+    that k_eff trials would show by chance), dsr and p_dsr = 1 - dsr."""
+    from panelgrid.functions.tails import normal_cdf, normal_quantile
+
+    each = trial_moments(trials).where("sharpe is not null")
+    best = each.agg(F.max_by(F.struct("trial", "n", "sharpe", "skew", "kurt"), F.struct("sharpe", "trial")).alias("x"), F.coalesce(F.stddev_samp("sharpe"), F.lit(0.0)).alias("v"))
+    one = best.select("x.*", "v").crossJoin(F.broadcast(effective_trials(trials, redundant=redundant)))  # one row each
+    euler = 0.5772156649015329
+    k = F.greatest(F.col("k_eff").cast("double"), F.lit(1.0))
+    star = F.when(k > 1, F.col("v") * ((1 - euler) * normal_quantile(1 - 1 / k) + euler * normal_quantile(1 - 1 / (k * F.lit(2.718281828459045))))).otherwise(0.0)
+    one = one.withColumn("sharpe_star", star)
+    spread = 1 - F.col("skew") * F.col("sharpe") + (F.col("kurt") - 1) / 4 * F.col("sharpe") * F.col("sharpe")
+    one = one.withColumn("dsr", normal_cdf((F.col("sharpe") - F.col("sharpe_star")) * F.sqrt(F.col("n") - 1) / F.sqrt(F.when(spread > 0, spread))))
+    return one.select("trial", "n", "sharpe", "k_eff", "sharpe_star", "dsr", (1 - F.col("dsr")).alias("p_dsr"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelgrid.operators import audit, calibration, grid, hac, ic, inference, labels, normalize, pit, portfolio, risk, selection, tensor, universe
-from panelgrid.sources import store
+from panelgrid.sources import config, store, synthetic
 
 from .panels import A_SQL, B_SQL, E_SQL, announcements, order_days, read, supplier_month, user_day, user_day_rows
 
@@ -632,6 +632,50 @@ def capacity_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(portfolio.capacity_curve(held, [1e6, 1e8, 1e10], eta=0.1, periods_per_year=12), "ir")
 
 
+# ---- segments, residuals, trials, generated panels ---------------------------------------------
+
+_SEGMENTS = config.Segments(("1992-01-01", "1995-12-31"), ("1996-01-01", "1996-12-31"), ("1997-01-01", "1998-06-30"), purge_radius=2)
+_ROLE = "SELECT datetime, pos, CASE WHEN datetime BETWEEN DATE '1992-01-01' AND DATE '1995-12-31' THEN 'train' WHEN datetime BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' THEN 'valid' WHEN datetime BETWEEN DATE '1997-01-01' AND DATE '1998-06-30' THEN 'test' END AS role FROM cal"
+
+
+@_query(f"WITH {A_SQL}, sg AS ({_ROLE}), st AS (SELECT min(pos) FILTER (role = 'valid') AS v, min(pos) FILTER (role = 'test') AS t FROM sg) SELECT datetime, pos, CASE WHEN role = 'train' AND (coalesce(pos >= v - 2, false) OR coalesce(pos >= t - 2, false)) OR role = 'valid' AND coalesce(pos >= t - 2, false) THEN 'purged' ELSE role END AS role FROM sg, st")
+def segment_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.segment_roles(calendar(spark, sf_dir), _SEGMENTS)
+
+
+@_query(f"WITH {_IC}, d AS (SELECT pos - lag(pos) OVER (ORDER BY pos) AS d FROM ic JOIN cal USING (datetime)) SELECT count(*) AS n, round(avg(d), 6) + 0.0 AS mean_gap, round(12 / avg(d), 6) + 0.0 AS per_year FROM d")
+def mean_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dated = _ic(spark, sf_dir).select("datetime").join(calendar(spark, sf_dir), "datetime")
+    return _rounded(inference.mean_gap(dated, periods_per_year=12), "mean_gap", "per_year")
+
+
+@_query(f"WITH {A_SQL}, {_PAIRS}, f AS (SELECT datetime, instrument, score - avg(score) OVER w AS x, label - avg(label) OVER w AS y FROM pairs WHERE score IS NOT NULL AND label IS NOT NULL WINDOW w AS (PARTITION BY datetime)), r AS (SELECT datetime, instrument, y - coalesce(sum(x * y) OVER w / nullif(sum(x * x) OVER w, 0), 0) * x AS e FROM f WINDOW w AS (PARTITION BY datetime)) SELECT datetime, instrument, round(r.e, 6) + 0.0 AS residual FROM pairs LEFT JOIN r USING (datetime, instrument)")
+def residualize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(inference.residualize(_pairs(spark, sf_dir), "label", ["score"]).select("datetime", "instrument", "residual"), "residual")
+
+
+@_query(f"WITH {_BUCKETS}, c AS (SELECT bucket AS trial, ret - avg(ret) OVER (PARTITION BY bucket) AS d, ret FROM bk) SELECT trial, count(ret) AS n, round(avg(ret) / stddev_samp(ret), 6) + 0.0 AS sharpe, round(avg(d * d * d) / pow(avg(d * d), 1.5), 6) + 0.0 AS skew, round(avg(d * d * d * d) / pow(avg(d * d), 2), 6) + 0.0 AS kurt FROM c GROUP BY 1")
+def trial_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(selection.trial_moments(_trials(spark, sf_dir)), "sharpe", "skew", "kurt")
+
+
+@_query(f"WITH {_BUCKETS}, rr AS (SELECT p.bucket AS a, o.bucket AS b, corr(p.ret, o.ret) AS rho FROM bk p JOIN bk o USING (datetime) WHERE p.bucket < o.bucket AND p.ret IS NOT NULL AND o.ret IS NOT NULL GROUP BY 1, 2) SELECT (SELECT count(DISTINCT bucket) FROM bk) AS m, (SELECT count(DISTINCT bucket) FROM bk) - (SELECT count(DISTINCT b) FROM rr WHERE rho >= 0.4 AND NOT isnan(rho)) AS k_eff")
+def effective_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.effective_trials(_trials(spark, sf_dir), redundant=0.4)
+
+
+@_query()
+def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.deflated_sharpe(_trials(spark, sf_dir))
+
+
+@_query("SELECT CAST(1000 AS BIGINT) AS n, true AS near_truth")
+def synthetic_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = synthetic.PanelSpec()
+    got = ic.rank_ic(synthetic.generate(spark, spec), min_obs=30)
+    return got.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg("ic") - spec.copula_rank_ic) < 0.02).alias("near_truth"))
+
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
