@@ -127,3 +127,29 @@ def residualize(df: DataFrame, col: str, exposures: list[str], out: str = "resid
 
     made = df.groupBy("datetime").applyInPandas(one, StructType([*df.schema.fields, StructField(out, DoubleType())]))
     return made.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
+
+
+def block_length(series: DataFrame, *, col: str, order: str = "datetime") -> float:
+    """Length of circular blocks by the flat-top rule of Politis and White (2004, corrected 2009): lags up to twice
+    the last that stands out of 2 sqrt(log10(n) / n) count. 1 for a series without dispersion or of fewer than 4 values.
+    Only the autocovariances, some sqrt(n) rows, come to the driver."""
+    from .hac import autocovariances
+
+    kept = series.where(F.col(col).isNotNull())
+    n = kept.count()
+    if n < 4:
+        return 1.0
+    run = max(5, math.ceil(math.sqrt(math.log10(n))))
+    last = min(math.ceil(math.sqrt(n)) + run, n - 1)
+    gamma = {r["lag"]: r["gamma"] for r in autocovariances(kept, last, col=col, order=order).collect()}
+    if not gamma.get(0):
+        return 1.0
+    bound = 2 * math.sqrt(math.log10(n) / n)
+    quiet = [abs(gamma.get(k, 0.0) / gamma[0]) < bound for k in range(1, last + 1)]
+    m = next((k for k in range(last) if all(quiet[k : k + run])), last)
+    top = min(2 * max(m, 1), last)
+    flat = {k: min(1.0, 2 * (1 - k / top)) for k in range(1, top + 1)}
+    g = 2 * sum(w * k * gamma.get(k, 0.0) for k, w in flat.items())
+    level = gamma[0] + 2 * sum(w * gamma.get(k, 0.0) for k, w in flat.items())
+    b = (2 * g * g / (4 / 3 * level * level)) ** (1 / 3) * n ** (1 / 3) if level else 1.0
+    return min(max(b, 1.0), math.ceil(min(3 * math.sqrt(n), n / 3)))

@@ -117,3 +117,20 @@ def build_processor(spec: Mapping[str, Any]) -> Callable[[DataFrame, str, str],
         raise KeyError(f"unknown processor {spec['class']!r}; known: {', '.join(sorted(PROCESSORS))}")
     f = PROCESSORS[spec["class"]]
     return lambda df, col, out: f(df, col, out, **kwargs)
+
+
+def fit_robust(train: DataFrame, cols: list[str], *, accuracy: int | None = None) -> DataFrame:
+    """One row of a training window: for each column its median and 1.4826022 * median absolute deviation, as
+    <col>_median and <col>_scale. Exact, or with ``accuracy`` by percentile_approx, for windows of too many distinct values for one task."""
+    half = (lambda c: F.percentile_approx(c, 0.5, accuracy)) if accuracy else (lambda c: F.percentile(c, 0.5))
+    middle = F.broadcast(train.agg(*[half(F.col(c)).alias(f"_m_{c}") for c in cols]))  # one row
+    spread = train.select(*cols).crossJoin(middle)
+    return spread.agg(*[x for c in cols for x in (F.first(f"_m_{c}").alias(f"{c}_median"), (1.4826022 * half(F.abs(F.col(c) - F.col(f"_m_{c}")))).alias(f"{c}_scale"))])
+
+
+def apply_robust(df: DataFrame, fitted: DataFrame, cols: list[str], *, limit: float = 3.0, fill: float | None = None) -> DataFrame:
+    """The columns by what fit_robust found on the training window, clipped to +-limit; missing values, and all where the scale
+    is 0, become fill."""
+    out = df.crossJoin(F.broadcast(fitted))  # one row
+    z = lambda c: clip((F.col(c) - F.col(f"{c}_median")) / F.nullif(F.col(f"{c}_scale"), F.lit(0.0)), limit)
+    return out.withColumns({c: z(c) if fill is None else F.coalesce(z(c), F.lit(fill)) for c in cols}).drop(*fitted.columns)

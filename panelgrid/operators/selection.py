@@ -88,3 +88,48 @@ def deflated_sharpe(trials: DataFrame, *, redundant: float = 0.95) -> DataFrame:
     spread = 1 - F.col("skew") * F.col("sharpe") + (F.col("kurt") - 1) / 4 * F.col("sharpe") * F.col("sharpe")
     one = one.withColumn("dsr", normal_cdf((F.col("sharpe") - F.col("sharpe_star")) * F.sqrt(F.col("n") - 1) / F.sqrt(F.when(spread > 0, spread))))
     return one.select("trial", "n", "sharpe", "k_eff", "sharpe_star", "dsr", (1 - F.col("dsr")).alias("p_dsr"))
+
+
+def monotonicity_studentized(buckets: DataFrame, q: int, *, replicates: int, block: int, seed: int, level: float = 0.05) -> DataFrame:
+    """One row: n, t_gap (least step between adjacent bucket means over the Newey-West standard error of that step),
+    p_mono (share of replicates, recentred and studentized by their own errors, that reach it), and each mean's interval as lo and hi.
+
+    buckets: (datetime, bucket, ret); dates without all of them are left out. The driver holds one mean for each date and
+    bucket, bounded by the calendar; replicates are dealt to tasks, each with a generator of its own.
+    """
+    import numpy as np
+
+    spark = buckets.sparkSession
+    days = buckets.groupBy("datetime").agg(*[F.max(F.when(F.col("bucket") == k, F.col("ret"))).alias(f"_{k}") for k in range(1, q + 1)]).dropna().orderBy("datetime")
+    x = np.array([r[1:] for r in days.collect()], float).reshape(-1, q)
+    n = len(x)
+    schema = "n bigint, t_gap double, p_mono double, lo array<double>, hi array<double>"
+    if n < 3:
+        return spark.createDataFrame([(n, None, None, None, None)], schema)
+    width, mean = min(int(4 * (n / 100) ** (2 / 9)), n - 1), x.mean(0)
+
+    def student(rows, centre):
+        steps = np.diff(rows, axis=1)
+        gaps = steps.mean(0) - np.diff(centre)
+        u = steps[:, gaps.argmin()]
+        u = u - u.mean()
+        v = sum((1 if k == 0 else 2) * (1 - k / (width + 1)) * float(u[k:] @ u[: n - k]) / n for k in range(width + 1))
+        return gaps.min() / np.sqrt(v / n) if v > 0 else np.nan
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            made = []
+            for i in b["id"]:
+                starts = np.random.default_rng([seed, int(i)]).integers(0, n, -(-n // block))
+                drawn = x[((starts[:, None] + np.arange(block)).ravel()[:n]) % n]
+                made.append((student(drawn, mean), drawn.mean(0).tolist()))
+            yield pd.DataFrame(made, columns=["t", "m"])
+
+    observed = float(student(x, np.zeros(q)))
+    each = spark.range(replicates).mapInPandas(run, "t double, m array<double>")
+    reached = F.avg(F.when(~F.isnan("t"), (F.col("t") >= observed).cast("double")))
+    ends = lambda p: F.array(*[F.percentile(F.get("m", F.lit(k)), p) for k in range(q)])
+    undefined = observed != observed
+    return each.agg(F.lit(n).cast("bigint").alias("n"), F.lit(None if undefined else observed).cast("double").alias("t_gap"), (F.lit(None).cast("double") if undefined else reached).alias("p_mono"), ends(level / 2).alias("lo"), ends(1 - level / 2).alias("hi"))

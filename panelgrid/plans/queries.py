@@ -676,6 +676,26 @@ def synthetic_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg("ic") - spec.copula_rank_ic) < 0.02).alias("near_truth"))
 
 
+_TRAIN = "tr AS (SELECT val FROM b WHERE val IS NOT NULL AND datetime < DATE '2024-01-15'), f0 AS (SELECT median(val) AS m FROM tr), f1 AS (SELECT any_value(m) AS m, 1.4826022 * median(abs(val - m)) AS s FROM tr, f0)"
+
+
+@_query(f"WITH {B_SQL}, {_TRAIN} SELECT datetime, instrument, round(CASE WHEN val IS NULL OR s = 0 OR s IS NULL THEN 0.0 ELSE greatest(-3.0, least(3.0, (val - m) / s)) END, 6) + 0.0 AS val FROM b, f1")
+def fitted_robust_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = user_day(spark, sf_dir)
+    fitted = normalize.fit_robust(panel.where("datetime < DATE '2024-01-15'"), ["val"])
+    return _rounded(normalize.apply_robust(panel, fitted, ["val"], fill=0.0).select("datetime", "instrument", "val"), "val")
+
+
+@_query()
+def block_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(inference.block_length(_ic(spark, sf_dir), col="ic"),)], "block double")
+
+
+@_query()
+def monotonicity_studentized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.monotonicity_studentized(_quantiles(spark, sf_dir), 5, replicates=200, block=5, seed=3)
+
+
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

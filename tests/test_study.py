@@ -96,3 +96,38 @@ def test_net_return_identity_and_capacity(spark):
     assert last.net == pytest.approx(0.1 - 0.5 * 0.001 - 0.5 * 0.002) and got[DAY].net == pytest.approx(0.1 - 0.001)
     curve = portfolio.capacity_curve(grid.withColumns({"label": F.col("label") * (F.col("pos") + 1), "sigma": F.lit(0.02), "adv": F.lit(100.0)}), [1e2, 1e9], eta=1.0).orderBy("amount").collect()
     assert [r.amount for r in curve] == [0, 1e2, 1e9] and curve[-1].ir < curve[0].ir
+
+
+def test_block_length(spark):
+    from panelgrid.operators import inference
+
+    r = np.random.default_rng(4)
+    e = r.normal(size=400)
+    x = [float(e[0])]
+    for v in e[1:]:
+        x.append(0.7 * x[-1] + float(v))
+    frame = lambda v: spark.createDataFrame([(i, float(y)) for i, y in enumerate(v)], "datetime int, ic double")
+    white, kept = inference.block_length(frame(e), col="ic"), inference.block_length(frame(x), col="ic")
+    assert 1 <= white < kept < 60 and inference.block_length(frame([1.0] * 9), col="ic") == 1.0 and inference.block_length(frame([]), col="ic") == 1.0
+
+
+def test_studentized_monotonicity(spark):
+    from panelgrid.operators import selection
+
+    r = np.random.default_rng(6)
+    rise = [(d, k, float(0.3 * k + r.normal())) for d in range(200) for k in range(1, 5)]
+    flat = [(d, k, float(r.normal())) for d in range(200) for k in range(1, 5)]
+    schema = "datetime int, bucket int, ret double"
+    test = lambda rows: selection.monotonicity_studentized(spark.createDataFrame(rows, schema), 4, replicates=300, block=4, seed=1).first()
+    up, no = test(rise), test(flat)
+    assert up.n == 200 and up.t_gap > 1 and up.p_mono < 0.05 < no.p_mono
+    assert all(lo < hi for lo, hi in zip(up.lo, up.hi, strict=True)) and test([]).t_gap is None
+
+
+def test_fitted_robust(spark):
+    from panelgrid.operators import normalize
+
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4, 100)] + [(None,)], "x double")
+    got = sorted(r.x for r in normalize.apply_robust(df, normalize.fit_robust(df, ["x"]), ["x"], fill=0.0).collect())
+    assert got[-1] == 3.0 and got[0] == pytest.approx(-2 / 1.4826022) and got.count(0.0) == 2
+    assert all(r.x is None for r in normalize.apply_robust(df, normalize.fit_robust(df.limit(0), ["x"]), ["x"]).collect())
