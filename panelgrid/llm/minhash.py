@@ -11,7 +11,10 @@ a prefix of at least LEAST_DEPTH values form a region. Within a region
    allow a link are compared if the region is small; crowded regions are taken deeper, each as far as it takes for its parts to be
    small;
 3. parts that are still large at the greatest depth are compared with a batch of nodes after the
-   other, until no two nodes of different components are uncompared.
+   other, until no two nodes of different components are uncompared;
+4. what is left at the edge of a crowd, nodes of a crowded region outside one of its large
+   components, is compared on full sets with all of that component and with the others at its edge,
+   block by block, so a crowd's edge doesn't depend on the depth to which it was taken.
 
 So no bucket is capped and no group emits all its pairs. A comparison is exact, on full sets of
 64-bit shingle hashes: 100 * intersection >= 75 * union.
@@ -44,6 +47,10 @@ SMALL = 64
 LEAST_AGREED = 36
 #: Nodes of a large part that are compared with all of it at a time.
 BATCH = 16
+#: A component with more nodes in a region than this is large there.
+LARGE_SHARE = 16
+#: Shingles on each side of a block in which sets are compared.
+BLOCK_SHINGLES = 500_000
 CACHE_WORDS = 200_000
 
 
@@ -210,6 +217,58 @@ def _rest(regions: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFram
     return links
 
 
+def _linked_in_block(block):  # noqa: ANN001, ANN202
+    """Links (a, b) of a block's edge nodes, one for each component that a node has links to there."""
+    import pyarrow as pa
+
+    edge = block.column("edge").to_numpy(zero_copy_only=False)
+    node, component = (block.column(c).to_numpy() for c in ("node", "component"))
+    lists = block.column("shingles").combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    size = np.diff(ends)
+    inner = np.flatnonzero(~edge)
+    if len(inner):
+        starts = np.concatenate([[0], np.cumsum(size[inner])[:-1]])
+        values = np.concatenate([flat[ends[i] : ends[i + 1]] for i in inner])
+    out_a, out_b = [], []
+    for i in np.flatnonzero(edge) if len(inner) else ():
+        own = np.sort(flat[ends[i] : ends[i + 1]])
+        at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+        common = np.add.reduceat((own[at] == values).astype(np.int64), starts)
+        hit = inner[(100 * common >= LEAST_PERCENT * (size[i] + size[inner] - common)) & (component[inner] != component[i])]
+        for j in hit[np.unique(component[hit], return_index=True)[1]]:
+            out_a.append(max(node[i], node[j]))
+            out_b.append(min(node[i], node[j]))
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+
+
+def _edges(regions: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+    """Links between nodes of crowded regions and the large components that they lie outside of (step 4)."""
+    spark = regions.sparkSession
+    parts = shuffle_partitions(spark)
+    classes = settled(components(links))
+    crowded = settled(_mixed(_with_component(regions.select("key", "node"), classes)).where(F.col("size") > SMALL))
+    shares = crowded.groupBy("key", "component").agg(F.count(F.lit(1)).alias("share")).where(F.col("share") > LARGE_SHARE)
+    known = nodes.select("node", "n")
+    sizes = _with_component(known, classes).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+    large = crowded.join(shares.select("key", F.col("component").alias("large")).repartition(parts), "key").where("component <> large").select("node", "component", "large").distinct()
+    # of two components the smaller one's nodes are at the larger one's edge
+    edge = large.join(sizes.repartition(parts), "component").join(sizes.select(F.col("component").alias("large"), F.col("nodes").alias("of")).repartition(parts), "large")
+    edge = settled(edge.where("nodes < of or (nodes = of and component > large)").select("large", "node", "component").join(known, "node"))
+    if not edge.limit(1).count():
+        return links
+    inner = classes.join(edge.select(F.col("large").alias("component")).distinct(), "component").join(known, "node").withColumn("large", F.col("component"))
+    inner = inner.select("large", "node", "component", "n").unionByName(edge)
+    blocks = lambda rows, k: rows.groupBy("large").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias(k))
+    counts = settled(blocks(inner, "n_inner").join(blocks(edge, "n_edge"), "large")).repartition(parts)
+    own = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    dealt = inner.join(counts, "large").select("large", "node", "component", F.lit(False).alias("edge"), own("n_inner").alias("i"), each("n_edge").alias("e"))
+    dealt = dealt.unionByName(edge.join(counts, "large").select("large", "node", "component", F.lit(True).alias("edge"), each("n_inner").alias("i"), own("n_edge").alias("e")))
+    found = dealt.join(sets, "node").groupBy("large", "i", "e").applyInArrow(_linked_in_block, "a bigint, b bigint")
+    return links.unionByName(settled(found.distinct()))
+
+
 def near_dups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id_col, n_shingles, component_id (least id reachable by links), kept."""
     parts = shuffle_partitions(df.sparkSession)
@@ -231,7 +290,8 @@ def near_dups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     stars = stars.select(F.col("first").alias("a"), "node").distinct()
     stars = _with_component(_with_component(stars, classes).select(F.col("a").alias("node"), F.col("node").alias("b"), F.col("component").alias("c")), classes)
     stars = stars.where("component <> c").select(F.col("node").alias("a"), "b")
-    links = _rest(regions.select("key", "tree", "node"), nodes, sets, links.unionByName(settled(_confirmed(stars, sets))))
+    regions = regions.select("key", "tree", "node")
+    links = _edges(regions, nodes, sets, _rest(regions, nodes, sets, links.unionByName(settled(_confirmed(stars, sets)))))
     classes = components(links)
     named = _with_component(nodes.select("node", "digest", "least_id"), classes)
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
