@@ -139,3 +139,20 @@ def test_language_model(spark):
         z = h @ net.outer + net.bias
         plain += z[t] - np.log(np.exp(z).sum())
     assert got[0].log_likelihood == pytest.approx(plain, rel=1e-3) and got[0].n_tokens == len(own) and got[99].log_likelihood == 0
+
+
+def test_edges_of_a_crowd(spark, monkeypatch):
+    """Step 4 alone finds what links a node with a large component, with blocks of a few sets."""
+    monkeypatch.setattr(minhash, "SMALL", 8)
+    monkeypatch.setattr(minhash, "LARGE_SHARE", 4)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 60)
+    # 0-19: a crowd; 20 links with it; 21 links with 20 only; 22 is in the region and links with none
+    crowd, linked, next_, apart = range(100), range(10, 110), range(20, 120), range(50, 150)
+    sets = [(i, list(crowd)) for i in range(20)] + [(20, list(linked)), (21, list(next_)), (22, list(apart))]
+    sets = spark.createDataFrame(sets, "node bigint, shingles array<bigint>")
+    nodes = sets.selectExpr("node", "cast(size(shingles) as bigint) AS n")
+    regions = nodes.selectExpr("1L AS key", "0 AS tree", "node")
+    links = spark.createDataFrame([(i, 0) for i in range(1, 20)], "a bigint, b bigint")
+    got = minhash._edges(regions, nodes, sets, links)
+    named = {r.node: r.component for r in minhash.components(got).collect()}
+    assert named == dict.fromkeys(range(22), 0)
