@@ -554,6 +554,24 @@ def volatility_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(risk.volatility_target(held, risk.ledoit_wolf(few, "val"), 10.0), "weight")
 
 
+# the same three of every user; their pairs are too many for a quick SQL, so tests compare them with NumPy
+@_query()
+def covariance_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.covariance(user_day(spark, sf_dir), "val", min_obs=5).withColumn("cov", F.round("cov", 4) + F.lit(0.0))
+
+
+@_query()
+def ledoit_wolf_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(risk.ledoit_wolf(user_day(spark, sf_dir), "val"), "delta").withColumn("cov", F.round("cov", 4) + F.lit(0.0))
+
+
+@_query()
+def volatility_target_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = user_day(spark, sf_dir)
+    held = panel.where("val is not null").select("datetime", "instrument", (1.0 / F.count(F.lit(1)).over(Window.partitionBy("datetime"))).alias("weight"))
+    return _rounded(risk.volatility_target(held, risk.ledoit_wolf(panel, "val"), 10.0), "weight")
+
+
 _CSCV = f"""
 {_BUCKETS}, tr AS (SELECT datetime, bucket, ret FROM bk WHERE ret IS NOT NULL),
 gd AS (SELECT datetime, (row_number() OVER (ORDER BY datetime) - 1) * 8 // count(*) OVER () AS g FROM (SELECT DISTINCT datetime FROM tr)),
