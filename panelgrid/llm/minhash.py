@@ -14,7 +14,8 @@ a prefix of at least LEAST_DEPTH values form a region. Within a region
    other, until no two nodes of different components are uncompared;
 4. what is left at the edge of a crowd, nodes of a crowded region outside one of its large
    components, is compared on full sets with all of that component and with the others at its edge,
-   block by block, so a crowd's edge doesn't depend on the depth to which it was taken.
+   block by block, so a crowd's edge doesn't depend on the depth to which it was taken; in a crowded
+   region without a large component all nodes of different components are compared so.
 
 So no bucket is capped and no group emits all its pairs. A comparison is exact, on full sets of
 64-bit shingle hashes: 100 * intersection >= 75 * union.
@@ -217,24 +218,29 @@ def _rest(regions: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFram
     return links
 
 
+#: What a node is in a block: a member that edge nodes are compared with, an edge node, or both.
+INNER, EDGE, BOTH = 0, 1, 2
+
+
 def _linked_in_block(block):  # noqa: ANN001, ANN202
     """Links (a, b) of a block's edge nodes, one for each component that a node has links to there."""
     import pyarrow as pa
 
-    edge = block.column("edge").to_numpy(zero_copy_only=False)
-    node, component = (block.column(c).to_numpy() for c in ("node", "component"))
+    role, node, component = (block.column(c).to_numpy() for c in ("role", "node", "component"))
     lists = block.column("shingles").combine_chunks()
     ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     size = np.diff(ends)
-    inner = np.flatnonzero(~edge)
+    inner = np.flatnonzero(role != EDGE)
     if len(inner):
-        starts = np.concatenate([[0], np.cumsum(size[inner])[:-1]])
         values = np.concatenate([flat[ends[i] : ends[i + 1]] for i in inner])
+        order = np.argsort(values)
+        values, owner = values[order], np.repeat(np.arange(len(inner)), size[inner])[order]
     out_a, out_b = [], []
-    for i in np.flatnonzero(edge) if len(inner) else ():
+    for i in np.flatnonzero(role != INNER) if len(inner) else ():
         own = np.sort(flat[ends[i] : ends[i + 1]])
-        at = np.minimum(np.searchsorted(own, values), len(own) - 1)
-        common = np.add.reduceat((own[at] == values).astype(np.int64), starts)
+        low = np.searchsorted(values, own)
+        n = np.searchsorted(values, own, "right") - low
+        common = np.bincount(owner[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)], minlength=len(inner))
         hit = inner[(100 * common >= LEAST_PERCENT * (size[i] + size[inner] - common)) & (component[inner] != component[i])]
         for j in hit[np.unique(component[hit], return_index=True)[1]]:
             out_a.append(max(node[i], node[j]))
@@ -242,8 +248,23 @@ def _linked_in_block(block):  # noqa: ANN001, ANN202
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
+def _level(crowded: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between nodes of different components of the same key, of rows (key, node, component)."""
+    parts = shuffle_partitions(crowded.sparkSession)
+    # of regions with the same nodes one is enough
+    same = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    once = same.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
+    rows = settled(crowded.select("key", "node", "component").join(once.repartition(parts), "key").join(known, "node"))
+    counts = rows.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = rows.join(counts.repartition(parts), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    role = F.when(F.col("own") == F.col("other"), BOTH).when(F.col("own") < F.col("other"), INNER).otherwise(EDGE)
+    dealt = dealt.select("key", "node", "component", role.alias("role"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("e"))
+    return settled(dealt.join(sets, "node").groupBy("key", "i", "e").applyInArrow(_linked_in_block, "a bigint, b bigint").distinct())
+
+
 def _edges(regions: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between nodes of crowded regions and the large components that they lie outside of (step 4)."""
+    """Links between nodes of different components of crowded regions (step 4)."""
     spark = regions.sparkSession
     parts = shuffle_partitions(spark)
     classes = settled(components(links))
@@ -251,10 +272,13 @@ def _edges(regions: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFra
     shares = crowded.groupBy("key", "component").agg(F.count(F.lit(1)).alias("share")).where(F.col("share") > LARGE_SHARE)
     known = nodes.select("node", "n")
     sizes = _with_component(known, classes).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
-    large = crowded.join(shares.select("key", F.col("component").alias("large")).repartition(parts), "key").where("component <> large").select("node", "component", "large").distinct()
-    # of two components the smaller one's nodes are at the larger one's edge
+    own_large = shares.select("key", "component", F.lit(True).alias("own_large"))
+    ranked = crowded.join(own_large.repartition(parts), ["key", "component"], "left")
+    large = ranked.join(shares.select("key", F.col("component").alias("large")).repartition(parts), "key").where("component <> large").select("node", "component", "large", F.col("own_large").isNotNull().alias("mutual")).distinct()
+    # of two components that are large in a region the smaller one's nodes are at the larger one's edge
     edge = large.join(sizes.repartition(parts), "component").join(sizes.select(F.col("component").alias("large"), F.col("nodes").alias("of")).repartition(parts), "large")
-    edge = settled(edge.where("nodes < of or (nodes = of and component > large)").select("large", "node", "component").join(known, "node"))
+    edge = settled(edge.where("not mutual or nodes < of or (nodes = of and component > large)").select("large", "node", "component").distinct().join(known, "node"))
+    links = links.unionByName(_level(crowded.join(shares.select("key").distinct().repartition(parts), "key", "left_anti"), known, sets))
     if not edge.limit(1).count():
         return links
     inner = classes.join(edge.select(F.col("large").alias("component")).distinct(), "component").join(known, "node").withColumn("large", F.col("component"))
@@ -263,8 +287,8 @@ def _edges(regions: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFra
     counts = settled(blocks(inner, "n_inner").join(blocks(edge, "n_edge"), "large")).repartition(parts)
     own = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    dealt = inner.join(counts, "large").select("large", "node", "component", F.lit(False).alias("edge"), own("n_inner").alias("i"), each("n_edge").alias("e"))
-    dealt = dealt.unionByName(edge.join(counts, "large").select("large", "node", "component", F.lit(True).alias("edge"), each("n_inner").alias("i"), own("n_edge").alias("e")))
+    dealt = inner.join(counts, "large").select("large", "node", "component", F.lit(INNER).alias("role"), own("n_inner").alias("i"), each("n_edge").alias("e"))
+    dealt = dealt.unionByName(edge.join(counts, "large").select("large", "node", "component", F.lit(EDGE).alias("role"), each("n_inner").alias("i"), own("n_edge").alias("e")))
     found = dealt.join(sets, "node").groupBy("large", "i", "e").applyInArrow(_linked_in_block, "a bigint, b bigint")
     return links.unionByName(settled(found.distinct()))
 

@@ -156,3 +156,29 @@ def test_edges_of_a_crowd(spark, monkeypatch):
     got = minhash._edges(regions, nodes, sets, links)
     named = {r.node: r.component for r in minhash.components(got).collect()}
     assert named == dict.fromkeys(range(22), 0)
+
+
+def crowded(spark, monkeypatch, sets, linked, region):
+    """The components of node -> set that step 4 finds in one region, with the links that it's given."""
+    monkeypatch.setattr(minhash, "SMALL", 8)
+    monkeypatch.setattr(minhash, "LARGE_SHARE", 4)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 250)
+    sets = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "node bigint, shingles array<bigint>")
+    nodes = sets.selectExpr("node", "cast(size(shingles) as bigint) AS n")
+    regions = nodes.where(nodes.node.isin(list(region))).selectExpr("1L AS key", "0 AS tree", "node")
+    got = minhash._edges(regions, nodes, sets, spark.createDataFrame(linked, "a bigint, b bigint"))
+    return {r.node: r.component for r in minhash.components(got).collect()}
+
+
+def test_edges_of_a_larger_component(spark, monkeypatch):
+    """A component that is small in the region but larger in all than the region's large one."""
+    sets = {i: range(100) for i in range(10)} | {i: range(300, 400) for i in range(10, 40)} | {40: range(10, 110)}
+    # 40 is in the larger component (10 to 40), with 4 nodes in the region, and links with the smaller one
+    linked = [(i, 0) for i in range(1, 10)] + [(i, 10) for i in range(11, 41)]
+    assert crowded(spark, monkeypatch, sets, linked, [*range(10), 10, 11, 12, 40]) == dict.fromkeys(range(41), 0)
+
+
+def test_crowds_of_small_components(spark, monkeypatch):
+    """A crowded region without a large component: 0, 1 and 2 link, the others are apart."""
+    sets = {0: range(100), 1: range(10, 110), 2: range(20, 120)} | {i: range(1000 * i, 1000 * i + 100) for i in range(3, 12)}
+    assert crowded(spark, monkeypatch, sets, [(4, 3)], range(12)) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
