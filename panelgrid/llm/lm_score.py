@@ -4,9 +4,9 @@ A network in NumPy predicts each token from the SIDE tokens before it and the SI
 masked; a document's score is the sum of the log-probabilities of all its tokens. Tokens are words
 (white-space separated, A-Z lower-cased): the most frequent of the whole corpus have a class each,
 the others share hashed classes. The vocabulary comes from the counts of all words of all documents.
-The weights are trained in rounds: each partition starts from the shared weights, passes over its
-own sample of documents (one in SAMPLE, by a hash of the text, so it grows with the input), and the
-partitions' weights are averaged by the tokens that they saw.
+The weights are trained on all documents, in rounds: each partition starts from the shared weights,
+passes over its own documents of the round (each is in one round, by its place in the partition),
+and the partitions' weights are averaged by the tokens that they saw.
 
 Null counts as empty text; texts without words have 0 tokens, the score 0 and no mean. Rows are
 scored one by one; an empty table gives an empty result.
@@ -21,9 +21,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 FREQUENT, HASHED, SIDE, WIDTH, HIDDEN = 96, 32, 2, 16, 16
 CLASSES, PAD = FREQUENT + HASHED, FREQUENT + HASHED
-SAMPLE, ROUNDS, RATE, STEP_TOKENS, SEED = 24, 2, 0.5, 512, 11
+SAMPLE, ROUNDS, RATE, STEP_TOKENS, SEED = 1, 2, 0.5, 512, 11
 #: Words counted or remembered at a time in a worker.
 HELD_WORDS = 200_000
 _BLOCK = 1024
@@ -108,19 +110,17 @@ class Network:
 
     def step(self, around: np.ndarray, tokens: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean negative log-probability."""
-        n = len(tokens)
-        by_place = np.einsum("vw,kwh->kvh", self.embed, self.inner)
-        h, z = self._forward(around, by_place)
-        p = np.exp(z)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), tokens] -= 1
-        p *= rate / n
+        n, rows = len(tokens), np.arange(len(tokens))
+        h, p = self._forward(around, self.embed @ self.inner)
+        np.exp(p, out=p)
+        p *= (rate / n / (p @ np.ones(CLASSES, np.float32)))[:, None]
+        p[rows, tokens] -= rate / n
         dh = (p @ self.outer.T) * (1 - h * h)
-        embed, rows = self.embed.copy(), np.arange(n)
+        embed, one_hot = self.embed.copy(), np.zeros((n, CLASSES + 1), np.float32)
         for k in range(2 * SIDE):
-            one_hot = np.zeros((n, CLASSES + 1), np.float32)
             one_hot[rows, around[:, k]] = 1
             by_class = one_hot.T @ dh
+            one_hot[rows, around[:, k]] = 0
             self.embed -= by_class @ self.inner[k].T
             self.inner[k] -= embed.T @ by_class
         self.shift -= dh.sum(0)
@@ -153,35 +153,44 @@ def word_counts(df: DataFrame, *, text_col: str = "text") -> DataFrame:
     return _texts(df, text_col).mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def fit(df: DataFrame, *, text_col: str = "text", sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray]:
-    """The frequent words and the weights."""
-    frequent = [bytes(r.word) for r in word_counts(df, text_col=text_col).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    texts = _texts(df, text_col)
-    chosen = texts.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
+def _class_counts(words: DataFrame, frequent: list[bytes]) -> np.ndarray:
+    """Words of each class, of (word, n) of all words."""
 
-    def class_counts(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         classes, counts = Classes(frequent), np.zeros(CLASSES, np.int64)
         for b in batches:
-            for t in b.column("text").to_pylist():
-                counts += np.bincount(np.array(classes.of(t), np.int64), minlength=CLASSES)
+            np.add.at(counts, [classes[w] for w in b.column("word").to_pylist()], b.column("n").to_numpy())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(counts)], names=["k", "n"])
 
     counts = np.zeros(CLASSES)
-    for r in chosen.mapInArrow(class_counts, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for r in words.mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect():
         counts[r.k] = r.n
+    return counts
+
+
+def fit(df: DataFrame, *, text_col: str = "text", sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray]:
+    """The frequent words and the weights."""
+    words = checkpointed(word_counts(df, text_col=text_col))
+    frequent = [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    texts = _texts(df, text_col)
+    chosen = texts if sample == 1 else texts.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
+    counts = _class_counts(words, frequent)
     net = Network.initial(counts)
     for number in range(rounds):
         start, rate = net.flat.copy(), RATE / (1 + number)
 
-        def train(batches: Iterator, start: np.ndarray = start, rate: float = rate) -> Iterator:
+        def train(batches: Iterator, start: np.ndarray = start, rate: float = rate, number: int = number) -> Iterator:
             import pyarrow as pa
 
             classes, net, seen = Classes(frequent), Network(start), 0
-            around, tokens, n = [], [], 0
+            around, tokens, n, place = [], [], 0, 0
             for b in batches:
                 for t in b.column("text").to_pylist():
+                    place += 1
+                    if place % rounds != (number + 1) % rounds:
+                        continue
                     own = np.array(classes.of(t), np.int64)
                     if not len(own):
                         continue

@@ -182,3 +182,14 @@ def test_crowds_of_small_components(spark, monkeypatch):
     """A crowded region without a large component: 0, 1 and 2 link, the others are apart."""
     sets = {0: range(100), 1: range(10, 110), 2: range(20, 120)} | {i: range(1000 * i, 1000 * i + 100) for i in range(3, 12)}
     assert crowded(spark, monkeypatch, sets, [(4, 3)], range(12)) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+
+
+def test_language_model_learns_from_every_document(spark):
+    """Any few texts train the weights, and all words count."""
+    # one text at a time, so that no choice by the text's hash can find them all
+    for text in ("a b c d " * 30, "e f g h " * 30, "i j k l " * 30):
+        frequent, flat = lm_score.fit(spark.createDataFrame([(1, text)], "doc_id bigint, text string"))[:2]
+        net = lm_score.Network(flat)
+        own = np.array(lm_score.Classes(frequent).of(text))
+        start = lm_score.Network.initial(np.bincount(own, minlength=lm_score.CLASSES))
+        assert net.bias[own].min() > np.log(0.1) and not np.allclose(net.outer, start.outer)
