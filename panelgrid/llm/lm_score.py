@@ -3,7 +3,10 @@
 A network in NumPy predicts each token from the SIDE tokens before it and the SIDE after it, itself
 masked; a document's score is the sum of the log-probabilities of all its tokens. Tokens are words
 (white-space separated, A-Z lower-cased): the most frequent of the whole corpus have a class each,
-the others share hashed classes. The vocabulary comes from the counts of all words of all documents.
+the others share hashed classes, within which a word has its share of the words of the whole corpus:
+log P(word) = log P(class | context) + log P(word | class), and a word that the corpus hasn't counts
+as one more. Words of at least KNOWN_SHARE of the corpus are broadcast with their counts, rarer ones
+joined. The vocabulary comes from the counts of all words of all documents, and grows with them.
 The weights are trained on all documents, in rounds: each partition starts from the shared weights,
 passes over its own documents of the round (each is in one round, by its place in the partition),
 and the partitions' weights are averaged by the tokens that they saw.
@@ -14,6 +17,7 @@ scored one by one; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,11 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, shuffle_partitions
 
 FREQUENT, HASHED, SIDE, WIDTH, HIDDEN = 96, 32, 2, 16, 16
 CLASSES, PAD = FREQUENT + HASHED, FREQUENT + HASHED
 SAMPLE, ROUNDS, RATE, STEP_TOKENS, SEED = 1, 2, 0.5, 512, 11
+#: Words of this share of the corpus are at most its inverse in number.
+KNOWN_SHARE = 1e-6
 #: Words counted or remembered at a time in a worker.
 HELD_WORDS = 200_000
 _BLOCK = 1024
@@ -170,8 +176,33 @@ def _class_counts(words: DataFrame, frequent: list[bytes]) -> np.ndarray:
     return counts
 
 
-def fit(df: DataFrame, *, text_col: str = "text", sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray]:
-    """The frequent words and the weights."""
+class Words:
+    """Counts of all words: those that workers hold, and the table of all (word, n)."""
+
+    def __init__(self, table: DataFrame, class_counts: np.ndarray):
+        self.table, self.class_counts = table, class_counts
+        #: The least count of the words held.
+        self.least = max(1, math.ceil(class_counts.sum() * KNOWN_SHARE))
+        held = table.where(F.col("n") >= self.least).toArrow()
+        self.held, self.counts = held.column("word").to_pylist(), held.column("n").to_numpy()
+
+    def rarer(self) -> DataFrame:
+        """(hash, log_n) of words that aren't held and occur twice at least (the logarithm of one is 0)."""
+        return self.table.where((F.col("n") < self.least) & (F.col("n") > 1)).select(F.xxhash64("word").alias("hash"), F.log("n").alias("log_n"))
+
+
+class Shares(dict):
+    """Word -> log P(word | class) of held words; of others the class' part, to which the join adds log n."""
+
+    def __init__(self, frequent: list[bytes], held: list[bytes], counts: np.ndarray, class_counts: np.ndarray):
+        self.classes, self.rest = Classes(frequent), (-np.log(class_counts + 1)).tolist()
+        for w, n in zip(held, counts.tolist(), strict=True):
+            k = self.classes[w]
+            self[w] = 0.0 if k < FREQUENT else math.log(n) + self.rest[k]
+
+
+def fit(df: DataFrame, *, text_col: str = "text", sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray, Words]:
+    """The frequent words, the weights and the counts of all words."""
     words = checkpointed(word_counts(df, text_col=text_col))
     frequent = [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
     texts = _texts(df, text_col)
@@ -210,7 +241,7 @@ def fit(df: DataFrame, *, text_col: str = "text", sample: int = SAMPLE, rounds:
         sums = {r.k: r.value for r in chosen.mapInArrow(train, "k bigint, value double").groupBy("k").agg(F.sum("value").alias("value")).collect()}
         if sums:
             net = Network(np.array([sums[k] for k in range(Network.SIZE)]) / sums[Network.SIZE])
-    return frequent, net.flat
+    return frequent, net.flat, Words(words, counts)
 
 
 def _epoch(net: Network, around: list[np.ndarray], tokens: list[np.ndarray], rate: float) -> int:
@@ -222,25 +253,43 @@ def _epoch(net: Network, around: list[np.ndarray], tokens: list[np.ndarray], rat
     return len(tokens)
 
 
-def score(df: DataFrame, model: tuple[list[bytes], np.ndarray], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, model: tuple[list[bytes], np.ndarray, Words], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns per row id_col, n_tokens, log_likelihood, mean_log_likelihood."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    frequent, flat = model
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    frequent, flat, words = model
+    held = df.sparkSession.sparkContext.broadcast((words.held, words.counts, words.class_counts))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import xxhash
 
-        classes, net = Classes(frequent), Network(flat)
+        shares, net = Shares(frequent, *held.value), Network(flat)
+        classes = shares.classes
         for b in batches:
             texts = b.column("text").to_pylist()
             for i in range(0, len(texts), 256):
-                tokens = [np.array(classes.of(t), np.int64) for t in texts[i : i + 256]]
+                said = [(t or "").encode().lower().split() for t in texts[i : i + 256]]
+                tokens = [np.array([classes[w] for w in ws], np.int64) for ws in said]
                 sizes = np.array([len(x) for x in tokens])
                 whole = np.concatenate(tokens)
                 around = np.concatenate([Network.contexts(x) for x in tokens])
-                ends = np.concatenate([[0], np.cumsum(net.log_probabilities(around, whole))])[np.concatenate([[0], np.cumsum(sizes)])]
-                total = np.diff(ends)
-                mean = [None if not n else s / n for s, n in zip(total.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, 256), pa.array(sizes, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names=["id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_tokens bigint, log_likelihood double, mean_log_likelihood double").withColumnRenamed("id", id_col)
+                logs = np.array([shares.get(w) for ws in said for w in ws], np.float64)  # NaN where not held
+                at = np.flatnonzero(np.isnan(logs))
+                logs[at] = np.array(shares.rest)[whole[at]]
+                bounds = np.concatenate([[0], np.cumsum(sizes)])
+                ends = np.concatenate([[0], np.cumsum(net.log_probabilities(around, whole) + logs)])[bounds]
+                every = [w for ws in said for w in ws] if len(at) else []
+                hashes = pa.array(np.array([xxhash.xxh64_intdigest(every[j], 42) for j in at], np.uint64).view(np.int64))  # F.xxhash64
+                rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, bounds).astype(np.int32)), hashes)
+                yield pa.RecordBatch.from_arrays([b.column("row").slice(i, 256), b.column("id").slice(i, 256), pa.array(sizes, pa.int64()), pa.array(np.diff(ends), pa.float64()), rare], names=["row", "id", "n_tokens", "known", "rare"])
+
+    out = rows.mapInArrow(run, f"row bigint, id {rows.schema['id'].dataType.simpleString()}, n_tokens bigint, known double, rare array<bigint>")
+    total = F.col("known")
+    if words.least > 2:
+        out = checkpointed(out)
+        rarer = words.rarer().repartition(shuffle_partitions(df.sparkSession), "hash")
+        more = out.select("row", F.explode("rare").alias("hash")).join(rarer, "hash").groupBy("row").agg(F.sum("log_n").alias("more"))
+        out = out.drop("rare").join(more, "row", "left")
+        total = total + F.coalesce("more", F.lit(0.0))
+    out = out.select(F.col("id").alias(id_col), "n_tokens", total.alias("log_likelihood"))
+    return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -193,3 +193,25 @@ def test_language_model_learns_from_every_document(spark):
         own = np.array(lm_score.Classes(frequent).of(text))
         start = lm_score.Network.initial(np.bincount(own, minlength=lm_score.CLASSES))
         assert net.bias[own].min() > np.log(0.1) and not np.allclose(net.outer, start.outer)
+
+
+@pytest.mark.parametrize("share", [1e-6, 0.004])
+def test_language_model_tells_words_of_a_class_apart(spark, monkeypatch, share):
+    """A word's score has log P(word | class), of held words, joined ones and unseen ones."""
+    monkeypatch.setattr(lm_score, "KNOWN_SHARE", share)
+    top = " ".join(f"top{i} " * 9 for i in range(lm_score.FREQUENT))
+    texts = [top, "seldom " * 6, "rare rare", "once", " ".join(f"x{i}" for i in range(50))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = lm_score.fit(df)
+    asked = ["top1", "seldom", "rare", "once", "never", "seldom rare rare"]
+    got = {r.doc_id: r.log_likelihood for r in lm_score.score(spark.createDataFrame(list(enumerate(asked)), "doc_id bigint, text string"), model).collect()}
+    counts = {w: " ".join(texts).encode().split().count(w) for w in set(" ".join(texts).encode().split())}
+    classes, net = lm_score.Classes(model[0]), lm_score.Network(model[1])
+    of = {}
+    for w, n in counts.items():
+        of[classes[w]] = of.get(classes[w], 0) + n
+    for i, text in enumerate(asked):
+        own = np.array(classes.of(text), np.int64)
+        want = net.log_probabilities(lm_score.Network.contexts(own), own).sum()
+        want += sum(np.log(counts.get(w, 1) / (of.get(classes[w], 0) + 1)) for w in text.encode().split() if classes[w] >= lm_score.FREQUENT)
+        assert got[i] == pytest.approx(want, rel=1e-6)
