@@ -34,6 +34,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
+_AT = re.compile(r"\bat\b", re.IGNORECASE)
 
 #: Kinds beyond the base, with their generators.
 GENERATORS = {
@@ -84,11 +85,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """The generator's matches, sought from the places before each "at", which all of them have."""
+    generator, end = GENERATORS["email_spelled"], 0
+    for at in _AT.finditer(text):
+        for start in range(max(end, at.start() - 43), at.start() - 1):
+            if m := generator.match(text, start):
+                end = m.end()
+                yield m.span()
+                break
+
+
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Proposals beyond the base; they may overlap each other and the base."""
     out = []
-    if "dot" in text or "DOT" in text or "(at)" in text or "[at]" in text:
-        out += [("email_spelled", *m.span()) for m in GENERATORS["email_spelled"].finditer(text)]
+    out += [("email_spelled", *span) for span in _spelled(text)]
     if _DIGIT.search(text):
         for kind in ("phone_local", "secret", "ssn", "iban"):
             out += [(kind, *m.span()) for m in GENERATORS[kind].finditer(text) if kind != "secret" or _DIGIT.search(m.group())]

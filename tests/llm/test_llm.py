@@ -215,3 +215,13 @@ def test_language_model_tells_words_of_a_class_apart(spark, monkeypatch, share):
         want = net.log_probabilities(lm_score.Network.contexts(own), own).sum()
         want += sum(np.log(counts.get(w, 1) / (of.get(classes[w], 0) + 1)) for w in text.encode().split() if classes[w] >= lm_score.FREQUENT)
         assert got[i] == pytest.approx(want, rel=1e-6)
+
+
+def test_spelled_emails_are_proposed_in_any_case():
+    for text in ("jane (AT) example.com", "jane [ at ] example.org", "jane at example Dot com"):
+        assert [k for k, *_ in pii.candidates(text)] == ["email_spelled"]
+    r = np.random.default_rng(6)
+    parts = ["at", "AT", " ", " ", "(", ")", "[", "]", ".", "dot", "jane", "x", "a" * 45, "com", "-"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts, 25))
+        assert list(pii._spelled(text)) == [m.span() for m in pii.GENERATORS["email_spelled"].finditer(text)]
