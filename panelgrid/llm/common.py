@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,14 @@ def ascii_lower(c: Column) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share, spark.checkpoint.dir. Where it is unset a local
+    session (tests) gets a temporary one; on a cluster that is an error, for no machine's own folder will do."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelgrid-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="panelgrid-"))
     return sc.getCheckpointDir()
 
 
@@ -30,6 +35,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables of one call, written to the shared folder and deleted once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.made, self._paths = spark, 0, {}
+        self.folder = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.made}"
+        self.made += 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            if t is not None and id(t) in self._paths:
+                delete(self.spark, self._paths.pop(id(t))[1])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it is stored."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

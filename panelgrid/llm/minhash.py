@@ -2,27 +2,31 @@
 
 Words are what white space (ASCII) leaves after lower-casing A-Z; a document's set is that of its
 distinct shingles of five words (of fewer words: the whole sequence). Documents of equal sets are one
-node. Each of TREES orders sorts the nodes by a rotation of their signature; neighbours that share
-a prefix of at least LEAST_DEPTH values form a region. Within a region
-
-1. every node is compared with the least node of its largest region, which links most of a large
-   group, and then with the least nodes of its other regions that are of another component;
-2. where more than one component is left, nodes of different components whose signatures and sizes
-   allow a link are compared if the region is small; crowded regions are taken deeper, each as far as it takes for its parts to be
-   small;
-3. parts that are still large at the greatest depth are compared with a batch of nodes after the
-   other, until no two nodes of different components are uncompared;
-4. what is left at the edge of a crowd, nodes of a crowded region outside one of its large
-   components, is compared on full sets with all of that component and with the others at its edge,
-   block by block, so a crowd's edge doesn't depend on the depth to which it was taken; in a crowded
-   region without a large component all nodes of different components are compared so.
-
-So no bucket is capped and no group emits all its pairs. A comparison is exact, on full sets of
-64-bit shingle hashes: 100 * intersection >= 75 * union.
+node. Each of TREES orders sorts the nodes by a rotation of their signature, by ranges over all
+tasks, so that the nodes with the longest common prefixes are neighbours. Neighbours that share
+LEAST_DEPTH values form a region; a sweep along the order compares each node with the nearest nodes
+before it in its region. How deep a prefix the sweep's window has adapts to the region: a small
+region is swept whole, from a crowded one only the nodes with longer common prefixes.
+
+1. Rounds: each node proposes, in each order, its best neighbours of other components by the share of
+   their signatures that agrees. Proposals are confirmed on full sets (64-bit hashes of shingles,
+   100 * intersection >= 75 * union), components merge, and regions that have become one component
+   leave. A round without a new link is the last.
+2. Closing: what is left, regions of several components, is swept once more with the full sets in the
+   rows and a wider window; every likely pair of different components in the window is compared on
+   the spot and only links leave the task. This repeats while it finds links.
+
+Work and rows are thus in proportion to the nodes: no group emits its pairs, no bucket is capped to
+drop rows, and a region of any size is dealt over many tasks, with the ends of neighbouring tasks
+compared apart. What is left to chance: that a pair shares a region (0.9995 at 0.75, more above), that
+its signatures agree in LEAST_AGREED of 80 values (all but 10^-6 at 0.75), and, in regions with more
+nodes than CLOSING_WINDOW, that it lies within that window in one of the orders or is joined by other
+links; see the README for the recall measured.
 
 Null counts as empty text, without shingles, which links with nothing. Rows that repeat are linked as
-copies; rows of a null id are returned with a component of their own group's least id. An empty
-table gives an empty result.
+copies; rows of a null id are returned with a component of their own group's least id (null if all its
+ids are). Texts of any length are read whole. An empty table gives an empty result. Other columns, of
+any name, aren't read.
 """
 
 from __future__ import annotations
@@ -30,30 +34,32 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, settled, shuffle_partitions
+from .common import Scratch, shuffle_partitions
 from .components import components
 
 SHINGLE_WORDS = 5
 #: Link from this share of a union on, in hundredths.
 LEAST_PERCENT = 75
 #: TREES * LEAST_DEPTH values make a signature: a pair at 0.75 shares a region with probability 1 - (1 - 0.75^4)^20 = 0.9995.
-TREES, LEAST_DEPTH, MOST_DEPTH = 20, 4, 12
-#: Regions up to this size are compared whole.
-SMALL = 64
-#: A pair of different components is compared if so many values of its signatures agree.
-LEAST_AGREED = 36
-#: Nodes of a large part that are compared with all of it at a time.
-BATCH = 16
-#: A component with more nodes in a region than this is large there.
-LARGE_SHARE = 16
-#: Shingles on each side of a block in which sets are compared.
-BLOCK_SHINGLES = 500_000
+TREES, LEAST_DEPTH, SORTED_DEPTH = 20, 4, 12
+#: A pair is likely if so many values of its signatures agree.
+LEAST_AGREED = 40
+#: Nodes before it in its region that a node is compared with by signatures, in rounds and when closing.
+WINDOW, CLOSING_WINDOW = 64, 512
+#: Best neighbours that a node proposes: in each order in the first and in later rounds, and over all orders.
+FIRST_BEST, ORDER_BEST, NODE_BEST = 1, 4, 8
+#: Rows of an order in each task.
+ROWS_EACH = 20_000
 CACHE_WORDS = 200_000
 
+_PAIR = "a bigint, b bigint, agreed int"
+_ROW = "key bigint, node bigint, component bigint, n bigint, sketch binary"
+
 
 class Shingler:
     """Hashes the distinct shingles of a text; remembers the hashes of words."""
@@ -91,16 +97,17 @@ class Shingler:
         return np.unique(s ^ (s >> np.uint64(32)))
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
-        """For each order the least of the shingles' values, as int32."""
+        """For each order the least of the shingles' values, as uint32."""
         least = np.full(len(self.orders), 2**32 - 1, np.uint32)
         for i in range(0, len(shingles), 1024):
             part = (shingles[i : i + 1024, None] * self.orders) >> np.uint64(32)
             least = np.minimum(least, part.min(0).astype(np.uint32))
-        return least.view(np.int32)
+        return least
 
 
 def _signatures(rows: DataFrame) -> DataFrame:
-    """(id, n, digest, sig) of (id, text)."""
+    """(id, hash, n, digest, sig, sketch) of (id, hash, text): the signature as bytes that sort as its
+    values do, the sketch its values' low bytes."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -109,217 +116,254 @@ def _signatures(rows: DataFrame) -> DataFrame:
         shingler = Shingler()
         for b in batches:
             sets = [shingler(t) for t in b.column("text").to_pylist()]
-            sig = np.concatenate([shingler.signature(s) for s in sets]) if sets else np.zeros(0, np.int32)
-            width = TREES * LEAST_DEPTH
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * width), pa.array(sig))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists], names=["id", "n", "digest", "sig"])
+            sigs = [shingler.signature(s) for s in sets]
+            cols = [[len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [s.astype(">u4").tobytes() for s in sigs], [s.astype(np.uint8).tobytes() for s in sigs]]
+            made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("hash"), *made], names=["id", "hash", "n", "digest", "sig", "sketch"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n bigint, digest binary, sig array<int>")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, n bigint, digest binary, sig binary, sketch binary")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(node, shingles) of (node, digest, text), without rows of another text under the same id."""
+    """(node, shingles) of (node, text), once for each node."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        import xxhash
 
         shingler = Shingler()
         for b in batches:
             sets = [shingler(t) for t in b.column("text").to_pylist()]
-            same = [xxhash.xxh3_128_digest(s.tobytes()) == d for s, d in zip(sets, b.column("digest").to_pylist(), strict=True)]
-            sets = [s if ok else s[:0] for s, ok in zip(sets, same, strict=True)]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            out = pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "shingles"])
-            yield out.filter(pa.array(same, pa.bool_()))
-
-    return rows.mapInArrow(run, "node bigint, shingles array<bigint>")
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["node", "shingles"])
 
-
-def _key(depth: int) -> F.Column:
-    """Key of a tree's prefix: the tree's own values, then those of the trees after it."""
-    width = TREES * LEAST_DEPTH
-    return F.xxhash64("tree", *[F.element_at("sig", ((F.col("tree") * LEAST_DEPTH + i) % width + 1).cast("int")) for i in range(depth)])
+    # rows that repeat id and text give their node's set more than once
+    return rows.mapInArrow(run, "node bigint, shingles array<bigint>").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links."""
     side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s_{k}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    m, n = F.size("s_a"), F.size("s_b")
-    both = both.where(100 * F.least(m, n) >= LEAST_PERCENT * F.greatest(m, n)).select("a", "b", (m + n).alias("total"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
+    both = both.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("total"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
     return both.where(100 * F.col("common") >= LEAST_PERCENT * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def _with_component(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    return rows.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-
-
-def _mixed(rows: DataFrame) -> DataFrame:
-    """Rows (key, node, component, ...) of the keys that have more than one component, with their size."""
-    stats = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key", "size")
-    return rows.join(stats.repartition(shuffle_partitions(rows.sparkSession)), "key")
-
-
-def _likely() -> F.Column:
-    """Whether the sizes (exactly) and the signatures of a pair allow a link: one at 0.75 agrees in fewer
-    than LEAST_AGREED of the 80 values with a probability of 10^-9."""
-    agreed = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda same: same))
-    return (100 * F.least("n_a", "n_b") >= LEAST_PERCENT * F.greatest("n_a", "n_b")) & (agreed >= LEAST_AGREED)
-
-
-def _side(rows: DataFrame, k: str) -> DataFrame:
-    return rows.select("key", *[F.col(c).alias(a) for c, a in (("node", k), ("component", f"c_{k}"), ("n", f"n_{k}"), ("sig", f"sig_{k}"))])
-
-
-def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Likely pairs of different components within the keys of small regions."""
-    rows = rows.select("key", "node", "component").join(nodes.select("node", "n", "sig"), "node")
-    return _side(rows, "a").join(_side(rows, "b"), "key").where("a < b and c_a <> c_b").where(_likely()).select("a", "b").distinct()
-
-
-def _rest(regions: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between nodes of different components that share a region (steps 2 and 3)."""
-    spark = regions.sparkSession
-    classes = settled(components(links))
-    mixed = settled(_mixed(_with_component(regions, classes)))
-    if not mixed.limit(1).count():
-        return links
-    pairs = [_across(mixed.where(F.col("size") <= SMALL), nodes)]
-    large = mixed.where(F.col("size") > SMALL).select("tree", "node", "component").join(nodes.select("node", "sig"), "node")
-    keys = F.array(*[F.struct(F.lit(d).alias("depth"), _key(d).alias("key")) for d in range(LEAST_DEPTH + 1, MOST_DEPTH + 1)])
-    deeper = settled(large.select("tree", "node", "component", F.explode(keys).alias("k")).select("tree", "node", "component", "k.depth", "k.key"))
-    sized = deeper.join(deeper.groupBy("key").agg(F.count(F.lit(1)).alias("size")).repartition(shuffle_partitions(spark)), "key").where((F.col("size") <= SMALL) | (F.col("depth") == MOST_DEPTH))
-    # the least depth at which the node's part is small; parts within a part are alike, as sizes fall with depth
-    first = sized.groupBy("tree", "node").agg(F.min("depth").alias("depth"))
-    parts = settled(sized.join(first, ["tree", "node", "depth"]).where("size > 1"))
-    pairs.append(_across(parts.where(F.col("size") <= SMALL), nodes))
-    found = settled(_confirmed(pairs[0].unionByName(pairs[1]).distinct(), sets))
-    links = links.unionByName(found)
-
-    dense = parts.where(F.col("size") > SMALL).select("key", "node", F.lit(False).alias("compared"))
-    while dense.limit(1).count():
-        classes = settled(components(links))
-        state = settled(_mixed(_with_component(dense, classes)).drop("size"))
-        each = state.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        major = each.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m")).select("key", F.col("m.component").alias("major"))
-        state = state.join(major.repartition(shuffle_partitions(spark)), "key")
-        waiting = state.where("component <> major and not compared").select("key", "node", "component")
-        batch = settled(waiting.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("node"))).where(F.col("k") <= BATCH).drop("k"))
-        if not batch.limit(1).count():
+def _mixed(regions: DataFrame, classes: DataFrame | None) -> DataFrame:
+    """Rows (key, tree, node, component) of the regions that have more than one component."""
+    rows = regions.withColumn("component", F.col("node")) if classes is None else regions.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    stats = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
+    return rows.join(stats.repartition(shuffle_partitions(rows.sparkSession)), "key").select("key", "tree", "node", "component")
+
+
+def _likely_pairs(key: np.ndarray, component: np.ndarray, n: np.ndarray, sketch: np.ndarray, first: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i from `first` on and j before them, of one region and different components, whose sizes
+    (exactly) and signatures allow a link, and the number of values that agree."""
+    place = np.arange(len(key))
+    starts = np.flatnonzero(np.append([True], key[1:] != key[:-1])[: len(key)])
+    place -= np.repeat(starts, np.diff(np.append(starts, len(key))))
+    rows, out = np.arange(first, len(key)), []
+    for d in range(1, window + 1):
+        rows = rows[place[rows] >= d]
+        if not len(rows):
+            break
+        i = rows[component[rows] != component[rows - d]]
+        j = i - d
+        fit = 100 * np.minimum(n[i], n[j]) >= LEAST_PERCENT * np.maximum(n[i], n[j])
+        i, j = i[fit], j[fit]
+        agreed = (sketch[i] == sketch[j]).sum(1)
+        fit = agreed >= LEAST_AGREED
+        out.append((i[fit], j[fit], agreed[fit]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
+
+
+def _best_of(i: np.ndarray, j: np.ndarray, agreed: np.ndarray, best: int) -> np.ndarray:
+    """Which pairs are among the best of either row."""
+    keep = np.zeros(len(i), bool)
+    for side in (i, j):
+        order = np.lexsort((-agreed, side))
+        own = side[order]
+        keep[order[np.arange(len(own)) - np.searchsorted(own, own) < best]] = True
+    return keep
+
+
+class _Sweep:
+    """Pairs that a sweep along sorted rows yields: the best likely ones, or with sets the links."""
+
+    def __init__(self, window: int, best: int | None):
+        self.window, self.best = window, best
+
+    def pairs(self, rows, first: int):  # noqa: ANN001, ANN201
+        """Table (a, b, agreed) of an Arrow table of rows; a pair's later row is at `first` or after it."""
+        import pyarrow as pa
+
+        key, node, component, n = (rows.column(c).to_numpy() for c in ("key", "node", "component", "n"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
+        i, j, agreed = _likely_pairs(key, component, n, sketch, first, self.window)
+        if self.best is not None:
+            keep = _best_of(i, j, agreed, self.best)
+        else:
+            keep = self._linked(rows.column("shingles").combine_chunks(), component, i, j, agreed)
+        i, j, agreed = i[keep], j[keep], agreed[keep]
+        a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "agreed": pa.array(agreed, pa.int32())})
+
+    @staticmethod
+    def _linked(lists, component: np.ndarray, i: np.ndarray, j: np.ndarray, agreed: np.ndarray) -> np.ndarray:  # noqa: ANN001
+        """Which pairs are links, on full sets; components once linked here are not compared again."""
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                x = y
+            return x
+
+        keep = np.zeros(len(i), bool)
+        for k in np.argsort(-agreed, kind="stable"):
+            x, y = find(component[i[k]]), find(component[j[k]])
+            if x != y:
+                s, t = (flat[ends[r] : ends[r + 1]] for r in (i[k], j[k]))
+                common = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * common >= LEAST_PERCENT * (len(s) + len(t) - common):
+                    keep[k], up[max(x, y)] = True, min(x, y)
+        return keep
+
+    def run(self, batches: Iterator) -> Iterator:
+        """Pairs of the task's own rows, and its first and last rows for the tasks beside it."""
+        import pyarrow as pa
+
+        part, held, seen = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            rows = pa.table(b)
+            if seen < self.window:
+                yield from self._edge(rows.slice(0, self.window - seen), part, 1, seen)
+            seen += len(rows)
+            whole = rows if held is None else pa.concat_tables([held, rows])
+            yield from self._filled(self.pairs(whole, len(whole) - len(rows)))
+            held = whole.slice(max(0, len(whole) - self.window))
+        if held is not None:
+            yield from self._edge(held, part + 1, 0, 0)
+
+    def _edge(self, rows, edge: int, side: int, at: int) -> Iterator:  # noqa: ANN001
+        """Rows on one side of an edge between tasks: 0 before it, 1 after it."""
+        import pyarrow as pa
+
+        n = len(rows)
+        for name, values in (("edge", np.full(n, edge)), ("side", np.full(n, side)), ("at", np.arange(at, at + n))):
+            rows = rows.append_column(name, pa.array(values, pa.int64()))
+        return self._filled(rows)
+
+    def _filled(self, rows) -> Iterator:  # noqa: ANN001
+        """Batches with all columns of the output; nulls in those that rows doesn't have."""
+        import pyarrow as pa
+
+        types = {"a": pa.int64(), "b": pa.int64(), "agreed": pa.int32(), "key": pa.int64(), "node": pa.int64(), "component": pa.int64(), "n": pa.int64(), "sketch": pa.binary()}
+        types |= ({"shingles": pa.list_(pa.int64())} if self.best is None else {}) | {"edge": pa.int64(), "side": pa.int64(), "at": pa.int64()}
+        cols = [rows.column(c).cast(t) if c in rows.column_names else pa.nulls(len(rows), t) for c, t in types.items()]
+        return iter(pa.table(cols, names=list(types)).to_batches())
+
+    def at_edge(self, rows):  # noqa: ANN001, ANN201
+        """Pairs between the last rows of a task and the first ones of the next."""
+        rows = rows.sort_by([("side", "ascending"), ("at", "ascending")])
+        return self.pairs(rows, int((rows.column("side").to_numpy() == 0).sum()))
+
+
+def _swept(mixed: DataFrame, nodes: DataFrame, scratch: Scratch, *, window: int, best: int | None, sets: DataFrame | None = None) -> DataFrame:
+    """(a, b, agreed) of a sweep along all orders of rows (key, tree, node, component); written, to be dropped by the caller."""
+    width = 4 * LEAST_DEPTH
+    rows = mixed.join(nodes.select("node", "n", "sig", "sketch"), "node")
+    place = F.expr(f"substring(concat(sig, sig), tree * {width} + 1, {4 * SORTED_DEPTH})")
+    rows = rows.select("tree", place.alias("place"), "key", "node", "component", "n", "sketch")
+    parts = -(-mixed.count() // ROWS_EACH) or 1
+    own, schema = ["key", "node", "component", "n", "sketch"], f"{_PAIR}, {_ROW}"
+    if sets is not None:
+        rows, own, schema = rows.join(sets, "node"), [*own, "shingles"], f"{schema}, shingles array<bigint>"
+    sweep = _Sweep(window, best)
+    rows = rows.repartitionByRange(parts, "tree", "place", "node").sortWithinPartitions("tree", "place", "node").select(*own)
+    out = scratch.write(rows.mapInArrow(sweep.run, f"{schema}, edge bigint, side bigint, at bigint"))
+    beside = out.where("edge is not null").drop("a", "b", "agreed").groupBy("edge").applyInArrow(lambda rows: sweep.at_edge(rows), _PAIR)
+    pairs = scratch.write(out.where("edge is null").select("a", "b", "agreed").unionByName(beside).groupBy("a", "b").agg(F.max("agreed").alias("agreed")))
+    scratch.drop(out)
+    return pairs
+
+
+def _chosen(pairs: DataFrame, compared: DataFrame | None) -> DataFrame:
+    """The pairs not compared yet that are among the best NODE_BEST of either node."""
+    if compared is not None:
+        pairs = pairs.join(compared, ["a", "b"], "left_anti")
+    each = pairs.select("a", "b", "agreed", F.explode(F.array("a", "b")).alias("node"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agreed"), "a", "b"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= NODE_BEST).select("a", "b").distinct()
+
+
+def _classes(links: DataFrame, before: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """(node, component) of new links and the components before them."""
+    if before is not None:
+        links = links.select("a", "b").unionByName(before.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return scratch.write(components(links))
+
+
+def _forest(nodes: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(node, component) of the nodes that have links; None if none has."""
+    spark = nodes.sparkSession
+    places = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    places = places.select("tree", "node", F.xxhash64("tree", F.expr(f"substring(sig, tree * {4 * LEAST_DEPTH} + 1, {4 * LEAST_DEPTH})")).alias("key"))
+    shared = places.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    regions = scratch.write(places.join(shared.repartition(shuffle_partitions(spark)), "key"))
+    wanted = regions.select("node").distinct().join(nodes.select("node", "id", "hash"), "node")
+    texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & (rows["hash"] == wanted["hash"])).select("node", "text")
+    sets, compared, classes, held = scratch.write(_sets(texts)), None, None, []
+
+    def merged(links: DataFrame) -> None:
+        nonlocal classes
+        now = _classes(links, classes, scratch)
+        scratch.drop(classes)
+        classes = now
+
+    best = FIRST_BEST
+    while True:
+        mixed = scratch.write(_mixed(regions, classes))
+        pairs = _swept(mixed, nodes, scratch, window=WINDOW, best=best)
+        chosen = scratch.write(_chosen(pairs, compared))
+        links = scratch.write(_confirmed(chosen, sets))
+        scratch.drop(mixed, pairs)
+        held += [chosen]
+        if links.isEmpty():
+            scratch.drop(links)
+            break
+        merged(links)
+        scratch.drop(links)
+        compared, best = (chosen if compared is None else compared.unionByName(chosen)), ORDER_BEST
+    while True:
+        mixed = scratch.write(_mixed(regions, classes))
+        links = _swept(mixed, nodes, scratch, window=CLOSING_WINDOW, best=None, sets=sets)
+        scratch.drop(mixed)
+        if links.isEmpty():
+            scratch.drop(links)
             break
-        known = nodes.select("node", "n", "sig")
-        pairs = _side(state.join(known, "node"), "a").join(_side(batch.join(known, "node"), "b").repartition(shuffle_partitions(spark)), "key").where("c_a <> c_b").where(_likely())
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionByName(settled(_confirmed(pairs, sets)))
-        done = batch.select("key", "node", F.lit(True).alias("now"))
-        dense = settled(state.select("key", "node", "compared").join(done, ["key", "node"], "left").select("key", "node", (F.col("compared") | F.coalesce("now", F.lit(False))).alias("compared")))
-    return links
-
-
-#: What a node is in a block: a member that edge nodes are compared with, an edge node, or both.
-INNER, EDGE, BOTH = 0, 1, 2
-
-
-def _linked_in_block(block):  # noqa: ANN001, ANN202
-    """Links (a, b) of a block's edge nodes, one for each component that a node has links to there."""
-    import pyarrow as pa
-
-    role, node, component = (block.column(c).to_numpy() for c in ("role", "node", "component"))
-    lists = block.column("shingles").combine_chunks()
-    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-    size = np.diff(ends)
-    inner = np.flatnonzero(role != EDGE)
-    if len(inner):
-        values = np.concatenate([flat[ends[i] : ends[i + 1]] for i in inner])
-        order = np.argsort(values)
-        values, owner = values[order], np.repeat(np.arange(len(inner)), size[inner])[order]
-    out_a, out_b = [], []
-    for i in np.flatnonzero(role != INNER) if len(inner) else ():
-        own = np.sort(flat[ends[i] : ends[i + 1]])
-        low = np.searchsorted(values, own)
-        n = np.searchsorted(values, own, "right") - low
-        common = np.bincount(owner[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)], minlength=len(inner))
-        hit = inner[(100 * common >= LEAST_PERCENT * (size[i] + size[inner] - common)) & (component[inner] != component[i])]
-        for j in hit[np.unique(component[hit], return_index=True)[1]]:
-            out_a.append(max(node[i], node[j]))
-            out_b.append(min(node[i], node[j]))
-    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-
-def _level(crowded: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between nodes of different components of the same key, of rows (key, node, component)."""
-    parts = shuffle_partitions(crowded.sparkSession)
-    # of regions with the same nodes one is enough
-    same = crowded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
-    once = same.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key")
-    rows = settled(crowded.select("key", "node", "component").join(once.repartition(parts), "key").join(known, "node"))
-    counts = rows.groupBy("key").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = rows.join(counts.repartition(parts), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    role = F.when(F.col("own") == F.col("other"), BOTH).when(F.col("own") < F.col("other"), INNER).otherwise(EDGE)
-    dealt = dealt.select("key", "node", "component", role.alias("role"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("e"))
-    return settled(dealt.join(sets, "node").groupBy("key", "i", "e").applyInArrow(_linked_in_block, "a bigint, b bigint").distinct())
-
-
-def _edges(regions: DataFrame, nodes: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
-    """Links between nodes of different components of crowded regions (step 4)."""
-    spark = regions.sparkSession
-    parts = shuffle_partitions(spark)
-    classes = settled(components(links))
-    crowded = settled(_mixed(_with_component(regions.select("key", "node"), classes)).where(F.col("size") > SMALL))
-    shares = crowded.groupBy("key", "component").agg(F.count(F.lit(1)).alias("share")).where(F.col("share") > LARGE_SHARE)
-    known = nodes.select("node", "n")
-    sizes = _with_component(known, classes).groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
-    own_large = shares.select("key", "component", F.lit(True).alias("own_large"))
-    ranked = crowded.join(own_large.repartition(parts), ["key", "component"], "left")
-    large = ranked.join(shares.select("key", F.col("component").alias("large")).repartition(parts), "key").where("component <> large").select("node", "component", "large", F.col("own_large").isNotNull().alias("mutual")).distinct()
-    # of two components that are large in a region the smaller one's nodes are at the larger one's edge
-    edge = large.join(sizes.repartition(parts), "component").join(sizes.select(F.col("component").alias("large"), F.col("nodes").alias("of")).repartition(parts), "large")
-    edge = settled(edge.where("not mutual or nodes < of or (nodes = of and component > large)").select("large", "node", "component").distinct().join(known, "node"))
-    links = links.unionByName(_level(crowded.join(shares.select("key").distinct().repartition(parts), "key", "left_anti"), known, sets))
-    if not edge.limit(1).count():
-        return links
-    inner = classes.join(edge.select(F.col("large").alias("component")).distinct(), "component").join(known, "node").withColumn("large", F.col("component"))
-    inner = inner.select("large", "node", "component", "n").unionByName(edge)
-    blocks = lambda rows, k: rows.groupBy("large").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias(k))
-    counts = settled(blocks(inner, "n_inner").join(blocks(edge, "n_edge"), "large")).repartition(parts)
-    own = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    dealt = inner.join(counts, "large").select("large", "node", "component", F.lit(INNER).alias("role"), own("n_inner").alias("i"), each("n_edge").alias("e"))
-    dealt = dealt.unionByName(edge.join(counts, "large").select("large", "node", "component", F.lit(EDGE).alias("role"), each("n_inner").alias("i"), own("n_edge").alias("e")))
-    found = dealt.join(sets, "node").groupBy("large", "i", "e").applyInArrow(_linked_in_block, "a bigint, b bigint")
-    return links.unionByName(settled(found.distinct()))
+        merged(links)
+        scratch.drop(links)
+    scratch.drop(regions, sets, *held)
+    return classes
 
 
 def near_dups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id_col, n_shingles, component_id (least id reachable by links), kept."""
-    parts = shuffle_partitions(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    signed = checkpointed(_signatures(rows))
-    nodes = signed.where("n > 0").groupBy("digest").agg(F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
-
-    placed = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("tree", "node", _key(LEAST_DEPTH).alias("key"))
-    shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1")
-    regions = settled(placed.join(shared.repartition(parts), "key"))
-    wanted = nodes.select("node", "digest", F.col("least_id").alias("id")).join(regions.select("node").distinct(), "node")
-    sets = checkpointed(_sets(rows.join(wanted, rows["id"].eqNullSafe(wanted["id"])).select("node", "digest", "text")))
-
-    stars = regions.where("node <> first")
-    largest = stars.groupBy("node").agg(F.max(F.struct("n", "first")).alias("r")).select(F.col("r.first").alias("a"), F.col("node").alias("b"))
-    links = settled(_confirmed(largest, sets))
-    classes = settled(components(links))
-    stars = stars.select(F.col("first").alias("a"), "node").distinct()
-    stars = _with_component(_with_component(stars, classes).select(F.col("a").alias("node"), F.col("node").alias("b"), F.col("component").alias("c")), classes)
-    stars = stars.where("component <> c").select(F.col("node").alias("a"), "b")
-    regions = regions.select("key", "tree", "node")
-    links = _edges(regions, nodes, sets, _rest(regions, nodes, sets, links.unionByName(settled(_confirmed(stars, sets)))))
-    classes = components(links)
-    named = _with_component(nodes.select("node", "digest", "least_id"), classes)
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = named.join(least.repartition(parts), "component").select("digest", "component_id")
+    parts, scratch = shuffle_partitions(df.sparkSession), Scratch(df.sparkSession)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    signed = scratch.write(_signatures(rows))
+    nodes = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "hash")).alias("least"), F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    # numbered once and written, so that a task that runs again doesn't number them anew
+    nodes = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least_id", F.col("least.id").alias("id"), F.col("least.hash").alias("hash"), "n", "sig", "sketch"))
+    classes = _forest(nodes, rows, scratch)
+    named = nodes.select("node", "digest", "least_id")
+    if classes is not None:
+        named = named.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+        named = named.join(least.repartition(parts), "component").select("digest", "component_id")
+    else:
+        named = named.select("digest", F.col("least_id").alias("component_id"))
     out = signed.where("n > 0").select("id", "n", "digest").join(named.repartition(parts), "digest").select("id", "n", "component_id")
     out = out.unionByName(signed.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -327,5 +371,5 @@ def near_dups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, one of each component, with all their columns; rows of a null id stay."""
-    lost = near_dups(df, id_col=id_col, text_col=text_col).where("not kept").select(F.col(id_col).alias("lost_id")).where("lost_id is not null").distinct()
-    return df.join(lost, F.col(id_col) == F.col("lost_id"), "left_anti")
+    lost = near_dups(df, id_col=id_col, text_col=text_col).where("not kept").select(id_col).dropna().distinct()
+    return df.join(lost, id_col, "left_anti").select(*df.columns)

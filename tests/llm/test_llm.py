@@ -141,47 +141,77 @@ def test_language_model(spark):
     assert got[0].log_likelihood == pytest.approx(plain, rel=1e-3) and got[0].n_tokens == len(own) and got[99].log_likelihood == 0
 
 
-def test_edges_of_a_crowd(spark, monkeypatch):
-    """Step 4 alone finds what links a node with a large component, with blocks of a few sets."""
-    monkeypatch.setattr(minhash, "SMALL", 8)
-    monkeypatch.setattr(minhash, "LARGE_SHARE", 4)
-    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 60)
-    # 0-19: a crowd; 20 links with it; 21 links with 20 only; 22 is in the region and links with none
-    crowd, linked, next_, apart = range(100), range(10, 110), range(20, 120), range(50, 150)
-    sets = [(i, list(crowd)) for i in range(20)] + [(20, list(linked)), (21, list(next_)), (22, list(apart))]
-    sets = spark.createDataFrame(sets, "node bigint, shingles array<bigint>")
-    nodes = sets.selectExpr("node", "cast(size(shingles) as bigint) AS n")
-    regions = nodes.selectExpr("1L AS key", "0 AS tree", "node")
-    links = spark.createDataFrame([(i, 0) for i in range(1, 20)], "a bigint, b bigint")
-    got = minhash._edges(regions, nodes, sets, links)
-    named = {r.node: r.component for r in minhash.components(got).collect()}
-    assert named == dict.fromkeys(range(22), 0)
-
-
-def crowded(spark, monkeypatch, sets, linked, region):
-    """The components of node -> set that step 4 finds in one region, with the links that it's given."""
-    monkeypatch.setattr(minhash, "SMALL", 8)
-    monkeypatch.setattr(minhash, "LARGE_SHARE", 4)
-    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 250)
-    sets = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "node bigint, shingles array<bigint>")
-    nodes = sets.selectExpr("node", "cast(size(shingles) as bigint) AS n")
-    regions = nodes.where(nodes.node.isin(list(region))).selectExpr("1L AS key", "0 AS tree", "node")
-    got = minhash._edges(regions, nodes, sets, spark.createDataFrame(linked, "a bigint, b bigint"))
-    return {r.node: r.component for r in minhash.components(got).collect()}
-
-
-def test_edges_of_a_larger_component(spark, monkeypatch):
-    """A component that is small in the region but larger in all than the region's large one."""
-    sets = {i: range(100) for i in range(10)} | {i: range(300, 400) for i in range(10, 40)} | {40: range(10, 110)}
-    # 40 is in the larger component (10 to 40), with 4 nodes in the region, and links with the smaller one
-    linked = [(i, 0) for i in range(1, 10)] + [(i, 10) for i in range(11, 41)]
-    assert crowded(spark, monkeypatch, sets, linked, [*range(10), 10, 11, 12, 40]) == dict.fromkeys(range(41), 0)
-
-
-def test_crowds_of_small_components(spark, monkeypatch):
-    """A crowded region without a large component: 0, 1 and 2 link, the others are apart."""
-    sets = {0: range(100), 1: range(10, 110), 2: range(20, 120)} | {i: range(1000 * i, 1000 * i + 100) for i in range(3, 12)}
-    assert crowded(spark, monkeypatch, sets, [(4, 3)], range(12)) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+def brute_components(texts):
+    """id -> least id that it reaches, of id -> words, by the sets of five-word shingles."""
+    sets = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in texts.items()}
+    ids, up = sorted(sets), {i: i for i in sets}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[:k]:
+            n = len(sets[a] & sets[b])
+            if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+                x, y = find(a), find(b)
+                up[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def crowd(r, groups, size, shared, own, changed):
+    """Groups of near copies that all share a passage: id -> words."""
+    passage = [f"p{k}" for k in range(shared)]
+    texts = {}
+    for g in range(groups):
+        base = passage + [f"w{r.integers(10**7)}" for _ in range(own)]
+        for _ in range(size):
+            words = list(base)
+            for at in r.integers(shared, shared + own, changed):
+                words[at] = f"x{r.integers(10**7)}"
+            texts[len(texts)] = words
+    return texts
+
+
+@pytest.mark.parametrize("rows_each", [20_000, 500])
+def test_minhash_in_crowds_of_small_components(spark, monkeypatch, rows_each):
+    """700 texts share more than half of their words; pairs of them link. Also over many short tasks."""
+    monkeypatch.setattr(minhash, "ROWS_EACH", rows_each)
+    texts = crowd(np.random.default_rng(5), groups=350, size=2, shared=70, own=60, changed=1)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    got = {x.doc_id: x.component_id for x in minhash.near_dups(df).collect()}
+    want = brute_components(texts)
+    together = {i for i, c in want.items() if c != i}
+    assert len(together) > 300 and sum(got[i] == want[i] for i in together) >= 0.98 * len(together)
+    assert all(got[i] in (want[i], i) for i in got)
+
+
+def test_minhash_of_a_large_component_and_its_edge(spark):
+    """A chain of overlapping texts and a crowd that links loosely."""
+    r = np.random.default_rng(7)
+    words = [f"c{k}" for k in range(1500)]
+    texts = {k: words[10 * k : 10 * k + 120] for k in range(130)}
+    for i, t in crowd(r, groups=1, size=200, shared=40, own=80, changed=4).items():
+        texts[1000 + i] = t
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
+    assert {x.doc_id: x.component_id for x in minhash.near_dups(df).collect()} == brute_components(texts)
+
+
+def test_minhash_rows_without_own_ids_and_clashing_columns(spark):
+    """Null and repeated ids, repeated rows, a very long text, and columns named as those inside."""
+    long = " ".join(f"w{k % 20011}" for k in range(60_000))
+    rows = [(None, f"null number {k} a b c d e f") for k in range(30)] + [(5, "one two three four five six")] * 40 + [(5, "other words under the same id here"), (6, "ONE two three\tfour five six"), (7, long), (8, long + " end"), (9, None), (10, "  ")]
+    schema = "doc_id bigint, text string, id string, node bigint, hash string, lost_id bigint, component_id int, row int"
+    df = spark.createDataFrame([(*r, "x", 1, "h", 2, 3, 4) for r in rows], schema)
+    got = minhash.near_dups(df).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for x in got:
+        by.setdefault(x.doc_id, set()).add((x.component_id, x.kept))
+    assert by[5] == {(5, True)} and by[6] == {(5, False)} and by[8] == {(7, False)} and by[9] == {(9, True)} and by[10] == {(10, True)}
+    kept = minhash.drop_near_copies(df)
+    assert kept.columns == df.columns and sorted(x.doc_id for x in kept.where("doc_id > 5").collect()) == [7, 9, 10] and kept.where("doc_id is null").count() == 30
 
 
 def test_language_model_learns_from_every_document(spark):
