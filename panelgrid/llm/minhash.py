@@ -8,13 +8,12 @@ LEAST_DEPTH values form a region; a sweep along the order compares each node wit
 before it in its region. How deep a prefix the sweep's window has adapts to the region: a small
 region is swept whole, from a crowded one only the nodes with longer common prefixes.
 
-1. Rounds: each node proposes, in each order, its best neighbours of other components by the share of
-   their signatures that agrees. Proposals are confirmed on full sets (64-bit hashes of shingles,
-   100 * intersection >= 75 * union), components merge, and regions that have become one component
-   leave. A round without a new link is the last.
-2. Closing: what is left, regions of several components, is swept once more with the full sets in the
-   rows and a wider window; every likely pair of different components in the window is compared on
-   the spot and only links leave the task. This repeats while it finds links.
+1. In a first sweep each node proposes, in each order, the neighbour whose signature agrees with its own
+   in the most values. Proposals are confirmed on full sets (64-bit hashes of shingles,
+   100 * intersection >= 75 * union), and regions that have become one component leave.
+2. What is left, regions of several components, is swept again with the full sets in the rows and a
+   wider window; every likely pair of different components in the window is compared on the spot and
+   only links leave the task.
 
 Work and rows are thus in proportion to the nodes: no group emits its pairs, no bucket is capped to
 drop rows, and a region of any size is dealt over many tasks, with the ends of neighbouring tasks
@@ -37,7 +36,6 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Scratch, shuffle_partitions
 from .components import components
@@ -49,12 +47,10 @@ LEAST_PERCENT = 75
 TREES, LEAST_DEPTH, SORTED_DEPTH = 20, 4, 12
 #: A pair is likely if so many values of its signatures agree.
 LEAST_AGREED = 40
-#: Nodes before it in its region that a node is compared with by signatures, in rounds and when closing.
+#: Nodes before it in its region that a node is compared with by signatures, in the first and in the closing sweep.
 WINDOW, CLOSING_WINDOW = 64, 512
-#: Best neighbours that a node proposes: in each order in the first and in later rounds, and over all orders.
-FIRST_BEST, ORDER_BEST, NODE_BEST = 1, 4, 8
-#: Rows of an order in each task.
-ROWS_EACH = 20_000
+#: Rows of an order in each task, without and with sets.
+ROWS_EACH, ROWS_WITH_SETS = 20_000, 5_000
 CACHE_WORDS = 200_000
 
 _PAIR = "a bigint, b bigint, agreed int"
@@ -144,14 +140,15 @@ def _sets(rows: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links."""
     side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s_{k}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    # only the sets that the pairs need are shuffled
+    both = pairs.join(side("b"), "b").join(side("a").join(pairs.select("a").distinct(), "a", "left_semi"), "a")
     both = both.select("a", "b", (F.size("s_a") + F.size("s_b")).alias("total"), F.size(F.array_intersect("s_a", "s_b")).alias("common"))
     return both.where(100 * F.col("common") >= LEAST_PERCENT * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def _mixed(regions: DataFrame, classes: DataFrame | None) -> DataFrame:
+def _mixed(regions: DataFrame, classes: DataFrame) -> DataFrame:
     """Rows (key, tree, node, component) of the regions that have more than one component."""
-    rows = regions.withColumn("component", F.col("node")) if classes is None else regions.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = regions.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
     stats = rows.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
     return rows.join(stats.repartition(shuffle_partitions(rows.sparkSession)), "key").select("key", "tree", "node", "component")
 
@@ -177,21 +174,20 @@ def _likely_pairs(key: np.ndarray, component: np.ndarray, n: np.ndarray, sketch:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int),) * 3
 
 
-def _best_of(i: np.ndarray, j: np.ndarray, agreed: np.ndarray, best: int) -> np.ndarray:
-    """Which pairs are among the best of either row."""
+def _best_of(i: np.ndarray, j: np.ndarray, agreed: np.ndarray) -> np.ndarray:
+    """Which pairs are the best of either row."""
     keep = np.zeros(len(i), bool)
     for side in (i, j):
         order = np.lexsort((-agreed, side))
-        own = side[order]
-        keep[order[np.arange(len(own)) - np.searchsorted(own, own) < best]] = True
+        keep[order[np.unique(side[order], return_index=True)[1]]] = True
     return keep
 
 
 class _Sweep:
-    """Pairs that a sweep along sorted rows yields: the best likely ones, or with sets the links."""
+    """Pairs that a sweep along sorted rows yields: each row's best likely one, or with sets the links."""
 
-    def __init__(self, window: int, best: int | None):
-        self.window, self.best = window, best
+    def __init__(self, window: int, with_sets: bool):
+        self.window, self.with_sets = window, with_sets
 
     def pairs(self, rows, first: int):  # noqa: ANN001, ANN201
         """Table (a, b, agreed) of an Arrow table of rows; a pair's later row is at `first` or after it."""
@@ -200,10 +196,7 @@ class _Sweep:
         key, node, component, n = (rows.column(c).to_numpy() for c in ("key", "node", "component", "n"))
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(key), -1)
         i, j, agreed = _likely_pairs(key, component, n, sketch, first, self.window)
-        if self.best is not None:
-            keep = _best_of(i, j, agreed, self.best)
-        else:
-            keep = self._linked(rows.column("shingles").combine_chunks(), component, i, j, agreed)
+        keep = self._linked(rows.column("shingles").combine_chunks(), component, i, j, agreed) if self.with_sets else _best_of(i, j, agreed)
         i, j, agreed = i[keep], j[keep], agreed[keep]
         a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "agreed": pa.array(agreed, pa.int32())})
@@ -259,7 +252,7 @@ class _Sweep:
         import pyarrow as pa
 
         types = {"a": pa.int64(), "b": pa.int64(), "agreed": pa.int32(), "key": pa.int64(), "node": pa.int64(), "component": pa.int64(), "n": pa.int64(), "sketch": pa.binary()}
-        types |= ({"shingles": pa.list_(pa.int64())} if self.best is None else {}) | {"edge": pa.int64(), "side": pa.int64(), "at": pa.int64()}
+        types |= ({"shingles": pa.list_(pa.int64())} if self.with_sets else {}) | {"edge": pa.int64(), "side": pa.int64(), "at": pa.int64()}
         cols = [rows.column(c).cast(t) if c in rows.column_names else pa.nulls(len(rows), t) for c, t in types.items()]
         return iter(pa.table(cols, names=list(types)).to_batches())
 
@@ -269,17 +262,17 @@ class _Sweep:
         return self.pairs(rows, int((rows.column("side").to_numpy() == 0).sum()))
 
 
-def _swept(mixed: DataFrame, nodes: DataFrame, scratch: Scratch, *, window: int, best: int | None, sets: DataFrame | None = None) -> DataFrame:
+def _swept(mixed: DataFrame, nodes: DataFrame, scratch: Scratch, *, window: int, sets: DataFrame | None = None) -> DataFrame:
     """(a, b, agreed) of a sweep along all orders of rows (key, tree, node, component); written, to be dropped by the caller."""
     width = 4 * LEAST_DEPTH
     rows = mixed.join(nodes.select("node", "n", "sig", "sketch"), "node")
     place = F.expr(f"substring(concat(sig, sig), tree * {width} + 1, {4 * SORTED_DEPTH})")
     rows = rows.select("tree", place.alias("place"), "key", "node", "component", "n", "sketch")
-    parts = -(-mixed.count() // ROWS_EACH) or 1
+    parts = -(-mixed.count() // (ROWS_WITH_SETS if sets is not None else ROWS_EACH)) or 1
     own, schema = ["key", "node", "component", "n", "sketch"], f"{_PAIR}, {_ROW}"
     if sets is not None:
         rows, own, schema = rows.join(sets, "node"), [*own, "shingles"], f"{schema}, shingles array<bigint>"
-    sweep = _Sweep(window, best)
+    sweep = _Sweep(window, sets is not None)
     rows = rows.repartitionByRange(parts, "tree", "place", "node").sortWithinPartitions("tree", "place", "node").select(*own)
     out = scratch.write(rows.mapInArrow(sweep.run, f"{schema}, edge bigint, side bigint, at bigint"))
     beside = out.where("edge is not null").drop("a", "b", "agreed").groupBy("edge").applyInArrow(lambda rows: sweep.at_edge(rows), _PAIR)
@@ -288,24 +281,8 @@ def _swept(mixed: DataFrame, nodes: DataFrame, scratch: Scratch, *, window: int,
     return pairs
 
 
-def _chosen(pairs: DataFrame, compared: DataFrame | None) -> DataFrame:
-    """The pairs not compared yet that are among the best NODE_BEST of either node."""
-    if compared is not None:
-        pairs = pairs.join(compared, ["a", "b"], "left_anti")
-    each = pairs.select("a", "b", "agreed", F.explode(F.array("a", "b")).alias("node"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("agreed"), "a", "b"))
-    return each.withColumn("rank", rank).where(F.col("rank") <= NODE_BEST).select("a", "b").distinct()
-
-
-def _classes(links: DataFrame, before: DataFrame | None, scratch: Scratch) -> DataFrame:
-    """(node, component) of new links and the components before them."""
-    if before is not None:
-        links = links.select("a", "b").unionByName(before.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return scratch.write(components(links))
-
-
-def _forest(nodes: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """(node, component) of the nodes that have links; None if none has."""
+def _forest(nodes: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of the nodes that have links."""
     spark = nodes.sparkSession
     places = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     places = places.select("tree", "node", F.xxhash64("tree", F.expr(f"substring(sig, tree * {4 * LEAST_DEPTH} + 1, {4 * LEAST_DEPTH})")).alias("key"))
@@ -313,38 +290,20 @@ def _forest(nodes: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame |
     regions = scratch.write(places.join(shared.repartition(shuffle_partitions(spark)), "key"))
     wanted = regions.select("node").distinct().join(nodes.select("node", "id", "hash"), "node")
     texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & (rows["hash"] == wanted["hash"])).select("node", "text")
-    sets, compared, classes, held = scratch.write(_sets(texts)), None, None, []
-
-    def merged(links: DataFrame) -> None:
-        nonlocal classes
-        now = _classes(links, classes, scratch)
-        scratch.drop(classes)
-        classes = now
-
-    best = FIRST_BEST
-    while True:
-        mixed = scratch.write(_mixed(regions, classes))
-        pairs = _swept(mixed, nodes, scratch, window=WINDOW, best=best)
-        chosen = scratch.write(_chosen(pairs, compared))
-        links = scratch.write(_confirmed(chosen, sets))
-        scratch.drop(mixed, pairs)
-        held += [chosen]
-        if links.isEmpty():
-            scratch.drop(links)
-            break
-        merged(links)
-        scratch.drop(links)
-        compared, best = (chosen if compared is None else compared.unionByName(chosen)), ORDER_BEST
-    while True:
-        mixed = scratch.write(_mixed(regions, classes))
-        links = _swept(mixed, nodes, scratch, window=CLOSING_WINDOW, best=None, sets=sets)
-        scratch.drop(mixed)
-        if links.isEmpty():
-            scratch.drop(links)
-            break
-        merged(links)
-        scratch.drop(links)
-    scratch.drop(regions, sets, *held)
+    sets = scratch.write(_sets(texts))
+    pairs = _swept(regions.withColumn("component", F.col("node")), nodes, scratch, window=WINDOW)
+    links = scratch.write(_confirmed(pairs, sets))
+    classes = scratch.write(components(links))
+    scratch.drop(pairs)
+    mixed = scratch.write(_mixed(regions, classes))
+    more = _swept(mixed, nodes, scratch, window=CLOSING_WINDOW, sets=sets)
+    scratch.drop(regions, sets, mixed, links)
+    # a sweep has compared all that another one would, so its links are the last
+    if not more.isEmpty():
+        before = classes.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        classes, old = scratch.write(components(before.unionByName(more.select("a", "b")))), classes
+        scratch.drop(old)
+    scratch.drop(more)
     return classes
 
 
@@ -356,14 +315,9 @@ def near_dups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     nodes = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "hash")).alias("least"), F.min("id").alias("least_id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     # numbered once and written, so that a task that runs again doesn't number them anew
     nodes = scratch.write(nodes.select(F.monotonically_increasing_id().alias("node"), "digest", "least_id", F.col("least.id").alias("id"), F.col("least.hash").alias("hash"), "n", "sig", "sketch"))
-    classes = _forest(nodes, rows, scratch)
-    named = nodes.select("node", "digest", "least_id")
-    if classes is not None:
-        named = named.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-        named = named.join(least.repartition(parts), "component").select("digest", "component_id")
-    else:
-        named = named.select("digest", F.col("least_id").alias("component_id"))
+    named = nodes.select("node", "digest", "least_id").join(_forest(nodes, rows, scratch), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    named = named.join(least.repartition(parts), "component").select("digest", "component_id")
     out = signed.where("n > 0").select("id", "n", "digest").join(named.repartition(parts), "digest").select("id", "n", "component_id")
     out = out.unionByName(signed.where("n = 0").select("id", "n", F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

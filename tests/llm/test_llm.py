@@ -178,6 +178,7 @@ def crowd(r, groups, size, shared, own, changed):
 def test_minhash_in_crowds_of_small_components(spark, monkeypatch, rows_each):
     """700 texts share more than half of their words; pairs of them link. Also over many short tasks."""
     monkeypatch.setattr(minhash, "ROWS_EACH", rows_each)
+    monkeypatch.setattr(minhash, "ROWS_WITH_SETS", rows_each)
     texts = crowd(np.random.default_rng(5), groups=350, size=2, shared=70, own=60, changed=1)
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id bigint, text string")
     got = {x.doc_id: x.component_id for x in minhash.near_dups(df).collect()}
