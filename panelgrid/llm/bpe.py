@@ -1,13 +1,18 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-Texts up to ``chunk_chars`` are encoded where they lie, without a shuffle. Longer ones are cut into
-overlapping chunks that are pre-tokenised in parallel; two neighbours are stitched at the first
-position of their overlap where both scans have a pre-token boundary, for from there on both scans
-agree. Each chunk then encodes the pieces between its two stitches. A text with an overlap in which
-the scans never meet (one piece longer than the overlap) is encoded whole, so ids are always those
-of the sequential scan. Decoding concatenates the bytes of the ids.
-
-Null and empty texts have no ids. Repeated rows and null ids are kept row by row.
+Texts are cut into overlapping chunks that are pre-tokenised in parallel; two neighbours are stitched
+at the first position of their overlap where both scans have a pre-token boundary, for from there on
+both scans agree. The character before a stitch isn't white space, as a run of white space is one
+pre-token or two by what follows it, and a boundary close to the end of a chunk that the text goes
+beyond isn't used, as a contraction may be cut there. Each chunk then encodes the piece between its
+two stitches, which holds whole pre-tokens and ends as the sequential scan ends it, and the ids of the
+pieces are put together. A text of one chunk is one piece, encoded where it lies without a shuffle. A
+text with an overlap in which the scans never meet (one piece longer than the overlap) is encoded
+whole, by one task, so ids are always those of the sequential scan. Decoding concatenates the bytes of
+the ids.
+
+Null and empty texts have no ids. Repeated rows and null ids are kept row by row; an empty table gives
+an empty result. Other columns, of any name, aren't read.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 1_024
 #: Distinct space-delimited units a worker remembers, and the longest unit that it remembers.
 CACHE_UNITS, CACHE_CHARS = 200_000, 48
+#: Boundaries so close to the end of a chunk may be artefacts of the cut.
+UNSURE_CHARS = 8
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -82,8 +89,8 @@ class BpeCodec:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 
     def boundaries(self, text: str) -> list[int]:
-        """Ends of the pre-tokens of a scan that begins at 0."""
-        return [m.end() for m in self.pattern.finditer(text)]
+        """Ends of the pre-tokens of a scan that begins at 0, but for those of white space."""
+        return [m.end() for m in self.pattern.finditer(text) if not text[m.end() - 1].isspace()]
 
 
 class CodecSource:
@@ -118,18 +125,28 @@ def _digest(codec: BpeCodec, ids: list[int]) -> tuple[int, str, str]:
     return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
 
 
-def _long_ids(long: DataFrame, source: CodecSource, chunk: int, overlap: int) -> DataFrame:
-    """(row, id, ids) of texts longer than a chunk; ids in the order of the text."""
+def _pieces(source: CodecSource, fn: Callable[[BpeCodec, list[int]], tuple], keys: list[str], names: list[str], types: list) -> Callable:
+    """Encodes pieces: each chunk's text from its own stitch to the next one (null: to its end)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        codec = source()
+        for b in batches:
+            spans = zip(*(b.column(x).to_pylist() for x in ("start", "part", "cut", "next_cut")), strict=True)
+            rows = [fn(codec, codec.encode(part[cut - start : None if after is None else after - start])) for start, part, cut, after in spans]
+            cols = [pa.array([r[i] for r in rows], type=getattr(pa, t)() if isinstance(t, str) else pa.list_(getattr(pa, t[0])())) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*map(b.column, keys), *cols], names=[*keys, *names])
+
+    return run
+
+
+def _stitched(several: DataFrame, source: CodecSource, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """Of chunks (row, id, n_chunks, n, start, part): the same with their stitches, and (id, text) of
+    the texts in which two scans never meet."""
     stride = chunk - overlap
-    starts = F.expr(f"sequence(0L, greatest(0L, cast(char_length(text) as bigint) - {overlap} - 1), {stride}L)")
-    chunks = (
-        long.withColumn("row", F.monotonically_increasing_id())
-        .withColumn("n_chunks", F.size(starts))
-        .select("row", "id", "n_chunks", "text", F.posexplode(starts).alias("n", "start"))
-        .select("row", "id", "n_chunks", "n", "start", F.expr(f"substring(text, int(start) + 1, {chunk})").alias("part"))
-    )
     # checkpointed, so that row numbers are the same in both passes; dealt by chunk, so that one long text is spread
-    chunks = checkpointed(chunks.repartition("row", "n"))
+    several = checkpointed(several.repartition("row", "n"))
 
     def scan(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -139,60 +156,53 @@ def _long_ids(long: DataFrame, source: CodecSource, chunk: int, overlap: int) ->
             heads, tails = [], []
             for start, part, n, n_chunks in zip(*(b.column(c).to_pylist() for c in ("start", "part", "n", "n_chunks")), strict=True):
                 last = n == n_chunks - 1
-                # a boundary at the end of a chunk may be an artefact of the cut
-                ends = [e for e in codec.boundaries(part) if last or e < len(part)]
+                ends = [e for e in codec.boundaries(part) if last or e < len(part) - UNSURE_CHARS]
                 heads.append([start + e for e in ends if e <= overlap] if n else [])
                 tails.append([] if last else [start + e for e in ends if e >= stride])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n"), b.column("n_chunks"), pa.array(heads, longs), pa.array(tails, longs)], names=["row", "n", "n_chunks", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n"), pa.array(heads, longs), pa.array(tails, longs)], names=["row", "n", "head", "tail"])
 
-    seen = chunks.select("row", "n", "n_chunks", "start", "part").mapInArrow(scan, "row bigint, n int, n_chunks int, head array<bigint>, tail array<bigint>")
+    seen = several.select("row", "n", "n_chunks", "start", "part").mapInArrow(scan, "row bigint, n int, head array<bigint>, tail array<bigint>")
     order = Window.partitionBy("row").orderBy("n")
     cuts = (
         seen.withColumn("met", F.array_min(F.array_intersect("head", F.lag("tail").over(order))))
         .withColumn("cut", F.when(F.col("n") == 0, F.lit(0)).otherwise(F.col("met")))
         .select("row", "n", "cut", F.lead("cut").over(order).alias("next_cut"), (F.min(F.coalesce("cut", F.lit(-1))).over(Window.partitionBy("row")) >= 0).alias("synced"))
     )
-    cut = chunks.join(cuts, ["row", "n"])
-
-    def encode(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        codec = source()
-        for b in batches:
-            ids = [codec.encode(p[c - s : None if e is None else e - s]) for s, p, c, e in zip(*(b.column(x).to_pylist() for x in ("start", "part", "cut", "next_cut")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], names=["row", "id", "n", "ids"])
-
-    id_type = long.schema["id"].dataType.simpleString()
-    stitched = cut.where("synced").select("row", "id", "n", "start", "part", "cut", "next_cut").mapInArrow(encode, f"row bigint, id {id_type}, n int, ids array<int>")
-    stitched = stitched.groupBy("row").agg(F.first("id").alias("id"), F.flatten(F.expr("transform(array_sort(collect_list(struct(n, ids))), x -> x.ids)")).alias("ids"))
+    cut = several.join(cuts, ["row", "n"])
     whole = (
         cut.where("not synced")
         .groupBy("row")
-        .agg(F.first("id").alias("id"), F.expr(f"concat_ws('', transform(array_sort(collect_list(struct(n, if(n = n_chunks - 1, part, left(part, {stride})) as p))), x -> x.p))").alias("text"))
+        .agg(F.first("id").alias("id"), F.expr(f"concat_ws('', transform(array_sort(collect_list(struct(n, if(n = n_chunks - 1, part, left(part, {stride})) as p))), x -> x.p))").alias("part"))
     )
-    whole = whole.select("id", "text").mapInArrow(_mapper(source, "id", "text", lambda c, t: (c.encode(t),), ["ids"], [("int32",)]), f"id {id_type}, ids array<int>")
-    return stitched.select("id", "ids").unionByName(whole)
+    return cut.where("synced").drop("synced"), whole.select("id", "part")
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """Encode every text. Returns (id_col, ids array<int>), or with ``digest`` (id_col, n_tokens,
     ids_sha256, decoded_sha256), where the ids are also decoded again; other columns aren't read."""
-    if not 0 < overlap_chars < chunk_chars // 2:
-        raise ValueError("the overlap has to be positive and shorter than half a chunk")
+    if not UNSURE_CHARS <= overlap_chars < chunk_chars // 2:
+        raise ValueError(f"the overlap has to be of {UNSURE_CHARS} characters at least and shorter than half a chunk")
     source = CodecSource(df.sparkSession, ranks_path, pattern)
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    is_long = F.length("text") > chunk_chars
-    long = _long_ids(rows.where(is_long), source, chunk_chars, overlap_chars)
+    starts = F.expr(f"sequence(0L, greatest(0L, cast(char_length(text) as bigint) - {overlap_chars} - 1), {chunk_chars - overlap_chars}L)")
+    texts = rows.withColumn("n_chunks", F.when(F.length("text") <= chunk_chars, 1).otherwise(F.size(starts)))
+    # a text of one chunk is its only piece
+    single = texts.where("n_chunks = 1").select("id", F.lit(0).alias("start"), F.col("text").alias("part"), F.lit(0).alias("cut"), F.lit(None).cast("bigint").alias("next_cut"))
+    several = texts.where("n_chunks > 1").withColumn("row", F.monotonically_increasing_id()).select("row", "id", "n_chunks", "text", F.posexplode(starts).alias("n", "start"))
+    several = several.select("row", "id", "n_chunks", "n", "start", F.expr(f"substring(text, int(start) + 1, {chunk_chars})").alias("part"))
+    pieces, whole = _stitched(several, source, chunk_chars, overlap_chars)
+    single = single.unionByName(whole.select("id", F.lit(0).alias("start"), "part", F.lit(0).alias("cut"), F.lit(None).cast("bigint").alias("next_cut")))
+    ids = pieces.mapInArrow(_pieces(source, lambda c, ids: (ids,), ["row", "id", "n"], ["ids"], [("int32",)]), f"row bigint, id {id_type}, n int, ids array<int>")
+    ids = ids.groupBy("row").agg(F.first("id").alias("id"), F.flatten(F.expr("transform(array_sort(collect_list(struct(n, ids))), x -> x.ids)")).alias("ids")).select("id", "ids")
     if digest:
-        names, types = ["n_tokens", "ids_sha256", "decoded_sha256"], ["int64", "string", "string"]
-        schema = f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-        short = rows.where(~is_long).mapInArrow(_mapper(source, "id", "text", lambda c, t: _digest(c, c.encode(t)), names, types), schema)
-        long = long.mapInArrow(_mapper(source, "id", "ids", _digest, names, types), schema)
+        names, types, schema = ["n_tokens", "ids_sha256", "decoded_sha256"], ["int64", "string", "string"], "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        out = ids.mapInArrow(_mapper(source, "id", "ids", _digest, names, types), f"id {id_type}, {schema}")
+        made = single.mapInArrow(_pieces(source, _digest, ["id"], names, types), f"id {id_type}, {schema}")
     else:
-        short = rows.where(~is_long).mapInArrow(_mapper(source, "id", "text", lambda c, t: (c.encode(t),), ["ids"], [("int32",)]), f"id {id_type}, ids array<int>")
-    return short.unionByName(long).withColumnRenamed("id", id_col)
+        out, made = ids, single.mapInArrow(_pieces(source, lambda c, ids: (ids,), ["id"], ["ids"], [("int32",)]), f"id {id_type}, ids array<int>")
+    return made.unionByName(out).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

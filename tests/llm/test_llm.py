@@ -33,6 +33,28 @@ def test_bpe_equals_the_sequential_scan(spark, docs, empty):
     assert bpe.encode(empty, MULTI, q.PATTERN, digest=True).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_multi_50k", "byte_bpe_50k"])
+def test_bpe_stitches(spark, name):
+    """White space, contractions and punctuation at the cuts: at default sizes and in short chunks."""
+    import tiktoken
+
+    path = f"{q.TOKENIZERS}/{name}.tiktoken"
+    enc = tiktoken.Encoding("t", pat_str=q.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    stride, words = bpe.CHUNK_CHARS - bpe.OVERLAP_CHARS, "some words that go on and on; " * 2000
+    at_cut = [words[: stride - 1] + gap + words[: bpe.CHUNK_CHARS // 8] for gap in ("\n\n", "\xa0\xa0", "\n\n\n", "'ll", "  ", " \t ")]
+    ends = [words[: bpe.CHUNK_CHARS - k] + "'ll go " + words[:3000] for k in (1, 2, 3)]
+    unbroken = ["x" * 70_000, " " * 70_000, "word " + "\n" * 40_000 + "word"]
+    texts = [*at_cut, *ends, *unbroken, "a b " * 9000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    assert {r.doc_id: r.ids for r in bpe.encode(df, path, q.PATTERN).collect()} == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+    r = np.random.default_rng(9)
+    parts = [" ", "  ", "\n", "\n\n", "\t", "\xa0", "'", "'s", "'ll", "a", "Bc", "7", "!", "é", "日本", "\x1c"]
+    texts = ["".join(r.choice(parts, 60)) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.ids for r in bpe.encode(df, path, q.PATTERN, chunk_chars=24, overlap_chars=10).collect()}
+    assert got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_exact_dedup(docs, empty):
     got = exact_dedup.exact_dedup(docs).collect()
     assert len(got) == len(ROWS)
