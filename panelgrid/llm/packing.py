@@ -1,39 +1,53 @@
 """Best-fit packing of documents into sequences, bulk-synchronously.
 
 A document is its ids and a final id; only longer ones than a sequence are cut, the first piece
-taking the remainder. Pieces and gaps are integers of at most the sequence's length, so range-sorting
-them gives at most that many classes, however many documents there are. In each round every class of
-waiting pieces, longest first, sweeps for its successor among the classes of gaps, the smallest one
-that is long enough; conflicts are resolved by rank: the r-th piece of a class gets the r-th gap of
-the run that it is matched with. Gaps are then updated, unmatched classes open new sequences, and
-the next round follows. The rounds run on counts of classes, at most ``capacity`` of them with a few
-runs each; pieces then find their place by an equi-join on length and rank, all in parallel.
-
-Ranks are by partition, id and piece within a length, numbered within partitions first, so a length
-with a third of all pieces is still dealt over all partitions. Null counts as empty text, which is
-one piece of the final id alone; repeated rows are packed each; an empty table gives an empty result.
+taking the remainder. Pieces are packed by bands of length, longest first. A round of a band
+
+1. offers its slots: a gap that has room for several pieces of the band is as many slots;
+2. sorts waiting pieces and slots together by length, by ranges over all tasks, equal lengths by their
+   numbers, so that a length of which there are very many is dealt over many tasks;
+3. sweeps: each task goes through its range upwards and gives each slot its predecessor, the longest
+   piece before it that still waits (so a piece gets the successor of its length among the slots not
+   taken by pieces between them), and what a task can't match, pieces that wait for longer slots than
+   it has and slots without a piece, is matched across tasks by rank: the sweep's leftovers of each
+   task are counted, and the r-th slot left in one task meets the r-th piece from the end of another;
+4. updates the gaps.
+
+Rounds of a band repeat; after one that matches nothing the pieces that still wait are ranked through
+all tasks and the longest open new sequences. When none waits the next band follows. The driver sees a
+few counts for each task and round, never a piece or a gap.
+
+Null counts as empty text, which is one piece of the final id alone; repeated rows are packed each; an
+empty table gives an empty result. Texts of any length are read whole; other columns aren't read.
 """
 
 from __future__ import annotations
 
-import bisect
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import CodecSource
-from .common import checkpointed
+from .common import Scratch
 
 CAPACITY, END_ID = 1024, 2
+#: Pieces and slots that a task sweeps.
+ROWS_EACH = 100_000
 
 
-def pieces(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of every row, and with_ids the ids."""
-    source = CodecSource(df.sparkSession, ranks_path, pattern)
+def pieces(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, specials: dict[str, int] | None = None, with_ids: bool = False) -> DataFrame:
+    """(id, piece, start, length, ids_crc32) of every row, and with_ids the ids. specials: strings that
+    are one id each wherever they stand in a text."""
+    source, specials = CodecSource(df.sparkSession, ranks_path, pattern), specials or {}
+    split = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")")
+
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator) -> Iterator:
@@ -43,7 +57,11 @@ def pieces(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_i
         for b in batches:
             of, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                own = np.array([*codec.encode(text), end_id], "<u4")
+                if text and specials and split.search(text):
+                    ids_of = [x for part in split.split(text) for x in ([specials[part]] if part in specials else codec.encode(part))]
+                else:
+                    ids_of = codec.encode(text)
+                own = np.array([*ids_of, end_id], "<u4")
                 first = len(own) % capacity or capacity
                 for k, s in enumerate([0, *range(first, len(own), capacity)]):
                     part = own[s : first if k == 0 else s + capacity]
@@ -61,60 +79,159 @@ def pieces(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_i
     return rows.mapInArrow(run, schema)
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, number, first sequence, offset): pieces of a length from a rank on lie
-    at the offset of as many sequences from the first on. counts: number of pieces of each length."""
-    waiting = {n: c for n, c in counts.items() if c}
-    placed = dict.fromkeys(waiting, 0)
-    gaps: dict[int, list[tuple[int, int]]] = {}  # free length -> runs (first sequence, number)
-    free: list[int] = []
-    out, sequences = [], 0
-
-    def put(gap: int, run: tuple[int, int]) -> None:
-        if gap:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(free, gap)
-            gaps[gap].append(run)
-
-    while waiting:
-        for n in sorted(waiting, reverse=True):
-            # the sweep: successive gap classes, best first
-            while waiting[n] and (at := bisect.bisect_left(free, n)) < len(free):
-                gap = free[at]
-                first, size = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], free[at]
-                used = min(size, waiting[n])
-                out.append((n, placed[n], used, first, capacity - gap))
-                placed[n] += used
-                waiting[n] -= used
-                if used < size:
-                    put(gap, (first + used, size - used))
-                put(gap - n, (first, used))
-            if waiting[n]:
-                # as many new sequences as the class fills when each takes as many pieces as fit
-                new = -(-waiting[n] // (capacity // n))
-                put(capacity, (sequences, new))
-                sequences += new
-        waiting = {n: c for n, c in waiting.items() if c}
+def special_tokens(path: str) -> dict[str, int]:
+    """The special tokens of a tokenizer's JSON file, with their ids."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"] if t["special"]}
+
+
+def bands(capacity: int) -> list[tuple[int, int]]:
+    """(most, least + 1) lengths of each band, longest first: of which 1, 2, ... 8 fit a sequence, then halves."""
+    tops = [capacity // k for k in range(1, 9)]
+    while tops[-1] > 1:
+        tops.append(tops[-1] // 2)
+    tops = sorted({t for t in tops if t > 0}, reverse=True)
+    return list(zip(tops, [*tops[1:], 0], strict=True))
+
+
+PIECE, SLOT = 0, 1
+_SWEPT = "row bigint, length bigint, sequence bigint, slot int, part int, rank bigint"
+
+
+def _sweep(batches: Iterator) -> Iterator:
+    """Of rows (size, kind, row, sequence, slot) in the order of size: matches (row and sequence), waiting
+    pieces (row alone) and slots left (sequence alone), the latter two ranked upwards within the task."""
+    import pyarrow as pa
+
+    columns = [np.zeros(0, np.int64)] * 5
+    for b in batches:
+        columns = [np.concatenate([c, b.column(x).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)]) for c, x in zip(columns, ("size", "kind", "row", "sequence", "slot"), strict=True)]
+    size, kind, row, sequence, slot = columns
+    waiting, pairs, left = [], [], []
+    for k, is_slot in enumerate((kind == SLOT).tolist()):
+        if not is_slot:
+            waiting.append(k)
+        elif waiting:
+            pairs.append((waiting.pop(), k))
+        else:
+            left.append(k)
+    piece, at = np.array(pairs, np.int64).reshape(-1, 2).T
+    waiting, left = np.array(waiting, np.int64), np.array(left, np.int64)
+    none = lambda x: np.full(len(x), -1)
+    out = [
+        np.concatenate([row[piece], row[waiting], none(left)]),
+        np.concatenate([size[piece], size[waiting], none(left)]),
+        np.concatenate([sequence[at], none(waiting), sequence[left]]),
+        np.concatenate([slot[at], none(waiting), slot[left]]),
+        np.full(len(piece) + len(waiting) + len(left), TaskContext.get().partitionId()),
+        np.concatenate([none(piece), np.arange(len(waiting)), np.arange(len(left))]),
+    ]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(x, t, mask=x < 0) for x, t in zip(out, types, strict=True)], names=["row", "length", "sequence", "slot", "part", "rank"])
+
+
+def _across(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """Segments (piece_part, last_rank, slot_part, first_rank, n) of what tasks leave each other. counts:
+    of each task the waiting pieces and the slots left; a slot takes the longest piece of the tasks before its own."""
+    stack, out = [], []
+    for part in sorted(counts):
+        pieces, slots = counts[part]
+        taken = 0
+        while taken < slots and stack:
+            of, waiting = stack.pop()
+            n = min(waiting, slots - taken)
+            out.append((of, waiting - 1, part, taken, n))
+            taken += n
+            if waiting > n:
+                stack.append((of, waiting - n))
+        if pieces:
+            stack.append((part, pieces))
     return out
 
 
+_SEGMENT = "piece_part int, last_rank bigint, slot_part int, first_rank bigint, n bigint"
+
+
 def pack(parts: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces(...)."""
-    own = [c for c in parts.columns if c != "ids"]
-    parts = checkpointed(parts.withColumn("part", F.spark_partition_id()))
-    by_part = parts.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    # one row for each partition and length; at most capacity lengths
-    before = by_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("length", "part", F.coalesce("before", F.lit(0)).alias("before"))
-    counts = {r.length: r.n for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = best_fit(counts, capacity)
     spark = parts.sparkSession
-    runs = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "length bigint, first bigint, number bigint, sequence bigint, offset bigint")
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("part", "length").orderBy("id", "piece", "start", "ids_crc32")) - 1)
-    ranked = ranked.join(before, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
-    # the runs are bounded by the classes, not by the pieces
-    placed = ranked.join(F.broadcast(runs), "length").where("rank >= first and rank < first + number")
-    keep = [*own, *(["ids"] if "ids" in parts.columns else [])]
-    return placed.select(*keep, (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
+    scratch, keep = Scratch(spark), parts.columns
+    # numbered once and written, so that a task that runs again doesn't number them anew
+    parts = scratch.write(parts.withColumn("row", F.monotonically_increasing_id()))
+    rounds, gaps, opened, number, last = [], None, 0, 0, None
+    present = {int(r.length) for r in parts.select("length").distinct().collect()}  # at most capacity
+    for most, least in bands(capacity):
+        if not any(least < n <= most for n in present):
+            continue
+        waiting = parts.where((F.col("length") > least) & (F.col("length") <= most)).select("row", "length")
+        while True:
+            sized = waiting.select(F.col("length").alias("size"), F.lit(PIECE).alias("kind"), "row", F.lit(None).cast("bigint").alias("sequence"), F.lit(None).cast("int").alias("slot"))
+            if gaps is not None:
+                slots = F.greatest(F.lit(1), F.floor(F.col("free") / most)).cast("int")
+                offered = gaps.where(F.col("free") > least).select(F.floor(F.col("free") / slots).alias("size"), F.lit(SLOT).alias("kind"), F.lit(None).cast("bigint").alias("row"), "sequence", F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"))
+                sized = sized.unionByName(offered)
+            tasks = -(-sized.count() // ROWS_EACH) or 1
+            swept = scratch.write(sized.repartitionByRange(tasks, "size", "kind", "row", "sequence", "slot").sortWithinPartitions("size", "kind", "row", "sequence", "slot").mapInArrow(_sweep, _SWEPT))
+            scratch.drop(last)
+            last = swept
+            # two counts for each task
+            alone, free = F.col("sequence").isNull(), F.col("row").isNull()
+            counted = swept.groupBy("part").agg(F.count_if(alone).alias("p"), F.count_if(free).alias("s"), F.count_if(~alone & ~free).alias("m")).collect()
+            segments = _across({r.part: (r.p, r.s) for r in counted})
+            matched = swept.where(~alone & ~free).select("row", "length", "sequence", "slot")
+            left = swept.where(alone).select("row", "length", "part", "rank")
+            if segments:
+                of = F.broadcast(spark.createDataFrame(segments, _SEGMENT))  # at most two for each task
+                met = left.join(of, (F.col("part") == F.col("piece_part")) & (F.col("rank") <= F.col("last_rank")) & (F.col("rank") > F.col("last_rank") - F.col("n")))
+                met = met.select("row", "length", F.col("slot_part").alias("part"), (F.col("first_rank") + F.col("last_rank") - F.col("rank")).alias("rank"))
+                matched = matched.unionByName(met.join(swept.where(free).select("sequence", "slot", "part", "rank"), ["part", "rank"]).select("row", "length", "sequence", "slot"))
+                # of each task the pieces below the last segment's wait on
+                lowest = {}
+                for part, last, _, _, n in segments:
+                    lowest[part] = min(lowest.get(part, last + 1), last - n + 1)
+                rest = F.broadcast(spark.createDataFrame(list(lowest.items()), "part int, below bigint"))
+                left = left.join(rest, "part", "left").where("below is null or rank < below").drop("below")
+            else:
+                lowest = {}
+            found = sum(r.m for r in counted) + sum(s[4] for s in segments)
+            if found:
+                matched = scratch.write(matched.withColumn("round", F.lit(number)))
+                number += 1
+                rounds.append(matched)
+                took = matched.groupBy("sequence").agg(F.sum("length").alias("took"))
+                old, gaps = gaps, scratch.write(gaps.join(took, "sequence", "left").select("sequence", (F.col("free") - F.coalesce("took", F.lit(0))).alias("free")).where("free > 0"))
+                scratch.drop(old)
+            before, total = {}, 0
+            for r in sorted(counted, key=lambda r: r.part):
+                before[r.part], total = total, total + min(r.p, lowest.get(r.part, r.p))
+            if not total:
+                break
+            waiting = left.select("row", "length")
+            if found:
+                continue
+            # no slot fits any piece that waits: ranked through all tasks, the longest open new sequences,
+            # `each` to one; where more than `each` may fit, only as many as their tokens need at least
+            each = capacity // most
+            new = -(-total // each)
+            if (least + 1) * (each + 1) <= capacity:
+                new = min(new, -(-left.agg(F.sum("length")).first()[0] // capacity))
+            ranks = F.broadcast(spark.createDataFrame(list(before.items()), "part int, before bigint"))
+            ranked = left.join(ranks, "part").withColumn("place", F.lit(total - 1) - F.col("before") - F.col("rank"))
+            placing = F.col("place") < new * each
+            at = (F.lit(opened) + F.floor(F.col("place") / each)).alias("sequence"), (F.col("place") % each).cast("int").alias("slot")
+            matched = scratch.write(ranked.where(placing).select("row", "length", *at, F.lit(number).alias("round")))
+            number, opened = number + 1, opened + new
+            rounds.append(matched)
+            made = matched.groupBy("sequence").agg((capacity - F.sum("length")).alias("free")).where("free > 0")
+            old, gaps = gaps, scratch.write(made if gaps is None else gaps.unionByName(made))
+            scratch.drop(old)
+            if total <= new * each:
+                break
+            waiting = ranked.where(~placing).select("row", "length")
+    placed = rounds[0] if rounds else spark.createDataFrame([], "row bigint, length bigint, sequence bigint, slot int, round int")
+    for r in rounds[1:]:
+        placed = placed.unionByName(r)
+    # at most capacity pieces to a sequence
+    order = Window.partitionBy("sequence").orderBy("round", "slot").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.select("row", F.col("sequence").alias("sequence_id"), (F.sum("length").over(order) - F.col("length")).alias("offset"))
+    return parts.join(placed, "row").select(*keep, "sequence_id", "offset")

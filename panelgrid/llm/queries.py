@@ -56,9 +56,13 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rules_table(spark, URL_RULES))
 
 
+def packed_pieces(docs: DataFrame) -> DataFrame:
+    """Pieces by the vocabulary and special tokens of byte_bpe_50k."""
+    return packing.pieces(docs, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN, specials=packing.special_tokens(f"{TOKENIZERS}/byte_bpe_50k.json"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = packing.pieces(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", PATTERN)
-    return packing.pack(parts).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return packing.pack(packed_pieces(table(spark, sf_dir, "documents"))).select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,11 +65,20 @@ def test_exact_dedup(docs, empty):
     assert exact_dedup.drop_copies(docs).columns == docs.columns and exact_dedup.exact_dedup(empty).count() == 0
 
 
-def test_salted_groups(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "SALTED_LEAST", 5)
-    df = spark.range(40).selectExpr("id AS doc_id", "if(id % 2 = 0, 'Same', concat('t', id)) AS text")
+def test_hot_groups_over_many_tasks(spark):
+    df = spark.range(0, 4000, 1, 40).selectExpr("id AS doc_id", "if(id % 2 = 0, 'Same', concat('t', id)) AS text")
     got = exact_dedup.exact_dedup(df).collect()
-    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, 38 if i % 2 == 0 else i, 20 if i % 2 == 0 else 1) for i in range(40)}
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, 3998 if i % 2 == 0 else i, 2000 if i % 2 == 0 else 1) for i in range(4000)}
+
+
+def test_dropped_copies(spark, empty):
+    """Repeated and null ids, ties, a long text, and columns named as those inside."""
+    long = "Long text " * 20_000
+    rows = [(5, "a"), (5, "b"), (6, "A"), (7, long), (8, long.upper()), (None, "b"), (None, "only null"), (None, "ONLY null"), (9, None), (10, "")]
+    df = spark.createDataFrame([(*r, 1, 2, 3, "x") for r in rows], "doc_id bigint, text string, lost_id int, keep_id int, row int, digest string")
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns and exact_dedup.drop_copies(empty).count() == 0
+    assert sorted((str(r.doc_id), (r.text or "")[:9]) for r in kept.collect()) == [("10", ""), ("5", "b"), ("6", "A"), ("8", "LONG TEXT"), ("None", "ONLY null"), ("None", "only null")]
 
 
 def test_pii(spark, empty):
@@ -116,6 +125,44 @@ def test_packing(spark, docs, empty):
     assert packing.pack(packing.pieces(empty, f"{q.TOKENIZERS}/byte_bpe_50k.tiktoken", q.PATTERN)).count() == 0
 
 
+def test_packing_reads_special_tokens_as_the_tokenizer_does(spark):
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(f"{q.TOKENIZERS}/byte_bpe_50k.json")
+    texts = ["x <|endoftext|> y", "<|endoftext|><|endoftext|>", " <|endoftext| >", "a  <|endoftext|>\n\n b", None, ""]
+    got = q.packed_pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert {(r.id, r.length, r.ids_crc32) for r in got} == {(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
+@pytest.mark.parametrize("rows_each", [100_000, 150])
+@pytest.mark.parametrize("low, high", [(1, 1025), (200, 700), (300, 400), (1, 100), (7, 8)])
+def test_packing_matches_best_fit_decreasing(spark, monkeypatch, rows_each, low, high):
+    """As few sequences as one piece at a time (one more at most), whatever the number of tasks."""
+    if rows_each == 150 and low not in (1, 200) or (rows_each, high) == (150, 100):
+        pytest.skip("long")
+    monkeypatch.setattr(packing, "ROWS_EACH", rows_each)
+    lengths = np.random.default_rng(low).integers(low, high, 2000)
+    parts = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], "id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    got = packing.pack(parts).collect()
+    assert sorted((r.id, r.length) for r in got) == [(i, n) for i, n in enumerate(lengths)]
+    by, free = {}, []
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        ends = np.cumsum([n for _, n in sorted(places)])
+        assert [o for o, _ in sorted(places)] == [0, *ends[:-1]] and ends[-1] <= 1024
+    for n in sorted(lengths, reverse=True):
+        at = min((k for k, f in enumerate(free) if f >= n), key=free.__getitem__, default=None)
+        if at is None:
+            free.append(1024 - n)
+        else:
+            free[at] -= n
+    assert len(by) <= len(free) + 1
+
+
 def test_quality(spark):
     good = [(i, f"the cat number {i} sat on the mat and looked at tree {i * 7 % 13}.") for i in range(60)]
     bad = [(100 + i, f"BUY {i}!!! CLICK {i}!!! " * 3) for i in range(30)]
