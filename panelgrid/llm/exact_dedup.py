@@ -1,13 +1,14 @@
 """Exact deduplication by skew-safe combining.
 
 Texts are equal when identical after lower-casing A-Z. Groups are combined in three steps, each
-comparing digest and full text: within a task (the partial aggregate), within a salt of the digest
-(one shuffle of the texts), and, for the few digests that are salted, over their salts. Rows then
+comparing digest and full text: within a task (the partial aggregate, which leaves one row of a text
+to each task), within a salt of the digest, which is dealt by task, and then the salts' winners over
+all. So of a text that a third of all rows have no task reads more rows than there are tasks. Rows then
 find their group by its digest; texts that share a digest, should that ever be, by the text.
 
-Null texts count as empty; of equal texts the row with the largest id stays (a null id only if all
-are null). Rows that repeat an id count each, and are all kept if that id stays. An empty table
-gives an empty result. Other columns aren't read.
+Null texts count as empty; texts of any length are compared whole; of equal texts the row with the
+largest id stays (a null id only if all are null). Rows that repeat an id count each, and are all kept
+if that id stays. An empty table gives an empty result. Other columns, of any name, aren't read.
 """
 
 from __future__ import annotations
@@ -17,10 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, checkpointed
 
-#: Parts that the rows of a large group are dealt into by id.
-SALTS = 64
-#: A digest is salted if more rows have it than this share of the table, so at most its inverse are.
-SALTED_SHARE, SALTED_LEAST = 1 / 1000, 1000
+#: Parts that the tasks' winners of a digest are dealt into.
+SALTS = 16
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -34,16 +33,9 @@ def _combined(rows: DataFrame, *keys: str) -> DataFrame:
 
 def groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per distinct text, as it is after lower-casing: digest, norm, keep_id, group_size."""
-    keyed = _keyed(df, id_col, text_col)
-    counts = checkpointed(keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    total = df.select(F.count(F.lit(1))).first()[0]
-    hot = [r.digest for r in counts.where(F.col("n") > max(SALTED_LEAST, total * SALTED_SHARE)).select("digest").collect()]
-    rows = keyed.select("digest", "norm", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
-    if not hot:
-        return _combined(rows, "digest")
-    is_hot = F.col("digest").isin(hot)  # at most 1 / SALTED_SHARE of them
-    salted = rows.where(is_hot).withColumn("salt", F.pmod(F.xxhash64("keep_id"), F.lit(salts)))
-    return _combined(rows.where(~is_hot), "digest").unionByName(_combined(_combined(salted, "digest", "salt"), "digest"))
+    rows = _keyed(df, id_col, text_col).select("digest", "norm", F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
+    salted = _combined(rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))), "digest", "salt")
+    return _combined(salted, "digest")
 
 
 def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -62,6 +54,10 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, with all their columns; rows of a null id can't be told apart and stay."""
-    lost = exact_dedup(df, id_col=id_col, text_col=text_col).where("not kept").select(F.col(id_col).alias("lost_id")).where("lost_id is not null").distinct()
-    return df.join(lost, F.col(id_col) == F.col("lost_id"), "left_anti")
+    """The rows of df that stay, with all their columns. A row of a null id stays if no equal text has an id."""
+    lost = exact_dedup(df, id_col=id_col, text_col=text_col).where("not kept").select(F.struct(F.col(id_col).alias("id"), F.col("text_sha256").alias("digest")).alias("lost")).distinct()
+    # the columns of df in a struct, so that no name of theirs can clash
+    norm = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("own_id"), F.sha2(norm, 256).alias("own_digest"))
+    same = F.col("own_id").eqNullSafe(F.col("lost.id")) & (F.col("own_digest") == F.col("lost.digest"))
+    return rows.join(lost, same, "left_anti").select("row.*")

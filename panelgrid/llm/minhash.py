@@ -325,5 +325,7 @@ def near_dups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near_copies(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that stay, one of each component, with all their columns; rows of a null id stay."""
-    lost = near_dups(df, id_col=id_col, text_col=text_col).where("not kept").select(id_col).dropna().distinct()
-    return df.join(lost, id_col, "left_anti").select(*df.columns)
+    lost = near_dups(df, id_col=id_col, text_col=text_col).where("not kept").select(F.col(id_col).alias("lost_id")).dropna().distinct()
+    # the columns of df in a struct, so that no name of theirs can clash
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("own_id"))
+    return rows.join(lost, F.col("own_id") == F.col("lost_id"), "left_anti").select("row.*")
