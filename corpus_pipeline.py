@@ -40,8 +40,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places every piece of every document in a sequence."""
-    parts = packing.pieces(docs, f"{llm.TOKENIZERS}/byte_bpe_50k.tiktoken", llm.PATTERN)
-    return packing.pack(parts).withColumnRenamed("id", "doc_id")
+    return packing.pack(llm.packed_pieces(docs)).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [
