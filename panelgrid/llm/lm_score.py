@@ -7,12 +7,15 @@ the others share hashed classes, within which a word has its share of the words
 log P(word) = log P(class | context) + log P(word | class), and a word that the corpus hasn't counts
 as one more. Words of at least KNOWN_SHARE of the corpus are broadcast with their counts, rarer ones
 joined. The vocabulary comes from the counts of all words of all documents, and grows with them.
-The weights are trained on all documents, in rounds: each partition starts from the shared weights,
-passes over its own documents of the round (each is in one round, by its place in the partition),
-and the partitions' weights are averaged by the tokens that they saw.
-
-Null counts as empty text; texts without words have 0 tokens, the score 0 and no mean. Rows are
-scored one by one; an empty table gives an empty result.
+The weights are trained on all documents, in rounds, each document in one round by a hash of its id and
+text. A round's documents are dealt by that hash into shards of some SHARD_TOKENS tokens; each shard
+starts from the shared weights and passes over its documents in the order of the hash, and the shards'
+weights are averaged by the tokens that they saw. Shards depend on the documents alone, so weights and
+scores are the same (but for rounding) however the table is partitioned and on any number of machines.
+
+Null counts as empty text; texts without words have 0 tokens, the score 0 and no mean. Texts of any
+length are read whole. Rows are scored one by one, repeated ones and those of null ids too; an empty
+table gives an empty result. Other columns, of any name, aren't read.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -27,9 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, shuffle_partitions
 
-FREQUENT, HASHED, SIDE, WIDTH, HIDDEN = 96, 32, 2, 16, 16
+FREQUENT, HASHED, SIDE, WIDTH, HIDDEN = 192, 64, 2, 16, 16
 CLASSES, PAD = FREQUENT + HASHED, FREQUENT + HASHED
-SAMPLE, ROUNDS, RATE, STEP_TOKENS, SEED = 1, 2, 0.5, 512, 11
+ROUNDS, RATE, STEP_TOKENS, SEED = 2, 0.5, 1024, 11
+#: Tokens of a round that a shard trains on, about.
+SHARD_TOKENS = 2_000_000
 #: Words of this share of the corpus are at most its inverse in number.
 KNOWN_SHARE = 1e-6
 #: Words counted or remembered at a time in a worker.
@@ -84,15 +90,6 @@ class Network:
         n = len(tokens)
         return np.stack([padded[SIDE + d : SIDE + d + n] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1)
 
-    def _forward(self, around: np.ndarray, by_place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = by_place[0][around[:, 0]]
-        for k in range(1, 2 * SIDE):
-            x += by_place[k][around[:, k]]
-        h = np.tanh(x + self.shift)
-        z = h @ self.outer + self.bias
-        z -= z.max(1, keepdims=True)
-        return h, z
-
     def log_probabilities(self, around: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         by_place = np.einsum("vw,kwh->kvh", self.embed, self.inner)
         by_place[0] += self.shift
@@ -116,19 +113,33 @@ class Network:
 
     def step(self, around: np.ndarray, tokens: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean negative log-probability."""
-        n, rows = len(tokens), np.arange(len(tokens))
-        h, p = self._forward(around, self.embed @ self.inner)
+        n, places = len(tokens), 2 * SIDE
+        by_place = self.embed @ self.inner
+        x = by_place[0].take(around[:, 0], 0)
+        for k in range(1, places):
+            x += by_place[k].take(around[:, k], 0)
+        x += self.shift
+        h = np.tanh(x, out=x)
+        p = h @ self.outer
+        p += self.bias
+        if abs(self.outer).sum(0).max() + abs(self.bias).max() >= 80:  # else no logit can overflow
+            p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
         p *= (rate / n / (p @ np.ones(CLASSES, np.float32)))[:, None]
-        p[rows, tokens] -= rate / n
-        dh = (p @ self.outer.T) * (1 - h * h)
-        embed, one_hot = self.embed.copy(), np.zeros((n, CLASSES + 1), np.float32)
-        for k in range(2 * SIDE):
-            one_hot[rows, around[:, k]] = 1
-            by_class = one_hot.T @ dh
-            one_hot[rows, around[:, k]] = 0
-            self.embed -= by_class @ self.inner[k].T
-            self.inner[k] -= embed.T @ by_class
+        p[np.arange(n), tokens] -= rate / n
+        dh = p @ self.outer.T
+        dh *= 1 - h * h
+        # for each place the sums of dh by class: its classes sorted, and equal ones summed together
+        keys = (around + np.arange(places) * (CLASSES + 1)).T.ravel()
+        order = np.argsort(keys, kind="stable")
+        own = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        by_class = np.zeros((places * (CLASSES + 1), HIDDEN), np.float32)
+        by_class[own[first]] = np.add.reduceat(dh.take(order % n, 0), first, axis=0)
+        by_class = by_class.reshape(places, CLASSES + 1, HIDDEN)
+        embed = np.einsum("kvh,kwh->vw", by_class, self.inner, optimize=True)
+        self.inner -= self.embed.T @ by_class
+        self.embed -= embed
         self.shift -= dh.sum(0)
         self.outer -= h.T @ p
         self.bias -= p.sum(0)
@@ -192,64 +203,91 @@ class Words:
 
 
 class Shares(dict):
-    """Word -> log P(word | class) of held words; of others the class' part, to which the join adds log n."""
+    """Word -> place of a held word in the arrays `classes` and `logs` (log P(word | class)); of another
+    word -(class + 1), whose share is the class' part in `rest`, to which the join adds log n."""
 
     def __init__(self, frequent: list[bytes], held: list[bytes], counts: np.ndarray, class_counts: np.ndarray):
-        self.classes, self.rest = Classes(frequent), (-np.log(class_counts + 1)).tolist()
-        for w, n in zip(held, counts.tolist(), strict=True):
-            k = self.classes[w]
-            self[w] = 0.0 if k < FREQUENT else math.log(n) + self.rest[k]
+        self._others, self.rest = Classes(frequent), -np.log(class_counts + 1)
+        self.classes = np.array([self._others[w] for w in held], np.int64)
+        self.logs = np.where(self.classes < FREQUENT, 0.0, np.log(np.maximum(counts, 1)) + self.rest[self.classes]) if len(held) else np.zeros(0)
+        super().__init__(zip(held, range(len(held)), strict=True))
 
-
-def fit(df: DataFrame, *, text_col: str = "text", sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray, Words]:
+    def __missing__(self, word: bytes) -> int:
+        code = -1 - self._others[word]
+        if len(self) < len(self.classes) + HELD_WORDS:
+            self[word] = code
+        return code
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(classes, logs, places of those that aren't held)."""
+        codes = np.array(list(map(self.__getitem__, words)), np.int64)
+        other = np.flatnonzero(codes < 0)
+        known = np.maximum(codes, 0)
+        tokens = self.classes[known] if len(self.classes) else np.zeros(len(codes), np.int64)
+        logs = self.logs[known] if len(self.classes) else np.zeros(len(codes))
+        tokens[other] = -1 - codes[other]
+        logs[other] = self.rest[tokens[other]]
+        return tokens, logs, other
+
+
+def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray, Words]:
     """The frequent words, the weights and the counts of all words."""
     words = checkpointed(word_counts(df, text_col=text_col))
     frequent = [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
-    texts = _texts(df, text_col)
-    chosen = texts if sample == 1 else texts.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
     counts = _class_counts(words, frequent)
-    net = Network.initial(counts)
+    net, shards = Network.initial(counts), max(1, math.ceil(counts.sum() / rounds / SHARD_TOKENS))
+    mark = F.xxhash64(F.col(id_col).cast("string"), "text")
+    texts = df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).select("text", mark.alias("mark"))
+    texts = texts.withColumn("shard", F.pmod(F.shiftright("mark", 16), F.lit(shards)))
     for number in range(rounds):
         start, rate = net.flat.copy(), RATE / (1 + number)
 
-        def train(batches: Iterator, start: np.ndarray = start, rate: float = rate, number: int = number) -> Iterator:
+        def train(batches: Iterator, start: np.ndarray = start, rate: float = rate) -> Iterator:
             import pyarrow as pa
 
-            classes, net, seen = Classes(frequent), Network(start), 0
-            around, tokens, n, place = [], [], 0, 0
-            for b in batches:
-                for t in b.column("text").to_pylist():
-                    place += 1
-                    if place % rounds != (number + 1) % rounds:
-                        continue
-                    own = np.array(classes.of(t), np.int64)
-                    if not len(own):
-                        continue
-                    around.append(Network.contexts(own))
-                    tokens.append(own)
-                    n += len(own)
-                    if n >= 64 * STEP_TOKENS:
-                        seen += _epoch(net, around, tokens, rate)
-                        around, tokens, n = [], [], 0
-            if n:
-                seen += _epoch(net, around, tokens, rate)
-            if seen:
-                values = np.concatenate([net.flat.astype(np.float64) * seen, [seen]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["k", "value"])
+            classes, total, shard, net, seen, held = Classes(frequent), np.zeros(Network.SIZE + 1), None, None, 0, []
+
+            def closed() -> None:
+                nonlocal seen, held
+                if held:
+                    seen += _epoch(net, held, rate)
+                if seen:
+                    total[:-1] += net.flat.astype(np.float64) * seen
+                    total[-1] += seen
+                seen, held = 0, []
 
+            for b in batches:
+                for text, own in zip(b.column("text").to_pylist(), b.column("shard").to_pylist(), strict=True):
+                    if own != shard:
+                        closed()
+                        shard, net, n = own, Network(start), 0
+                    tokens = np.array(classes.of(text), np.int64)
+                    if len(tokens):
+                        held.append(tokens)
+                        n += len(tokens)
+                        if n >= 64 * STEP_TOKENS:
+                            seen += _epoch(net, held, rate)
+                            held, n = [], 0
+            closed()
+            if total[-1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "value"])
+
+        # a shard's rows lie together and in order, however many tasks there are; a shard is streamed, not held
+        own = texts.where(F.pmod("mark", F.lit(rounds)) == number)
+        own = own.repartition(min(shards, shuffle_partitions(df.sparkSession)), "shard").sortWithinPartitions("shard", "mark", "text").select("shard", "text")
         # as many rows as weights, summed by Spark
-        sums = {r.k: r.value for r in chosen.mapInArrow(train, "k bigint, value double").groupBy("k").agg(F.sum("value").alias("value")).collect()}
+        sums = {r.k: r.value for r in own.mapInArrow(train, "k bigint, value double").groupBy("k").agg(F.sum("value").alias("value")).collect()}
         if sums:
             net = Network(np.array([sums[k] for k in range(Network.SIZE)]) / sums[Network.SIZE])
     return frequent, net.flat, Words(words, counts)
 
 
-def _epoch(net: Network, around: list[np.ndarray], tokens: list[np.ndarray], rate: float) -> int:
-    around, tokens = np.concatenate(around), np.concatenate(tokens)
+def _epoch(net: Network, texts: list[np.ndarray], rate: float) -> int:
+    around, tokens = np.concatenate([Network.contexts(t) for t in texts]), np.concatenate(texts)
     order = np.random.default_rng(len(tokens)).permutation(len(tokens))
     for i in range(0, len(order), STEP_TOKENS):
         at = order[i : i + STEP_TOKENS]
-        net.step(around[at], tokens[at], rate)
+        net.step(around.take(at, 0), tokens.take(at), rate)
     return len(tokens)
 
 
@@ -264,21 +302,16 @@ def score(df: DataFrame, model: tuple[list[bytes], np.ndarray, Words], *, id_col
         import xxhash
 
         shares, net = Shares(frequent, *held.value), Network(flat)
-        classes = shares.classes
         for b in batches:
             texts = b.column("text").to_pylist()
             for i in range(0, len(texts), 256):
                 said = [(t or "").encode().lower().split() for t in texts[i : i + 256]]
-                tokens = [np.array([classes[w] for w in ws], np.int64) for ws in said]
-                sizes = np.array([len(x) for x in tokens])
-                whole = np.concatenate(tokens)
-                around = np.concatenate([Network.contexts(x) for x in tokens])
-                logs = np.array([shares.get(w) for ws in said for w in ws], np.float64)  # NaN where not held
-                at = np.flatnonzero(np.isnan(logs))
-                logs[at] = np.array(shares.rest)[whole[at]]
+                sizes = np.array([len(ws) for ws in said])
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
-                ends = np.concatenate([[0], np.cumsum(net.log_probabilities(around, whole) + logs)])[bounds]
-                every = [w for ws in said for w in ws] if len(at) else []
+                every = list(chain.from_iterable(said))
+                tokens, logs, at = shares.of(every)
+                around = np.concatenate([Network.contexts(tokens[s:e]) for s, e in zip(bounds, bounds[1:], strict=False)])
+                ends = np.concatenate([[0], np.cumsum(net.log_probabilities(around, tokens) + logs)])[bounds]
                 hashes = pa.array(np.array([xxhash.xxh64_intdigest(every[j], 42) for j in at], np.uint64).view(np.int64))  # F.xxhash64
                 rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, bounds).astype(np.int32)), hashes)
                 yield pa.RecordBatch.from_arrays([b.column("row").slice(i, 256), b.column("id").slice(i, 256), pa.array(sizes, pa.int64()), pa.array(np.diff(ends), pa.float64()), rare], names=["row", "id", "n_tokens", "known", "rare"])

@@ -199,7 +199,7 @@ def test_license(spark):
 def test_language_model(spark):
     text = "a b c d e f g h " * 30
     df = spark.createDataFrame([(i, text) for i in range(40)] + [(99, None)], "doc_id bigint, text string")
-    model = lm_score.fit(df, sample=1, rounds=3)
+    model = lm_score.fit(df, rounds=3)
     got = {r.doc_id: r for r in lm_score.score(df, model).collect()}
     net, own = lm_score.Network(model[1]), np.array(lm_score.Classes(model[0]).of(text))
     around, plain = lm_score.Network.contexts(own), 0.0
@@ -292,7 +292,8 @@ def test_language_model_learns_from_every_document(spark):
         net = lm_score.Network(flat)
         own = np.array(lm_score.Classes(frequent).of(text))
         start = lm_score.Network.initial(np.bincount(own, minlength=lm_score.CLASSES))
-        assert net.bias[own].min() > np.log(0.1) and not np.allclose(net.outer, start.outer)
+        # a word seen 30 times in 120, as smoothed over all classes
+        assert net.bias[own].min() > np.log(30 / (120 + lm_score.CLASSES)) and not np.allclose(net.outer, start.outer)
 
 
 @pytest.mark.parametrize("share", [1e-6, 0.004])
@@ -317,6 +318,36 @@ def test_language_model_tells_words_of_a_class_apart(spark, monkeypatch, share):
         assert got[i] == pytest.approx(want, rel=1e-6)
 
 
+def test_language_model_is_the_same_for_any_partitions(spark, monkeypatch):
+    """Scores, on many shards, of the same rows in one and in many partitions and in another order."""
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 500)
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{min(r.geometric(0.05), 400)}" for _ in range(r.integers(0, 90)))) for i in range(120)] + [(None, "null id here"), (3, None)]
+    got = []
+    for parts, order in ((1, rows), (7, rows[::-1])):
+        df = spark.createDataFrame(order, "doc_id bigint, text string").repartition(parts)
+        got.append({(x.doc_id, x.n_tokens): x.log_likelihood for x in lm_score.score(df, lm_score.fit(df)).collect()})
+    assert got[0].keys() == got[1].keys() and all(got[0][k] == pytest.approx(got[1][k], rel=1e-5, abs=1e-9) for k in got[0])
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert lm_score.score(empty, lm_score.fit(empty)).count() == 0
+
+
+def test_language_model_step_follows_the_gradient():
+    """A step's change against finite differences of the mean negative log-probability."""
+    r = np.random.default_rng(3)
+    tokens = r.integers(0, lm_score.CLASSES, 40)
+    around = lm_score.Network.contexts(tokens)
+    start = lm_score.Network(r.normal(0, 0.3, lm_score.Network.SIZE))
+    moved = lm_score.Network(start.flat)
+    moved.step(around, tokens, 1.0)
+    loss = lambda flat: -lm_score.Network(flat).log_probabilities(around, tokens).mean()
+    for k in np.argsort(-abs(moved.flat - start.flat))[:60:3]:
+        up, down = start.flat.copy(), start.flat.copy()
+        up[k] += 0.01
+        down[k] -= 0.01
+        assert start.flat[k] - moved.flat[k] == pytest.approx((loss(up) - loss(down)) / 0.02, rel=0.05, abs=1e-3)
+
+
 def test_spelled_emails_are_proposed_in_any_case():
     for text in ("jane (AT) example.com", "jane [ at ] example.org", "jane at example Dot com"):
         assert [k for k, *_ in pii.candidates(text)] == ["email_spelled"]
