@@ -1,19 +1,23 @@
 """A training corpus from documents: quality, copies, near copies, personal data, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents; the
-last returns the packed pieces.
+Each stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns of documents,
+whatever their names; the last returns the packed pieces.
+
+Null texts count as empty (and stay null): the classifier scores them as any other text, equal ones
+are copies of each other, they have no near copies and no personal data, and are packed as a final id
+alone. Rows of a null id are kept unless the classifier rejects them or a row with an id has the same
+text. Rows that repeat an id and a text stay together. Texts of any length are read whole. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelgrid.llm import exact_dedup, minhash, packing, pii, quality
 from panelgrid.llm import queries as llm
-from panelgrid.llm.common import ensure_checkpoint_dir, table
+from panelgrid.llm.common import Scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +61,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    for _, stage in STAGES:
+        before, docs = docs, scratch.write(stage(spark, docs, sf_dir))
+        scratch.drop(before)
     return docs
