@@ -3,7 +3,8 @@
 A document is its ids and a final id; only longer ones than a sequence are cut, the first piece
 taking the remainder. Pieces are packed by bands of length, longest first. A round of a band
 
-1. offers its slots: a gap that has room for several pieces of the band is as many slots;
+1. offers its slots: a gap that has room for several pieces of the band is as many slots, though all gaps
+   together about twice as many as pieces wait, as the rest would stay free in any case;
 2. sorts waiting pieces and slots together by length, by ranges over all tasks, equal lengths by their
    numbers, so that a length of which there are very many is dealt over many tasks;
 3. sweeps: each task goes through its range upwards and gives each slot its predecessor, the longest
@@ -159,18 +160,21 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     # numbered once and written, so that a task that runs again doesn't number them anew
     parts = scratch.write(parts.withColumn("row", F.monotonically_increasing_id()))
     rounds, gaps, opened, number, last = [], None, 0, 0, None
-    present = {int(r.length) for r in parts.select("length").distinct().collect()}  # at most capacity
+    present = {int(r.length): int(r.n) for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity
     for most, least in bands(capacity):
-        if not any(least < n <= most for n in present):
+        total = sum(n for length, n in present.items() if least < length <= most)
+        if not total:
             continue
         waiting = parts.where((F.col("length") > least) & (F.col("length") <= most)).select("row", "length")
         while True:
             sized = waiting.select(F.col("length").alias("size"), F.lit(PIECE).alias("kind"), "row", F.lit(None).cast("bigint").alias("sequence"), F.lit(None).cast("int").alias("slot"))
+            offering = 0
             if gaps is not None:
-                slots = F.greatest(F.lit(1), F.floor(F.col("free") / most)).cast("int")
+                offering = gaps.where(F.col("free") > least).count()
+                slots = F.greatest(F.lit(1), F.least(F.lit(2 * total // max(1, offering)), F.floor(F.col("free") / most))).cast("int")
                 offered = gaps.where(F.col("free") > least).select(F.floor(F.col("free") / slots).alias("size"), F.lit(SLOT).alias("kind"), F.lit(None).cast("bigint").alias("row"), "sequence", F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"))
                 sized = sized.unionByName(offered)
-            tasks = -(-sized.count() // ROWS_EACH) or 1
+            tasks = -(-(3 * total + offering) // ROWS_EACH)  # of no more pieces and slots than that
             swept = scratch.write(sized.repartitionByRange(tasks, "size", "kind", "row", "sequence", "slot").sortWithinPartitions("size", "kind", "row", "sequence", "slot").mapInArrow(_sweep, _SWEPT))
             scratch.drop(last)
             last = swept
