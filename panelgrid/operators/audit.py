@@ -71,22 +71,29 @@ def expanding_folds(n_dates: int, n_folds: int, radius: int) -> list[tuple[int,
     return [(k, cut[k + 1] - radius, cut[k + 1], cut[k + 2]) for k in range(n_folds)]
 
 
-def _rows_of_folds(rows: DataFrame, folds: Sequence[tuple[int, int, int, int]]) -> DataFrame:
+def _rows_of_folds(rows: DataFrame, folds: Sequence[tuple[int, int, int, int]] | int, seed: int) -> DataFrame:
+    """Each row once for every fold in which it trains or tests, with whether it trains. A number of
+    folds instead of folds by date deals single rows to them by a hash: a negative control, as the
+    same date, and copies of a row, then stand on both sides."""
+    if isinstance(folds, int):
+        own = F.pmod(F.xxhash64(F.lit(seed), "datetime", "instrument"), F.lit(folds)).cast("int")
+        return rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("train", F.col("fold") != own)
     table = rows.sparkSession.createDataFrame(list(folds), "fold int, train_end bigint, test_from bigint, test_to bigint")
-    return rows.join(F.broadcast(table), (F.col("pos") < F.col("train_end")) | ((F.col("pos") >= F.col("test_from")) & (F.col("pos") < F.col("test_to"))))
+    dealt = rows.join(F.broadcast(table), (F.col("pos") < F.col("train_end")) | ((F.col("pos") >= F.col("test_from")) & (F.col("pos") < F.col("test_to"))))
+    return dealt.withColumn("train", F.col("pos") < F.col("train_end")).drop("train_end", "test_from", "test_to")
 
 
-def ridge_oos(rows: DataFrame, features: Sequence[str], folds: Sequence[tuple[int, int, int, int]], *, alpha: float = 1.0, by: Sequence[str] = (), label: str = "label", min_train: int = 10) -> DataFrame:
+def ridge_oos(rows: DataFrame, features: Sequence[str], folds: Sequence[tuple[int, int, int, int]] | int, *, alpha: float = 1.0, by: Sequence[str] = (), label: str = "label", min_train: int = 10, seed: int = 0) -> DataFrame:
     """Out-of-sample predictions of a ridge with a free intercept, per fold (and by). rows: datetime,
     instrument, pos, features, label. Only the sums of products of each fold reach the driver."""
     usable = F.col(label).isNotNull()
     for f in features:
         usable = usable & F.col(f).isNotNull()
-    dealt = _rows_of_folds(rows.where(usable), folds)
+    dealt = _rows_of_folds(rows.where(usable), folds, seed)
     xs = ["1D", *[f"`{f}`" for f in features]]
     products = [F.sum(F.expr(f"CAST({a} AS DOUBLE) * {b}")).alias(f"p{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate([*xs, f"`{label}`"]) if j >= i]
     keys = [*by, "fold"]
-    sums = dealt.where(F.col("pos") < F.col("train_end")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *products).collect()
+    sums = dealt.where("train").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *products).collect()
     k, solved = len(xs), []
     for r in sums:
         if r.n < min_train:
@@ -98,21 +105,21 @@ def ridge_oos(rows: DataFrame, features: Sequence[str], folds: Sequence[tuple[in
         solved.append((*[r[c] for c in keys], [float(v) for v in np.linalg.lstsq(gram + penalty, right, rcond=None)[0]]))
     types = {c: dealt.schema[c].dataType.simpleString() for c in keys}
     weights = rows.sparkSession.createDataFrame(solved, ", ".join(f"{c} {types[c]}" for c in keys) + ", beta array<double>")
-    test = dealt.where((F.col("pos") >= F.col("test_from")) & (F.col("pos") < F.col("test_to"))).join(F.broadcast(weights), keys)
+    test = dealt.where("not train").join(F.broadcast(weights), keys)
     score = F.element_at("beta", 1)
     for i, f in enumerate(features):
         score = score + F.element_at("beta", i + 2) * F.col(f)
     return test.select(*by, "fold", "datetime", "instrument", score.alias("score"), F.col(label).alias("label"))
 
 
-def model_oos(rows: DataFrame, features: Sequence[str], folds: Sequence[tuple[int, int, int, int]], model: Callable, *, by: Sequence[str] = (), label: str = "label", min_train: int = 10) -> DataFrame:
+def model_oos(rows: DataFrame, features: Sequence[str], folds: Sequence[tuple[int, int, int, int]] | int, model: Callable, *, by: Sequence[str] = (), label: str = "label", min_train: int = 10, seed: int = 0) -> DataFrame:
     """The same for a user's model(train_x, train_y, test_x) -> predictions; a fold's rows meet in one task."""
-    dealt = _rows_of_folds(rows.dropna(subset=[*features, label]), folds)
+    dealt = _rows_of_folds(rows.dropna(subset=[*features, label]), folds, seed)
     keys = [*by, "fold"]
     kinds = {c: dealt.schema[c].dataType.simpleString() for c in [*keys, "datetime", "instrument"]}
 
     def run(part):
-        train, test = part[part.pos < part.train_end], part[(part.pos >= part.test_from) & (part.pos < part.test_to)]
+        train, test = part[part.train], part[~part.train]
         out = test[[*keys, "datetime", "instrument"]].copy()
         if len(train) < min_train or not len(test):
             return out.iloc[:0].assign(score=[], label=[])
@@ -123,15 +130,17 @@ def model_oos(rows: DataFrame, features: Sequence[str], folds: Sequence[tuple[in
     return dealt.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", score double, label double")
 
 
-def leakage_audit(rows: DataFrame, features: Sequence[str], days: DataFrame, *, radius: int, n_permutations: int = 200, n_folds: int = 3, alpha: float = 0.01, ridge: float = 1.0, seed: int = 20240101, min_obs: int = 10, model: Callable | None = None) -> dict:
+def leakage_audit(rows: DataFrame, features: Sequence[str], days: DataFrame, *, radius: int, n_permutations: int = 200, n_folds: int = 3, alpha: float = 0.01, ridge: float = 1.0, seed: int = 20240101, min_obs: int = 10, model: Callable | None = None, fold_scheme: str = "purged") -> dict:
     """Mean out-of-sample rank IC on labels whose dates are permuted, all replicates in one job, and a
-    one-sided t test of its mean; the unpermuted IC is reported with it."""
-    n_dates = days.count()
-    folds = expanding_folds(n_dates, n_folds, radius)
+    one-sided t test of its mean; the unpermuted IC is reported with it. fold_scheme "overlapping" is the
+    negative control in which rows of one date stand on both sides."""
+    if fold_scheme not in ("purged", "overlapping"):
+        raise ValueError(f"unknown fold scheme {fold_scheme!r}")
+    folds = n_folds if fold_scheme == "overlapping" else expanding_folds(days.count(), n_folds, radius)
     mapping = date_permutation(days, seed, range(1, n_permutations + 1)).unionByName(days.select(F.lit(0).alias("b"), "datetime", F.col("datetime").alias("source")))
     moved = permute_labels(rows.select("datetime", "instrument", "label"), mapping)
     all_rows = rows.select("datetime", "instrument", "pos", *features).join(moved, ["datetime", "instrument"])
-    scored = model_oos(all_rows, features, folds, model, by=["b"]) if model else ridge_oos(all_rows, features, folds, alpha=ridge, by=["b"])
+    scored = model_oos(all_rows, features, folds, model, by=["b"], seed=seed) if model else ridge_oos(all_rows, features, folds, alpha=ridge, by=["b"], seed=seed)
     # each (replicate, date) is a cross-section of its own
     one = scored.select("b", F.struct("b", "datetime").alias("datetime"), "instrument", "score", "label")
     ics = rank_ic(one, min_obs=max(3, min_obs)).select(F.col("datetime.b").alias("b"), "ic").groupBy("b").agg(F.avg("ic").alias("ic"))

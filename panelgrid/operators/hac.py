@@ -65,7 +65,8 @@ def lag1_autocorrelation(df: DataFrame, *, col: str = "ic", order: str = "dateti
 
 def newey_west(df: DataFrame, *, col: str = "ic", order: str = "datetime", bandwidth: int | None = None, correct: bool = True, k_reg: int | None = None, reference: str = "normal", prewhiten: bool = False, min_obs: int = 3, p_value: bool = True) -> DataFrame:
     """One row: n_obs, mean, variance, standard_error, t_stat, p_value, bandwidth, degrees_of_freedom,
-    k_reg, correction_factor, ar1_coefficient. Too few values give nulls and bandwidth 0."""
+    k_reg, correction_factor, ar1_coefficient, bandwidth_is_automatic, reference, small_sample_correction,
+    prewhiten. Fewer than min_obs values give nulls and bandwidth 0; no more than k_reg are an error."""
     if reference not in ("normal", "student"):
         raise ValueError(f"unknown reference {reference!r}")
     if min_obs < 3 or (bandwidth is not None and bandwidth < 0) or (k_reg is not None and k_reg < 1):
@@ -80,12 +81,13 @@ def newey_west(df: DataFrame, *, col: str = "ic", order: str = "datetime", bandw
     else:
         one = one.withColumn("rho", F.lit(None).cast("double"))
     k = F.lit(k_reg if k_reg is not None else 1 + (bandwidth is None)).cast("bigint")
-    enough = (F.col("n_all") >= min_obs) & (F.col("n") > k)
+    enough = F.col("n_all") >= min_obs
+    few = F.when(enough & (F.col("n") <= k), F.raise_error(F.lit("k_reg has to be less than the number of values")))
     if bandwidth is None:
-        one = one.withColumn("bw", F.when(enough, automatic_bandwidth(F.col("n"))).otherwise(F.lit(0)).cast("bigint"))
+        one = one.withColumn("bw", F.coalesce(few.cast("bigint"), F.when(enough, automatic_bandwidth(F.col("n"))).otherwise(F.lit(0)).cast("bigint")))
     else:
         wide = F.when(enough & (F.lit(bandwidth) > F.col("n") - 1), F.raise_error(F.lit("the bandwidth has to be shorter than the series")))
-        one = one.withColumn("bw", F.coalesce(wide.cast("bigint"), F.when(enough, F.lit(bandwidth)).otherwise(F.lit(0)).cast("bigint")))
+        one = one.withColumn("bw", F.coalesce(few.cast("bigint"), wide.cast("bigint"), F.when(enough, F.lit(bandwidth)).otherwise(F.lit(0)).cast("bigint")))
     one = one.withColumn("variance", F.when(enough, _long_run("u", "n", "bw") / F.coalesce(F.pow(1 - F.col("rho"), F.lit(2.0)), F.lit(1.0))))
     factor = F.sqrt(F.col("n") / (F.col("n") - k).cast("double")) if correct else F.lit(1.0)
     one = one.withColumn("factor", F.when(enough, factor))
@@ -96,4 +98,5 @@ def newey_west(df: DataFrame, *, col: str = "ic", order: str = "datetime", bandw
     return one.select(
         F.when(enough, F.col("n")).otherwise(F.col("n_all")).alias("n_obs"), "mean", "variance", F.col("se").alias("standard_error"), F.col("t").alias("t_stat"), p.alias("p_value"),
         F.col("bw").alias("bandwidth"), F.col("df").alias("degrees_of_freedom"), F.when(enough, k).otherwise(F.lit(k_reg or 1)).cast("bigint").alias("k_reg"), F.col("factor").alias("correction_factor"), F.when(enough, F.col("rho")).alias("ar1_coefficient"),
+        F.lit(bandwidth is None).alias("bandwidth_is_automatic"), F.lit(reference).alias("reference"), F.lit(correct).alias("small_sample_correction"), F.lit(prewhiten).alias("prewhiten"),
     )

@@ -54,15 +54,20 @@ def publish(events: DataFrame, days: DataFrame, spec: LagSpec, *, mode: str = "a
     dates = F.broadcast(days.agg(F.array_sort(F.collect_list("datetime")).alias("_days")))  # one row: the calendar
     first = lambda c: F.size(F.filter("_days", lambda d: d < c)).cast("bigint")
     order = Window.partitionBy("instrument").orderBy("visible", "report", *spec.values)
-    spans = _events(events, spec, column).crossJoin(dates).withColumn("start", first(F.col("visible")))
-    stop = F.coalesce(F.lead("start").over(order), F.size("_days").cast("bigint"))
+    # positions are found before the window, so that no event carries the calendar through the shuffle
+    spans = _events(events, spec, column).crossJoin(dates).withColumn("start", first(F.col("visible"))).withColumn("_end", F.size("_days").cast("bigint"))
+    if max_days is not None:
+        spans = spans.withColumn("_old", first(F.date_add("visible", max_days + 1)))
+    spans = spans.drop("_days")
+    stop = F.coalesce(F.lead("start").over(order), F.col("_end"))
     if max_periods is not None:
         stop = F.least(stop, F.col("start") + max_periods)
     if max_days is not None:
-        stop = F.least(stop, first(F.date_add("visible", max_days + 1)))
+        stop = F.least(stop, F.col("_old"))
     spans = spans.withColumn("stop", stop).where("stop > start")
-    held = spans.select("instrument", *spec.values, "_days", F.explode(F.sequence("start", F.col("stop") - 1)).alias("pos"))
-    return held.select(F.element_at("_days", (F.col("pos") + 1).cast("int")).alias("datetime"), "pos", "instrument", *spec.values)
+    held = spans.select("instrument", *spec.values, F.explode(F.sequence("start", F.col("stop") - 1)).alias("pos"))
+    calendar = dates.select(F.posexplode("_days").alias("pos", "datetime")).withColumn("pos", F.col("pos").cast("bigint"))
+    return held.join(F.broadcast(calendar), "pos").select("datetime", "pos", "instrument", *spec.values)
 
 
 def verify(published: DataFrame, events: DataFrame, spec: LagSpec, *, mode: str = "announcement", allow_leaky: bool = True) -> DataFrame:

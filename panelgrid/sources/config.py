@@ -10,7 +10,7 @@ from datetime import date
 from pathlib import Path
 from typing import Any
 
-from .artifacts import content_hash, write_yaml
+from .artifacts import Artifacts, content_hash
 
 #: The only names that a document may refer to, and the blocks that it may have.
 PATHS = ("DATA_DIR", "PROVIDER_URI", "ARTIFACT_ROOT")
@@ -91,7 +91,7 @@ class Study:
         return content_hash({"document": self.document, "overrides": self.overrides})
 
     def dump(self, folder: str | Path) -> Path:
-        return write_yaml(Path(folder) / "resolved_config.yaml", {**self.document, "overrides": dict(self.overrides)})
+        return Artifacts(folder).save("resolved_config.yaml", {**self.document, "overrides": dict(self.overrides)})
 
 
 def load_study(path: str | Path, paths: Paths) -> Study:

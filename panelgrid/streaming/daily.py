@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelgrid.operators.pit import LagSpec, publish
@@ -15,10 +15,28 @@ def daily_panel(events: DataFrame, *, ts: str = "ts", name: str = "user_id", val
 
 
 def publish_batches(days: DataFrame, spec: LagSpec, path: str, **kwargs):
-    """A foreachBatch function: each batch of announcements is published on its own under path/batch=N,
-    so that a batch that is run again replaces what it wrote before."""
+    """A foreachBatch function: the events of each batch are kept under path/events, and the instruments
+    that it touches are published anew from all their events so far, under path/published. A batch that
+    is run again replaces what it wrote before."""
 
     def run(batch: DataFrame, number: int) -> None:
-        publish(batch, days, spec, **kwargs).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+        events = spark.read.schema(f"{_ddl(batch)}, batch bigint").parquet(f"{path}/events").where(F.col("batch") <= number)
+        touched = events.where(F.col("batch") == number).select(spec.instrument).distinct()
+        events = events.drop("batch").join(touched, spec.instrument, "left_semi")
+        publish(events, days, spec, **kwargs).write.mode("overwrite").parquet(f"{path}/published/batch={number}")
 
     return run
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """What publish_batches has published: of each instrument the rows of the last batch that touched it,
+    so the same rows as one publication of all events."""
+    rows = spark.read.parquet(f"{path}/published")
+    last = rows.groupBy("instrument").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["instrument", "batch"]).drop("batch")
