@@ -5,7 +5,8 @@ masked; a document's score is the sum of the log-probabilities of all its tokens
 (white-space separated, A-Z lower-cased): the most frequent of the whole corpus have a class each,
 the others share hashed classes, within which a word has its share of the words of the whole corpus:
 log P(word) = log P(class | context) + log P(word | class), and a word that the corpus hasn't counts
-as one more. Words of at least KNOWN_SHARE of the corpus are broadcast with their counts, rarer ones
+as one more. Classes lie in groups, and the network predicts the group and then the class within it.
+Words of at least KNOWN_SHARE of the corpus are broadcast with their counts, rarer ones
 joined. The vocabulary comes from the counts of all words of all documents, and grows with them.
 The weights are trained on all documents, in rounds, each document in one round by a hash of its id and
 text. A round's documents are dealt by that hash into shards of some SHARD_TOKENS tokens; each shard
@@ -33,6 +34,9 @@ from .common import checkpointed, shuffle_partitions
 
 FREQUENT, HASHED, SIDE, WIDTH, HIDDEN = 192, 64, 2, 16, 16
 CLASSES, PAD = FREQUENT + HASHED, FREQUENT + HASHED
+#: Classes are predicted by group, so that a token costs GROUPS + MEMBERS exponentials and not CLASSES.
+GROUPS = 16
+MEMBERS = CLASSES // GROUPS
 ROUNDS, RATE, STEP_TOKENS, SEED = 2, 0.5, 1024, 11
 #: Tokens of a round that a shard trains on, about.
 SHARD_TOKENS = 2_000_000
@@ -40,7 +44,7 @@ SHARD_TOKENS = 2_000_000
 KNOWN_SHARE = 1e-6
 #: Words counted or remembered at a time in a worker.
 HELD_WORDS = 200_000
-_BLOCK = 1024
+_BLOCK = 4096
 
 
 class Classes(dict):
@@ -58,14 +62,17 @@ class Classes(dict):
             self[word] = k
         return k
 
-    def of(self, text: str | None) -> list[int]:
-        return list(map(self.__getitem__, (text or "").encode().lower().split()))
+    def of(self, text: str | None) -> np.ndarray:
+        words = (text or "").encode().lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 class Network:
-    """Embeddings of the context by place, one hidden layer, a softmax over the classes."""
+    """Embeddings of the context by place, one hidden layer, and a softmax in two steps: over groups of
+    classes, then over the classes of the token's group, log P(class) = log P(group) + log P(class | group).
+    The last row of an output matrix is its bias, for the hidden layer ends with a 1."""
 
-    SHAPES = (("embed", (CLASSES + 1, WIDTH)), ("inner", (2 * SIDE, WIDTH, HIDDEN)), ("shift", (HIDDEN,)), ("outer", (HIDDEN, CLASSES)), ("bias", (CLASSES,)))
+    SHAPES = (("embed", (CLASSES + 1, WIDTH)), ("inner", (2 * SIDE, WIDTH, HIDDEN)), ("shift", (HIDDEN,)), ("groups", (HIDDEN + 1, GROUPS)), ("members", (GROUPS, HIDDEN + 1, MEMBERS)))
     SIZE = sum(int(np.prod(s)) for _, s in SHAPES)
 
     def __init__(self, flat: np.ndarray):
@@ -77,10 +84,12 @@ class Network:
 
     @classmethod
     def initial(cls, counts: np.ndarray) -> Network:
-        """Small random weights; the bias is the log frequency of each class."""
+        """Small random weights; the biases are the log frequencies of each group and of its classes."""
         net = cls(np.random.default_rng(SEED).normal(0, 0.1, cls.SIZE))
         net.shift[:] = 0
-        net.bias[:] = np.log((counts + 1) / (counts.sum() + CLASSES))
+        each = (counts + 1).reshape(GROUPS, MEMBERS)
+        net.groups[-1] = np.log(each.sum(1) / each.sum())
+        net.members[:, -1] = np.log(each / each.sum(1, keepdims=True))
         return net
 
     @staticmethod
@@ -90,59 +99,79 @@ class Network:
         n = len(tokens)
         return np.stack([padded[SIDE + d : SIDE + d + n] for d in (*range(-SIDE, 0), *range(1, SIDE + 1))], 1)
 
-    def log_probabilities(self, around: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        by_place = np.einsum("vw,kwh->kvh", self.embed, self.inner)
+    def _hidden(self, around: np.ndarray) -> np.ndarray:
+        by_place = self.embed @ self.inner
         by_place[0] += self.shift
-        # the hidden layer and a 1, so that one product also adds the bias
-        outer = np.concatenate([self.outer, self.bias[None]])
-        safe = abs(outer).sum(0).max() < 80  # no logit can then overflow, as the hidden layer is within -1 and 1
-        out, hidden, logits = np.empty(len(tokens)), np.ones((_BLOCK, HIDDEN + 1), np.float32), np.empty((_BLOCK, CLASSES), np.float32)
+        x = by_place[0].take(around[:, 0], 0)
+        for k in range(1, 2 * SIDE):
+            x += by_place[k].take(around[:, k], 0)
+        out = np.ones((len(around), HIDDEN + 1), np.float32)
+        np.tanh(x, out=out[:, :HIDDEN])
+        return out
+
+    @staticmethod
+    def _by_group(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """The order of the groups, and (group, first, end) of those that occur."""
+        ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+        return np.argsort(group.astype(np.int16), kind="stable"), [(k, s, e) for k, (s, e) in enumerate(zip([0, *ends], ends, strict=False)) if s < e]
+
+    def _softmax(self, h: np.ndarray, tokens: np.ndarray) -> tuple:
+        """Of both steps the logits' exponentials (each row up to a factor), their sums and the logits of the
+        tokens; the second step's rows are in the order of groups, with the order, the runs and the members."""
+        group, member = np.divmod(tokens, MEMBERS)
+        order, runs = self._by_group(group)
+        sorted_h, z = h.take(order, 0), np.empty((len(h), MEMBERS), np.float32)
+        for k, s, e in runs:
+            np.dot(sorted_h[s:e], self.members[k], out=z[s:e])
+        return (*_exponentials(h @ self.groups, group, self.groups), *_exponentials(z, member[order], self.members), group, member[order], sorted_h, order, runs)
+
+    def log_probabilities(self, around: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        out = np.empty(len(tokens))
         for i in range(0, len(tokens), _BLOCK):
-            own, c = tokens[i : i + _BLOCK], around[i : i + _BLOCK]
-            h, z = hidden[: len(own)], logits[: len(own)]
-            x = by_place[0].take(c[:, 0], 0)
-            for k in range(1, 2 * SIDE):
-                x += by_place[k].take(c[:, k], 0)
-            np.tanh(x, out=h[:, :HIDDEN])
-            np.dot(h, outer, out=z)
-            if not safe:
-                z -= z.max(1, keepdims=True)
-            right = z[np.arange(len(own)), own]
-            out[i : i + _BLOCK] = right - np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))
+            _, first, one, _, second, two, _, _, _, order, _ = self._softmax(self._hidden(around[i : i + _BLOCK]), tokens[i : i + _BLOCK])
+            part = one - np.log(first)
+            part[order] += two - np.log(second)
+            out[i : i + _BLOCK] = part
         return out
 
     def step(self, around: np.ndarray, tokens: np.ndarray, rate: float) -> None:
         """One step of gradient descent on the mean negative log-probability."""
         n, places = len(tokens), 2 * SIDE
-        by_place = self.embed @ self.inner
-        x = by_place[0].take(around[:, 0], 0)
-        for k in range(1, places):
-            x += by_place[k].take(around[:, k], 0)
-        x += self.shift
-        h = np.tanh(x, out=x)
-        p = h @ self.outer
-        p += self.bias
-        if abs(self.outer).sum(0).max() + abs(self.bias).max() >= 80:  # else no logit can overflow
-            p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p *= (rate / n / (p @ np.ones(CLASSES, np.float32)))[:, None]
-        p[np.arange(n), tokens] -= rate / n
-        dh = p @ self.outer.T
+        h, every = self._hidden(around), np.arange(n)
+        p, first, _, q, second, _, group, member, sorted_h, order, runs = self._softmax(h, tokens)
+        p *= (rate / n / first)[:, None]
+        p[every, group] -= rate / n
+        q *= (rate / n / second)[:, None]
+        q[every, member] -= rate / n
+        dh, more = p @ self.groups[:HIDDEN].T, np.empty((n, HIDDEN), np.float32)
+        self.groups -= h.T @ p
+        for k, s, e in runs:
+            np.dot(q[s:e], self.members[k, :HIDDEN].T, out=more[s:e])
+            self.members[k] -= sorted_h[s:e].T @ q[s:e]
+        dh[order] += more
+        h = h[:, :HIDDEN]
         dh *= 1 - h * h
         # for each place the sums of dh by class: its classes sorted, and equal ones summed together
-        keys = (around + np.arange(places) * (CLASSES + 1)).T.ravel()
+        keys = (around + np.arange(places) * (CLASSES + 1)).T.ravel().astype(np.int16)  # 16 bits sort by radix
         order = np.argsort(keys, kind="stable")
         own = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         by_class = np.zeros((places * (CLASSES + 1), HIDDEN), np.float32)
-        by_class[own[first]] = np.add.reduceat(dh.take(order % n, 0), first, axis=0)
+        by_class[own[starts]] = np.add.reduceat(dh.take(order % n, 0), starts, axis=0)
         by_class = by_class.reshape(places, CLASSES + 1, HIDDEN)
-        embed = np.einsum("kvh,kwh->vw", by_class, self.inner, optimize=True)
+        embed = (by_class @ self.inner.transpose(0, 2, 1)).sum(0)
         self.inner -= self.embed.T @ by_class
         self.embed -= embed
         self.shift -= dh.sum(0)
-        self.outer -= h.T @ p
-        self.bias -= p.sum(0)
+
+
+def _exponentials(z: np.ndarray, own: np.ndarray, outer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """exp(z) in place, each row up to a factor where a logit could overflow; its rows' sums; the logits of `own`."""
+    if abs(outer).sum(-2).max() >= 80:  # the hidden layer is within -1 and 1
+        z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), own]
+    np.exp(z, out=z)
+    return z, z @ np.ones(z.shape[1], np.float32), own
 
 
 def _texts(df: DataFrame, text_col: str) -> DataFrame:
@@ -220,7 +249,7 @@ class Shares(dict):
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(classes, logs, places of those that aren't held)."""
-        codes = np.array(list(map(self.__getitem__, words)), np.int64)
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         other = np.flatnonzero(codes < 0)
         known = np.maximum(codes, 0)
         tokens = self.classes[known] if len(self.classes) else np.zeros(len(codes), np.int64)
@@ -261,7 +290,7 @@ def fit(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds
                     if own != shard:
                         closed()
                         shard, net, n = own, Network(start), 0
-                    tokens = np.array(classes.of(text), np.int64)
+                    tokens = classes.of(text)
                     if len(tokens):
                         held.append(tokens)
                         n += len(tokens)

@@ -202,8 +202,9 @@ def test_language_model(spark):
     around, plain = lm_score.Network.contexts(own), 0.0
     for c, t in zip(around, own):
         h = np.tanh(sum(net.embed[x] @ net.inner[k] for k, x in enumerate(c)) + net.shift)
-        z = h @ net.outer + net.bias
-        plain += z[t] - np.log(np.exp(z).sum())
+        h, (group, member) = np.append(h, 1), divmod(t, lm_score.MEMBERS)
+        for z, k in ((h @ net.groups, group), (h @ net.members[group], member)):
+            plain += z[k] - np.log(np.exp(z).sum())
     assert got[0].log_likelihood == pytest.approx(plain, rel=1e-3) and got[0].n_tokens == len(own) and got[99].log_likelihood == 0
 
 
@@ -290,7 +291,8 @@ def test_language_model_learns_from_every_document(spark):
         own = np.array(lm_score.Classes(frequent).of(text))
         start = lm_score.Network.initial(np.bincount(own, minlength=lm_score.CLASSES))
         # a word seen 30 times in 120, as smoothed over all classes
-        assert net.bias[own].min() > np.log(30 / (120 + lm_score.CLASSES)) and not np.allclose(net.outer, start.outer)
+        group, member = np.divmod(own, lm_score.MEMBERS)
+        assert (net.groups[-1, group] + net.members[group, -1, member]).min() > np.log(30 / (120 + lm_score.CLASSES)) and not np.allclose(net.members[:, :-1], start.members[:, :-1])
 
 
 @pytest.mark.parametrize("share", [1e-6, 0.004])
@@ -345,6 +347,15 @@ def test_language_model_step_follows_the_gradient():
         assert start.flat[k] - moved.flat[k] == pytest.approx((loss(up) - loss(down)) / 0.02, rel=0.05, abs=1e-3)
 
 
+def test_language_model_sums_to_one():
+    """Probabilities over all classes, also where logits are too large for a plain exponential."""
+    r = np.random.default_rng(4)
+    for scale in (0.3, 30.0):
+        net = lm_score.Network(r.normal(0, scale, lm_score.Network.SIZE))
+        around = np.repeat(r.integers(0, lm_score.CLASSES + 1, (1, 2 * lm_score.SIDE)), lm_score.CLASSES, 0)
+        assert np.exp(net.log_probabilities(around, np.arange(lm_score.CLASSES))).sum() == pytest.approx(1, rel=1e-4)
+
+
 def test_spelled_emails_are_proposed_in_any_case():
     for text in ("jane (AT) example.com", "jane [ at ] example.org", "jane at example Dot com"):
         assert [k for k, *_ in pii.candidates(text)] == ["email_spelled"]
