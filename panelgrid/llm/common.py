@@ -42,11 +42,14 @@ class Scratch:
         self.spark, self.made, self._paths = spark, 0, {}
         self.folder = f"{ensure_checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, tasks: int | None = None) -> DataFrame:
+        """The table, read back by at most so many tasks: a small one would otherwise be dealt over as many as the
+        session has partitions in each join, while of a single task joins and groups need no shuffle."""
         path = f"{self.folder}/{self.made}"
         self.made += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        out = out if tasks is None else out.coalesce(tasks)
         self._paths[id(out)] = (out, path)
         return out
 

@@ -150,6 +150,10 @@ def _across(counts: dict[int, tuple[int, int]]) -> list[tuple[int, int, int, int
     return out
 
 
+def _tasks(rows: int) -> int:
+    return max(1, -(-rows // ROWS_EACH))
+
+
 _SEGMENT = "piece_part int, last_rank bigint, slot_part int, first_rank bigint, n bigint"
 
 
@@ -174,8 +178,8 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
                 slots = F.greatest(F.lit(1), F.least(F.lit(2 * total // max(1, offering)), F.floor(F.col("free") / most))).cast("int")
                 offered = gaps.where(F.col("free") > least).select(F.floor(F.col("free") / slots).alias("size"), F.lit(SLOT).alias("kind"), F.lit(None).cast("bigint").alias("row"), "sequence", F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"))
                 sized = sized.unionByName(offered)
-            tasks = -(-(3 * total + offering) // ROWS_EACH)  # of no more pieces and slots than that
-            swept = scratch.write(sized.repartitionByRange(tasks, "size", "kind", "row", "sequence", "slot").sortWithinPartitions("size", "kind", "row", "sequence", "slot").mapInArrow(_sweep, _SWEPT))
+            tasks, pairs = _tasks(3 * total + offering), _tasks(total)  # of no more pieces and slots than that
+            swept = scratch.write(sized.repartitionByRange(tasks, "size", "kind", "row", "sequence", "slot").sortWithinPartitions("size", "kind", "row", "sequence", "slot").mapInArrow(_sweep, _SWEPT), tasks)
             scratch.drop(last)
             last = swept
             # two counts for each task
@@ -199,11 +203,11 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
                 lowest = {}
             found = sum(r.m for r in counted) + sum(s[4] for s in segments)
             if found:
-                matched = scratch.write(matched.withColumn("round", F.lit(number)))
+                matched = scratch.write(matched.withColumn("round", F.lit(number)), pairs)
                 number += 1
                 rounds.append(matched)
                 took = matched.groupBy("sequence").agg(F.sum("length").alias("took"))
-                old, gaps = gaps, scratch.write(gaps.join(took, "sequence", "left").select("sequence", (F.col("free") - F.coalesce("took", F.lit(0))).alias("free")).where("free > 0"))
+                old, gaps = gaps, scratch.write(gaps.join(took, "sequence", "left").select("sequence", (F.col("free") - F.coalesce("took", F.lit(0))).alias("free")).where("free > 0"), _tasks(opened))
                 scratch.drop(old)
             before, total = {}, 0
             for r in sorted(counted, key=lambda r: r.part):
@@ -223,11 +227,11 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             ranked = left.join(ranks, "part").withColumn("place", F.lit(total - 1) - F.col("before") - F.col("rank"))
             placing = F.col("place") < new * each
             at = (F.lit(opened) + F.floor(F.col("place") / each)).alias("sequence"), (F.col("place") % each).cast("int").alias("slot")
-            matched = scratch.write(ranked.where(placing).select("row", "length", *at, F.lit(number).alias("round")))
+            matched = scratch.write(ranked.where(placing).select("row", "length", *at, F.lit(number).alias("round")), pairs)
             number, opened = number + 1, opened + new
             rounds.append(matched)
             made = matched.groupBy("sequence").agg((capacity - F.sum("length")).alias("free")).where("free > 0")
-            old, gaps = gaps, scratch.write(made if gaps is None else gaps.unionByName(made))
+            old, gaps = gaps, scratch.write(made if gaps is None else gaps.unionByName(made), _tasks(opened))
             scratch.drop(old)
             if total <= new * each:
                 break
