@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, license_scan, lm_score, minhash, packing, pii, quality, url_filter
+from . import bpe, embedding_dedup, exact_dedup, html_text, license_scan, lm_score, minhash, packing, pii, quality, spelling, url_filter, vector_codes
 from .common import table
 
 #: Where the vocabulary files of the public tokenizers lie.
@@ -94,8 +94,20 @@ def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size(base).cast("bigint").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.col("places")).alias("labels"), "score")
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_pii, op4_embedding_dedup, op5_url_filter, op6_packing, op7_lm_score, op8_quality, op9_minhash, op10_license)}
+    return {f.__name__: f for f in (op1_bpe, op2_exact_dedup, op3_pii, op4_embedding_dedup, op5_url_filter, op6_packing, op7_lm_score, op8_quality, op9_minhash, op10_license, op11_html_text, op12_spelling, op13_vector_codes)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -122,5 +134,68 @@ SELECT page_id, host, path, (x).rule AS rule, coalesce((x).verdict, 'allow') AS
 """
 
 
+#: Letters beyond a-z as one byte each, so that byte and code-point distances agree.
+_ONE_BYTE = ("".join(map(chr, range(0xC0, 0x100))), "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~"[:64])
+
+_SPELLING = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY 1, 2),
+hashed AS (
+  SELECT run, times, xor(list_reduce(flatten(list_transform(string_split(doc_id || ':' || run, ''),
+      lambda s: CASE WHEN unicode(s) < 128 THEN [unicode(s)::BIGINT] ELSE [192 + (unicode(s)::BIGINT >> 6), 128 + (unicode(s)::BIGINT & 63)] END)),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM runs, crc),
+damaged AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n, translate(word, '{_ONE_BYTE[0]}', '{_ONE_BYTE[1]}') AS w FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+less AS (SELECT word, n, w, unnest(list_distinct(list_append(list_transform(range(1, length(w) + 1), lambda i: substr(w, 1, i - 1) || substr(w, i + 1)), w))) AS v FROM words),
+near AS (
+  SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM less a JOIN less b USING (v) WHERE a.w <> b.w AND levenshtein(a.w, b.w) = 1),
+forms AS (
+  SELECT word, count(*) AS n_near, min(CASE WHEN near_n >= 2 * n THEN {{'less': -near_n, 'near': near}} END) AS best FROM near GROUP BY word),
+each AS (SELECT word, n, coalesce(n_near, 0) AS n_near, best.near AS form, -best.less AS form_n FROM words LEFT JOIN forms USING (word)),
+chain AS (
+  SELECT word, word AS root FROM each
+  UNION ALL SELECT chain.word, each.form FROM chain JOIN each ON each.word = chain.root WHERE each.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.root FROM chain JOIN each ON each.word = chain.root WHERE each.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM each JOIN ends USING (word)
+"""
+
+
+def _codes_sql() -> str:
+    """Every round of the codebooks as two steps: parts assigned to entries, entries moved."""
+    steps = []
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""
+d{k} AS MATERIALIZED (
+  SELECT vec_id, label, s.p, min({{'d': list_sum(list_transform(list_zip(s.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'e': c.e}}) AS x
+  FROM parts s JOIN c{k} c ON s.p = c.p GROUP BY vec_id, label, s.p)""")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"""
+m{k} AS (
+  SELECT p, e, list((total - ((total % n) + n) % n) // n ORDER BY i) AS v FROM (
+    SELECT d.p, x.e AS e, i, CAST(sum(s.v[i]) AS BIGINT) AS total, count(*) AS n
+    FROM d{k} d JOIN parts s USING (vec_id, p), range(1, len(s.v) + 1) r(i) GROUP BY 1, 2, 3) GROUP BY p, e),
+c{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} USING (p, e))""")
+    last = vector_codes.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, q[p * (len(q) // 16) + 1 : (p + 1) * (len(q) // 16)] AS v FROM kept, range(16) r(p)),
+c0 AS MATERIALIZED (
+  SELECT p, e, v FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 64) USING (vec_id)),
+{",".join(steps)},
+coded AS (SELECT vec_id, label, string_agg(printf('%02x', x.e), '' ORDER BY p) AS code, CAST(sum(x.d) AS BIGINT) AS error FROM d{last} GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(v[i] AS VARCHAR), ',' ORDER BY p, e, i)) FROM c{last}, range(1, len(v) + 1) r(i)) AS codebooks_sha256
+FROM coded
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _EXACT, "op5_url_filter": _URLS}
+    return {"op2_exact_dedup": _EXACT, "op5_url_filter": _URLS, "op12_spelling": _SPELLING, "op13_vector_codes": _codes_sql()}
