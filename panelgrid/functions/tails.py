@@ -49,6 +49,29 @@ def student_upper(t: float, df: float) -> float:
     return p if t >= 0 else 1 - p
 
 
+def student_inverse(p: float, df: float) -> float:
+    """The p quantile of Student's t: Newton steps on the distribution, kept inside a bracket that halves where a step would leave it."""
+    if not 0 < p < 1 or df <= 0:
+        return math.copysign(math.inf, p - 0.5) if p in (0, 1) and df > 0 else math.nan
+    if p == 0.5:
+        return 0.0
+    upper, low, high = min(p, 1 - p), 0.0, 1.0  # of the upper tail; the lower one is its mirror image
+    while student_upper(high, df) > upper:
+        low, high = high, 2 * high
+    log_peak = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi)
+    t = (low + high) / 2
+    for _ in range(200):
+        miss = student_upper(t, df) - upper
+        low, high = (t, high) if miss > 0 else (low, t)
+        step = t + miss / math.exp(log_peak - (df + 1) / 2 * math.log1p(t * t / df))
+        new = step if low < step < high else (low + high) / 2
+        if abs(new - t) <= 1e-15 * max(1.0, abs(t)):
+            t = new
+            break
+        t = new
+    return math.copysign(t, p - 0.5)
+
+
 def _or_none(f, *xs):
     return None if any(x is None or math.isnan(x) for x in xs) else f(*xs)
 
@@ -73,3 +96,5 @@ def _quantile(p: float) -> float:
 #: Two-sided p-values of a normal (t) and of Student's t (t, df); the normal's cdf and quantile; log gamma.
 p_normal, p_student = _udf(normal_two_sided), _udf(student_two_sided)
 normal_cdf, normal_quantile, log_gamma = _udf(NormalDist().cdf), _udf(_quantile), _udf(math.lgamma)
+#: Quantile of Student's t (p, df).
+student_quantile = _udf(student_inverse)

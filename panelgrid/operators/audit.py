@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelgrid.functions.tails import student_upper
 
+from .folds import train_and_test
 from .ic import rank_ic
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -71,10 +72,15 @@ def expanding_folds(n_dates: int, n_folds: int, radius: int) -> list[tuple[int,
     return [(k, cut[k + 1] - radius, cut[k + 1], cut[k + 2]) for k in range(n_folds)]
 
 
-def _rows_of_folds(rows: DataFrame, folds: Sequence[tuple[int, int, int, int]] | int, seed: int) -> DataFrame:
-    """Each row once for every fold in which it trains or tests, with whether it trains. A number of
-    folds instead of folds by date deals single rows to them by a hash: a negative control, as the
-    same date, and copies of a row, then stand on both sides."""
+Folds = Sequence[tuple[int, int, int, int]] | DataFrame | int
+
+
+def _rows_of_folds(rows: DataFrame, folds: Folds, seed: int) -> DataFrame:
+    """Each row once for every fold in which it trains or tests, with whether it trains. Folds are expanding
+    ones, or a table (split, datetime, role). A number of folds deals single rows to them by a hash: a negative
+    control, as the same date, and copies of a row, then stand on both sides."""
+    if isinstance(folds, DataFrame):
+        return train_and_test(rows, folds, "split")
     if isinstance(folds, int):
         own = F.pmod(F.xxhash64(F.lit(seed), "datetime", "instrument"), F.lit(folds)).cast("int")
         return rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("train", F.col("fold") != own)
@@ -83,7 +89,7 @@ def _rows_of_folds(rows: DataFrame, folds: Sequence[tuple[int, int, int, int]] |
     return dealt.withColumn("train", F.col("pos") < F.col("train_end")).drop("train_end", "test_from", "test_to")
 
 
-def ridge_oos(rows: DataFrame, features: Sequence[str], folds: Sequence[tuple[int, int, int, int]] | int, *, alpha: float = 1.0, by: Sequence[str] = (), label: str = "label", min_train: int = 10, seed: int = 0) -> DataFrame:
+def ridge_oos(rows: DataFrame, features: Sequence[str], folds: Folds, *, alpha: float = 1.0, by: Sequence[str] = (), label: str = "label", min_train: int = 10, seed: int = 0) -> DataFrame:
     """Out-of-sample predictions of a ridge with a free intercept, per fold (and by). rows: datetime,
     instrument, pos, features, label. Only the sums of products of each fold reach the driver."""
     usable = F.col(label).isNotNull()
@@ -112,7 +118,7 @@ def ridge_oos(rows: DataFrame, features: Sequence[str], folds: Sequence[tuple[in
     return test.select(*by, "fold", "datetime", "instrument", score.alias("score"), F.col(label).alias("label"))
 
 
-def model_oos(rows: DataFrame, features: Sequence[str], folds: Sequence[tuple[int, int, int, int]] | int, model: Callable, *, by: Sequence[str] = (), label: str = "label", min_train: int = 10, seed: int = 0) -> DataFrame:
+def model_oos(rows: DataFrame, features: Sequence[str], folds: Folds, model: Callable, *, by: Sequence[str] = (), label: str = "label", min_train: int = 10, seed: int = 0) -> DataFrame:
     """The same for a user's model(train_x, train_y, test_x) -> predictions; a fold's rows meet in one task."""
     dealt = _rows_of_folds(rows.dropna(subset=[*features, label]), folds, seed)
     keys = [*by, "fold"]

@@ -1,4 +1,4 @@
-"""Quantile portfolios, splits, multiple testing and comparison of forecasts."""
+"""Quantile portfolios, multiple testing and comparison of forecasts."""
 
 from __future__ import annotations
 
@@ -7,17 +7,21 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .grid import by_name
 from .hac import newey_west
 from .normalize import average_rank
 
 
 def quantile_returns(pairs: DataFrame, q: int, *, weight: str | None = None) -> DataFrame:
-    """(datetime, bucket, n, ret): bucket = ceil(q * rank / n) by score; equal or value weighted mean label."""
+    """(datetime, bucket, n, ret): bucket = ceil(q * rank / n) by score; equal or value weighted mean label. Weights
+    are those of the instrument's row before, in the order of pos; a missing one counts nothing."""
     if q < 2:
         raise ValueError("two buckets at least")
+    if weight:
+        pairs = pairs.withColumn("_weight", F.lag(weight).over(by_name()))
     full = pairs.dropna(subset=["score", "label"])
     ranked = full.withColumn("_r", average_rank("score", ["datetime"])).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("datetime")))
-    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+    w = F.coalesce(F.col("_weight").cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
     dealt = ranked.withColumn("bucket", F.least(F.lit(q), F.ceil(q * F.col("_r") / F.col("_n"))).cast("int"))
     return dealt.groupBy("datetime", "bucket").agg(F.count(F.lit(1)).alias("n"), (F.sum(w * F.col("label")) / F.nullif(F.sum(w), F.lit(0.0))).alias("ret"))
 
@@ -28,19 +32,6 @@ def long_short(buckets: DataFrame, q: int) -> DataFrame:
     return buckets.groupBy("datetime").agg((side(q) - side(1)).alias("spread")).where("spread is not null")
 
 
-def purged_kfold(days: DataFrame, k: int, radius: int, *, embargo_share: float = 0.01) -> DataFrame:
-    """(fold, datetime, pos, role): test blocks in order; train is what is neither within radius of the
-    test block nor in the embargo after it; the rest is purged."""
-    sized = days.crossJoin(F.broadcast(days.agg(F.count(F.lit(1)).alias("_n"))))
-    n = F.col("_n")
-    folds = sized.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    lo, hi = F.floor(F.col("fold") * n / k), F.floor((F.col("fold") + 1) * n / k)
-    embargo = F.ceil(n * embargo_share)
-    pos = F.col("pos")
-    role = F.when((pos >= lo) & (pos < hi), "test").when((pos >= lo - radius) & (pos < hi + radius + embargo), "purged").otherwise("train")
-    return folds.select(F.col("fold").cast("int").alias("fold"), "datetime", "pos", role.alias("role"))
-
-
 def diebold_mariano(pairs: DataFrame, a: str, b: str, *, horizon: int, order: str = "datetime", squared: bool = True, p_value: bool = True) -> DataFrame:
     """HAC test of the mean difference of two per-date losses; bandwidth max(automatic, floor(1.5 horizon))."""
     loss = (lambda c: F.col(c) * F.col(c)) if squared else (lambda c: F.abs(c))
@@ -66,15 +57,6 @@ def holm(tests: DataFrame, *, p: str = "p", key: str = "name") -> DataFrame:
     return ranked.withColumn("p_holm", F.least(F.lit(1.0), F.max(own).over(up))).drop("_r", "_m")
 
 
-def block_bootstrap(series: DataFrame, *, col: str, replicates: int, block: int, seed: int, order: str = "datetime") -> DataFrame:
-    """(b, mean): circular blocks begun at hashed places; each replicate is as long as the series."""
-    kept = series.where(F.col(col).isNotNull()).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, col))), lambda s: s[col]).alias("x"))
-    n = F.size("x")
-    each = kept.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_starts", F.transform(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("b"), k)), 1, 12), 16, 10).cast("bigint") % n))
-    draws = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("x", ((F.get("_starts", F.floor(i / block).cast("int")) + i % block) % n).cast("int")))
-    return each.select("b", (F.aggregate(draws, F.lit(0.0), lambda s, v: s + v) / n).alias("mean"))
-
-
 def beta_by_date(pairs: DataFrame) -> DataFrame:
     """(datetime, n, beta): slope of label on score; null without dispersion."""
     full = pairs.dropna(subset=["score", "label"])
