@@ -113,9 +113,8 @@ def _refined(kept: DataFrame, books: np.ndarray) -> np.ndarray:
                 at, _ = search(own, books[p])
                 np.add.at(sums[p], at, own)
                 counts[p] += np.bincount(at, minlength=entries)
-        part, entry = (x.ravel() for x in np.indices(counts.shape))
-        used = counts.ravel() > 0
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (part[used], entry[used], counts.ravel()[used])] + [pa.array(list(sums.reshape(-1, width)[used]), pa.list_(pa.int64()))], names=["part", "entry", "n", "sums"])
+        part, entry = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(entry), pa.array(counts[part, entry]), pa.array(list(sums[part, entry]), pa.list_(pa.int64()))], names=["part", "entry", "n", "sums"])
 
     each = kept.select("vector").mapInArrow(run, "part bigint, entry bigint, n bigint, sums array<bigint>")
     total = each.select("part", "entry", "n", F.posexplode("sums").alias("at", "sum")).groupBy("part", "entry", "at").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"))
