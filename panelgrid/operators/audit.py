@@ -60,10 +60,16 @@ def date_permutation(days: DataFrame, seed: int, replicates: Sequence[int]) -> D
     return placed.select("b", F.col("datetime").alias("source"), "to").join(F.broadcast(days.select("datetime", F.col("pos").alias("to"))), "to").select("b", "datetime", "source")
 
 
-def permute_labels(labels: DataFrame, mapping: DataFrame, col: str = "label") -> DataFrame:
-    """Whole cross-sections move from source to datetime, by key."""
+#: Rows of a mapping of dates up to which it is broadcast (some 20 MB).
+BROADCAST_ROWS = 1_000_000
+
+
+def permute_labels(labels: DataFrame, mapping: DataFrame, col: str = "label", *, rows: int | None = None) -> DataFrame:
+    """Whole cross-sections move from source to datetime, by key. rows: how many the mapping has; where they are
+    known and few it is broadcast, else joined."""
     moved = labels.select(F.col("datetime").alias("source"), "instrument", col)
-    return moved.join(F.broadcast(mapping), "source").select("b", "datetime", "instrument", col)
+    small = rows is not None and rows <= BROADCAST_ROWS
+    return moved.join(F.broadcast(mapping) if small else mapping, "source").select("b", "datetime", "instrument", col)
 
 
 def expanding_folds(n_dates: int, n_folds: int, radius: int) -> list[tuple[int, int, int, int]]:
@@ -142,9 +148,10 @@ def leakage_audit(rows: DataFrame, features: Sequence[str], days: DataFrame, *,
     negative control in which rows of one date stand on both sides."""
     if fold_scheme not in ("purged", "overlapping"):
         raise ValueError(f"unknown fold scheme {fold_scheme!r}")
-    folds = n_folds if fold_scheme == "overlapping" else expanding_folds(days.count(), n_folds, radius)
+    n_days = days.count()
+    folds = n_folds if fold_scheme == "overlapping" else expanding_folds(n_days, n_folds, radius)
     mapping = date_permutation(days, seed, range(1, n_permutations + 1)).unionByName(days.select(F.lit(0).alias("b"), "datetime", F.col("datetime").alias("source")))
-    moved = permute_labels(rows.select("datetime", "instrument", "label"), mapping)
+    moved = permute_labels(rows.select("datetime", "instrument", "label"), mapping, rows=n_days * (n_permutations + 1))
     all_rows = rows.select("datetime", "instrument", "pos", *features).join(moved, ["datetime", "instrument"])
     scored = model_oos(all_rows, features, folds, model, by=["b"], seed=seed) if model else ridge_oos(all_rows, features, folds, alpha=ridge, by=["b"], seed=seed)
     # each (replicate, date) is a cross-section of its own

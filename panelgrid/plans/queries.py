@@ -182,10 +182,21 @@ def pit_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.densify(pit.publish(late, days, _SPEC), ["amount"], days=days, names=names).select("datetime", "instrument", "amount")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS violations")
+_AS_OF = """
+{p} AS (SELECT datetime, instrument, amount FROM {spans} JOIN days ON pos >= start AND pos < stop0),
+{p}_bad AS (
+  SELECT count(*) AS n FROM {p} LEFT JOIN (
+    SELECT d.datetime, o.instrument, max({{'a': announce_date, 'r': report_date, 'v': amount}}) AS x FROM days d JOIN ok o ON announce_date <= d.datetime GROUP BY 1, 2) l USING (datetime, instrument)
+  WHERE l.x IS NULL OR abs({p}.amount - l.x.v) > 1e-8 + 1e-5 * abs(l.x.v))"""
+_EARLY = _START.replace("ranked", "early").replace("spans", "early_spans").replace("announce_date", "report_date").replace("report_date, report_date", "report_date")
+
+
+@query(f"WITH {E_SQL}, {_START}, {_EARLY}, {_AS_OF.format(p='pub', spans='spans')}, {_AS_OF.format(p='leak', spans='early_spans')} SELECT pub_bad.n AS violations, leak_bad.n AS leaky_violations FROM pub_bad, leak_bad")
 def pit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published values that aren't the latest announced: of the publication by announcement, and of its negative control by report date."""
     late, days = _late(spark, sf_dir), order_days(spark, sf_dir)
-    return pit.verify(pit.publish(late, days, _SPEC), late, _SPEC).agg(F.count(F.lit(1)).alias("violations"))
+    bad = lambda name, **kwargs: pit.verify(pit.publish(late, days, _SPEC, **kwargs), late, _SPEC).agg(F.count(F.lit(1)).alias(name))
+    return bad("violations").crossJoin(F.broadcast(bad("leaky_violations", mode="report_date", allow_leaky=True)))  # one row each
 
 
 @query(f"WITH {E_SQL} SELECT instrument, (SELECT min(datetime) FROM days WHERE datetime >= seen) AS first_date FROM (SELECT instrument, min(announce_date) AS seen FROM ev GROUP BY 1)")
@@ -348,7 +359,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.inventory(user_day(spark, sf_dir), ["val"]).withColumn("missing_rate", F.round("missing_rate", 6))
 
 
-@query("SELECT ['starts before the first day', 'ends after the last day'] AS problems")
+@query("SELECT list_filter([CASE WHEN lo > DATE '1900-01-01' THEN 'starts before the first day' END, CASE WHEN hi < DATE '2999-12-31' THEN 'ends after the last day' END, CASE WHEN n = 0 THEN 'no rows' END], lambda x: x IS NOT NULL) AS problems FROM (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi, count(*) FILTER (CAST(ts AS DATE) BETWEEN DATE '1900-01-01' AND DATE '2999-12-31') AS n FROM events)")
 def domain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.domain_check(user_day_rows(spark, sf_dir), "1900-01-01", "2999-12-31")
 
@@ -366,22 +377,32 @@ def dense_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- audits ------------------------------------------------------------------------------------
 
 
-@query("SELECT CAST(0 AS BIGINT) AS moved_past, true AS leaky_moves")
-def causality_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+_PROBED = """
+x AS (SELECT datetime, pos, instrument, qty AS x0, {altered} AS x1 FROM a),
+z AS (
+  SELECT instrument, pos, CASE WHEN count(x0) OVER w >= 6 THEN (x0 - avg(x0) OVER w) / nullif(stddev_samp(x0) OVER w, 0) END AS r0,
+    CASE WHEN count(x1) OVER w >= 6 THEN (x1 - avg(x1) OVER w) / nullif(stddev_samp(x1) OVER w, 0) END AS r1,
+    (x0 - avg({first}) OVER i) / nullif(stddev_samp({first}) OVER i, 0) AS g0, (x1 - avg(x1) OVER i) / nullif(stddev_samp(x1) OVER i, 0) AS g1
+  FROM x WINDOW w AS (PARTITION BY instrument ORDER BY pos ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), i AS (PARTITION BY instrument))
+SELECT count(*) FILTER (NOT (r0 IS NOT DISTINCT FROM r1 OR coalesce(abs(r0 - r1) <= {atol}, false))) AS moved_past, count(*) FILTER (NOT (g0 IS NOT DISTINCT FROM g1 OR coalesce(abs(g0 - g1) <= {atol}, false))) AS leaky_moves FROM z WHERE {where}"""
+
+
+def _probe(spark: SparkSession, sf_dir: str, probe, **kwargs) -> DataFrame:
+    """Cells that move of a causal score and of its negative control, which sees the whole sample."""
     panel = supplier_month(spark, sf_dir)
-    run = lambda f: audit.causality_probe(panel, "qty", f, "z", position=30)
-    causal = run(lambda d: normalize.roll_z(d, "qty", "z", length=12, min_periods=6)).agg(F.count(F.lit(1)).alias("moved_past"))
-    leaky = run(lambda d: normalize.global_z(d, "qty", "z", allow_leaky=True)).agg((F.count(F.lit(1)) > 0).alias("leaky_moves"))
-    return causal.crossJoin(leaky)
+    moved = lambda name, f: probe(panel, "qty", f, "z", **kwargs).agg(F.count(F.lit(1)).alias(name))
+    causal = moved("moved_past", lambda d: normalize.roll_z(d, "qty", "z", length=12, min_periods=6))
+    return causal.crossJoin(F.broadcast(moved("leaky_moves", lambda d: normalize.global_z(d, "qty", "z", allow_leaky=True))))  # one row each
 
 
-@query("SELECT CAST(0 AS BIGINT) AS moved_past, true AS leaky_moves")
+@query(f"WITH {A_SQL}, " + _PROBED.format(altered="CASE WHEN pos <= 30 THEN qty WHEN (pos - 30) % 2 = 1 THEN NULL ELSE 1e6 END", first="x0", atol="1e-12", where="pos = 30"))
+def causality_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _probe(spark, sf_dir, audit.causality_probe, position=30)
+
+
+@query(f"WITH {A_SQL}, " + _PROBED.format(altered="CASE WHEN pos < 40 THEN qty ELSE 1e9 END", first="CASE WHEN pos < 40 THEN x0 END", atol="0", where="pos < 40"))
 def prefix_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = supplier_month(spark, sf_dir)
-    run = lambda f: audit.prefix_invariance(panel, "qty", f, "z", keep=40)
-    causal = run(lambda d: normalize.roll_z(d, "qty", "z", length=12, min_periods=6)).agg(F.count(F.lit(1)).alias("moved_past"))
-    leaky = run(lambda d: normalize.global_z(d, "qty", "z", allow_leaky=True)).agg((F.count(F.lit(1)) > 0).alias("leaky_moves"))
-    return causal.crossJoin(leaky)
+    return _probe(spark, sf_dir, audit.prefix_invariance, keep=40)
 
 
 @query(f"WITH {B_SQL}, o AS (SELECT r.b, datetime AS source, row_number() OVER (PARTITION BY r.b ORDER BY md5('7|' || r.b || '|' || CAST(datetime AS VARCHAR))) - 1 AS dst FROM bcal CROSS JOIN (VALUES (1), (2), (3)) r(b)) SELECT o.b, c.datetime, o.source FROM o JOIN bcal c ON c.pos = o.dst")
@@ -407,7 +428,7 @@ def _design(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = audit.leakage_audit(_design(spark, sf_dir), ["score"], calendar(spark, sf_dir), radius=1, n_permutations=20, min_obs=MIN_OBS)
+    found = audit.leakage_audit(_design(spark, sf_dir), ["score"], calendar(spark, sf_dir), radius=1, min_obs=MIN_OBS)
     return spark.createDataFrame([(found["verdict"], found["observed_ic"], found["shuffle_mean_ic"], found["p_value"], found["n_permutations"])], "verdict string, observed_ic double, shuffle_mean_ic double, p_value double, n_permutations int")
 
 
@@ -542,9 +563,9 @@ def volatility_target_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CSCV = f"""
 {_BUCKETS}, tr AS (SELECT datetime, bucket, ret FROM bk WHERE ret IS NOT NULL),
-gd AS (SELECT datetime, (row_number() OVER (ORDER BY datetime) - 1) * 8 // count(*) OVER () AS g FROM (SELECT DISTINCT datetime FROM tr)),
+gd AS (SELECT datetime, (row_number() OVER (ORDER BY datetime) - 1) * 16 // count(*) OVER () AS g FROM (SELECT DISTINCT datetime FROM tr)),
 gs AS (SELECT bucket, g, sum(ret) AS s, count(*) AS n FROM tr JOIN gd USING (datetime) GROUP BY 1, 2),
-mk AS (SELECT CAST(range AS INTEGER) AS split FROM range(256) WHERE bit_count(CAST(range AS INTEGER)) = 4),
+mk AS (SELECT CAST(range AS INTEGER) AS split FROM range(65536) WHERE bit_count(CAST(range AS INTEGER)) = 8),
 cs AS (SELECT split, bucket, sum(s) FILTER ((split >> g) & 1 = 1) / sum(n) FILTER ((split >> g) & 1 = 1) AS ins, sum(s) FILTER ((split >> g) & 1 = 0) / sum(n) FILTER ((split >> g) & 1 = 0) AS oos FROM gs, mk GROUP BY 1, 2),
 cv AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split ORDER BY ins DESC, bucket) AS r, median(oos) OVER (PARTITION BY split) AS med FROM cs WHERE ins IS NOT NULL AND oos IS NOT NULL) WHERE r = 1)
 """
@@ -556,12 +577,12 @@ def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CSCV} SELECT split, bucket AS best, round(oos, 6) + 0.0 AS oos, round(med, 6) + 0.0 AS median FROM cv")
 def cscv_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(selection.cscv(_trials(spark, sf_dir), 8), "oos", "median")
+    return rounded(selection.cscv(_trials(spark, sf_dir)), "oos", "median")
 
 
 @query(f"WITH {_CSCV} SELECT count(*) AS n_splits, round(avg(CASE WHEN oos < med THEN 1.0::DOUBLE ELSE 0 END), 6) + 0.0 AS pbo FROM cv")
 def pbo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(selection.pbo(_trials(spark, sf_dir), 8), "pbo")
+    return rounded(selection.pbo(_trials(spark, sf_dir)), "pbo")
 
 
 @query()

@@ -11,66 +11,106 @@ from panelgrid.sources.artifacts import KINDS, Artifacts, content_hash
 from panelgrid.streaming import daily
 
 START = dt.date(2018, 1, 1)
+DAYS, ISSUERS = 48, 12
+
+
+def orbit(x, n):
+    """A chaotic sequence between 0 and 1: as good as noise, and the same everywhere."""
+    out = []
+    for _ in range(n):
+        x = 3.99 * x * (1 - x)
+        out.append(x)
+    return np.array(out)
 
 
 @pytest.fixture(scope="module")
-def study(spark):
-    """60 dates x 12 instruments, each row also as a copy under another name; the label follows f."""
-    r = np.random.default_rng(11)
-    f, noise = r.normal(size=(60, 12)), r.normal(size=(60, 12))
-    y = 0.6 * f + r.normal(size=(60, 1)) + r.normal(0, 0.5, (60, 12))
-    one = pd.DataFrame([(START + dt.timedelta(t), t, f"S{k:02d}", f[t, k], noise[t, k], y[t, k]) for t in range(60) for k in range(12)], columns=["datetime", "pos", "instrument", "f", "noise", "label"])
-    rows = spark.createDataFrame(one)
-    copies = spark.createDataFrame(pd.concat([one, one.assign(instrument=one.instrument + "#dup")]))
-    return one, rows, copies, rows.select("datetime", "pos").distinct()
-
-
-def memorizing():
-    """A model that knows the labels of the rows it has seen. Made inside, so that workers get it by value."""
-
-    def lookup(train_x, train_y, test_x):
-        known = {x.tobytes(): y for x, y in zip(train_x, train_y)}
-        return np.array([known.get(x.tobytes(), train_y.mean()) for x in test_x])
-
-    return lookup
-
-
-def test_ridge_out_of_sample(study):
-    one, rows, _, _ = study
-    folds = audit.expanding_folds(60, 3, 2)
-    got = {(r.fold, r.datetime, r.instrument): r.score for r in audit.ridge_oos(rows, ["f", "noise"], folds, alpha=2.0).collect()}
-    want = {}
-    for fold, end, low, high in folds:
-        train, test = one[one.pos < end], one[(one.pos >= low) & (one.pos < high)]
-        x = np.column_stack([np.ones(len(train)), train.f, train.noise])
-        beta = np.linalg.solve(x.T @ x + np.diag([0, 2.0, 2.0]), x.T @ train.label)
-        scores = np.column_stack([np.ones(len(test)), test.f, test.noise]) @ beta
-        want |= {(fold, d, i): s for d, i, s in zip(test.datetime, test.instrument, scores)}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
-
-
-def test_model_out_of_sample_is_the_same_ridge(study):
-    _, rows, _, _ = study
-    folds = audit.expanding_folds(60, 2, 1)
-
-    def model(train_x, train_y, test_x):
-        x = np.column_stack([np.ones(len(train_x)), train_x])
-        beta = np.linalg.solve(x.T @ x + np.diag([0, 1.0, 1.0]), x.T @ train_y)
-        return np.column_stack([np.ones(len(test_x)), test_x]) @ beta
-
-    own = {(r.fold, r.datetime, r.instrument): r.score for r in audit.model_oos(rows, ["f", "noise"], folds, model).collect()}
-    ridge = {(r.fold, r.datetime, r.instrument): r.score for r in audit.ridge_oos(rows, ["f", "noise"], folds, alpha=1.0).collect()}
-    assert own.keys() == ridge.keys() and all(own[k] == pytest.approx(ridge[k], rel=1e-9) for k in own)
-
-
-def test_purged_folds_are_clean_and_the_control_fires(study):
-    _, rows, copies, days = study
-    clean = audit.leakage_audit(rows, ["f", "noise"], days, radius=2, n_permutations=30, seed=4242)
-    assert clean["verdict"] == "clean" and clean["observed_ic"] > 0.15 and clean["n_permutations"] == 30
+def market(spark):
+    """A value signal with a payoff, and issuers with two share classes that trade a hair apart, both in signal and payoff."""
+    size = DAYS * ISSUERS
+    signal, other, luck = (orbit(x, size).reshape(DAYS, ISSUERS) for x in (0.31, 0.57, 0.83))
+    payoff = 0.8 * signal + luck
+    cells = [(START + dt.timedelta(t), t, f"{k}{c}", signal[t, k] + j, other[t, k], payoff[t, k] + j) for t in range(DAYS) for k in range(ISSUERS) for c, j in (("A", 0.0), ("B", 1e-6))]
+    both = pd.DataFrame(cells, columns=["datetime", "pos", "instrument", "signal", "other", "label"])
+    classes = spark.createDataFrame(both)
+    single = both[both.instrument.str.endswith("A")]
+    return single, spark.createDataFrame(single), classes, classes.select("datetime", "pos").distinct()
+
+
+def neighbour():
+    """Predicts the label of the training row that is nearest in the first feature. Made inside, so that workers get it by value."""
+
+    def nearest(train_x, train_y, test_x):
+        order = np.argsort(train_x[:, 0])
+        known, labels = train_x[order, 0], train_y[order]
+        right = np.clip(np.searchsorted(known, test_x[:, 0]), 1, len(known) - 1)
+        left_is_nearer = test_x[:, 0] - known[right - 1] < known[right] - test_x[:, 0]
+        return labels[right - left_is_nearer]
+
+    return nearest
+
+
+def test_ridge_is_least_squares_with_penalty_rows(market):
+    single, rows, _, _ = market
+    penalty = 3.0
+    got = {(r.fold, r.datetime, r.instrument): (r.score, r.label) for r in audit.ridge_oos(rows, ["signal", "other"], audit.expanding_folds(DAYS, 4, 3), alpha=penalty).collect()}
+    design = lambda part: np.column_stack([np.ones(len(part)), part.signal, part.other])
+    seen = 0
+    for fold, end, low, high in audit.expanding_folds(DAYS, 4, 3):
+        train, test = single[single.pos < end], single[single.pos.between(low, high - 1)]
+        rows_of_penalty = np.sqrt(penalty) * np.array([[0, 1, 0], [0, 0, 1]])
+        beta = np.linalg.lstsq(np.vstack([design(train), rows_of_penalty]), np.r_[train.label, 0, 0], rcond=None)[0]
+        for row, score in zip(test.itertuples(), design(test) @ beta, strict=True):
+            assert got[fold, row.datetime, row.instrument] == (pytest.approx(score, rel=1e-9), row.label)
+            seen += 1
+    assert seen == len(got)
+
+
+def test_users_model_gets_each_folds_rows(market):
+    single, rows, _, _ = market
+
+    def side_means(train_x, train_y, test_x):
+        high = train_x[:, 0] > 0.5
+        return np.where(test_x[:, 0] > 0.5, train_y[high].mean(), train_y[~high].mean())
+
+    got = audit.model_oos(rows, ["signal"], audit.expanding_folds(DAYS, 2, 1), side_means).toPandas()
+    for fold, end, low, high in audit.expanding_folds(DAYS, 2, 1):
+        train = single[single.pos < end]
+        means = train.groupby(train.signal > 0.5).label.mean()
+        part = got[got.fold == fold].merge(single, on=["datetime", "instrument"])
+        assert part.pos.min() == low and part.pos.max() == high - 1
+        assert np.allclose(part.score, (part.signal > 0.5).map(means))
+
+
+def test_purged_folds_are_clean(market):
+    _, rows, classes, days = market
+    run = lambda df, **kwargs: audit.leakage_audit(df, ["signal", "other"], days, radius=3, n_permutations=24, **kwargs)
+    first = run(rows, seed=7)
+    assert (first["verdict"], first["n_permutations"]) == ("clean", 24) and first["observed_ic"] > 0.3
+    assert first["q05"] <= first["shuffle_mean_ic"] <= first["q95"]
+    again, other = run(rows, seed=7), run(rows, seed=8)
+    assert again == {k: pytest.approx(v) if isinstance(v, float) else v for k, v in first.items()}
+    assert other["shuffle_mean_ic"] != first["shuffle_mean_ic"] and other["observed_ic"] == pytest.approx(first["observed_ic"])
+
+
+def test_a_share_class_in_another_fold_gives_its_twin_away(market):
+    _, _, classes, days = market
+    run = lambda **kwargs: audit.leakage_audit(classes, ["signal"], days, radius=3, n_permutations=12, seed=5, **kwargs)
+    caught = run(model=neighbour(), fold_scheme="overlapping")
+    assert caught["verdict"] == "leakage_detected" and caught["shuffle_mean_ic"] > 0.1
+    assert run(model=neighbour())["verdict"] == "clean"  # purged folds keep the twins of a date together
+    assert run(fold_scheme="overlapping")["verdict"] == "clean"  # a line can't remember rows: such a model is blind to the fault
     with pytest.raises(audit.LeakageError):
-        audit.assert_no_leakage(copies, ["f", "noise"], days, radius=2, n_permutations=15, seed=4242, model=memorizing(), fold_scheme="overlapping")
+        audit.assert_no_leakage(classes, ["signal"], days, radius=3, n_permutations=12, seed=5, model=neighbour(), fold_scheme="overlapping")
+
+
+def test_audits_that_cannot_be_made(market):
+    _, rows, _, days = market
     with pytest.raises(ValueError):
-        audit.leakage_audit(rows, ["f"], days, radius=2, fold_scheme="other")
+        audit.leakage_audit(rows, ["signal"], days, radius=3, fold_scheme="other")
+    with pytest.raises(RuntimeError):  # no date has enough pairs for a statistic
+        audit.leakage_audit(rows, ["signal"], days, radius=3, n_permutations=3, min_obs=2 * ISSUERS)
+    with pytest.raises(RuntimeError):
+        audit.leakage_audit(rows, ["signal"], days, radius=3, n_permutations=1)
 
 
 def test_hac_record_and_errors(spark):
