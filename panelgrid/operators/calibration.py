@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelgrid.functions.tails import normal_quantile
 
-from .normalize import average_rank
+from .normalize import average_rank, with_date_figures
 
 #: Intervals of probabilities within which values are ranked apart.
 BINS = 4096
@@ -31,10 +31,14 @@ def soft_rank_loss(pairs: DataFrame, temperature: float) -> DataFrame:
 
 
 def copula_loss(pairs: DataFrame) -> DataFrame:
-    """(datetime, instrument, loss): minus the normal score of the label's rank times the standardized score."""
-    full = pairs.dropna(subset=["score", "label"]).withColumn("_r", average_rank("label", ["datetime"])).withColumn("_z", _zscore("score"))
-    share = F.col("_r") / (F.count(F.lit(1)).over(Window.partitionBy("datetime")) + 1)
-    return full.withColumn("_u", share).select("datetime", "instrument", (-normal_quantile(F.col("_u")) * F.col("_z")).alias("loss"))
+    """(datetime, instrument, loss): minus the normal score of the label's rank times the standardized score. A normal
+    score is found once for each rank and number of pairs, and joined."""
+    full = pairs.dropna(subset=["score", "label"]).withColumn("_twice", (2 * average_rank("label", ["datetime"])).cast("bigint"))
+    placed = with_date_figures(full, _n=F.count(F.lit(1)), _mean=F.avg("score"), _sd=F.stddev_samp("score"))
+    keys = placed.select("_twice", "_n").distinct()
+    scores = keys.withColumn("_q", normal_quantile(F.col("_twice") / (2 * (F.col("_n") + 1))))
+    z = (F.col("score") - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0))
+    return placed.join(scores, ["_twice", "_n"]).select("datetime", "instrument", (-F.col("_q") * z).alias("loss"))
 
 
 def pit_histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:

@@ -65,10 +65,11 @@ def lag1_autocorrelation(df: DataFrame, *, col: str = "ic", order: str = "dateti
     return _series(df, col, order).select("n", F.when(F.col("n") >= 3, _lagged(u, F.lit(1)) / F.nullif(_lagged(u, F.lit(0)), F.lit(0.0))).alias("acf1"))
 
 
-def newey_west(df: DataFrame, *, col: str = "ic", order: str = "datetime", bandwidth: int | None = None, correct: bool = True, k_reg: int | None = None, reference: str = "normal", prewhiten: bool = False, min_obs: int = 3, p_value: bool = True, by: Sequence[str] = ()) -> DataFrame:
+def newey_west(df: DataFrame, *, col: str = "ic", order: str = "datetime", bandwidth: int | None = None, least_bandwidth: int = 0, correct: bool = True, k_reg: int | None = None, reference: str = "normal", prewhiten: bool = False, min_obs: int = 3, p_value: bool = True, by: Sequence[str] = ()) -> DataFrame:
     """One row (for each of by, the columns that tell series apart): n_obs, mean, variance, standard_error, t_stat, p_value, bandwidth, degrees_of_freedom,
     k_reg, correction_factor, ar1_coefficient, bandwidth_is_automatic, reference, small_sample_correction,
-    prewhiten. Fewer than min_obs values give nulls and bandwidth 0; no more than k_reg are an error."""
+    prewhiten. An automatic bandwidth is least_bandwidth at least, as far as the series is longer. Fewer than min_obs
+    values give nulls and bandwidth 0; no more than k_reg are an error."""
     if reference not in ("normal", "student"):
         raise ValueError(f"unknown reference {reference!r}")
     if min_obs < 3 or (bandwidth is not None and bandwidth < 0) or (k_reg is not None and k_reg < 1):
@@ -86,7 +87,7 @@ def newey_west(df: DataFrame, *, col: str = "ic", order: str = "datetime", bandw
     enough = F.col("n_all") >= min_obs
     few = F.when(enough & (F.col("n") <= k), F.raise_error(F.lit("k_reg has to be less than the number of values")))
     if bandwidth is None:
-        one = one.withColumn("bw", F.coalesce(few.cast("bigint"), F.when(enough, automatic_bandwidth(F.col("n"))).otherwise(F.lit(0)).cast("bigint")))
+        one = one.withColumn("bw", F.coalesce(few.cast("bigint"), F.when(enough, F.least(F.greatest(automatic_bandwidth(F.col("n")), F.lit(least_bandwidth)), F.col("n") - 1)).otherwise(F.lit(0)).cast("bigint")))
     else:
         wide = F.when(enough & (F.lit(bandwidth) > F.col("n") - 1), F.raise_error(F.lit("the bandwidth has to be shorter than the series")))
         one = one.withColumn("bw", F.coalesce(few.cast("bigint"), wide.cast("bigint"), F.when(enough, F.lit(bandwidth)).otherwise(F.lit(0)).cast("bigint")))
@@ -104,6 +105,14 @@ def newey_west(df: DataFrame, *, col: str = "ic", order: str = "datetime", bandw
     )
 
 
+def both_references(df: DataFrame, **kwargs) -> DataFrame:
+    """Two records of newey_west, which differ in their reference and p-value; the series is gathered once."""
+    record = newey_west(df, p_value=False, **kwargs)
+    each = record.withColumn("reference", F.explode(F.array(F.lit("normal"), F.lit("student"))))
+    p = F.when(F.col("reference") == "student", p_student("t_stat", "degrees_of_freedom")).otherwise(p_normal("t_stat"))
+    return each.withColumn("p_value", p).select(*record.columns)
+
+
 def confidence_interval(record: DataFrame, *, level: float = 0.95) -> DataFrame:
     """Adds ci_low and ci_high to records of newey_west: mean -+ quantile * standard error, by each record's own
     reference. A quantile is found once for each reference and number of degrees of freedom, and joined."""

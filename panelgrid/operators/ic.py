@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .grid import by_date, KEYS, support_filter
+from .grid import KEYS
 from .normalize import average_rank
 
 MIN_OBS, PERIODS_PER_YEAR = 30, 252
@@ -16,24 +16,30 @@ def align(scores: DataFrame, labels: DataFrame) -> DataFrame:
     return scores.select(*KEYS, "score").join(labels.select(*KEYS, "label"), KEYS).dropna()
 
 
-def _correlation(df: DataFrame, x: str, y: str, *, keep_flat: bool = False) -> DataFrame:
-    """(datetime, n, ic) from centred sums: a flat side gives null instead of an error."""
-    cx, cy = (F.col(c) - F.avg(c).over(by_date()) for c in (x, y))
-    sums = df.select("datetime", cx.alias("cx"), cy.alias("cy")).groupBy("datetime").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("cx") * F.col("cy")).alias("xy"), F.sum(F.col("cx") * F.col("cx")).alias("xx"), F.sum(F.col("cy") * F.col("cy")).alias("yy"))
-    out = sums.select("datetime", "n", F.try_divide("xy", F.nullif(F.sqrt(F.col("xx") * F.col("yy")), F.lit(0.0))).alias("ic"))
+def _correlation(df: DataFrame, x: str, y: str, *, least: int = 1, keep_flat: bool = False) -> DataFrame:
+    """(datetime, n, ic) of the dates with at least ``least`` rows, by one aggregate that tasks combine; a flat side gives
+    null instead of an error."""
+    spread = F.sqrt(F.var_pop(x) * F.var_pop(y))
+    out = df.groupBy("datetime").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop(x, y), F.nullif(spread, F.lit(0.0))).alias("ic")).where(F.col("n") >= least)
     return out if keep_flat else out.where("ic is not null")
 
 
+def _checked(min_obs: int) -> int:
+    if min_obs < 3:
+        raise ValueError("min_obs has to be 3 at least")
+    return min_obs
+
+
 def pearson_ic(pairs: DataFrame, *, min_obs: int = MIN_OBS) -> DataFrame:
     """pairs: (datetime, instrument, score, label). Dates with fewer pairs, or without dispersion, have no row."""
-    return _correlation(support_filter(pairs, ["score", "label"], min_obs), "score", "label")
+    return _correlation(pairs.dropna(subset=["score", "label"]), "score", "label", least=_checked(min_obs))
 
 
 def rank_ic(pairs: DataFrame, *, min_obs: int = MIN_OBS) -> DataFrame:
-    """Correlation of average ranks, taken after incomplete pairs and thin dates are gone."""
-    kept = support_filter(pairs, ["score", "label"], min_obs)
-    ranked = kept.select("datetime", average_rank("score", ["datetime"]).alias("rs"), average_rank("label", ["datetime"]).alias("rl"))
-    return _correlation(ranked, "rs", "rl")
+    """Correlation of average ranks, taken after incomplete pairs are gone; thin dates have no row."""
+    full = pairs.dropna(subset=["score", "label"])
+    ranked = full.select("datetime", average_rank("score", ["datetime"]).alias("rs"), average_rank("label", ["datetime"]).alias("rl"))
+    return _correlation(ranked, "rs", "rl", least=_checked(min_obs))
 
 
 def dropped_dates(pairs: DataFrame, *, min_obs: int = MIN_OBS) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import by_name
@@ -33,37 +34,55 @@ def long_short(buckets: DataFrame, q: int) -> DataFrame:
 
 
 def diebold_mariano(pairs: DataFrame, a: str, b: str, *, horizon: int, order: str = "datetime", squared: bool = True, p_value: bool = True) -> DataFrame:
-    """HAC test of the mean difference of two per-date losses; bandwidth max(automatic, floor(1.5 horizon))."""
+    """HAC test of the mean difference of two per-date losses; bandwidth max(automatic, floor(1.5 horizon)). The bandwidth
+    follows from the series where it is tested, so it is computed once."""
     loss = (lambda c: F.col(c) * F.col(c)) if squared else (lambda c: F.abs(c))
     d = pairs.select(order, (loss(a) - loss(b)).alias("d")).where("d is not null")
-    n = d.count()
-    width = max(min(math.floor(4 * (n / 100) ** (2 / 9)), n - 1), math.floor(1.5 * horizon)) if n else 0
-    return newey_west(d, col="d", order=order, bandwidth=min(width, max(n - 1, 0)), p_value=p_value)
+    return newey_west(d, col="d", order=order, least_bandwidth=math.floor(1.5 * horizon), p_value=p_value)
 
 
-def benjamini_hochberg(tests: DataFrame, *, p: str = "p", key: str = "name") -> DataFrame:
-    """Adds p_bh: the least of p * m / rank over this and all larger p-values, at most 1."""
-    up = Window.orderBy(p, key)
-    ranked = tests.withColumn("_r", F.row_number().over(up)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy()))
-    own = F.col(p) * F.col("_m") / F.col("_r")
-    return ranked.withColumn("p_bh", F.least(F.lit(1.0), F.min(own).over(Window.orderBy(F.desc(p), F.desc(key))))).drop("_r", "_m")
+#: Intervals of p-values within which they are ranked apart.
+BINS = 4096
 
 
-def holm(tests: DataFrame, *, p: str = "p", key: str = "name") -> DataFrame:
-    """Adds p_holm: the largest of p * (m - rank + 1) over this and all smaller p-values, at most 1."""
-    up = Window.orderBy(p, key)
-    ranked = tests.withColumn("_r", F.row_number().over(up)).withColumn("_m", F.count(F.lit(1)).over(Window.partitionBy()))
-    own = F.col(p) * (F.col("_m") - F.col("_r") + 1)
-    return ranked.withColumn("p_holm", F.least(F.lit(1.0), F.max(own).over(up))).drop("_r", "_m")
+def _counted(tests: DataFrame, p: str) -> DataFrame:
+    """(p, c, k, m, bin): the distinct p-values with their number, the number up to and including them, and of all. Those of an interval
+    are counted apart and set off by the counts of the intervals before, so no task sees them all."""
+    values = tests.where(F.col(p).isNotNull()).groupBy(F.col(p).cast("double").alias("p")).agg(F.count(F.lit(1)).alias("c")).withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor(F.col("p") * BINS))))
+    bins = values.groupBy("bin").agg(F.sum("c").alias("_c"))
+    before = bins.select("bin", (F.sum("_c").over(Window.orderBy("bin")) - F.col("_c")).alias("_before"), F.sum("_c").over(Window.partitionBy()).alias("m"))
+    placed = values.join(F.broadcast(before), "bin")  # BINS rows
+    return placed.withColumn("k", F.col("_before") + F.sum("c").over(Window.partitionBy("bin").orderBy("p"))).drop("_before")
+
+
+def _extreme(counted: DataFrame, own: Column, out: str, *, largest: bool) -> DataFrame:
+    """(p, out): the largest of own over this and all smaller p-values, or the least over this and all larger ones; at most 1."""
+    pick, order = (F.max, F.col("p").asc()) if largest else (F.min, F.col("p").desc())
+    each = counted.withColumn("_own", own)
+    bins = each.groupBy("bin").agg(pick("_own").alias("_own"))
+    beyond = Window.orderBy(F.col("bin").asc() if largest else F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    others = bins.select("bin", pick("_own").over(beyond).alias("_far"))
+    near = pick("_own").over(Window.partitionBy("bin").orderBy(order))
+    both = F.greatest(near, "_far") if largest else F.least(near, "_far")
+    return each.join(F.broadcast(others), "bin").select(F.col("p").alias("_p"), F.least(F.lit(1.0), both).alias(out))  # BINS rows
+
+
+def benjamini_hochberg(tests: DataFrame, *, p: str = "p") -> DataFrame:
+    """Adds p_bh: the least of p * m / rank over this and all larger p-values, at most 1. A missing p is no test and stays missing."""
+    found = _extreme(_counted(tests, p), F.col("p") * F.col("m") / F.col("k"), "p_bh", largest=False)
+    return tests.join(found, F.col(p).cast("double") == F.col("_p"), "left").drop("_p")
+
+
+def holm(tests: DataFrame, *, p: str = "p") -> DataFrame:
+    """Adds p_holm: the largest of p * (m - rank + 1) over this and all smaller p-values, at most 1. A missing p is no test and stays missing."""
+    found = _extreme(_counted(tests, p), F.col("p") * (F.col("m") - (F.col("k") - F.col("c"))), "p_holm", largest=True)
+    return tests.join(found, F.col(p).cast("double") == F.col("_p"), "left").drop("_p")
 
 
 def beta_by_date(pairs: DataFrame) -> DataFrame:
     """(datetime, n, beta): slope of label on score; null without dispersion."""
     full = pairs.dropna(subset=["score", "label"])
-    w = Window.partitionBy("datetime")
-    x, y = (F.col(c) - F.avg(c).over(w) for c in ("score", "label"))
-    sums = full.select("datetime", x.alias("x"), y.alias("y")).groupBy("datetime").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"))
-    return sums.select("datetime", "n", F.try_divide("xy", F.nullif(F.col("xx"), F.lit(0.0))).alias("beta"))
+    return full.groupBy("datetime").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("score", "label"), F.nullif(F.var_pop("score"), F.lit(0.0))).alias("beta"))
 
 
 def gaussian_nll(df: DataFrame, y: str, mean: str, sd: str, out: str = "nll") -> DataFrame:
@@ -78,6 +97,13 @@ def student_nll(df: DataFrame, y: str, mean: str, scale: str, nu: str, out: str
     return df.withColumn(out, log_gamma(v / 2) - log_gamma((v + 1) / 2) + 0.5 * F.log(math.pi * v) + F.log(F.col(scale)) + (v + 1) / 2 * F.log1p(z * z / v))
 
 
+def masked_mean_nll(df: DataFrame, nll: str, mask: str, weight: str | None = None) -> DataFrame:
+    """One row (n, objective): the weighted mean of nll over the masked rows that have one; null where there is none."""
+    on = F.coalesce(F.col(mask), F.lit(False)) & F.col(nll).isNotNull() & ~F.isnan(nll)
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+    return df.agg(F.count_if(on).alias("n"), F.try_divide(F.sum(F.when(on, w * F.col(nll))), F.nullif(F.sum(F.when(on, w)), F.lit(0.0))).alias("objective"))
+
+
 def covariance(df: DataFrame, col: str, *, min_obs: int = 2) -> DataFrame:
     """(a, b, n, cov) of instruments over their common dates, a <= b; one pass over each date's pairs."""
     side = lambda k: df.where(F.col(col).isNotNull()).select("datetime", F.col("instrument").alias(k), F.col(col).alias(f"x_{k}"))
@@ -93,30 +119,44 @@ def mean_gap(series: DataFrame, *, periods_per_year: float = 252) -> DataFrame:
 
 def residualize(df: DataFrame, col: str, exposures: list[str], out: str = "residual") -> DataFrame:
     """Adds what is left of col after a regression with intercept on the exposures of its date; null where any of them
-    is missing. A date's cross-section is one group, bounded by the number of instruments."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    def one(part):
-        import numpy as np
-
-        full = part[[col, *exposures]].astype("float64").notna().all(axis=1)
-        x = np.column_stack([np.ones(int(full.sum())), part.loc[full, exposures].astype("float64")])
-        y = part.loc[full, col].astype("float64").to_numpy()
-        part[out] = np.nan
-        if len(y):
-            part.loc[full, out] = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
-        return part
-
-    made = df.groupBy("datetime").applyInPandas(one, StructType([*df.schema.fields, StructField(out, DoubleType())]))
-    return made.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
-
-
-def block_length(series: DataFrame, *, col: str, order: str = "datetime") -> float:
-    """Length of circular blocks by the flat-top rule of Politis and White (2004, corrected 2009): lags up to twice
-    the last that stands out of 2 sqrt(log10(n) / n) count. 1 for a series without dispersion or of fewer than 4 values.
-    Only the autocovariances, some sqrt(n) rows, come to the driver."""
+    is missing. Dates come together as sums of products only, from which each date's coefficients are found; those
+    rows, one a date, are broadcast. Exposures that depend on each other give the same residual as without the surplus ones."""
+    import numpy as np
+
+    names = [col, *exposures]
+    full = F.lit(True)
+    for c in names:
+        full = full & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    rows = df.withColumn("_full", full)
+    centred = rows.where("_full").groupBy("datetime").agg(F.array(*[F.avg(F.col(c).cast("double")) for c in names]).alias("_mean"), F.array(*[F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")) for a in names for b in names]).alias("_cov"))
+    k = len(names)
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            found = []
+            for mean, cov in zip(b["_mean"], b["_cov"], strict=True):
+                mean, cov = np.asarray(mean), np.asarray(cov).reshape(k, k)
+                scale = np.sqrt(np.diag(cov)[1:])
+                scale[scale == 0] = 1.0
+                beta = np.linalg.lstsq(cov[1:, 1:] / np.outer(scale, scale), cov[1:, 0] / scale, rcond=1e-10)[0] / scale
+                found.append([float(mean[0] - beta @ mean[1:]), *map(float, beta)])
+            yield b[["datetime"]].assign(_beta=found)
+
+    kind = df.schema["datetime"].dataType.simpleString()
+    fitted = F.broadcast(centred.mapInPandas(run, f"datetime {kind}, _beta array<double>"))
+    value = F.col(col) - F.element_at("_beta", 1)
+    for i, c in enumerate(exposures):
+        value = value - F.element_at("_beta", i + 2) * F.col(c)
+    return rows.join(fitted, "datetime", "left").withColumn(out, F.when(F.col("_full"), value)).drop("_full", "_beta")
+
+
+def block_length(series: DataFrame, *, col: str, order: str = "datetime", method: str = "circular_block") -> float:
+    """Length of blocks, or their mean length for the stationary bootstrap, by the flat-top rule of Politis and White (2004, corrected
+    2009): lags up to twice the last that stands out of 2 sqrt(log10(n) / n) count. 1 for a series without dispersion or of
+    fewer than 4 values. Only the autocovariances, some sqrt(n) rows, come to the driver."""
     from .hac import autocovariances
 
+    shrink = {"circular_block": 4 / 3, "stationary": 2.0}[method]
     kept = series.where(F.col(col).isNotNull())
     n = kept.count()
     if n < 4:
@@ -133,5 +173,5 @@ def block_length(series: DataFrame, *, col: str, order: str = "datetime") -> flo
     flat = {k: min(1.0, 2 * (1 - k / top)) for k in range(1, top + 1)}
     g = 2 * sum(w * k * gamma.get(k, 0.0) for k, w in flat.items())
     level = gamma[0] + 2 * sum(w * gamma.get(k, 0.0) for k, w in flat.items())
-    b = (2 * g * g / (4 / 3 * level * level)) ** (1 / 3) * n ** (1 / 3) if level else 1.0
+    b = (2 * g * g / (shrink * level * level)) ** (1 / 3) * n ** (1 / 3) if level else 1.0
     return min(max(b, 1.0), math.ceil(min(3 * math.sqrt(n), n / 3)))

@@ -72,8 +72,16 @@ def cs_rank(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.withColumn(out, average_rank(col, ["datetime"]) / (F.count(col).over(by_date()) + F.lit(1.0)))
 
 
+def with_date_figures(df: DataFrame, **figures: Column) -> DataFrame:
+    """df with aggregates of its dates as columns. Tasks combine their parts of a date, and the dates' single rows, bounded by
+    the calendar, are broadcast: no date's cross-section meets in one task."""
+    return df.join(F.broadcast(df.groupBy("datetime").agg(*[v.alias(k) for k, v in figures.items()])), "datetime")
+
+
 def cs_z(df: DataFrame, col: str, out: str) -> DataFrame:
-    return df.withColumn(out, _z(F.col(col), F.avg(col).over(by_date()), F.stddev_samp(col).over(by_date())))
+    """z-score by the date's mean and sample deviation."""
+    placed = with_date_figures(df, _mean=F.avg(col), _sd=F.stddev_samp(col))
+    return placed.withColumn(out, _z(F.col(col), F.col("_mean"), F.col("_sd"))).drop("_mean", "_sd")
 
 
 def cs_robust_z(df: DataFrame, col: str, out: str, *, bound: float = CLIP) -> DataFrame:
@@ -84,8 +92,8 @@ def cs_robust_z(df: DataFrame, col: str, out: str, *, bound: float = CLIP) -> Da
 
 def cs_standardize(df: DataFrame, col: str, out: str) -> DataFrame:
     """By mean and population deviation; a date without dispersion is 0."""
-    std = F.stddev_pop(col).over(by_date())
-    return df.withColumn(out, (F.col(col) - F.avg(col).over(by_date())) / F.when(std == 0, 1.0).otherwise(std))
+    placed = with_date_figures(df, _mean=F.avg(col), _sd=F.stddev_pop(col))
+    return placed.withColumn(out, (F.col(col) - F.col("_mean")) / F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))).drop("_mean", "_sd")
 
 
 def global_z(df: DataFrame, col: str, out: str, *, allow_leaky: bool = False) -> DataFrame:

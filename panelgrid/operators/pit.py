@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import require_columns
@@ -41,6 +41,19 @@ def _events(events: DataFrame, spec: LagSpec, column: str) -> DataFrame:
     return events.select(F.col(spec.instrument).alias("instrument"), F.col(column).cast("date").alias("visible"), F.col(spec.report).cast("date").alias("report"), *[F.expr(f"try_cast(`{v}` AS DOUBLE)").alias(v) for v in spec.values]).where("visible is not null")
 
 
+def positions(df: DataFrame, days: DataFrame, date: str, out: str) -> DataFrame:
+    """Adds the position of the first trading day on or after a date: the calendar's length if there is none. Every day of the
+    calendar's range has a row with its position, so a date is looked up by one equality, whatever the calendar's length; the range is
+    some ten thousand rows for a lifetime, and broadcast."""
+    order = Window.orderBy("datetime")
+    gaps = days.select("datetime", F.col("pos").alias(out), F.coalesce(F.date_add(F.lag("datetime").over(order), 1), F.col("datetime")).alias("_from"))
+    each = gaps.select(out, F.explode(F.sequence("_from", "datetime")).alias("_day"))
+    ends = days.agg(F.min("datetime").alias("_first"), F.count(F.lit(1)).alias("_length"))  # one row
+    found = df.join(F.broadcast(each), F.col(date) == F.col("_day"), "left").crossJoin(F.broadcast(ends))
+    place = F.coalesce(F.col(out), F.when(F.col(date) < F.col("_first"), F.lit(0)).otherwise(F.col("_length")))
+    return found.withColumn(out, place.cast("bigint")).drop("_day", "_first", "_length")
+
+
 def publish(events: DataFrame, days: DataFrame, spec: LagSpec, *, mode: str = "announcement", allow_leaky: bool = False, max_periods: int | None = None, max_days: int | None = None) -> DataFrame:
     """(datetime, pos, instrument, values): on each date the event seen last, as long as it isn't stale.
 
@@ -51,14 +64,11 @@ def publish(events: DataFrame, days: DataFrame, spec: LagSpec, *, mode: str = "a
     column = _visible(spec, mode, allow_leaky)
     if not spec.allow_negative_lag and (bad := negative_lags(events, spec).limit(5).collect()):
         raise ValueError(f"announced before the report date: {bad}")
-    dates = F.broadcast(days.agg(F.array_sort(F.collect_list("datetime")).alias("_days")))  # one row: the calendar
-    first = lambda c: F.size(F.filter("_days", lambda d: d < c)).cast("bigint")
     order = Window.partitionBy("instrument").orderBy("visible", "report", *spec.values)
-    # positions are found before the window, so that no event carries the calendar through the shuffle
-    spans = _events(events, spec, column).crossJoin(dates).withColumn("start", first(F.col("visible"))).withColumn("_end", F.size("_days").cast("bigint"))
+    spans = positions(_events(events, spec, column), days, "visible", "start")
     if max_days is not None:
-        spans = spans.withColumn("_old", first(F.date_add("visible", max_days + 1)))
-    spans = spans.drop("_days")
+        spans = positions(spans.withColumn("_until", F.date_add("visible", max_days + 1)), days, "_until", "_old").drop("_until")
+    spans = spans.crossJoin(F.broadcast(days.agg(F.count(F.lit(1)).alias("_end"))))  # one row
     stop = F.coalesce(F.lead("start").over(order), F.col("_end"))
     if max_periods is not None:
         stop = F.least(stop, F.col("start") + max_periods)
@@ -66,8 +76,7 @@ def publish(events: DataFrame, days: DataFrame, spec: LagSpec, *, mode: str = "a
         stop = F.least(stop, F.col("_old"))
     spans = spans.withColumn("stop", stop).where("stop > start")
     held = spans.select("instrument", *spec.values, F.explode(F.sequence("start", F.col("stop") - 1)).alias("pos"))
-    calendar = dates.select(F.posexplode("_days").alias("pos", "datetime")).withColumn("pos", F.col("pos").cast("bigint"))
-    return held.join(F.broadcast(calendar), "pos").select("datetime", "pos", "instrument", *spec.values)
+    return held.join(F.broadcast(days.select("pos", "datetime")), "pos").select("datetime", "pos", "instrument", *spec.values)
 
 
 def verify(published: DataFrame, events: DataFrame, spec: LagSpec, *, mode: str = "announcement", allow_leaky: bool = True) -> DataFrame:
@@ -89,6 +98,5 @@ def verify(published: DataFrame, events: DataFrame, spec: LagSpec, *, mode: str
 def first_visible(events: DataFrame, days: DataFrame, spec: LagSpec) -> DataFrame:
     """(instrument, first_date): the first calendar date on or after the instrument's least announcement; null if none."""
     least = events.groupBy(F.col(spec.instrument).alias("instrument")).agg(F.min(F.col(spec.announce).cast("date")).alias("seen"))
-    dates = F.broadcast(days.agg(F.array_sort(F.collect_list("datetime")).alias("_days")))
-    after: Column = F.filter("_days", lambda d: d >= F.col("seen"))
-    return least.crossJoin(dates).select("instrument", F.when(F.size(after) > 0, F.element_at(after, 1)).alias("first_date"))
+    placed = positions(least, days, "seen", "pos").withColumn("pos", F.when(F.col("seen").isNotNull(), F.col("pos")))
+    return placed.join(F.broadcast(days.select("pos", F.col("datetime").alias("first_date"))), "pos", "left").select("instrument", "first_date")

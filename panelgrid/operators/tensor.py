@@ -49,11 +49,11 @@ def select_component(bundle: DataFrame, name: str) -> DataFrame:
     return bundle.select("datetime", "instrument", F.col(f"components.{name}").alias(name))
 
 
-def describe(bundle: DataFrame) -> DataFrame:
-    """One row of diagnostics."""
+def describe(bundle: DataFrame, *, fill: float = 0.0) -> DataFrame:
+    """One row of diagnostics. fill: what the bundle was filled with."""
     n_valid = F.count_if("mask")
     invalid = [F.count_if(~F.col(f"components.{c}")).alias(f"invalid_by_{c}") for c in COMPONENTS]
-    return bundle.agg(F.count(F.lit(1)).alias("n_samples"), n_valid.alias("n_valid"), F.round(F.avg(F.col("mask").cast("double")), 6).alias("coverage"), F.max(F.size("X")).alias("lookback"), F.max(F.size(F.element_at("X", 1))).alias("n_features"), F.round(F.avg(F.size(F.filter("step_mask", lambda ok: ok))), 3).alias("mean_valid_steps"), *invalid)
+    return bundle.agg(F.count(F.lit(1)).alias("n_samples"), n_valid.alias("n_valid"), F.round(F.avg(F.col("mask").cast("double")), 6).alias("coverage"), F.max(F.size("X")).alias("lookback"), F.max(F.size(F.element_at("X", 1))).alias("n_features"), F.round(F.avg(F.size(F.filter("step_mask", lambda ok: ok))), 3).alias("mean_valid_steps"), F.lit(float(fill)).alias("fill_value"), *invalid)
 
 
 def masked_mean(df: DataFrame, value: str, mask: str, weight: str | None = None, out: str = "masked_mean") -> DataFrame:

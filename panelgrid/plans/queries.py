@@ -281,8 +281,8 @@ def newey_west_prewhitened(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def newey_west_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = _ic(spark, sf_dir)
-    return hac.newey_west(series).withColumn("kind", F.lit("normal")).unionByName(hac.newey_west(series, reference="student").withColumn("kind", F.lit("student")))
+    """Both references' records of one series, which is computed once."""
+    return hac.both_references(_ic(spark, sf_dir)).withColumnRenamed("reference", "kind").withColumn("reference", F.col("kind"))
 
 
 @query(f"WITH {_U_IC} SELECT CAST(x.i - y.i AS INTEGER) AS lag, round(sum(x.u * y.u) / max(x.n), 9) + 0.0 AS gamma FROM s x JOIN s y ON x.i - y.i BETWEEN 0 AND 6 GROUP BY 1")
@@ -320,9 +320,9 @@ def sequence_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.select("datetime", "instrument", F.col("step").cast("bigint").alias("step"), F.col("s.step_mask").alias("ok"), *[(F.round(F.element_at("s.X", i + 1).cast("double"), 2) + F.lit(0.0)).alias(f"f_{n}") for i, n in enumerate(("n_events", "val"))])
 
 
-@query(f"WITH {_STEPS} SELECT count(*) AS n_samples, count(*) FILTER (c1 AND c3 AND c4) AS n_valid, round(avg(CAST(c1 AND c3 AND c4 AS DOUBLE)), 6) AS coverage, 5 AS lookback, 2 AS n_features, round(avg(n_ok), 3) AS mean_valid_steps, count(*) FILTER (NOT c1) AS invalid_by_label_available, CAST(0 AS BIGINT) AS invalid_by_provided_mask, count(*) FILTER (NOT c3) AS invalid_by_tradable_on_decision_date, count(*) FILTER (NOT c4) AS invalid_by_enough_valid_steps FROM bn")
+@query(f"WITH {_STEPS} SELECT count(*) AS n_samples, count(*) FILTER (c1 AND c3 AND c4) AS n_valid, round(avg(CAST(c1 AND c3 AND c4 AS DOUBLE)), 6) AS coverage, 5 AS lookback, 2 AS n_features, round(avg(n_ok), 3) AS mean_valid_steps, CAST(-1.0 AS DOUBLE) AS fill_value, count(*) FILTER (NOT c1) AS invalid_by_label_available, CAST(0 AS BIGINT) AS invalid_by_provided_mask, count(*) FILTER (NOT c3) AS invalid_by_tradable_on_decision_date, count(*) FILTER (NOT c4) AS invalid_by_enough_valid_steps FROM bn")
 def bundle_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tensor.describe(_bundle(spark, sf_dir))
+    return tensor.describe(_bundle(spark, sf_dir), fill=-1.0)
 
 
 @query(f"WITH {_STEPS} SELECT round(sum(CAST(CAST(y AS FLOAT) AS DOUBLE) * weight) FILTER (c1 AND c3 AND c4) / sum(weight) FILTER (c1 AND c3 AND c4), 4) + 0.0 AS masked_mean FROM bn")
@@ -661,6 +661,16 @@ def residualize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inference.residualize(_pairs(spark, sf_dir), "label", ["score"]).select("datetime", "instrument", "residual"), "residual")
 
 
+_DATED = f"{A_SQL}, {_PAIRS}, k AS (SELECT datetime, instrument, label, avg(label) OVER w AS mean, stddev_samp(label) OVER w AS sd, score IS NOT NULL AS on_ FROM pairs WINDOW w AS (PARTITION BY datetime))"
+
+
+@query(f"WITH {_DATED}, l AS (SELECT on_, 0.5 * ln(2 * pi()) + ln(sd) + 0.5 * pow((label - mean) / sd, 2) AS nll FROM k WHERE label IS NOT NULL AND sd > 0) SELECT count(*) AS n, round(avg(nll), 6) + 0.0 AS objective FROM l WHERE on_")
+def masked_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean Gaussian loss of the labels by their date's own mean and deviation, where there is a score."""
+    dated = normalize.with_date_figures(_pairs(spark, sf_dir), mean=F.avg("label"), sd=F.stddev_samp("label")).withColumn("sd", F.when(F.col("sd") > 0, F.col("sd")))
+    return rounded(inference.masked_mean_nll(inference.gaussian_nll(dated.withColumn("on", F.col("score").isNotNull()), "label", "mean", "sd"), "nll", "on"), "objective")
+
+
 @query(f"WITH {_BUCKETS}, c AS (SELECT bucket AS trial, ret - avg(ret) OVER (PARTITION BY bucket) AS d, ret FROM bk) SELECT trial, count(ret) AS n, round(avg(ret) / stddev_samp(ret), 6) + 0.0 AS sharpe, round(avg(d * d * d) / pow(avg(d * d), 1.5), 6) + 0.0 AS skew, round(avg(d * d * d * d) / pow(avg(d * d), 2), 6) + 0.0 AS kurt FROM c GROUP BY 1")
 def trial_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(selection.trial_moments(_trials(spark, sf_dir)), "sharpe", "skew", "kurt")

@@ -151,9 +151,8 @@ def ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hac_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of both references, of one series."""
-    series = _ic(spark, sf_dir).withColumn("reference", F.explode(F.array(F.lit("normal"), F.lit("student"))))
-    each = [hac.newey_west(series.where(F.col("reference") == r), reference=r) for r in ("normal", "student")]
-    return hac.confidence_interval(each[0].unionByName(each[1])).select("reference", "n_obs", "mean", "standard_error", "p_value", "ci_low", "ci_high")
+    tested = hac.confidence_interval(hac.both_references(_ic(spark, sf_dir)))
+    return tested.select("reference", "n_obs", "mean", "standard_error", "p_value", "ci_low", "ci_high")
 
 
 _VALUED = f"""{A_SQL}, {_PAIRS}, f AS (
