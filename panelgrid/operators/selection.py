@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .normalize import average_rank
+from .bootstrap import REPLICATES, indices
 
 
 def cscv(trials: DataFrame, groups: int = 16) -> DataFrame:
@@ -35,29 +35,38 @@ def pbo(trials: DataFrame, groups: int = 16) -> DataFrame:
     return cscv(trials, groups).agg(F.count(F.lit(1)).alias("n_splits"), F.avg((F.col("oos") < F.col("median")).cast("double")).alias("pbo"))
 
 
-def monotonicity(buckets: DataFrame, q: int, *, replicates: int, block: int, seed: int, level: float = 0.05) -> DataFrame:
+def _spearman(means: Column, q: int) -> Column:
+    """Rank correlation of bucket numbers and their means, ties sharing the mean of their ranks; null if all means are equal."""
+    ranks = F.transform(means, lambda v: F.size(F.filter(means, lambda o: o < v)) + (F.size(F.filter(means, lambda o: o == v)) + 1) / 2.0)
+    centred = lambda c: F.transform(c, lambda v: v - (q + 1) / 2.0)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, v: t + v)
+    x, y = centred(F.array(*[F.lit(float(k)) for k in range(1, q + 1)])), centred(ranks)
+    return F.try_divide(dot(x, y), F.nullif(F.sqrt(dot(x, x) * dot(y, y)), F.lit(0.0)))
+
+
+def monotonicity(buckets: DataFrame, q: int, *, replicates: int = REPLICATES, mean_block: float = 1.0, seed: int = 0, method: str = "stationary", level: float = 0.05) -> DataFrame:
     """One row: n, gap (least step between adjacent bucket means), p_mono (share of recentred replicates
     whose gap is at least that), spread of the top and bottom buckets with its interval, and the rank
-    correlation of bucket and mean.
+    correlation of bucket and mean with its interval; no row without a date that has all buckets.
 
-    buckets: (datetime, bucket, ret); dates without all of them are left out. Replicates draw circular
-    blocks of dates, alike for all buckets. The dates are one array, bounded by the calendar.
+    buckets: (datetime, bucket, ret); dates without all of them are left out. Replicates draw dates as
+    bootstrap.indices does, alike for all buckets. The dates' returns are broadcast, bounded by the calendar.
     """
     days = buckets.groupBy("datetime").agg(*[F.max(F.when(F.col("bucket") == k, F.col("ret"))).alias(f"_{k}") for k in range(1, q + 1)]).dropna()
-    x = days.agg(F.transform(F.array_sort(F.collect_list(F.struct("datetime", F.array(*[f"_{k}" for k in range(1, q + 1)]).alias("r")))), lambda d: d.r).alias("x")).withColumn("n", F.size("x")).where("n > 0")
-    mean_of = lambda rows: F.transform(F.sequence(F.lit(0), F.lit(q - 1)), lambda k: F.aggregate(rows, F.lit(0.0), lambda t, r: t + F.get(r, k)) / F.col("n"))
+    values = days.select((F.row_number().over(Window.orderBy("datetime")) - 1).cast("bigint").alias("i"), *[f"_{k}" for k in range(1, q + 1)])
+    mean_of = F.array(*[F.avg(f"_{k}") for k in range(1, q + 1)])
     gap_of = lambda m: F.array_min(F.transform(F.sequence(F.lit(1), F.lit(q - 1)), lambda k: F.get(m, k) - F.get(m, k - 1)))
-    x = x.withColumn("m", mean_of(F.col("x"))).withColumn("gap", gap_of(F.col("m")))
-    each = x.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    starts = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1), lambda k: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("b"), k)), 1, 12), 16, 10).cast("bigint") % F.col("n"))
-    each = each.withColumn("_s", starts)
-    drawn = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("x", ((F.get("_s", F.floor(i / block).cast("int")) + i % block) % F.col("n")).cast("int")))
-    each = each.withColumn("_m", mean_of(drawn)).withColumn("_d", F.zip_with("_m", "m", lambda a, b: a - b))
-    tail = F.percentile(F.get("_m", F.lit(q - 1)) - F.get("_m", F.lit(0)), F.array(F.lit(level / 2), F.lit(1 - level / 2)))
-    out = each.groupBy("n", "gap", "m").agg(F.avg((gap_of(F.col("_d")) >= F.col("gap")).cast("double")).alias("p_mono"), tail.alias("_t"))
-    ranks = out.select("m", F.posexplode("m").alias("k", "v")).select("k", average_rank("v", ["m"]).alias("r"))
-    rho = ranks.agg(F.corr("k", "r").alias("spearman"))
-    return out.crossJoin(rho).select("n", "gap", "p_mono", (F.get("m", F.lit(q - 1)) - F.get("m", F.lit(0))).alias("spread"), F.get("_t", F.lit(0)).alias("spread_lo"), F.get("_t", F.lit(1)).alias("spread_hi"), "spearman")
+    spread_of = lambda m: F.get(m, F.lit(q - 1)) - F.get(m, F.lit(0))
+    observed = values.agg(F.count(F.lit(1)).alias("n"), mean_of.alias("m")).where("n > 0")
+    drawn = indices(observed.select("n"), method=method, replicates=replicates, mean_block=mean_block, seed=seed)
+    each = drawn.drop("n").join(F.broadcast(values), "i").groupBy("b").agg(mean_of.alias("_m")).crossJoin(F.broadcast(observed))  # one row
+    moved = F.zip_with("_m", "m", lambda a, b: a - b)
+    ends = F.array(F.lit(level / 2), F.lit(1 - level / 2))
+    out = each.groupBy("n", "m").agg(
+        F.avg((gap_of(moved) >= gap_of(F.col("m"))).cast("double")).alias("p_mono"), F.percentile(spread_of(F.col("_m")), ends).alias("_s"), F.percentile(_spearman(F.col("_m"), q), ends).alias("_r")
+    )
+    at = lambda c, k: F.get(c, F.lit(k))
+    return out.select("n", gap_of(F.col("m")).alias("gap"), "p_mono", spread_of(F.col("m")).alias("spread"), at("_s", 0).alias("spread_lo"), at("_s", 1).alias("spread_hi"), _spearman(F.col("m"), q).alias("spearman"), at("_r", 0).alias("spearman_lo"), at("_r", 1).alias("spearman_hi"))
 
 
 def trial_moments(trials: DataFrame) -> DataFrame:

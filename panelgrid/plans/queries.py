@@ -585,11 +585,6 @@ def pbo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(selection.pbo(_trials(spark, sf_dir)), "pbo")
 
 
-@query()
-def monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.monotonicity(_quantiles(spark, sf_dir), 5, replicates=200, block=5, seed=3)
-
-
 _SOFT = f"{A_SQL}, {_PAIRS}, k AS (SELECT *, {_RANK.format(x='label')} AS rl, count(*) OVER (PARTITION BY datetime) AS n FROM pairs WHERE score IS NOT NULL AND label IS NOT NULL), sr AS (SELECT p.datetime, p.instrument, p.rl, p.n, sum(1 / (1 + exp((o.score - p.score) / 0.5))) AS soft FROM k p JOIN k o USING (datetime) GROUP BY 1, 2, 3, 4)"
 
 
@@ -703,16 +698,6 @@ def fitted_robust_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(normalize.apply_robust(panel, fitted, ["val"], fill=0.0).select("datetime", "instrument", "val"), "val")
 
 
-@query()
-def block_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(inference.block_length(_ic(spark, sf_dir), col="ic"),)], "block double")
-
-
-@query()
-def monotonicity_studentized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.monotonicity_studentized(_quantiles(spark, sf_dir), 5, replicates=200, block=5, seed=3)
-
-
 def queries() -> dict[str, Query]:
     from . import studies  # noqa: F401  registers its own
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelgrid.operators import attribution as parts
-from panelgrid.operators import audit, bootstrap, detect, folds, grid, hac, inference, risk
+from panelgrid.operators import audit, bootstrap, detect, folds, grid, hac, inference, risk, selection
 from panelgrid.streaming import stateful
 
 from .panels import A_SQL, read, supplier_month
-from .queries import _G, _IC, _NET, _PAIRS, _RANK, _U_IC, MIN_OBS, _ic, _pairs, _weights, calendar
+from .queries import _BUCKETS, _G, _IC, _NET, _PAIRS, _RANK, _U_IC, MIN_OBS, _ic, _pairs, _quantiles, _weights, calendar
 from .registry import query, rounded
 
 GROUPS, TESTED, RADIUS = 6, 2, 1
@@ -132,6 +132,65 @@ def bootstrap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bootstrap.summary(_ic(spark, sf_dir), col="ic", mean_block=MEAN_BLOCK, seed=SEED), "mean", "se", "lo", "hi", "p_value")
 
 
+# the automatic length of blocks, of a series bs (t, n, x)
+def _block_sql(shrink: float) -> str:
+    return f"""
+bp AS (SELECT max(n) AS n, greatest(5, ceil(sqrt(log10(max(n))))) AS run, 2 * sqrt(log10(max(n)) / max(n)) AS bound FROM bs),
+bl AS (SELECT *, least(ceil(sqrt(n)) + run, n - 1) AS last FROM bp),
+bu AS (SELECT t, x - avg(x) OVER () AS u FROM bs),
+bg AS (SELECT p.t - o.t AS l, sum(p.u * o.u) / any_value(n) AS gamma FROM bu p JOIN bu o ON p.t >= o.t JOIN bl ON p.t - o.t <= last GROUP BY 1),
+bq AS (SELECT l, abs(gamma / (SELECT gamma FROM bg WHERE l = 0)) < bound AS quiet FROM bg, bl WHERE l > 0),
+bm AS (SELECT coalesce((SELECT min(k) FROM range(10000) r(k), bl WHERE k < last AND NOT EXISTS (SELECT 1 FROM bq WHERE l > k AND l <= k + run AND NOT quiet)), any_value(last)) AS m FROM bl),
+bt AS (SELECT least(2 * greatest(m, 1), last) AS top FROM bm, bl),
+bw2 AS (SELECT sum(CASE WHEN l > 0 THEN 2 * least(1, 2 * (1 - l / top)) * l * gamma END) AS g, sum(CASE WHEN l = 0 THEN gamma ELSE 2 * least(1, 2 * (1 - l / top)) * gamma END) AS level FROM bg, bt WHERE l <= top),
+mb AS (SELECT least(greatest(pow(2 * g * g / ({shrink} * level * level), 1.0::DOUBLE / 3) * pow(n, 1.0::DOUBLE / 3), 1), ceil(least(3 * sqrt(n), n / 3))) AS mb FROM bw2, bp)"""
+
+
+_IC_SERIES = "bs AS (SELECT row_number() OVER (ORDER BY datetime) - 1 AS t, count(*) OVER () AS n, ic AS x FROM ic)"
+
+
+@query(f"WITH {_IC}, {_IC_SERIES}, {_block_sql(4 / 3)} SELECT round(mb, 6) + 0.0 AS block FROM mb")
+def block_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spark.createDataFrame([(inference.block_length(_ic(spark, sf_dir), col="ic"),)], "block double"), "block")
+
+
+@query(f"WITH {_IC}, {_IC_SERIES}, {_block_sql(2)} SELECT round(mb, 6) + 0.0 AS block FROM mb")
+def stationary_block_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(spark.createDataFrame([(inference.block_length(_ic(spark, sf_dir), col="ic", method="stationary"),)], "block double"), "block")
+
+
+# dates with all five buckets, their spread's block length, and the replicates' bucket means
+_MONO = f"""{_BUCKETS},
+fd AS (SELECT datetime, row_number() OVER (ORDER BY datetime) - 1 AS t, count(*) OVER () AS n, hi - lo AS x FROM (SELECT datetime, max(CASE WHEN bucket = 5 THEN ret END) AS hi, max(CASE WHEN bucket = 1 THEN ret END) AS lo FROM bk GROUP BY 1 HAVING count(ret) = 5)),
+bs AS (SELECT t, n, x FROM fd), {_block_sql(2)},
+num AS (SELECT t, n FROM fd), {_STATIONARY.removeprefix(_NUMBERED + ',').replace(f'< {16**12 // MEAN_BLOCK}', f'< floor({16**12} / (SELECT mb FROM mb))')},
+rm AS (SELECT b, bucket, avg(ret) AS m FROM ix JOIN fd ON fd.t = ix.i JOIN bk USING (datetime) GROUP BY 1, 2),
+om AS (SELECT bucket, avg(ret) AS o, any_value(fd.n) AS n FROM fd JOIN bk USING (datetime) GROUP BY 1),
+og AS (SELECT min(d) AS gap FROM (SELECT o - lag(o) OVER (ORDER BY bucket) AS d FROM om)),
+rg AS (SELECT b, min(d) AS gap FROM (SELECT b, (m - o) - lag(m - o) OVER (PARTITION BY b ORDER BY bucket) AS d FROM rm JOIN om USING (bucket)) GROUP BY 1),
+rs AS (SELECT b, max(CASE WHEN bucket = 5 THEN m END) - max(CASE WHEN bucket = 1 THEN m END) AS spread, corr(bucket, k) AS rho FROM (SELECT *, rank() OVER (PARTITION BY b ORDER BY m) + (count(*) OVER (PARTITION BY b, m) - 1) / 2.0::DOUBLE AS k FROM rm) GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_MONO}
+SELECT (SELECT max(n) FROM om) AS n, round((SELECT gap FROM og), 6) + 0.0 AS gap, round((SELECT avg(CASE WHEN rg.gap >= og.gap THEN 1.0::DOUBLE ELSE 0 END) FROM rg, og), 6) + 0.0 AS p_mono,
+  round((SELECT max(CASE WHEN bucket = 5 THEN o END) - max(CASE WHEN bucket = 1 THEN o END) FROM om), 6) + 0.0 AS spread, round(quantile_cont(spread, 0.025), 6) + 0.0 AS spread_lo, round(quantile_cont(spread, 0.975), 6) + 0.0 AS spread_hi,
+  round((SELECT corr(bucket, k) FROM (SELECT bucket, rank() OVER (ORDER BY o) AS k FROM om)), 6) + 0.0 AS spearman, round(quantile_cont(rho, 0.025), 6) + 0.0 AS spearman_lo, round(quantile_cont(rho, 0.975), 6) + 0.0 AS spearman_hi FROM rs"""
+)
+def monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    buckets = _quantiles(spark, sf_dir)
+    block = inference.block_length(inference.long_short(buckets, 5), col="spread", method="stationary")
+    tested = selection.monotonicity(buckets, 5, mean_block=block, seed=SEED)
+    return rounded(tested, *[c for c in tested.columns if c != "n"])
+
+
+@query()
+def monotonicity_studentized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    buckets = _quantiles(spark, sf_dir)
+    block = inference.block_length(inference.long_short(buckets, 5), col="spread")
+    return selection.monotonicity_studentized(buckets, 5, replicates=bootstrap.REPLICATES, block=max(1, round(block)), seed=SEED)
+
+
 # ---- intervals, weighted buckets ---------------------------------------------------------------
 
 _SUMMARY = f"""{_U_IC}, {_G.format(s='s')},

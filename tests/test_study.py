@@ -60,7 +60,7 @@ def test_cscv_is_that_of_all_halves(spark):
 
 def test_monotonicity_of_an_order_and_of_none(spark):
     noise = np.random.default_rng(3).normal(size=(60, 4)) * 0.1
-    run = lambda x: selection.monotonicity(panel(spark, x).select("datetime", (F.col("instrument") + 1).alias("bucket"), F.col("x").alias("ret")), 4, replicates=100, block=5, seed=1).first()
+    run = lambda x: selection.monotonicity(panel(spark, x).select("datetime", (F.col("instrument") + 1).alias("bucket"), F.col("x").alias("ret")), 4, replicates=100, mean_block=5, seed=1).first()
     up, down = run(noise + np.arange(4)), run(noise - np.arange(4))
     assert up.p_mono == 0 and up.spearman == pytest.approx(1) and up.spread_lo < up.spread < up.spread_hi and up.n == 60
     assert down.p_mono == 1 and down.spearman == pytest.approx(-1)
