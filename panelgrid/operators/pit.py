@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grid import require_columns
+from .grid import calendar, require_columns
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,10 @@ def _events(events: DataFrame, spec: LagSpec, column: str) -> DataFrame:
     return events.select(F.col(spec.instrument).alias("instrument"), F.col(column).cast("date").alias("visible"), F.col(spec.report).cast("date").alias("report"), *[F.expr(f"try_cast(`{v}` AS DOUBLE)").alias(v) for v in spec.values]).where("visible is not null")
 
 
+def _numbered(days: DataFrame) -> DataFrame:
+    return days if "pos" in days.columns else calendar(days)
+
+
 def positions(df: DataFrame, days: DataFrame, date: str, out: str) -> DataFrame:
     """Adds the position of the first trading day on or after a date: the calendar's length if there is none. Every day of the
     calendar's range has a row with its position, so a date is looked up by one equality, whatever the calendar's length; the range is
@@ -65,6 +69,7 @@ def publish(events: DataFrame, days: DataFrame, spec: LagSpec, *, mode: str = "a
     if not spec.allow_negative_lag and (bad := negative_lags(events, spec).limit(5).collect()):
         raise ValueError(f"announced before the report date: {bad}")
     order = Window.partitionBy("instrument").orderBy("visible", "report", *spec.values)
+    days = _numbered(days)
     spans = positions(_events(events, spec, column), days, "visible", "start")
     if max_days is not None:
         spans = positions(spans.withColumn("_until", F.date_add("visible", max_days + 1)), days, "_until", "_old").drop("_until")
@@ -98,5 +103,6 @@ def verify(published: DataFrame, events: DataFrame, spec: LagSpec, *, mode: str
 def first_visible(events: DataFrame, days: DataFrame, spec: LagSpec) -> DataFrame:
     """(instrument, first_date): the first calendar date on or after the instrument's least announcement; null if none."""
     least = events.groupBy(F.col(spec.instrument).alias("instrument")).agg(F.min(F.col(spec.announce).cast("date")).alias("seen"))
+    days = _numbered(days)
     placed = positions(least, days, "seen", "pos").withColumn("pos", F.when(F.col("seen").isNotNull(), F.col("pos")))
     return placed.join(F.broadcast(days.select("pos", F.col("datetime").alias("first_date"))), "pos", "left").select("instrument", "first_date")
