@@ -59,6 +59,16 @@ class Scratch:
                 delete(self.spark, self._paths.pop(id(t))[1])
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a local relation, which needs no job when it is broadcast."""
+    import pyarrow as pa
+
+    names, types = zip(*(part.split() for part in schema.split(", ")), strict=True)
+    kinds = {"int": pa.int32(), "bigint": pa.int64()}
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return spark.createDataFrame(pa.table([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names)))
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a folder wherever it is stored."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

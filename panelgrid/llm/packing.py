@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import CodecSource
-from .common import Scratch
+from .common import Scratch, small_table
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces and slots that a task sweeps.
@@ -189,15 +189,15 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             matched = swept.where(~alone & ~free).select("row", "length", "sequence", "slot")
             left = swept.where(alone).select("row", "length", "part", "rank")
             if segments:
-                of = F.broadcast(spark.createDataFrame(segments, _SEGMENT))  # at most two for each task
+                of = F.broadcast(small_table(spark, segments, _SEGMENT))  # at most two for each task
                 met = left.join(of, (F.col("part") == F.col("piece_part")) & (F.col("rank") <= F.col("last_rank")) & (F.col("rank") > F.col("last_rank") - F.col("n")))
                 met = met.select("row", "length", F.col("slot_part").alias("part"), (F.col("first_rank") + F.col("last_rank") - F.col("rank")).alias("rank"))
                 matched = matched.unionByName(met.join(swept.where(free).select("sequence", "slot", "part", "rank"), ["part", "rank"]).select("row", "length", "sequence", "slot"))
                 # of each task the pieces below the last segment's wait on
                 lowest = {}
-                for part, last, _, _, n in segments:
-                    lowest[part] = min(lowest.get(part, last + 1), last - n + 1)
-                rest = F.broadcast(spark.createDataFrame(list(lowest.items()), "part int, below bigint"))
+                for part, last_rank, _, _, n in segments:
+                    lowest[part] = min(lowest.get(part, last_rank + 1), last_rank - n + 1)
+                rest = F.broadcast(small_table(spark, list(lowest.items()), "part int, below bigint"))
                 left = left.join(rest, "part", "left").where("below is null or rank < below").drop("below")
             else:
                 lowest = {}
@@ -223,7 +223,7 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             new = -(-total // each)
             if (least + 1) * (each + 1) <= capacity:
                 new = min(new, -(-left.agg(F.sum("length")).first()[0] // capacity))
-            ranks = F.broadcast(spark.createDataFrame(list(before.items()), "part int, before bigint"))
+            ranks = F.broadcast(small_table(spark, list(before.items()), "part int, before bigint"))
             ranked = left.join(ranks, "part").withColumn("place", F.lit(total - 1) - F.col("before") - F.col("rank"))
             placing = F.col("place") < new * each
             at = (F.lit(opened) + F.floor(F.col("place") / each)).alias("sequence"), (F.col("place") % each).cast("int").alias("slot")
@@ -236,10 +236,11 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
             if total <= new * each:
                 break
             waiting = ranked.where(~placing).select("row", "length")
-    placed = rounds[0] if rounds else spark.createDataFrame([], "row bigint, length bigint, sequence bigint, slot int, round int")
+    placed = rounds[0] if rounds else small_table(spark, [], "row bigint, length bigint, sequence bigint, slot int, round int")
     for r in rounds[1:]:
         placed = placed.unionByName(r)
     # at most capacity pieces to a sequence
     order = Window.partitionBy("sequence").orderBy("round", "slot").rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.select("row", F.col("sequence").alias("sequence_id"), (F.sum("length").over(order) - F.col("length")).alias("offset"))
+    placed = scratch.write(placed.select("row", F.col("sequence").alias("sequence_id"), (F.sum("length").over(order) - F.col("length")).alias("offset")))
+    scratch.drop(last, gaps, *rounds)  # what the result reads stays: the pieces and their places
     return parts.join(placed, "row").select(*keep, "sequence_id", "offset")
