@@ -7,11 +7,14 @@ scores, as far as they overlap nothing taken before. The trees are trained on sp
 seeded generator of formats and look-alikes, and thresholds calibrated on a second draw.
 
 Null counts as empty text, which has no spans. Offsets are code points, ends exclusive. Rows are
-kept one by one, whatever their ids.
+kept one by one, whatever their ids, and other columns may have any names; an empty table gives no rows. Of proposals
+with equal scores the one found first is taken. Every search passes a text once, and overlaps are looked up in sorted
+intervals, so texts of any length and with any number of spans are read whole.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import random
@@ -28,6 +31,8 @@ from .boosting import BoostedTrees
 BASE_KINDS = ("email", "ip", "card", "phone")
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: All of a run of numbers with dots between: matches of IP are its numbers in fours, as each takes its digits whole.
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -36,14 +41,17 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _DIGIT = re.compile(r"[0-9]")
 _AT = re.compile(r"\bat\b", re.IGNORECASE)
 
-#: Kinds beyond the base, with their generators.
+#: Kinds beyond the base, with their generators. Spelled addresses are found around an "at", by _spelled.
 GENERATORS = {
-    "email_spelled": re.compile(r"[A-Za-z0-9._%+-]{2,40} ?[\[(]? ?\bat\b ?[\])]? ?[A-Za-z0-9-]{2,40} ?[\[(]? ?(?:\bdot\b|\.) ?[\])]? ?[A-Za-z]{2,10}\b", re.IGNORECASE),
+    "email_spelled": None,
     "phone_local": re.compile(r"\(?\b[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}\b"),
-    "secret": re.compile(r"[A-Za-z0-9_+/-]{16,200}={0,2}"),
+    "secret": re.compile(r"[A-Za-z0-9_+/-]{16,}+={0,2}"),
     "ssn": re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
 }
+_HOST = re.compile(r"[A-Za-z0-9-]*+")
+_AFTER_AT = re.compile(r" ?[\])]? ?")
+_TOP = re.compile(r" ?[\[(]? ?(?:\bdot\b|\.) ?[\])]? ?[A-Za-z]{2,10}\b", re.IGNORECASE)
 CONTEXT_CHARS = 24
 #: Of what a threshold selects in the calibration draw, this share is right.
 PRECISION = 0.98
@@ -78,22 +86,59 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         at = text.find("@", max(at + 1, done))
     if not _DIGIT.search(text):
         return out
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(x) <= 3 and int(x or "0") <= 255 for x in (p.lstrip("0") for p in m.group().split(".")))]
+    out += _addresses(text)
     out += [("card", *m.span()) for m in CARD.finditer(text) if 13 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
     if "+" in text:
         out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(_digits(m.group())) <= 15]
     return out
 
 
+def _addresses(text: str) -> list[tuple[str, int, int]]:
+    """Matches of IP whose parts are 255 at most."""
+    out = []
+    for m in _DOTTED.finditer(text):
+        if m.group().count(".") < 3:
+            continue
+        parts, start = m.group().split("."), m.start()
+        for k in range(0, len(parts) - 3, 4):
+            four = parts[k : k + 4]
+            end = start + sum(map(len, four)) + 3
+            if all(len(x) <= 3 and int(x or "0") <= 255 for x in (p.lstrip("0") for p in four)):
+                out.append(("ip", start, end))
+            start = end + 1
+    return out
+
+
 def _spelled(text: str) -> Iterator[tuple[int, int]]:
-    """The generator's matches, sought from the places before each "at", which all of them have."""
-    generator, end = GENERATORS["email_spelled"], 0
+    """Spelled addresses: a name, "at" and a host with "dot" or a dot and a last part, brackets or spaces between. Of all that
+    match the leftmost are taken, with whole names and hosts. What is walked over once is remembered, so runs with many an "at" in
+    them are walked once."""
+    done, name_start, name_end, host_start, host_end = 0, 0, -1, 0, -1
     for at in _AT.finditer(text):
-        for start in range(max(end, at.start() - 43), at.start() - 1):
-            if m := generator.match(text, start):
-                end = m.end()
-                yield m.span()
+        # back over at most a space, a bracket and a space, then over the name
+        i = at.start()
+        if i > done and text[i - 1] == " ":
+            i -= 1
+        if i > done and text[i - 1] in "[(":
+            i -= 1
+        if i > done and text[i - 1] == " ":
+            i -= 1
+        end, start = i, i
+        while start > done and text[start - 1] in _LOCAL:
+            if name_start < start <= name_end:
+                start = max(name_start, done)
                 break
+            start -= 1
+        if end > start:
+            name_start, name_end = start, end
+        if end - start < 2:
+            continue
+        host = _AFTER_AT.match(text, at.end()).end()
+        if not host_start <= host <= host_end:
+            host_start, host_end = host, _HOST.match(text, host).end()
+        if host_end - host >= 2 and (m := _TOP.match(text, host_end)):
+            done = m.end()
+            yield start, done
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -186,22 +231,46 @@ def trained(seed: int = SEED, n: int = 200) -> tuple[BoostedTrees, dict[str, flo
     return model, least
 
 
+class _Intervals:
+    """Stretches of a text in order, none of which overlap."""
+
+    def __init__(self, spans: list[tuple[str, int, int]] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, s, e in sorted(spans, key=lambda v: v[1]):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect.bisect_right(self.ends, start)
+        return k < len(self.starts) and self.starts[k] < end
+
+    def add(self, start: int, end: int) -> None:
+        """A stretch that meets none of the others."""
+        k = bisect.bisect_right(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+
+
 def _chosen(texts: list[str], model: BoostedTrees, least: dict[str, float]) -> list[list[tuple[str, int, int]]]:
     """All spans of each text: those of the base, and what the model adds."""
     spans, of, x = [base_spans(t) for t in texts], [], []
     for i, t in enumerate(texts):
-        taken = spans[i]
+        taken = _Intervals(spans[i])
         for kind, s, e in candidates(t):
-            if not any(s < b and a < e for _, a, b in taken):
+            if not taken.meets(s, e):
                 of.append((i, kind, s, e))
                 x.append(features(t, kind, s, e))
     if of:
         p = model.probability(np.array(x))
-        added: dict[int, list[tuple[int, int]]] = {}
+        added: dict[int, _Intervals] = {}
         for j in np.argsort(-p, kind="stable"):
             i, kind, s, e = of[j]
-            if p[j] >= least[kind] and not any(s < b and a < e for a, b in added.get(i, ())):
-                added.setdefault(i, []).append((s, e))
+            if p[j] >= least[kind] and not (own := added.setdefault(i, _Intervals())).meets(s, e):
+                own.add(s, e)
                 spans[i].append((kind, s, e))
     order = {k: n for n, k in enumerate((*BASE_KINDS, *sorted(GENERATORS)))}
     return [sorted(x, key=lambda v: (order[v[0]], v[1])) for x in spans]
