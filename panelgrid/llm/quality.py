@@ -6,9 +6,12 @@ counts, and a linear model with hinge loss is fitted to the scaled indicators by
 descent. Margins become probabilities by a logistic fit on folds that the model hasn't seen.
 
 The fit is on the driver and uses at most TRAIN_ROWS labelled rows, chosen by a hash of their id;
-scores cover every row and its whole text. Null counts as empty text, which has no indicators and
-the score of the intercept. If the labels in the sample are all alike or absent, the score is their
-smoothed share. Repeated labels count each; rows are scored one by one.
+scores cover every row and its whole text, of any length, in one pass over its bytes. Null counts as empty text, which has
+no indicators and the score of the intercept. If the labels in the sample are all alike or absent, the score is their
+smoothed share. Of rows that repeat a labelled id one counts, that of the smallest set of indicators, and a label that
+is repeated counts once; different labels of one id count each. Rows are scored one by one, repeated or not, and equal
+texts alike. A null id is never in the sample. An empty table gives no rows, and an empty sample even scores.
+Other columns may have any names.
 """
 
 from __future__ import annotations
@@ -131,13 +134,19 @@ def fit(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        indicators = Indicators()
+        indicators, size = Indicators(), (1 << BITS) + REPEATS
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([indicators(t).tobytes() for t in b.column("text").to_pylist()], pa.binary())], names=["id", "label", "found"])
-
-    found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label {rows.schema['label'].dataType.simpleString()}, found binary").collect()
-    found.sort(key=lambda r: (r.id, r.label, r.found))
-    return fit_rows([np.frombuffer(r.found, np.int32) for r in found], np.array([r.label for r in found]))
+            bits = np.zeros((b.num_rows, size), bool)
+            for k, text in enumerate(b.column("text")):
+                bits[k, indicators(text.as_py())] = True
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], names=["id", "label", "found"])
+
+    made = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, label {rows.schema['label'].dataType.simpleString()}, found binary")
+    # one row for each of train_rows ids and labels, of some 8 KB, however often an id is repeated
+    found = made.groupBy("id", "label").agg(F.min("found").alias("found")).collect()
+    found.sort(key=lambda r: (r.id, r.label))
+    sample = [np.flatnonzero(np.unpackbits(np.frombuffer(r.found, np.uint8))) for r in found]
+    return fit_rows(sample, np.array([r.label for r in found]))
 
 
 def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
