@@ -11,6 +11,7 @@ from pathlib import Path
 from typing import Any
 
 from .artifacts import Artifacts, content_hash
+from .study_rules import ConfigError, resolve
 
 #: The only names that a document may refer to, and the blocks that it may have.
 PATHS = ("DATA_DIR", "PROVIDER_URI", "ARTIFACT_ROOT")
@@ -18,10 +19,6 @@ BLOCKS = ("study", "qlib_init", "data_handler", "segments", "model", "backtest")
 _REFERENCE = re.compile(r"\$\{(\w+)(?::-([^}]*))?\}")
 
 
-class ConfigError(ValueError):
-    pass
-
-
 class Paths:
     """Directories by name: what is given, else the environment's, else ``root`` / default. Remembers what was overridden."""
 
@@ -79,11 +76,20 @@ class Segments:
 class Study:
     document: Mapping[str, Any]
     overrides: Mapping[str, str]
+    values: Mapping[str, Any]  # all of them by dotted path, defaults included
+
+    @property
+    def name(self) -> str:
+        return self.values["study.name"]
+
+    @property
+    def seed(self) -> int:
+        return self.values["study.seed"]
 
     @property
     def segments(self) -> Segments:
-        block = dict(self.document["segments"])
-        return Segments(**{k: tuple(v) if isinstance(v, list) else v for k, v in block.items()})
+        each = (tuple(map(str, self.values[f"segments.{k}"])) for k in ("train", "valid", "test"))
+        return Segments(*each, purge_radius=self.values["segments.purge_radius"])
 
     @property
     def hash(self) -> str:
@@ -94,8 +100,8 @@ class Study:
         return Artifacts(folder).save("resolved_config.yaml", {**self.document, "overrides": dict(self.overrides)})
 
 
-def load_study(path: str | Path, paths: Paths) -> Study:
-    """Reads a YAML document, with its paths filled in; unknown blocks and bad segments are errors."""
+def load_study(path: str | Path, paths: Paths, *, allow_zero_cost: bool = False) -> Study:
+    """Reads a YAML document, with its paths filled in; missing or unknown blocks and values, and such that can't be used, are errors."""
     import yaml
 
     document = yaml.safe_load(paths.expand(Path(path).read_text(encoding="utf-8")))
@@ -103,7 +109,6 @@ def load_study(path: str | Path, paths: Paths) -> Study:
         raise ConfigError(f"{path} holds no mapping")
     if unknown := set(document) - set(BLOCKS):
         raise ConfigError(f"unknown blocks: {', '.join(sorted(map(str, unknown)))}")
-    study = Study(document, dict(paths.overrides))
-    if "segments" in document:
-        study.segments  # noqa: B018
+    study = Study(document, dict(paths.overrides), resolve(document, allow_zero_cost=allow_zero_cost))
+    study.segments  # noqa: B018  checks their order
     return study

@@ -1,10 +1,12 @@
+import datetime as dt
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelgrid.operators import inference, labels, risk, selection
-from panelgrid.sources import config, synthetic
+from panelgrid.sources import config, store, synthetic
 
 
 @pytest.fixture(scope="module")
@@ -45,19 +47,87 @@ def test_paths(tmp_path):
             config.Paths(tmp_path, environ).expand(text)
 
 
+STUDY = """
+study: {name: a, seed: 7}
+qlib_init: {provider_uri: '${ARTIFACT_ROOT:-artifacts}'}
+data_handler: {kwargs: {start_time: 2020-01-01, end_time: 2020-04-01, fit_start_time: 2020-01-01, fit_end_time: 2020-02-01, instruments: all}}
+segments: {train: ['2020-01-01', '2020-02-01'], valid: ['2020-02-02', '2020-03-01'], test: ['2020-03-02', '2020-04-01'], purge_radius: 1}
+model: {kwargs: {lr: 0.01}}
+backtest: {start_time: '2020-03-02', end_time: '2020-04-01', exchange_kwargs: {open_cost: 0.001}}
+"""
+
+
 def test_study(tmp_path):
     file = tmp_path / "study.yaml"
-    file.write_text("study: {name: a, out: '${ARTIFACT_ROOT:-artifacts}'}\nsegments: {train: ['2020-01-01', '2020-02-01'], valid: ['2020-02-02', '2020-03-01'], test: ['2020-03-02', '2020-04-01'], purge_radius: 1}\n")
+    file.write_text(STUDY)
     one, two = (config.load_study(file, config.Paths(tmp_path, e)) for e in ({}, {"ARTIFACT_ROOT": "/o"}))
     assert one.segments.purge_radius == 1 and one.hash != two.hash and two.overrides == {"ARTIFACT_ROOT": "/o"}
+    assert (one.name, one.seed, one.values["model.kwargs.lr"], one.values["model.kwargs.batch_size"], one.values["backtest.exchange_kwargs.close_cost"]) == ("a", 7, 0.01, 1024, 0.0025)
     assert two.dump(tmp_path / "out").read_text().count("/o") == 2
-    file.write_text("other: {}\n")
-    with pytest.raises(config.ConfigError):
-        config.load_study(file, config.Paths(tmp_path, {}))
     with pytest.raises(config.ConfigError):
         config.Segments(("2020-01-01", "2020-02-02"), ("2020-02-02", "2020-03-01"), ("2020-03-02", "2020-04-01"))
 
 
+@pytest.mark.parametrize(
+    ("old", "new", "says"),
+    [
+        ("model: {kwargs: {lr: 0.01}}", "", "missing blocks: model"),
+        ("study:", "other:", "unknown blocks: other"),
+        ("seed: 7", "seed: true", "study.seed has to be a whole number"),
+        ("seed: 7", "seed: '7'", "study.seed has to be a whole number"),
+        ("seed: 7", "seed: -1", "study.seed can't be negative"),
+        ("name: a", "name: ''", "study.name can't be empty"),
+        ("lr: 0.01", "lr: 0", "lr has to be positive"),
+        ("lr: 0.01", "rate: 1", "model.kwargs.rate is unknown"),
+        ("open_cost: 0.001", "open_cost: 0", "open_cost is zero"),
+        ("open_cost: 0.001", "min_cost: 0.0", "min_cost is zero"),
+        ("open_cost: 0.001", "open_cost: -1", "open_cost can't be negative"),
+        ("open_cost: 0.001", "trade_unit: 1", "has to be 100 shares"),
+        ("{open_cost: 0.001}", "[1]", "exchange_kwargs has to be a mapping"),
+        (", instruments: all", "", "data_handler.kwargs.instruments is missing"),
+        ("fit_end_time: 2020-02-01", "fit_end_time: 2020-02-03", "fitted beyond the train segment"),
+        ("end_time: 2020-04-01,", "end_time: 2020-03-20,", "ends before a segment does"),
+        ("start_time: '2020-03-02'", "start_time: '2020-03-01'", "leaves the test segment"),
+        ("start_time: '2020-03-02'", "start_time: 'soon'", "backtest.start_time has to be a date"),
+        ("valid: ['2020-02-02', '2020-03-01']", "valid: ['2020-02-02']", "segments.valid has to be a pair of dates"),
+        ("valid: ['2020-02-02', '2020-03-01']", "valid: ['2020-01-02', '2020-03-01']", "in order, without overlap"),
+        ("provider_uri:", "kernels: 4, provider_uri:", "needs allow_multiprocessing"),
+    ],
+)
+def test_study_that_cannot_be_used(tmp_path, old, new, says):
+    file = tmp_path / "study.yaml"
+    assert old in STUDY
+    file.write_text(STUDY.replace(old, new, 1))
+    with pytest.raises(config.ConfigError, match=says):
+        config.load_study(file, config.Paths(tmp_path, {}))
+    if "zero" in says:
+        assert config.load_study(file, config.Paths(tmp_path, {}), allow_zero_cost=True).seed == 7
+
+
+def test_sources_of_a_store(spark, tmp_path):
+    """Membership files, field scans and snapshots."""
+    (tmp_path / "all.txt").write_text("B 2020-01-02 2020-02-01\nA 2020-01-01  2020-01-31\nbroken line\nA 2020-03-01 2020-03-31\nC soon later\n")
+    assert [tuple(map(str, r)) for r in store.load_instruments(spark, str(tmp_path / "all.txt")).collect()] == [("A", "2020-01-01", "2020-01-31"), ("A", "2020-03-01", "2020-03-31"), ("B", "2020-01-02", "2020-02-01")]
+    (tmp_path / "none.txt").write_text("nothing\n")
+    with pytest.raises(ValueError):
+        store.load_instruments(spark, str(tmp_path / "none.txt"))
+    rows = [(dt.date(2020, 1, d), k, float(d), None if k == "b" else 1) for d in (1, 2, 3) for k in "ab"]
+    panel = spark.createDataFrame(rows, "datetime date, instrument string, x double, y int")
+    assert sorted(map(tuple, store.field_scan(panel, ["a"], ["x"], "2020-01-02", "2020-01-09").collect())) == [(dt.date(2020, 1, d), "a", float(d)) for d in (2, 3)]
+    content = lambda df, to: {r.datetime: (r.n, r.content) for r in store.write_snapshots(df, f"{tmp_path}/{to}").collect()}
+    first = content(panel.repartition(3), "one")
+    assert content(panel.select("y", "instrument", "x", "datetime").orderBy(F.desc("instrument")).coalesce(1), "two") == first and all(n == 2 for n, _ in first.values())
+    assert len({c for _, c in first.values()}) == 3 and spark.read.parquet(f"{tmp_path}/one").count() == 6
+    changed = content(panel.unionByName(panel.where("x = 2 AND y IS NULL")), "three")
+    assert [d for d in first if changed[d] != first[d]] == [dt.date(2020, 1, 2)] and changed[dt.date(2020, 1, 2)][0] == 3
+
+
+def test_kinds_root(tmp_path):
+    from panelgrid.sources.artifacts import Artifacts
+
+    assert Artifacts(tmp_path).folder("models") == tmp_path / "models" and (tmp_path / "models").is_dir()
+
+
 def test_segment_roles(spark):
     days = spark.sql("SELECT date_add(DATE '2020-01-30', CAST(id AS INT)) AS datetime, id AS pos FROM range(6)")
     made = labels.segment_roles(days, config.Segments(("2020-01-30", "2020-01-31"), ("2020-02-01", "2020-02-02"), ("2020-02-03", "2020-02-03"), purge_radius=1))
