@@ -359,6 +359,12 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.inventory(user_day(spark, sf_dir), ["val"]).withColumn("missing_rate", F.round("missing_rate", 6))
 
 
+@query("SELECT datetime, instrument, round(sum(value), 4) + 0.0 AS val FROM (SELECT CAST(ts AS DATE) AS datetime, user_id AS instrument, value FROM events) WHERE datetime BETWEEN DATE '2024-01-05' AND DATE '2024-01-10' AND instrument IN (1, 2, 3, 5, 8) GROUP BY 1, 2")
+def field_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field of a few instruments in a range of dates: what the scan is for."""
+    return store.field_scan(user_day_rows(spark, sf_dir), [1, 2, 3, 5, 8], ["val"], "2024-01-05", "2024-01-10").withColumn("val", F.round("val", 4) + F.lit(0.0))
+
+
 @query("SELECT list_filter([CASE WHEN lo > DATE '1900-01-01' THEN 'starts before the first day' END, CASE WHEN hi < DATE '2999-12-31' THEN 'ends after the last day' END, CASE WHEN n = 0 THEN 'no rows' END], lambda x: x IS NOT NULL) AS problems FROM (SELECT min(CAST(ts AS DATE)) AS lo, max(CAST(ts AS DATE)) AS hi, count(*) FILTER (CAST(ts AS DATE) BETWEEN DATE '1900-01-01' AND DATE '2999-12-31') AS n FROM events)")
 def domain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.domain_check(user_day_rows(spark, sf_dir), "1900-01-01", "2999-12-31")
@@ -480,6 +486,11 @@ def drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(portfolio.drawdown(_returns(spark, sf_dir)).select("datetime", F.log("wealth").alias("log_wealth"), "drawdown"), "log_wealth", "drawdown")
 
 
+@query(f"WITH {_RET}, dd AS (SELECT min(wealth / peak - 1) AS worst FROM (SELECT wealth, greatest(1, max(wealth) OVER (ORDER BY datetime)) AS peak FROM w)), m AS (SELECT count(ret) AS n, avg(ret) * 12 AS mean_annual, stddev_samp(ret) * sqrt(12) AS vol_annual FROM rt) SELECT n, round(mean_annual, 6) + 0.0 AS mean_annual, round(vol_annual, 6) + 0.0 AS vol_annual, round(mean_annual / vol_annual, 6) + 0.0 AS sharpe, round(worst, 6) + 0.0 AS max_drawdown, round(mean_annual / nullif(abs(worst), 0), 6) + 0.0 AS calmar FROM m, dd")
+def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(portfolio.performance(_returns(spark, sf_dir), periods_per_year=12), "mean_annual", "vol_annual", "sharpe", "max_drawdown", "calmar")
+
+
 @query("SELECT p_partkey, CAST(floor(floor(p_size * 1000.0::DOUBLE / p_retailprice) / 100) * 100 AS BIGINT) AS shares FROM part")
 def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("weight"), F.col("p_retailprice").alias("price"))
@@ -666,6 +677,13 @@ def masked_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inference.masked_mean_nll(inference.gaussian_nll(dated.withColumn("on", F.col("score").isNotNull()), "label", "mean", "sd"), "nll", "on"), "objective")
 
 
+@query(f"WITH {_DATED}, l AS (SELECT on_, lgamma(2.5) - lgamma(3) + 0.5 * ln(pi() * 5) + ln(sd) + 3 * ln(1 + pow((label - mean) / sd, 2) / 5) AS nll FROM k WHERE label IS NOT NULL AND sd > 0) SELECT count(*) AS n, round(avg(nll), 6) + 0.0 AS objective FROM l WHERE on_")
+def masked_student_nll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by Student's distribution with five degrees of freedom."""
+    dated = normalize.with_date_figures(_pairs(spark, sf_dir), mean=F.avg("label"), sd=F.stddev_samp("label")).withColumn("sd", F.when(F.col("sd") > 0, F.col("sd"))).withColumn("nu", F.lit(5.0))
+    return rounded(inference.masked_mean_nll(inference.student_nll(dated.withColumn("on", F.col("score").isNotNull()), "label", "mean", "sd", "nu"), "nll", "on"), "objective")
+
+
 @query(f"WITH {_BUCKETS}, c AS (SELECT bucket AS trial, ret - avg(ret) OVER (PARTITION BY bucket) AS d, ret FROM bk) SELECT trial, count(ret) AS n, round(avg(ret) / stddev_samp(ret), 6) + 0.0 AS sharpe, round(avg(d * d * d) / pow(avg(d * d), 1.5), 6) + 0.0 AS skew, round(avg(d * d * d * d) / pow(avg(d * d), 2), 6) + 0.0 AS kurt FROM c GROUP BY 1")
 def trial_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(selection.trial_moments(_trials(spark, sf_dir)), "sharpe", "skew", "kurt")
@@ -681,11 +699,23 @@ def deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.deflated_sharpe(_trials(spark, sf_dir))
 
 
-@query("SELECT CAST(1000 AS BIGINT) AS n, true AS near_truth")
+def _like_the_suppliers(spark: SparkSession, sf_dir: str, correlation: float) -> synthetic.PanelSpec:
+    """A generated panel with as many instruments and dates as the tables have suppliers and months."""
+    shape = read(spark, sf_dir, "lineitem").agg(F.count_distinct("l_suppkey").alias("names"), F.count_distinct(F.trunc("l_shipdate", "month")).alias("dates")).first()
+    return synthetic.PanelSpec(instruments=shape.names, days=shape.dates, correlation=correlation)
+
+
+@query()
 def synthetic_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = synthetic.PanelSpec()
-    got = ic.rank_ic(synthetic.generate(spark, spec), min_obs=30)
-    return got.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg("ic") - spec.copula_rank_ic) < 0.02).alias("near_truth"))
+    """Whether rank ICs of a generated panel of the tables' shape come out as its copula says."""
+    spec = _like_the_suppliers(spark, sf_dir, 0.3)
+    got = ic.rank_ic(synthetic.generate(spark, spec), min_obs=3)
+    return got.agg(F.count(F.lit(1)).alias("n"), F.avg("ic").alias("mean_ic"), (F.abs(F.avg("ic") - spec.copula_rank_ic) <= 4 * F.stddev_samp("ic") / F.sqrt(F.count("ic"))).alias("near_truth"))
+
+
+@query()
+def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.ground_truth(spark, _like_the_suppliers(spark, sf_dir, 0.05))
 
 
 _TRAIN = "tr AS (SELECT val FROM b WHERE val IS NOT NULL AND datetime < DATE '2024-01-15'), f0 AS (SELECT median(val) AS m FROM tr), f1 AS (SELECT any_value(m) AS m, 1.4826022 * median(abs(val - m)) AS s FROM tr, f0)"

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelgrid.operators import attribution as parts
-from panelgrid.operators import audit, bootstrap, detect, folds, grid, hac, inference, risk, selection
+from panelgrid.operators import audit, bootstrap, detect, folds, grid, hac, ic, inference, risk, selection
 from panelgrid.streaming import stateful
 
 from .panels import A_SQL, read, supplier_month
-from .queries import _BUCKETS, _G, _IC, _NET, _PAIRS, _RANK, _U_IC, MIN_OBS, _ic, _pairs, _quantiles, _weights, calendar
+from .queries import _BUCKETS, _G, _IC, _KEPT, _NET, _NW, _PAIRS, _RANK, _U_IC, MIN_OBS, _corr, _ic, _pairs, _quantiles, _weights, calendar
 from .registry import query, rounded
 
 GROUPS, TESTED, RADIUS = 6, 2, 1
@@ -214,6 +214,17 @@ def hac_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tested.select("reference", "n_obs", "mean", "standard_error", "p_value", "ci_low", "ci_high")
 
 
+_RIVALS = f"{A_SQL}, {_PAIRS}, {_KEPT}, ic0 AS ({_corr('rs', 'rl', 'ranks')}), ip AS ({_corr('score', 'label', 'ranks')}), q AS (SELECT datetime, x.ic * x.ic - y.ic * y.ic AS ic FROM ic0 x JOIN ip y USING (datetime) WHERE x.ic IS NOT NULL AND y.ic IS NOT NULL), s AS (SELECT row_number() OVER (ORDER BY datetime) AS i, ic - avg(ic) OVER () AS u, avg(ic) OVER () AS mean, count(*) OVER () AS n FROM q)"
+
+
+@query(f"WITH {_RIVALS}, {_G.format(s='s')} {_NW.format(s='s', var='variance', more='').replace('round(variance, 6)', 'round(variance, 9)').replace('round(mean, 6)', 'round(mean, 9)').replace('round(se, 6)', 'round(se, 9)')}")
+def loss_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison of two signals' squared ICs, all but its p-value."""
+    both = _ic(spark, sf_dir).select("datetime", F.col("ic").alias("a")).join(ic.pearson_ic(_pairs(spark, sf_dir), min_obs=MIN_OBS).select("datetime", F.col("ic").alias("b")), "datetime")
+    tested = inference.diebold_mariano(both, "a", "b", horizon=1, p_value=False).select("n_obs", "bandwidth", "mean", "variance", "standard_error", "t_stat")
+    return rounded(tested, "t_stat").withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("mean", "variance", "standard_error")})
+
+
 _VALUED = f"""{A_SQL}, {_PAIRS}, f AS (
   SELECT datetime, instrument, score, label, lag(n_lines) OVER (PARTITION BY instrument ORDER BY pos) AS w FROM pairs JOIN a USING (datetime, instrument)),
 q AS (SELECT datetime, label, coalesce(w, 0) AS w, CAST(least(5, ceil(5 * ({_RANK.format(x='score')}) / count(*) OVER (PARTITION BY datetime))) AS INTEGER) AS bucket FROM f WHERE score IS NOT NULL AND label IS NOT NULL)"""

@@ -93,3 +93,55 @@ def generate(spark: SparkSession, spec: PanelSpec = PanelSpec()) -> DataFrame:
     day = F.date_add(F.to_date(F.lit(FIRST_DAY)), (F.floor(F.col("pos") / 5) * 7 + F.col("pos") % 5).cast("int"))
     named = rows.select(day.alias("datetime"), "pos", F.format_string("S%04d", "id").alias("instrument"), *names, "noise", raw.alias("_raw"))
     return cs_standardize(named, "_raw", "score").drop("_raw").withColumn("label", spec.beta * F.col("score") + F.col("noise"))
+
+
+def _noise_draws(spark: SparkSession, spec: PanelSpec, draws: int) -> DataFrame:
+    """(draw, instrument, pos, noise) for draws 1, 2, ...: each instrument's noise anew, by a generator of its own for each draw."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            for i in b["id"]:
+                for draw in range(1, draws + 1):
+                    rng = np.random.default_rng([spec.seed, int(i), draw])
+                    noise = rng.standard_t(spec.noise_df, BURN_IN + spec.days) * math.sqrt((spec.noise_df - 2) / spec.noise_df)
+                    noise[1:] *= math.sqrt(1 - spec.noise_rho**2)
+                    yield pd.DataFrame({"draw": draw, "id": i, "pos": np.arange(spec.days), "noise": _recursion(noise, spec.noise_rho)[BURN_IN:]})
+
+    rows = spark.range(spec.instruments).mapInPandas(run, "draw int, id bigint, pos bigint, noise double")
+    return rows.select("draw", F.format_string("S%04d", "id").alias("instrument"), "pos", "noise")
+
+
+def ic_of_draws(spark: SparkSession, spec: PanelSpec, draws: int, *, ranked: bool = True) -> DataFrame:
+    """(draw, datetime, n, ic) of labels with the panel's own noise (draw 0) and of as many draws of new noise on the same score."""
+    from panelgrid.operators.ic import pearson_ic, rank_ic
+
+    panel = generate(spark, spec).select("datetime", "pos", "instrument", "score", "noise")
+    again = panel.drop("noise").join(_noise_draws(spark, spec, draws), ["instrument", "pos"])
+    every = panel.withColumn("draw", F.lit(0)).unionByName(again).withColumn("label", spec.beta * F.col("score") + F.col("noise"))
+    dated = every.select(F.struct("draw", "datetime").alias("datetime"), "instrument", "score", "label")
+    return (rank_ic if ranked else pearson_ic)(dated, min_obs=3).select("datetime.draw", "datetime.datetime", "n", "ic")
+
+
+def ground_truth(spark: SparkSession, spec: PanelSpec = PanelSpec(), *, draws: int = 20) -> DataFrame:
+    """One row of what a generated panel holds: the population correlation and its loading, the realized mean and deviation of rank
+    ICs and the mean of linear ones, the rank IC of a normal copula, the rank IC to expect given the score (mean over dates of all draws
+    of new noise, null without any) with its standard error over draws, excess kurtosis of noise (of its shocks, where it exists, and measured)
+    and label, and the ICs' lag-1 autocorrelation."""
+    from panelgrid.operators.hac import lag1_autocorrelation
+
+    ics = ic_of_draws(spark, spec, draws)
+    own, others = ics.where("draw = 0"), ics.where("draw > 0")
+    panel = generate(spark, spec)
+    realized = own.agg(F.count("ic").alias("n_dates"), F.avg("ic").alias("realized_mean_rank_ic"), F.stddev_samp("ic").alias("realized_rank_ic_std"))
+    by_draw = others.groupBy("draw").agg(F.avg("ic").alias("m"))
+    expected = by_draw.agg(F.avg("m").alias("expected_rank_ic"), (F.stddev_samp("m") / F.sqrt(F.count("m"))).alias("expected_rank_ic_error"), F.count("m").alias("draws"))
+    linear = ic_of_draws(spark, spec, 0, ranked=False).agg(F.avg("ic").alias("realized_mean_pearson_ic"))
+    tails = panel.agg(F.kurtosis("noise").alias("noise_kurtosis"), F.kurtosis("label").alias("label_kurtosis"), F.count(F.lit(1)).alias("n_observations"))
+    again = lag1_autocorrelation(own).select(F.col("acf1").alias("ic_acf1"))
+    known = [F.lit(spec.correlation).alias("population_correlation"), F.lit(spec.beta).alias("signal_loading"), F.lit(spec.copula_rank_ic).alias("copula_rank_ic"), F.lit(6 / (spec.noise_df - 4) if spec.noise_df > 4 else None).cast("double").alias("shock_kurtosis")]
+    one = realized
+    for more in (expected, linear, tails, again):
+        one = one.crossJoin(F.broadcast(more))  # one row each
+    return one.select(*known, *one.columns)
