@@ -554,22 +554,31 @@ def volatility_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.volatility_target(held, risk.ledoit_wolf(panel, "val"), 10.0), "weight")
 
 
-# the same three without SQL, as tests compare them with NumPy
-@query()
+# the same three operators over the growth of suppliers, by month
+_GROWTH = f"{A_SQL}, gw AS (SELECT datetime, instrument, {_lab(1)} AS val FROM a)"
+_LW_GROWTH = _LW.replace(B_SQL, _GROWTH + " ").replace("FROM b)", "FROM gw)")
+_HELD_GROWTH = "e AS (SELECT datetime, instrument, 1.0::DOUBLE / count(*) OVER (PARTITION BY datetime) AS w FROM gw WHERE val IS NOT NULL), v AS (SELECT p.datetime, sqrt(sum(p.w * r.w * cov * CASE WHEN a = b THEN 1 ELSE 2 END)) AS vol FROM lw JOIN e p ON p.instrument = a JOIN e r ON r.instrument = b AND r.datetime = p.datetime GROUP BY 1)"
+
+
+def _growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return labels.forward_return(supplier_month(spark, sf_dir), labels.LabelSpec(field="qty"), "val").select("datetime", "instrument", "val")
+
+
+@query(f"WITH {_GROWTH}, x AS (SELECT * FROM gw WHERE val IS NOT NULL) SELECT p.instrument AS a, q.instrument AS b, count(*) AS n, round(covar_samp(p.val, q.val), 6) + 0.0 AS cov FROM x p JOIN x q USING (datetime) WHERE p.instrument <= q.instrument GROUP BY 1, 2 HAVING count(*) >= 5")
 def covariance_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.covariance(user_day(spark, sf_dir), "val", min_obs=5).withColumn("cov", F.round("cov", 4) + F.lit(0.0))
+    return rounded(inference.covariance(_growth(spark, sf_dir), "val", min_obs=5), "cov")
 
 
-@query()
+@query(f"WITH {_LW_GROWTH} SELECT a, b, round(cov, 6) + 0.0 AS cov, round(delta, 6) + 0.0 AS delta FROM lw")
 def ledoit_wolf_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(risk.ledoit_wolf(user_day(spark, sf_dir), "val"), "delta").withColumn("cov", F.round("cov", 4) + F.lit(0.0))
+    return rounded(risk.ledoit_wolf(_growth(spark, sf_dir), "val"), "cov", "delta")
 
 
-@query()
+@query(f"WITH {_LW_GROWTH}, {_HELD_GROWTH} SELECT datetime, instrument, round(w * 0.1 / vol, 6) + 0.0 AS weight FROM e JOIN v USING (datetime)")
 def volatility_target_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = user_day(spark, sf_dir)
-    held = panel.where("val is not null").select("datetime", "instrument", (1.0 / F.count(F.lit(1)).over(Window.partitionBy("datetime"))).alias("weight"))
-    return rounded(risk.volatility_target(held, risk.ledoit_wolf(panel, "val"), 10.0), "weight")
+    panel = _growth(spark, sf_dir)
+    held = normalize.with_date_figures(panel.where("val is not null"), _n=F.count(F.lit(1))).select("datetime", "instrument", (1.0 / F.col("_n")).alias("weight"))
+    return rounded(risk.volatility_target(held, risk.ledoit_wolf(panel, "val"), 0.1), "weight")
 
 
 _CSCV = f"""

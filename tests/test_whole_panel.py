@@ -32,7 +32,7 @@ def shrunk(x):
 
 def test_covariance_of_every_user(spark, events):
     folder, x = events
-    got = {(r.a, r.b): (r.n, r["cov"]) for r in entry.queries()["covariance_panel"](spark, folder).collect()}
+    got = {(r.a, r.b): (r.n, r["cov"]) for r in entry.queries()["covariance"](spark, folder).collect()}
     both = {(a, b): ~np.isnan(x[:, a]) & ~np.isnan(x[:, b]) for a in range(USERS) for b in range(a, USERS)}
     want = {k: (int(m.sum()), pytest.approx(np.cov(x[m][:, k[0]], x[m][:, k[1]])[0, 1], abs=1e-4)) for k, m in both.items() if m.sum() >= 5}
     assert got == want and max(b for _, b in got) == USERS - 1
@@ -41,9 +41,9 @@ def test_covariance_of_every_user(spark, events):
 def test_shrinkage_and_target_of_every_user(spark, events):
     folder, x = events
     want, delta = shrunk(x)
-    got = {(r.a, r.b): (r["cov"], r.delta) for r in entry.queries()["ledoit_wolf_panel"](spark, folder).collect()}
+    got = {(r.a, r.b): (r["cov"], r.delta) for r in entry.queries()["ledoit_wolf"](spark, folder).collect()}
     assert got == {(a, b): (pytest.approx(want[a, b], abs=1e-4), pytest.approx(delta, abs=1e-6)) for a in range(USERS) for b in range(a, USERS)}
-    weights = {(r.datetime.day - 1, r.instrument): r.weight for r in entry.queries()["volatility_target_panel"](spark, folder).collect()}
+    weights = {(r.datetime.day - 1, r.instrument): r.weight for r in entry.queries()["volatility_target"](spark, folder).collect()}
     held = ~np.isnan(x)
     for t in range(DAYS):
         w = held[t] / held[t].sum()
