@@ -5,8 +5,15 @@ any kind, the rest is mandatory. It is compiled to a small automaton over words,
 template's label where the automaton accepts a run of its words, so mandatory wording matches word
 by word. Phrases are templates without markup.
 
+Templates are whole public texts and notices, beginnings of such, and names. The score tells how much
+wording was accepted: n / (n + 1) for the longest accepted run of n words, so a name alone stays below a
+notice, and that below a whole text.
+
 Words: after lower-casing A-Z, maximal runs of characters other than ASCII ones that aren't letters
-or digits. Null counts as empty text, which has no words. Rows are kept one by one.
+or digits. Null counts as empty text, which has no words. Rows are kept one by one, repeated or not; other columns may
+have any names; an empty table gives no rows. Templates that accept at one place each have their place, in the order of
+the templates. Texts are read whole: a walk from a word ends with the first word that no template goes on with, so
+no walk is longer than its template.
 """
 
 from __future__ import annotations
@@ -17,11 +24,14 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEXTS
+
 #: The phrases to be found, and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Templates of longer wording. Label, template.
+#: Templates of longer wording: whole texts, beginnings of them, and names. Label, template.
 TEMPLATES = (
+    *TEXTS,
     ("apache-2.0", "licensed under the apache license [[,]] version 2 [[0]]"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("mit", "released under the [[terms of the]] mit license"),
@@ -69,7 +79,8 @@ class Automaton:
                 for word, _ in self.steps[s]:
                     if word is None:
                         raise ValueError(f"template that begins with arbitrary words: {template}")
-                    self.first.setdefault(word, []).append(start)
+                    if start not in self.first.setdefault(word, []):
+                        self.first[word].append(start)
 
     def _state(self) -> int:
         self.steps.append([])
@@ -127,7 +138,7 @@ class Automaton:
 
 def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """Returns per row id_col, n_words, places array<struct<start, end, label, base>> (words from 0,
-    end exclusive; base: of a phrase), score: 1 for a template, 0.9 for phrases alone, else 0."""
+    end exclusive; base: of a phrase), score: n / (n + 1) for the longest place's n words, 0 without one."""
     exact, wider = Automaton([(label, text) for text, label in phrases]), Automaton(list(templates))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -144,7 +155,8 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phras
                 more = wider.run(words) if not wider.first.keys().isdisjoint(seen) else []
                 counts.append(len(words))
                 places.append([{"start": s, "end": e, "label": x, "base": k} for k, found in ((True, base), (False, more)) for s, e, x in found])
-                scores.append(1.0 if more else 0.9 if base else 0.0)
+                longest = max((e - s for s, e, _ in (*base, *more)), default=0)
+                scores.append(longest / (longest + 1))
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(counts, pa.int64()), pa.array(places, pa.list_(place)), pa.array(scores, pa.float64())], names=["id", "n_words", "places", "score"])
 
     schema = f"id {rows.schema['id'].dataType.simpleString()}, n_words bigint, places array<struct<start bigint, end bigint, label string, base boolean>>, score double"

@@ -119,3 +119,40 @@ def test_pipeline_of_nulls_and_of_nothing(spark, tmp_path):
         got = corpus_pipeline.run(spark, folder).collect()
         assert (len(got) > 0) == (name == "full")
     assert re.match("best-fit", corpus_pipeline.STAGES[-1][0])
+
+
+# ---- licenses
+
+
+def wording(template, holder="Jane Doe and others", optional=True):
+    """A text that a template has to accept."""
+    text = re.sub(r"<<(\d+)>>", lambda m: " ".join(holder.split()[: int(m[1])]), template)
+    return re.sub(r"\[\[(.*?)\]\]", r"\1" if optional else "", text)
+
+
+@pytest.mark.parametrize("optional", [True, False])
+@pytest.mark.parametrize("k", range(len(license_scan.TEXTS)))
+def test_whole_license_texts(spark, k, optional):
+    label, template = license_scan.TEXTS[k]
+    automaton = license_scan.Automaton(license_scan.TEMPLATES)
+    text = f"Copyright (c) 2020 someone. {wording(template, optional=optional)}. The end."
+    words = license_scan.words_of(text)
+    found = automaton.run(words)
+    start, end, _ = next(f for f in found if f[2] == label and f[1] - f[0] > 40)
+    assert b" ".join(words[end:]) == b"the end"
+    # a mandatory word that is missing, or another in its place, is no such text
+    for broken in (words[: start + 10] + words[start + 11 :], [*words[: start + 10], b"otherwise", *words[start + 11 :]]):
+        if optional:
+            assert not any(f[2] == label and f[1] - f[0] > 40 for f in automaton.run(broken))
+
+
+def test_license_scores_follow_the_wording(spark):
+    whole = wording(dict(license_scan.TEXTS)["mit"])
+    rows = [(1, whole), (2, "under the mit license"), (3, "gnu lesser general public license is a thing I hate"), (4, "nothing"), (5, None), (5, None)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string")).orderBy("doc_id").collect()
+    score = [r.score for r in got]
+    assert score[0] > 0.99 > score[2] > score[1] > 0.5 and score[3:] == [0.0, 0.0, 0.0]
+    long_text = "this software is " * 300_000 + "under the mit license"
+    began = time.perf_counter()
+    assert license_scan.scan(spark.createDataFrame([(1, long_text)], "doc_id int, text string")).first().places[-1].label == "mit"
+    assert time.perf_counter() - began < 20
