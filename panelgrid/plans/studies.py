@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelgrid.functions import text
 from panelgrid.operators import attribution as parts
-from panelgrid.operators import audit, bootstrap, detect, folds, grid, hac, ic, inference, optimize, risk, selection
+from panelgrid.operators import audit, bootstrap, detect, folds, grid, hac, ic, inference, optimize, processors, risk, selection
 from panelgrid.streaming import stateful
 
-from .panels import A_SQL, read, supplier_month
-from .queries import _BUCKETS, _G, _IC, _KEPT, _NET, _NW, _PAIRS, _RANK, _U_IC, MIN_OBS, _corr, _ic, _pairs, _quantiles, _weights, calendar
+from .panels import A_SQL, B_SQL, read, supplier_month, user_day
+from .queries import _BUCKETS, _G, _IC, _KEPT, _NET, _NW, _PAIRS, _RANK, _TRAIN, _U_IC, MIN_OBS, _corr, _ic, _pairs, _quantiles, _weights, calendar
 from .registry import query, rounded
 
 GROUPS, TESTED, RADIUS = 6, 2, 1
@@ -364,3 +365,40 @@ def detect_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_detect_sql("pages", "page_id", "html"))
 def detect_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.find(read(spark, sf_dir, "pages"), id_col="page_id", text_col="html")
+
+
+# ---- texts, digests, chains of processors ------------------------------------------------------
+
+
+@query(
+    f"""SELECT doc_id, length(t) AS n_chars, sha256(t) AS sha256, md5(t) AS md5 FROM (
+  SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(0), ''), {_sql_text(text.SPACES.replace(chr(92) + 'x0B', chr(92) + 'v') + '+(' + chr(92) + 'n|$)')}, '{chr(92)}1', 'g'), '{chr(92)}n{{3,}}', chr(10) || chr(10), 'g') AS t FROM documents)"""
+)
+def tidy_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tidied = read(spark, sf_dir, "documents").select("doc_id", text.tidy(F.col("text")).alias("t"))
+    return tidied.select("doc_id", F.length("t").cast("bigint").alias("n_chars"), text.digests(F.col("t").cast("binary")).alias("d")).select("doc_id", "n_chars", "d.*")
+
+
+@query(r"SELECT page_id, CASE WHEN s = '' THEN 'document' ELSE s END AS stem FROM (SELECT page_id, trim(regexp_replace(url, '[^0-9A-Za-z\x{4e00}-\x{9fff}._-]+', '_', 'g'), '_') AS s FROM pages)")
+def page_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", text.safe_stem(F.col("url")).alias("stem"))
+
+
+_CHAIN = [
+    {"class": "RobustZScoreNorm", "kwargs": {"fields_group": "feature", "clip_outlier": True}},
+    {"class": "Fillna", "kwargs": {"fields_group": "feature"}},
+    {"class": "DropnaLabel"},
+    {"class": "CSRankNorm", "kwargs": {"fields_group": "label"}},
+]
+
+
+@query(
+    f"""WITH {B_SQL}, {_TRAIN}, l AS (SELECT datetime, instrument, val, lead(val) OVER (PARTITION BY instrument ORDER BY pos) AS label FROM b),
+c AS (SELECT datetime, instrument, coalesce(CASE WHEN s <> 0 AND val IS NOT NULL THEN greatest(-3.0, least(3.0, (val - m) / s)) END, 0.0) AS val, label AS x FROM l, f1 WHERE label IS NOT NULL)
+SELECT datetime, instrument, round(val, 6) + 0.0 AS val, round(({_RANK.format(x='x')}) / (count(x) OVER (PARTITION BY datetime) + 1.0::DOUBLE), 6) + 0.0 AS label FROM c"""
+)
+def processor_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A study's chain over user days: features fitted before mid-January, labels of the next day."""
+    panel = user_day(spark, sf_dir).withColumn("label", F.lead("val").over(grid.by_name())).select("datetime", "instrument", "val", "label")
+    apply = processors.fit_chain(_CHAIN, panel.where("datetime < DATE '2024-01-15'"), ["val"], "label")
+    return rounded(apply(panel), "val", "label")
