@@ -166,6 +166,7 @@ def _linked(a: tuple, b: tuple, same: bool, t: float, eps: float, axes: np.ndarr
     units = [_scaled(x[2].astype(np.float64)) for x in ((a,) if same else (a, b))]
     units = [units[0], units[-1]]
     small = [u.astype(np.float32) for u in units]
+    margin = (units[0].shape[1] + 4) * float(np.finfo(np.float32).eps)
     cut = [range(0, len(u), block_rows) for u in units]
     boxes = []
     for u, c in zip(units, cut, strict=True):
@@ -180,8 +181,8 @@ def _linked(a: tuple, b: tuple, same: bool, t: float, eps: float, axes: np.ndarr
                 continue
             j = cut[1][q]
             rows, cols = slice(i, i + block_rows), slice(j, j + block_rows)
-            # single precision proposes with a margin, double precision decides
-            if (small[0][rows] @ small[1][cols].T).max() < t - 1e-5:
+            # single precision proposes with the margin of its rounding over all dimensions, double precision decides
+            if (small[0][rows] @ small[1][cols].T).max() < t - margin:
                 continue
             hit = units[0][rows] @ units[1][cols].T >= t
             if same and p == q:
@@ -230,7 +231,8 @@ def embedding_links(df: DataFrame, *, id_col: str = "vec_id", vec_col: str = "em
         import pyarrow as pa
 
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):  # one pair of tiles at a time
+                r = {name: batch.column(name)[k].as_py() for name in batch.schema.names}
                 a, b = (tuple(np.frombuffer(r[f"{c}_{k}"], t) for c, t in (("node", "i8"), ("copies", "i8"), ("vec", kind))) for k in "ab")
                 a, b = ((x[0], x[1], x[2].reshape(-1, dim)) for x in (a, b))
                 links, forest = _linked(a, b, r["tile_a"] == r["tile_b"], threshold, eps, axes, block_rows)
