@@ -85,6 +85,10 @@ class BpeCodec:
                 held = f"{held} {u}"
         return out + self._direct(held)
 
+    def encode_whole(self, text: str | None) -> list[int]:
+        """The same ids by one call for the whole text."""
+        return self._direct(text) if text else []
+
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids))
 

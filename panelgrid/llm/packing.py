@@ -59,9 +59,9 @@ def pieces(df: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc_i
             of, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 if text and specials and split.search(text):
-                    ids_of = [x for part in split.split(text) for x in ([specials[part]] if part in specials else codec.encode(part))]
+                    ids_of = [x for part in split.split(text) for x in ([specials[part]] if part in specials else codec.encode_whole(part))]
                 else:
-                    ids_of = codec.encode(text)
+                    ids_of = codec.encode_whole(text)
                 own = np.array([*ids_of, end_id], "<u4")
                 first = len(own) % capacity or capacity
                 for k, s in enumerate([0, *range(first, len(own), capacity)]):
