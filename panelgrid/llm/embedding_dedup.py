@@ -9,7 +9,7 @@ sqrt(2 - 2 t) between unit vectors, so no link can be skipped.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
 rows of a null id. Shorter vectors count as filled up with zeros. Repeated rows are nodes' copies: each
-links with the others. An empty table gives an empty result.
+links with the others. An empty table gives an empty result. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ digest, and the longest rule decides (then the longer host, then block before al
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path:
 then up to ``?``, ``#`` or the end. A null URL or one without ``://`` has an empty host and path and
 fits no rule. A rule fits its host and all subdomains if the path starts with the rule's path.
-Repeated rows are returned as often as they occur; an empty table gives an empty result.
+Repeated rows are returned as often as they occur; an empty table gives an empty result. URLs of any length are read
+whole; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations

@@ -156,3 +156,17 @@ def test_license_scores_follow_the_wording(spark):
     began = time.perf_counter()
     assert license_scan.scan(spark.createDataFrame([(1, long_text)], "doc_id int, text string")).first().places[-1].label == "mit"
     assert time.perf_counter() - began < 20
+
+
+# ---- rules by a shuffle
+
+
+def test_rules_joined_by_a_shuffle(spark, monkeypatch):
+    hosts = ["a.com", "x.a.com", "b.net", "deep.x.a.com", "c.org", None]
+    urls = [(i, None if h is None else f"http://{h}/en/p{i}?q") for i, h in enumerate(hosts * 4)]
+    rules = url_filter.rules_table(spark, (("block", "a.com", "/"), ("allow", "x.a.com", "/en/"), ("block", "net", "/en/p2"), ("block", "c.org", "/fr/")))
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    run = lambda: sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()), key=str)
+    broadcast = run()
+    monkeypatch.setattr(url_filter, "BROADCAST_RULES", 0)
+    assert run() == broadcast and {r[3] for r in broadcast} == {"a.com/", "x.a.com/en/", "net/en/p2", None}
