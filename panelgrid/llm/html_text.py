@@ -37,7 +37,7 @@ BLOCKS = frozenset(
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
-HIDDEN = frozenset("head script style title template noscript iframe noembed noframes xmp object applet embed svg math canvas audio video map textarea select datalist button fieldset input nav aside footer menu dialog search".split())
+HIDDEN = frozenset("head script style title template noscript iframe noembed noframes xmp object applet embed svg canvas audio video map textarea select datalist button fieldset input nav aside footer menu dialog search".split())
 LANDMARKS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CELLS = frozenset("td th caption table".split())
@@ -58,9 +58,9 @@ ENDS = {
 }
 #: Words of class and id, and roles, of what surrounds an article.
 CHROME_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs "
-    "sidebar sidebars rail footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe "
-    "subscription signup login comment comments commentlist disqus reply replies respond related recommended recommendations share sharing social widget widgets pagination pager "
+    "ad ads adv advert adverts advertisement advertising adsense adsbygoogle adbox adslot adunit banner banners sponsor sponsored promo promotion nav navbar navigation topnav subnav sidenav leftnav mainnav menu menus breadcrumb breadcrumbs "
+    "sidebar sidebars rail footer masthead topbar toolbar cookie cookies consent gdpr notice notices notification notifications disclaimer alert popup modal overlay newsletter subscribe "
+    "subscription signup login form comment comments commentlist disqus reply replies respond related recommended recommendations share sharing social widget widgets pagination pager "
     "copyright search skip hidden teaser teasers outbrain taboola".split()
 )
 PAGE_ONLY_WORDS = frozenset(["header"])  # an article has a header of its own
