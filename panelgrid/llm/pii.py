@@ -49,6 +49,8 @@ GENERATORS = {
     "ssn": re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
 }
+#: What _spelled finds.
+SPELLED = r"[A-Za-z0-9._%+-]{2,} ?[\[(]? ?\bat\b ?[\])]? ?[A-Za-z0-9-]{2,} ?[\[(]? ?(?:\bdot\b|\.) ?[\])]? ?[A-Za-z]{2,10}\b"
 _HOST = re.compile(r"[A-Za-z0-9-]*+")
 _AFTER_AT = re.compile(r" ?[\])]? ?")
 _TOP = re.compile(r" ?[\[(]? ?(?:\bdot\b|\.) ?[\])]? ?[A-Za-z]{2,10}\b", re.IGNORECASE)
@@ -110,35 +112,48 @@ def _addresses(text: str) -> list[tuple[str, int, int]]:
 
 
 def _spelled(text: str) -> Iterator[tuple[int, int]]:
-    """Spelled addresses: a name, "at" and a host with "dot" or a dot and a last part, brackets or spaces between. Of all that
-    match the leftmost are taken, with whole names and hosts. What is walked over once is remembered, so runs with many an "at" in
-    them are walked once."""
-    done, name_start, name_end, host_start, host_end = 0, 0, -1, 0, -1
-    for at in _AT.finditer(text):
-        # back over at most a space, a bracket and a space, then over the name
-        i = at.start()
-        if i > done and text[i - 1] == " ":
-            i -= 1
-        if i > done and text[i - 1] in "[(":
-            i -= 1
-        if i > done and text[i - 1] == " ":
-            i -= 1
-        end, start = i, i
-        while start > done and text[start - 1] in _LOCAL:
-            if name_start < start <= name_end:
-                start = max(name_start, done)
+    """Matches of SPELLED, leftmost and with the longest names, in linear time: from each "at" back over the name and on over the
+    host. Runs of characters of names and of hosts that were walked over once are remembered, so those with many an "at" in them
+    are walked once."""
+    run_start, run_end, host_start, host_end = 0, -1, 0, -1
+
+    def name(at: int, done: int) -> tuple[int, int]:
+        nonlocal run_start, run_end
+        i = at
+        for between in (" ", "[(", " "):
+            if i > done and text[i - 1] in between:
+                i -= 1
+        start = i
+        while start > 0 and text[start - 1] in _LOCAL:
+            if run_start < start <= run_end:
+                start = run_start
                 break
             start -= 1
-        if end > start:
-            name_start, name_end = start, end
+        if i > start:
+            run_start, run_end = start, i
+        return max(start, done), i
+
+    done, pending = 0, None
+    for at in _AT.finditer(text):
+        start, end = name(at.start(), done)
+        if pending and start != pending[0]:
+            if at.start() < pending[1]:
+                continue
+            yield pending
+            done, pending = pending[1], None
+            start, end = name(at.start(), done)
         if end - start < 2:
             continue
         host = _AFTER_AT.match(text, at.end()).end()
         if not host_start <= host <= host_end:
             host_start, host_end = host, _HOST.match(text, host).end()
-        if host_end - host >= 2 and (m := _TOP.match(text, host_end)):
-            done = m.end()
-            yield start, done
+        m = _TOP.match(text, host_end) if host_end - host >= 2 else None
+        if not m and host_end - host >= 5 and text[host_end - 4 : host_end].lower() == "-dot":
+            m = _TOP.match(text, host_end - 3)
+        if m:
+            pending = start, m.end()
+    if pending:
+        yield pending
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -363,4 +364,4 @@ def test_spelled_emails_are_proposed_in_any_case():
     parts = ["at", "AT", " ", " ", "(", ")", "[", "]", ".", "dot", "jane", "x", "a" * 45, "com", "-"]
     for _ in range(3000):
         text = "".join(r.choice(parts, 25))
-        assert list(pii._spelled(text)) == [m.span() for m in pii.GENERATORS["email_spelled"].finditer(text)]
+        assert list(pii._spelled(text)) == [m.span() for m in re.finditer(pii.SPELLED, text, re.IGNORECASE)]
