@@ -38,7 +38,7 @@ def pearson_ic(pairs: DataFrame, *, min_obs: int = MIN_OBS) -> DataFrame:
 def rank_ic(pairs: DataFrame, *, min_obs: int = MIN_OBS) -> DataFrame:
     """Correlation of average ranks, taken after incomplete pairs are gone; thin dates have no row."""
     full = pairs.dropna(subset=["score", "label"])
-    ranked = full.select("datetime", average_rank("score", ["datetime"]).alias("rs"), average_rank("label", ["datetime"]).alias("rl"))
+    ranked = full.select("datetime", average_rank("score", ["datetime"], full=True).alias("rs"), average_rank("label", ["datetime"], full=True).alias("rl"))
     return _correlation(ranked, "rs", "rl", least=_checked(min_obs))
 
 

@@ -61,10 +61,16 @@ def _recursion(shocks: np.ndarray, rho: float) -> np.ndarray:
     return np.stack(list(accumulate(shocks, lambda x, e: rho * x + e)))
 
 
-def generate(spark: SparkSession, spec: PanelSpec = PanelSpec()) -> DataFrame:
-    """(datetime, pos, instrument, f0.., score, noise, label): label = beta * score + noise, the score
-    being of mean 0 and variance 1 on each date. Every instrument draws from a generator of its own, seeded by the
-    spec and its number, so a panel doesn't depend on the number of tasks."""
+def _noise(rng: np.random.Generator, spec: PanelSpec) -> np.ndarray:
+    """Shocks of the noise, of variance 1, from before the panel begins."""
+    shocks = rng.standard_t(spec.noise_df, BURN_IN + spec.days) * math.sqrt((spec.noise_df - 2) / spec.noise_df)
+    shocks[1:] *= math.sqrt(1 - spec.noise_rho**2)
+    return shocks
+
+
+def _drawn(spark: SparkSession, spec: PanelSpec, draws: int) -> DataFrame:
+    """(datetime, pos, instrument, f0.., score, noises): noises has the panel's own noise and then that of each further draw. An
+    instrument's draws are made where its features are, so they are never joined."""
     names = [f"f{k}" for k in range(spec.features)]
     walk = spec.feature_kind == "random_walk"
     rho = 1.0 if walk else spec.feature_rho
@@ -78,12 +84,11 @@ def generate(spark: SparkSession, spec: PanelSpec = PanelSpec()) -> DataFrame:
                 rng = np.random.default_rng([spec.seed, int(i)])
                 shocks = rng.standard_normal((spec.days, spec.features))
                 shocks[1:] *= scale
-                noise = rng.standard_t(spec.noise_df, BURN_IN + spec.days) * math.sqrt((spec.noise_df - 2) / spec.noise_df)
-                noise[1:] *= math.sqrt(1 - spec.noise_rho**2)
+                noise = np.column_stack([_noise(rng, spec), *(_noise(np.random.default_rng([spec.seed, int(i), d]), spec) for d in range(1, draws + 1))])
                 out = pd.DataFrame(_recursion(shocks, rho), columns=names)
-                yield out.assign(id=i, pos=np.arange(spec.days), noise=_recursion(noise, spec.noise_rho)[BURN_IN:])
+                yield out.assign(id=i, pos=np.arange(spec.days), noises=list(_recursion(noise, spec.noise_rho)[BURN_IN:]))
 
-    rows = spark.range(spec.instruments).mapInPandas(run, ", ".join([*(f"{n} double" for n in names), "id bigint", "pos bigint", "noise double"]))
+    rows = spark.range(spec.instruments).mapInPandas(run, ", ".join([*(f"{n} double" for n in names), "id bigint", "pos bigint", "noises array<double>"]))
     w = [float(x) / math.sqrt(spec.features) for x in np.random.default_rng([spec.seed, 2**40]).standard_normal(spec.features)]
     f = [F.col(n) for n in names]
     if spec.signal_kind == "linear":
@@ -91,35 +96,24 @@ def generate(spark: SparkSession, spec: PanelSpec = PanelSpec()) -> DataFrame:
     else:
         raw = F.tanh(w[0] * f[0]) + w[1] * f[0] * f[1] + w[2] * f[2]
     day = F.date_add(F.to_date(F.lit(FIRST_DAY)), (F.floor(F.col("pos") / 5) * 7 + F.col("pos") % 5).cast("int"))
-    named = rows.select(day.alias("datetime"), "pos", F.format_string("S%04d", "id").alias("instrument"), *names, "noise", raw.alias("_raw"))
-    return cs_standardize(named, "_raw", "score").drop("_raw").withColumn("label", spec.beta * F.col("score") + F.col("noise"))
-
-
-def _noise_draws(spark: SparkSession, spec: PanelSpec, draws: int) -> DataFrame:
-    """(draw, instrument, pos, noise) for draws 1, 2, ...: each instrument's noise anew, by a generator of its own for each draw."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+    named = rows.select(day.alias("datetime"), "pos", F.format_string("S%04d", "id").alias("instrument"), *names, "noises", raw.alias("_raw"))
+    return cs_standardize(named, "_raw", "score").drop("_raw")
 
-        for b in batches:
-            for i in b["id"]:
-                for draw in range(1, draws + 1):
-                    rng = np.random.default_rng([spec.seed, int(i), draw])
-                    noise = rng.standard_t(spec.noise_df, BURN_IN + spec.days) * math.sqrt((spec.noise_df - 2) / spec.noise_df)
-                    noise[1:] *= math.sqrt(1 - spec.noise_rho**2)
-                    yield pd.DataFrame({"draw": draw, "id": i, "pos": np.arange(spec.days), "noise": _recursion(noise, spec.noise_rho)[BURN_IN:]})
 
-    rows = spark.range(spec.instruments).mapInPandas(run, "draw int, id bigint, pos bigint, noise double")
-    return rows.select("draw", F.format_string("S%04d", "id").alias("instrument"), "pos", "noise")
+def generate(spark: SparkSession, spec: PanelSpec = PanelSpec()) -> DataFrame:
+    """(datetime, pos, instrument, f0.., score, noise, label): label = beta * score + noise, the score
+    being of mean 0 and variance 1 on each date. Every instrument draws from a generator of its own, seeded by the
+    spec and its number, so a panel doesn't depend on the number of tasks."""
+    panel = _drawn(spark, spec, 0).withColumn("noise", F.element_at("noises", 1)).drop("noises")
+    names = [f"f{k}" for k in range(spec.features)]
+    return panel.select("datetime", "pos", "instrument", *names, "noise", "score").withColumn("label", spec.beta * F.col("score") + F.col("noise"))
 
 
 def ic_of_draws(spark: SparkSession, spec: PanelSpec, draws: int, *, ranked: bool = True) -> DataFrame:
     """(draw, datetime, n, ic) of labels with the panel's own noise (draw 0) and of as many draws of new noise on the same score."""
     from panelgrid.operators.ic import pearson_ic, rank_ic
 
-    panel = generate(spark, spec).select("datetime", "pos", "instrument", "score", "noise")
-    again = panel.drop("noise").join(_noise_draws(spark, spec, draws), ["instrument", "pos"])
-    every = panel.withColumn("draw", F.lit(0)).unionByName(again).withColumn("label", spec.beta * F.col("score") + F.col("noise"))
+    every = _drawn(spark, spec, draws).select("datetime", "instrument", "score", F.posexplode("noises").alias("draw", "noise")).withColumn("label", spec.beta * F.col("score") + F.col("noise"))
     dated = every.select(F.struct("draw", "datetime").alias("datetime"), "instrument", "score", "label")
     return (rank_ic if ranked else pearson_ic)(dated, min_obs=3).select("datetime.draw", "datetime.datetime", "n", "ic")
 
@@ -131,7 +125,8 @@ def ground_truth(spark: SparkSession, spec: PanelSpec = PanelSpec(), *, draws: i
     and label, and the ICs' lag-1 autocorrelation."""
     from panelgrid.operators.hac import lag1_autocorrelation
 
-    ics = ic_of_draws(spark, spec, draws)
+    found = ic_of_draws(spark, spec, draws)
+    ics = spark.createDataFrame(found.collect(), found.schema)  # one row for each date and draw, made once for what follows
     own, others = ics.where("draw = 0"), ics.where("draw > 0")
     panel = generate(spark, spec)
     realized = own.agg(F.count("ic").alias("n_dates"), F.avg("ic").alias("realized_mean_rank_ic"), F.stddev_samp("ic").alias("realized_rank_ic_std"))

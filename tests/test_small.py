@@ -171,6 +171,23 @@ def test_ground_truth_of_a_panel(spark):
     assert synthetic.ground_truth(spark, spec, draws=0).first().expected_rank_ic is None
 
 
+def test_draws_of_noise_are_made_beside_their_score(spark):
+    """A panel is never joined with its draws: the only join is that of a date's figures."""
+    spec = synthetic.PanelSpec(instruments=5, days=7, noise_rho=0.3, seed=4)
+    ics = synthetic.ic_of_draws(spark, spec, 2)
+    assert ics._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    score = {(r.instrument, r.pos): r.score for r in synthetic.generate(spark, spec).collect()}
+    shocks = np.stack([np.random.default_rng([4, i, 2]).standard_t(spec.noise_df, synthetic.BURN_IN + 7) for i in range(5)]) * math.sqrt(0.6)
+    shocks[:, 1:] *= math.sqrt(1 - 0.3**2)
+    noise = shocks.copy()
+    for t in range(1, noise.shape[1]):
+        noise[:, t] += 0.3 * noise[:, t - 1]
+    place = lambda v: np.argsort(np.argsort(v))
+    want = [np.corrcoef(place([score[f"S{i:04d}", t] for i in range(5)]), place([spec.beta * score[f"S{i:04d}", t] + noise[i, synthetic.BURN_IN + t] for i in range(5)]))[0, 1] for t in range(7)]
+    got = [r.ic for r in ics.where("draw = 2").orderBy("datetime").collect()]
+    assert got == pytest.approx(want)
+
+
 def test_tails(spark):
     df = long(spark, [(0.0, 5.0), (2.0, 5.0), (None, 5.0), (float("nan"), 5.0)], "t double, df double")
     got = [r[0] for r in df.select(tails.p_student("t", "df")).collect()]
