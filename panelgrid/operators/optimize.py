@@ -5,7 +5,8 @@ One rebalance solves
     min  g/2 w'Cw - m'w + buy sum (w - p)+ + sell sum (w - p)- + r/2 |w - ref|^2
     s.t. sum w = budget, lower <= w <= upper, |w - p|_1 <= turnover, |w|_1 <= gross, B'w = 0
 
-C stays a distributed table of pairs: each step is one product with it, a job whose tasks add up their own rows. What
+C stays a distributed table, of pairs or, where it is shrunk, of the panel it comes from: each step is one product with it, a job (or two) whose
+tasks add up their own rows. What
 is one number per instrument (the square root of that table) is on the driver: weights, and the projection, which finds
 the multipliers of the budget, the turnover and the gross exposure by bisection. Steps are accelerated and restarted, their length
 is found by backtracking, and neutrality is enforced by multipliers around them. A step's own multipliers
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .risk import times
+from .risk import Factors, Pairs, Shrunk
 
 
 @dataclass(frozen=True)
@@ -149,20 +150,20 @@ def least_turnover(names: dict[str, np.ndarray], budget: float) -> float:
     return float(np.abs(inside - names["previous"]).sum() + abs(budget - inside.sum()))
 
 
-def _steps(step: _Step, rows: DataFrame, n: int, b: np.ndarray, pull: np.ndarray, push: float, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
+def _steps(step: _Step, matrix: Pairs | Factors, n: int, b: np.ndarray, pull: np.ndarray, push: float, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
     """Accelerated proximal steps with multipliers pull and weight push on B'w; returns w, Cw, the gap and the steps."""
     q, names = step.program, step.names
     value = lambda w, cw: 0.5 * q.risk_aversion * w @ cw - names["mu"] @ w + 0.5 * q.shrinkage * ((w - names["reference"]) ** 2).sum() + pull @ (b.T @ w) + 0.5 * push * ((b.T @ w) ** 2).sum()
     slope = lambda w, cw: q.risk_aversion * cw - names["mu"] + q.shrinkage * (w - names["reference"]) + b @ (pull + push * (b.T @ w))
     w = step.projected(start, 1.0)[0]
-    cw = times(rows, w)
+    cw = matrix.times(w)
     z, cz, t, length = w, cw, 1.0, q.risk_aversion * max(float(names["variance"].max(initial=0.0)), 1e-12) + q.shrinkage + push * float((b**2).sum(axis=1).max(initial=0.0))
     gap, count = math.inf, 0
     while count < q.most_steps:
         g, base = slope(z, cz), value(z, cz)
         while True:
             new, multipliers = step.projected(z - g / length, length)
-            c_new = times(rows, new)
+            c_new = matrix.times(new)
             count += 1
             d = new - z
             if value(new, c_new) <= base + g @ d + 0.5 * length * d @ d + 1e-14 * (1 + abs(base)):
@@ -181,10 +182,10 @@ def _steps(step: _Step, rows: DataFrame, n: int, b: np.ndarray, pull: np.ndarray
     return w, cw, gap, count
 
 
-def mean_variance(names: DataFrame, cov: DataFrame, program: Program = Program(), *, exposures: DataFrame | None = None) -> Solution:
+def mean_variance(names: DataFrame, cov: DataFrame | Shrunk, program: Program = Program(), *, exposures: DataFrame | None = None) -> Solution:
     """Weights of one rebalance. names: (instrument, mu, previous, lower, upper) and, if wanted, reference (else 0), tradable
     (what isn't is held at 0) and capacity (the most that may be traded of it). cov: (a, b, cov), a <= b, positive semidefinite (see
-    risk.psd_repair); names without pairs have no risk. exposures: (instrument, factor, exposure), whose sums are to be 0.
+    risk.psd_repair), or a shrunk one by its factors; names without pairs have no risk. exposures: (instrument, factor, exposure), whose sums are to be 0.
 
     Where nothing is allowed the caps give way in order: the turnover cap by half of itself, then neutrality becomes a penalty on
     its absolute sums, and at last the previous weights are held.
@@ -213,19 +214,16 @@ def mean_variance(names: DataFrame, cov: DataFrame, program: Program = Program()
     if math.isinf(needed) or needed > turnover + 1e-12 or not n:
         return held(fallbacks)
     numbers = spark.createDataFrame(list(zip(labels, range(n), strict=True)), f"name {kind}, k bigint")
-    rows = cov.join(numbers.select(F.col("name").alias("a"), F.col("k").alias("x")), "a").join(numbers.select(F.col("name").alias("b"), F.col("k").alias("y")), "b")
-    rows = rows.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), F.col("cov").cast("double").alias("cov")).persist()
+    matrix = (Factors if isinstance(cov, Shrunk) else Pairs)(cov, numbers, n)
     try:
-        values["variance"] = np.zeros(n)
-        for r in rows.where("i = j").collect():
-            values["variance"][r.i] = r["cov"]
+        values["variance"] = matrix.variance
         step = _Step(values, program, turnover)
         b, kept = _exposed(exposures, numbers, n), 0.0
         pull, scale = np.zeros(b.shape[1]), max(1.0, float(np.abs(b).max(initial=0.0)))
         push = (program.risk_aversion * float(values["variance"].max(initial=1.0)) + program.shrinkage + 1.0) if b.shape[1] else 0.0
         w, steps, last, soft, turns = values["previous"], 0, math.inf, False, 0
         while True:
-            w, cw, gap, more = _steps(step, rows, n, b, pull, push, w)
+            w, cw, gap, more = _steps(step, matrix, n, b, pull, push, w)
             steps += more
             kept = float(np.abs(b.T @ w).max(initial=0.0))
             if kept <= 1e-9 * scale:
@@ -244,7 +242,7 @@ def mean_variance(names: DataFrame, cov: DataFrame, program: Program = Program()
             push = min(push * 2, 1e4 * (1 + push)) if kept > 0.5 * last and not soft else push
             pull, last = moved, kept
     finally:
-        rows.unpersist()
+        matrix.done()
     objective = 0.5 * program.risk_aversion * w @ cw - values["mu"] @ w + 0.5 * program.shrinkage * ((w - values["reference"]) ** 2).sum() + step.cost(w)
     return Solution(out(w), "relaxed" if fallbacks else "optimal", float(objective), float(gap), steps, fallbacks)
 

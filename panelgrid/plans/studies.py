@@ -261,7 +261,7 @@ def mean_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = panel.where(F.col("pos") == last).select("instrument", (0.02 * F.coalesce("score", F.lit(0.0))).alias("mu"), F.col("score").isNotNull().alias("tradable"))
     before = held.where(F.col("pos") == last - 1).select("instrument", F.col("weight").alias("previous"))
     names = now.join(before, "instrument", "left").withColumns({"lower": F.lit(0.0), "upper": F.lit(0.2)})
-    cov = risk.ledoit_wolf(panel.where(F.col("pos") < last - 1).select("datetime", "instrument", "label"), "label")
+    cov = risk.shrunk(panel.where(F.col("pos") < last - 1).select("datetime", "instrument", "label"), "label")
     found = optimize.mean_variance(names, cov, optimize.Program(risk_aversion=2.0, shrinkage=0.1, turnover=1.5))
     number = lambda x: F.nanvl(F.lit(x), F.lit(None).cast("double"))
     return found.weights.withColumns({"status": F.lit(found.status), "gap": number(found.gap), "objective": number(found.objective)})
