@@ -78,6 +78,21 @@ def test_rank_losses(spark):
     assert loss["a"] == pytest.approx(0, abs=1e-12) and loss["c"] == pytest.approx(-statistics.NormalDist().inv_cdf(0.75) * z(4))
 
 
+@pytest.mark.parametrize("temperature", [0.5, 0.013, 40.0])
+def test_soft_ranks_are_sums_over_all_scores(spark, temperature):
+    """To rounding, with far outliers, ties and scores at the ends of intervals; and a date's scores never are one array."""
+    x = np.r_[np.random.default_rng(6).normal(size=300) * 2, -90.0, 75.5, 1.0, 1.0, 0.5, 0.0]
+    pairs = spark.createDataFrame([(DAY, k, float(v), float(k)) for k, v in enumerate(x)], "datetime date, instrument int, score double, label double")
+    found = calibration.soft_rank_loss(pairs, temperature)
+    far = np.clip((x[None, :] - x[:, None]) / temperature, -700, 700)
+    want = (1 / (1 + np.exp(far))).sum(1)
+    rows = {r.instrument: r for r in found.collect()}
+    assert [rows[k].soft_rank for k in range(len(x))] == pytest.approx(want.tolist(), rel=1e-12, abs=1e-11)
+    rank, z = np.arange(len(x)) + 1.0, lambda v: (v - v.mean()) / v.std(ddof=1)
+    assert [rows[k].loss for k in range(len(x))] == pytest.approx((-z(want) * z(rank) / len(x)).tolist(), abs=1e-10)
+    assert "collect_list(struct(instrument" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_uniformity_with_ties_and_outside_values(spark):
     u = [0.5, 0.5, 0.5, 0.1, 1.0, 0.0, None, 1.5]
     df = spark.createDataFrame([(v,) for v in u], "u double")
