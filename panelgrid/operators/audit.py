@@ -142,6 +142,118 @@ def model_oos(rows: DataFrame, features: Sequence[str], folds: Folds, model: Cal
     return dealt.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", score double, label double")
 
 
+#: Dates of a block. A task holds the cross-sections of two blocks.
+DATES = 8
+
+
+def _average_ranks(x: np.ndarray) -> np.ndarray:
+    _, place, counts = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(counts) - (counts - 1) / 2)[place]
+
+
+def _tiles_of_dates(rows: DataFrame, features: Sequence[str], label: str, n_days: int) -> DataFrame:
+    """(i, j, cells): for each two blocks of dates the features of the one's dates and the labels of the other's, each date as (side, pos, k, v) with the numbers of
+    its instruments and their values, feature by feature."""
+    names = rows.select("instrument").distinct().withColumn("k", (F.row_number().over(Window.orderBy("instrument")) - 1).cast("int"))
+    blocks = F.sequence(F.lit(0), F.lit((n_days - 1) // DATES))
+    numbered = rows.join(names, "instrument")
+
+    def side(number: int, columns: Sequence[str], own: str, other: str) -> DataFrame:
+        full = numbered.dropna(subset=list(columns)).select("pos", F.struct("k", *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).alias("c"))
+        dates = full.groupBy("pos").agg(F.collect_list("c").alias("c"))
+        cells = F.struct(F.lit(number).alias("side"), F.col("pos").cast("int").alias("pos"), F.col("c.k").alias("k"), F.flatten(F.array(*[F.col(f"c.v{i}") for i in range(len(columns))])).alias("v"))
+        return dates.select(F.floor(F.col("pos") / DATES).cast("int").alias(own), F.explode(blocks).alias(other), cells.alias("cells")).select("i", "j", "cells")
+
+    both = side(0, features, "i", "j").unionByName(side(1, [label], "j", "i"))
+    return both.repartition(((n_days - 1) // DATES + 1) ** 2, "i", "j").groupBy("i", "j").agg(F.collect_list("cells").alias("cells"))
+
+
+def _of_tiles(tiles: DataFrame, wanted: dict, made: Callable, schema: str) -> DataFrame:
+    """Rows that made(x, y, t, s, what) yields for each date t of features and s of labels of which something is wanted: x (one row per feature) and y are
+    the values of the instruments that have both."""
+    shared = tiles.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+        names, types = zip(*(c.split() for c in schema.split(", ")), strict=True)
+        for b in batches:
+            for cells in b["cells"]:
+                own, found = ({}, {}), []
+                parts = cells.values
+                k, v = parts.field("k"), parts.field("v")
+                for r, (which, pos) in enumerate(zip(parts.field("side").to_pylist(), parts.field("pos").to_pylist(), strict=True)):
+                    numbers = k[r].values.to_numpy(zero_copy_only=False)
+                    order = np.argsort(numbers)
+                    own[which][pos] = (numbers[order], v[r].values.to_numpy(zero_copy_only=False).reshape(-1, len(numbers))[:, order])
+                for t, s in [(t, s) for t in own[0] for s in own[1] if (t, s) in shared.value]:
+                    (kx, x), (ky, y) = own[0][t], own[1][s]
+                    _, at_x, at_y = np.intersect1d(kx, ky, assume_unique=True, return_indices=True)
+                    found += made(x[:, at_x], y[0, at_y], t, s, shared.value[t, s])
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, k in zip(zip(*found, strict=True), types, strict=True)], names=list(names))
+
+    return tiles.mapInArrow(run, schema)
+
+
+def _mean_ics(rows: DataFrame, features: Sequence[str], mapping: DataFrame, days: DataFrame, folds: Sequence[tuple[int, int, int, int]], *, alpha: float, min_obs: int, min_train: int = 10) -> dict:
+    """b -> mean rank IC of the ridge's predictions on labels moved by mapping. Every replicate takes labels of whole dates, so its sums of products and
+    its cross-sections are those of pairs of dates: these are made by tiles of dates, and no replicate's rows are formed."""
+    n_days = days.count()
+    at = lambda c: days.select(F.col("datetime").alias(c), F.col("pos").cast("int").alias(f"at_{c}"))
+    moves = [tuple(r) for r in mapping.join(F.broadcast(at("datetime")), "datetime").join(F.broadcast(at("source")), "source").select("b", "at_datetime", "at_source").collect()]  # dates of all replicates
+    tiles = _tiles_of_dates(rows.drop("pos").join(F.broadcast(days), "datetime"), features, "label", n_days)
+
+    def products(x, y, t, s, _):
+        design = np.vstack([np.ones(len(y)), x])
+        return [(t, s, len(y), (design @ np.vstack([design, y]).T).ravel().tolist())]
+
+    size = len(features) + 1
+    trains = max(f[1] for f in folds)
+    sums = {(r.t, r.s): (r.n, np.array(r.p).reshape(size, size + 1)) for r in _of_tiles(tiles, {(t, s): None for _, t, s in moves if t < trains}, products, "t int, s int, n bigint, p array<double>").collect()}
+    penalty = alpha * np.eye(size)
+    penalty[0, 0] = 0
+    wanted: dict = {}
+    for b in sorted({m[0] for m in moves}):
+        own = sorted((t, s) for c, t, s in moves if c == b)
+        for _, end, low, high in folds:
+            used = [sums[m] for m in own if m[0] < end and m in sums]
+            if sum(n for n, _ in used) < min_train:
+                continue
+            total = sum(p for _, p in used)
+            beta = np.linalg.lstsq(total[:, :size] + penalty, total[:, size], rcond=None)[0]
+            for t, s in own:
+                if low <= t < high:
+                    wanted.setdefault((t, s), []).append((b, beta))
+
+    def ics(x, y, t, s, asked):
+        if len(y) < min_obs:
+            return []
+        out, ry = [], _average_ranks(y)
+        ry = ry - ry.mean()
+        for b, beta in asked:
+            rx = _average_ranks(beta[0] + beta[1:] @ x)
+            rx = rx - rx.mean()
+            spread = float(np.sqrt((rx @ rx) * (ry @ ry)))
+            out += [(b, float(rx @ ry) / spread)] if spread else []
+        return out
+
+    found = _of_tiles(tiles, wanted, ics, "b int, ic double").groupBy("b").agg(F.avg("ic").alias("ic"))
+    return {r.b: r.ic for r in found.collect()}
+
+
+def _mean_ics_of_rows(rows: DataFrame, features: Sequence[str], mapping: DataFrame, folds: Folds, model: Callable | None, *, rows_of_mapping: int, alpha: float, min_obs: int, seed: int) -> dict:
+    """The same for a user's model and for folds of single rows, which need every replicate's rows."""
+    moved = permute_labels(rows.select("datetime", "instrument", "label"), mapping, rows=rows_of_mapping)
+    all_rows = rows.select("datetime", "instrument", "pos", *features).join(moved, ["datetime", "instrument"])
+    scored = model_oos(all_rows, features, folds, model, by=["b"], seed=seed) if model else ridge_oos(all_rows, features, folds, alpha=alpha, by=["b"], seed=seed)
+    # each (replicate, date) is a cross-section of its own
+    one = scored.select("b", F.struct("b", "datetime").alias("datetime"), "instrument", "score", "label")
+    ics = rank_ic(one, min_obs=min_obs).select(F.col("datetime.b").alias("b"), "ic").groupBy("b").agg(F.avg("ic").alias("ic"))
+    return {r.b: r.ic for r in ics.collect()}
+
+
 def leakage_audit(rows: DataFrame, features: Sequence[str], days: DataFrame, *, radius: int, n_permutations: int = 200, n_folds: int = 3, alpha: float = 0.01, ridge: float = 1.0, seed: int = 20240101, min_obs: int = 10, model: Callable | None = None, fold_scheme: str = "purged") -> dict:
     """Mean out-of-sample rank IC on labels whose dates are permuted, all replicates in one job, and a
     one-sided t test of its mean; the unpermuted IC is reported with it. fold_scheme "overlapping" is the
@@ -151,13 +263,10 @@ def leakage_audit(rows: DataFrame, features: Sequence[str], days: DataFrame, *,
     n_days = days.count()
     folds = n_folds if fold_scheme == "overlapping" else expanding_folds(n_days, n_folds, radius)
     mapping = date_permutation(days, seed, range(1, n_permutations + 1)).unionByName(days.select(F.lit(0).alias("b"), "datetime", F.col("datetime").alias("source")))
-    moved = permute_labels(rows.select("datetime", "instrument", "label"), mapping, rows=n_days * (n_permutations + 1))
-    all_rows = rows.select("datetime", "instrument", "pos", *features).join(moved, ["datetime", "instrument"])
-    scored = model_oos(all_rows, features, folds, model, by=["b"], seed=seed) if model else ridge_oos(all_rows, features, folds, alpha=ridge, by=["b"], seed=seed)
-    # each (replicate, date) is a cross-section of its own
-    one = scored.select("b", F.struct("b", "datetime").alias("datetime"), "instrument", "score", "label")
-    ics = rank_ic(one, min_obs=max(3, min_obs)).select(F.col("datetime.b").alias("b"), "ic").groupBy("b").agg(F.avg("ic").alias("ic"))
-    by_b = {r.b: r.ic for r in ics.collect()}
+    if model or fold_scheme == "overlapping":
+        by_b = _mean_ics_of_rows(rows, features, mapping, folds, model, rows_of_mapping=n_days * (n_permutations + 1), alpha=ridge, min_obs=max(3, min_obs), seed=seed)
+    else:
+        by_b = _mean_ics(rows, features, mapping, days, folds, alpha=ridge, min_obs=max(3, min_obs))
     shuffled = np.array([v for b, v in by_b.items() if b and v is not None], float)
     if len(shuffled) < 2:
         raise RuntimeError("fewer than two replicates have a statistic, so there is no verdict")

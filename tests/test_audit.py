@@ -92,6 +92,20 @@ def test_purged_folds_are_clean(market):
     assert other["shuffle_mean_ic"] != first["shuffle_mean_ic"] and other["observed_ic"] == pytest.approx(first["observed_ic"])
 
 
+def test_ics_by_tiles_of_dates_are_those_of_all_rows(market):
+    """Without forming the replicates' rows, with missing labels and signals."""
+    from pyspark.sql import functions as F
+
+    _, rows, _, days = market
+    holes = F.pmod(F.xxhash64("instrument", "pos"), F.lit(9))
+    gaps = rows.withColumns({"label": F.when(holes != 1, F.col("label")), "signal": F.when(holes != 2, F.col("signal"))})
+    mapping = audit.date_permutation(days, 3, range(1, 5))
+    folds = audit.expanding_folds(DAYS, 3, 2)
+    got = audit._mean_ics(gaps, ["signal", "other"], mapping, days, folds, alpha=1.0, min_obs=5)
+    want = audit._mean_ics_of_rows(gaps, ["signal", "other"], mapping, folds, None, rows_of_mapping=4 * DAYS, alpha=1.0, min_obs=5, seed=0)
+    assert got == {b: pytest.approx(v, abs=1e-12) for b, v in want.items()} and len(got) == 4
+
+
 def test_a_share_class_in_another_fold_gives_its_twin_away(market):
     _, _, classes, days = market
     run = lambda **kwargs: audit.leakage_audit(classes, ["signal"], days, radius=3, n_permutations=12, seed=5, **kwargs)
