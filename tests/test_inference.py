@@ -342,3 +342,16 @@ def test_report_is_whole_or_absent(spark, tmp_path):
         store.publish("r1", {}, {}, provenance={})
     with pytest.raises(reports.ReportError):
         store.read("../r1")
+
+
+def test_purged_folds_are_the_union_of_purge_and_embargo(spark):
+    """Every date has a role in each fold, by the sets of the definition."""
+    n, k, radius, share = 83, 5, 1, 0.01
+    got = {(r.fold, r.pos): r.role for r in folds.purged_kfold(calendar(spark, n), k, radius, embargo_share=share).collect()}
+    want = {}
+    for f in range(k):
+        test = set(range(math.floor(f * n / k), math.floor((f + 1) * n / k)))
+        purge = {p for j in test for p in range(j - radius, j + radius + 1)}
+        embargo = {max(test) + e for e in range(1, math.ceil(share * n) + 1)}
+        want |= {(f, p): "test" if p in test else "purged" if p in purge | embargo else "train" for p in range(n)}
+    assert got == want and len(got) == k * n
