@@ -193,3 +193,24 @@ def test_tails(spark):
     got = [r[0] for r in df.select(tails.p_student("t", "df")).collect()]
     assert got[:2] == [1.0, pytest.approx(0.10193947, abs=1e-7)] and got[2:] == [None, None]
     assert [r[0] for r in df.select(tails.p_normal("t")).collect()][1] == pytest.approx(0.04550026, abs=1e-7)
+
+
+def test_publication_and_its_verification_are_spread_over_tasks(spark, monkeypatch):
+    days = grid.calendar(long(spark, [(DAY + dt.timedelta(i),) for i in range(30)], "datetime date"))
+    rows = [(k, DAY + dt.timedelta(i), DAY + dt.timedelta(i + 3 + k % 4), float(k + i)) for k in range(200) for i in (0, 9, 18)]
+    events = long(spark, rows, "instrument int, report_date date, announce_date date, v double")
+    spec = pit.LagSpec(values=("v",))
+    early = pit.publish(events, days, spec, mode="report_date", allow_leaky=True)
+    wrong = lambda **kwargs: pit.verify(pit.publish(events, days, spec, mode="report_date", allow_leaky=True, **kwargs), events, spec, **kwargs)
+    few = {tuple(r) for r in wrong().collect()}
+    assert len(few) == sum(3 * (3 + k % 4) for k in range(200))  # the days by which each value is early
+    monkeypatch.setattr(grid, "TASK_ROWS", 250, raising=False)
+
+    def check(found):
+        assert {tuple(r) for r in found.collect()} == few
+        tasks = found.groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 15 and max(r["count"] for r in tasks) < 750
+
+    check(pit.verify(early, events, spec))  # of a publication made before
+    check(wrong(rows=len(rows) + early.count()))  # of one beside it
+    assert len(pit.publish(events, days, spec, rows=5_000).groupBy(F.spark_partition_id()).count().collect()) > 15
