@@ -1,29 +1,40 @@
-"""Mean-variance weights with costs, by proximal gradient steps on the pair table of the covariance.
+"""Mean-variance weights with costs, by Newton steps on multipliers or proximal gradient steps on the covariance.
 
 One rebalance solves
 
     min  g/2 w'Cw - m'w + buy sum (w - p)+ + sell sum (w - p)- + r/2 |w - ref|^2
     s.t. sum w = budget, lower <= w <= upper, |w - p|_1 <= turnover, |w|_1 <= gross, B'w = 0
 
-C stays a distributed table, of pairs or, where it is shrunk, of the panel it comes from: each step is one product with it, a job (or two) whose
-tasks add up their own rows. What
-is one number per instrument (the square root of that table) is on the driver: weights, and the projection, which finds
-the multipliers of the budget, the turnover and the gross exposure by bisection. Steps are accelerated and restarted, their length
-is found by backtracking, and neutrality is enforced by multipliers around them. A step's own multipliers
-bound how far its objective can be from the best: that gap is returned and decides when to stop.
+A shrunk C is a diagonal and a product of the panel with itself over its dates. Given one multiplier a date and one for each of the
+budget and the caps, every instrument's weight follows from its own row, and the multipliers are found by Newton steps: a job each, in
+which tasks add up matrices of the calendar's square. Their number doesn't grow with the instruments, and the driver holds no row of an instrument
+but the weights it returns.
+
+With a table of pairs, with exposures, or where a name has no curvature of its own, steps are proximal: each is one product with C, a job
+(or two) whose tasks add up their own rows. What is one number per instrument (the square root of the table of pairs) is then on the driver:
+weights, and the projection, which finds the multipliers of the budget, the turnover and the gross exposure by bisection. Steps are accelerated and
+restarted, their length is found by backtracking, and neutrality is enforced by multipliers around them. Either way
+multipliers bound how far an objective can be from the best: that gap is returned and decides when to stop.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
 from .risk import Factors, Pairs, Shrunk
 
+#: What a name is given, in this order, in the packed rows of a task.
+GIVEN = ("mu", "previous", "lower", "upper", "reference", "own")
+#: Values of the panel in a partition, on average, and the least number of names.
+PART_CELLS, PART_NAMES = 4_000_000, 500
+
 
 @dataclass(frozen=True)
 class Program:
@@ -142,12 +153,214 @@ def _bisected(at, excess, multipliers, reach: float):
     return v + min(max(share, 0.0), 1.0) * (w - v), multipliers(high, rest)
 
 
-def least_turnover(names: dict[str, np.ndarray], budget: float) -> float:
-    """What has to be traded to come within the bounds and to the budget; infinite if that can't be."""
-    if (names["lower"] > names["upper"]).any() or not names["lower"].sum() - 1e-12 <= budget <= names["upper"].sum() + 1e-12:
-        return math.inf
+def bounds_of(names: dict[str, np.ndarray]) -> np.ndarray:
+    """What least_turnover needs, as sums: names whose bounds cross, both bounds, and what the bounds make of the previous weights."""
     inside = np.clip(names["previous"], names["lower"], names["upper"])
-    return float(np.abs(inside - names["previous"]).sum() + abs(budget - inside.sum()))
+    return np.array([(names["lower"] > names["upper"]).sum(), names["lower"].sum(), names["upper"].sum(), inside.sum(), np.abs(inside - names["previous"]).sum()])
+
+
+def least_turnover(bounds: np.ndarray, budget: float) -> float:
+    """What has to be traded to come within the bounds and to the budget; infinite if that can't be."""
+    crossed, lower, upper, inside, moved = map(float, bounds)
+    return math.inf if crossed or not lower - 1e-12 <= budget <= upper + 1e-12 else moved + abs(budget - inside)
+
+
+def _allowed(bounds: np.ndarray, program: Program) -> tuple[float, list[str]]:
+    """The turnover cap, raised by half of itself if that has to be, with that fallback; NaN where nothing is allowed even so."""
+    needed, turnover, fallbacks = least_turnover(bounds, program.budget), program.turnover, []
+    if needed > turnover + 1e-12:
+        turnover *= 1.5
+        fallbacks.append("turnover")
+    return (math.nan if math.isinf(needed) or needed > turnover + 1e-12 else turnover), fallbacks
+
+
+@dataclass
+class _Sums:
+    """At some multipliers: the dual's value, w's own objective and its squared reference, sums of a name's features times its weight, and those features' products
+    among names that are free to move. Features: its values by date, one, the sign of its trade and of its weight."""
+
+    dual: float
+    base: float
+    held: np.ndarray
+    curve: np.ndarray
+
+
+class _Dual:
+    """A program over a shrunk matrix by its multipliers: T of the dates (that times the panel make up the risk's slope), of the budget, the turnover and
+    the gross exposure. Its dual is smooth and concave where each name has curvature of its own, and made of quadratic pieces, so that Newton
+    steps end after finitely many."""
+
+    def __init__(self, names: DataFrame, cov: Shrunk, program: Program) -> None:
+        share, n_days = program.risk_aversion * (1 - cov.delta) / max(cov.n_days, 1), cov.n_days
+        self.program, self.share, self.n_days = program, share, n_days if share > 0 else 0
+        width, own = self.n_days, program.risk_aversion * cov.delta * cov.level
+        kind = names.schema["instrument"].dataType.simpleString()
+
+        def packed(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                there = b["cells"].is_valid().to_numpy(zero_copy_only=False)
+                x = np.zeros((b.num_rows, width))
+                if width and there.any():
+                    x[there] = blocks.dense(b["cells"].filter(b["cells"].is_valid()), n_days, 0.0)
+                given = np.array([b[c].to_numpy(zero_copy_only=False) for c in GIVEN[:-1]] + [own * there + program.shrinkage], float)
+                labels = pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b["instrument"])
+                yield pa.RecordBatch.from_arrays([labels, pa.array([x.tobytes()], pa.binary()), pa.array([given.tobytes()], pa.binary())], names=["instrument", "x", "given"])
+
+        rows = names.join(cov.rows, "instrument", "left").select("instrument", "cells", *GIVEN[:-1])
+        self.kept = rows.mapInArrow(packed, f"instrument array<{kind}>, x binary, given binary").persist()
+        self.kind, self.n = kind, self.kept.agg(F.sum(F.size("instrument"))).first()[0] or 0
+        most = names.sparkSession.sparkContext.defaultParallelism
+        # what is kept is read by fewer tasks, as many as are worth their start
+        self.rows = self.kept.coalesce(max(1, min(most, self.n // PART_NAMES), -(-self.n * max(n_days, 1) // PART_CELLS)))
+
+    def _added(self, made, size: int) -> np.ndarray:
+        """made(names, x) of each packed row, added up."""
+        width = self.n_days
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            total = np.zeros(size)
+            for b in batches:
+                for x, given in zip(b["x"].to_pylist(), b["given"].to_pylist(), strict=True):
+                    table = np.frombuffer(given).reshape(len(GIVEN), -1)
+                    total += made(dict(zip(GIVEN, table, strict=True)), np.frombuffer(x).reshape(table.shape[1], width))
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+        found = self.rows.select("x", "given").mapInArrow(run, "total binary").collect()  # one row a task
+        return sum((np.frombuffer(r.total) for r in found), np.zeros(size))
+
+    def bounds(self) -> np.ndarray:
+        return self._added(lambda names, x: bounds_of(names), 5)
+
+    def curved(self) -> bool:
+        """Whether each name that may move has curvature of its own."""
+
+        def range_of(names: dict, x: np.ndarray) -> np.ndarray:
+            h = names["own"][names["upper"] > names["lower"]]
+            return np.array([(h <= 0).sum(), 0.0])
+
+        return not self._added(range_of, 2)[0]
+
+    @staticmethod
+    def _weights(program: Program, turnover: float, names: dict, x: np.ndarray, at: np.ndarray):
+        """The weights that multipliers at (one row) ask for, their curvature, slope without costs, and step."""
+        width = x.shape[1]
+        h = np.where(names["upper"] > names["lower"], names["own"], 1.0)
+        lin = names["mu"] + program.shrinkage * names["reference"]
+        slope = lin - x @ at[:width]
+        step = _Step(names, program, turnover)
+        of_budget, of_turnover, of_gross = at[width:]
+        return step.nearest(slope / h, h, of_turnover, of_gross, of_budget), h, lin, slope, step
+
+    def at(self, turnover: float, several: np.ndarray) -> tuple[np.ndarray, _Sums]:
+        """Dual values at several multipliers (a row each), and the sums at the first of them."""
+        program, width, k = self.program, self.n_days, len(several)
+        size, weights = width + 3, self._weights
+        sent = self.rows.sparkSession.sparkContext.broadcast(several)
+
+        def made(names: dict, x: np.ndarray) -> np.ndarray:
+            values, first = np.zeros(k), None
+            for j, at in enumerate(sent.value):
+                w, h, lin, slope, step = weights(program, turnover, names, x, at)
+                of_budget, of_turnover, of_gross = at[width:]
+                d = w - names["previous"]
+                curve, cost = float(0.5 * (h * w) @ w), step.cost(w)
+                values[j] = curve - slope @ w + cost + of_budget * w.sum() + of_turnover * np.abs(d).sum() + of_gross * np.abs(w).sum()
+                if first is None:
+                    free = (w > names["lower"]) & (w < names["upper"]) & (d != 0) & ((w != 0) | (of_gross == 0))
+                    c = np.column_stack([x[free], np.ones(free.sum()), np.sign(d[free]), np.sign(w[free])])
+                    held = np.r_[x.T @ w, w.sum(), np.abs(d).sum(), np.abs(w).sum()]
+                    squares = 0.5 * program.shrinkage * float(names["reference"] @ names["reference"])
+                    first = np.r_[curve - lin @ w + cost, squares, held, ((c / h[free, None]).T @ c).ravel()]
+            return np.r_[values, first]
+
+        total = self._added(made, k + 2 + size + size * size)
+        sent.unpersist()
+        caps = np.array([program.budget, turnover, program.gross])
+        values = total[:k] - several[:, width:] @ np.where(np.isfinite(caps), caps, 0.0)
+        if width:
+            values -= (several[:, :width] ** 2).sum(axis=1) / (2 * self.share)
+        base, squares, rest = total[k], total[k + 1], total[k + 2 :]
+        held = rest[:size]
+        base += 0.5 * self.share * float(held[:width] @ held[:width])
+        return values + squares, _Sums(float(values[0] + squares), float(base + squares), held, rest[size:].reshape(size, size))
+
+    def solved(self, turnover: float) -> tuple[np.ndarray, _Sums, float, int] | None:
+        """Multipliers, sums, the gap and the number of steps; nothing if steps don't get there."""
+        program, width = self.program, self.n_days
+        caps = np.array([program.budget, turnover, program.gross])
+        capped, right = np.isfinite(caps), np.where(np.isfinite(caps), caps, 0.0)
+        at, steps = np.zeros(width + 3), 0
+        _, now = self.at(turnover, at[None])
+        lengths = 0.3 ** np.arange(40)
+        while True:
+            over = now.held[width:] - right
+            kept = abs(over[0]) <= 1e-10 * max(1.0, abs(program.budget)) and all(not c or x <= 1e-10 * max(1.0, r) for x, r, c in zip(over[1:], right[1:], capped[1:], strict=True))
+            gap = max(0.0, now.base - now.dual)
+            if kept and gap <= 1e-12 * (1 + abs(now.base)):
+                return at, now, gap, steps
+            slope = np.r_[now.held[:width] - at[:width] / self.share if width else [], over]
+            moving = np.r_[np.ones(width + 1, bool), capped[1:] & ((at[width + 1 :] > 0) | (over[1:] > 0))]
+            curve = now.curve.copy()
+            curve[np.arange(width), np.arange(width)] += 1 / self.share if width else 0.0
+            own = np.diag(curve)
+            # multipliers that no free name follows, or all follow alike, go far, and the step is shortened
+            curve = curve + np.diag(np.where(own > 0, 1e-9 * own, 1e-3 * max(own.max(initial=0.0), 1e-300)))
+            step = np.zeros(width + 3)
+            step[moving] = np.linalg.solve(curve[np.ix_(moving, moving)], slope[moving])
+            several = at + lengths[:, None] * step
+            several[:, width + 1 :] = np.maximum(several[:, width + 1 :], 0.0)
+            values, new = self.at(turnover, several)
+            enough = values >= now.dual + 1e-4 * ((several - at) @ slope) - 1e-14 * (1 + abs(now.dual))
+            steps += 1
+            if not enough.any() or steps >= 100:
+                return (at, now, gap, steps) if kept and gap <= program.tolerance * (1 + abs(now.base)) else None
+            best = 0 if enough[0] else int(np.argmax(values))
+            if best:
+                _, new = self.at(turnover, several[best : best + 1])
+            at, now = several[best], new
+
+    def weights(self, turnover: float, at: np.ndarray | None) -> DataFrame:
+        """(instrument, weight), of the multipliers, or else as before."""
+        program, width, weights = self.program, self.n_days, self._weights
+
+        def run(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for b in batches:
+                for r in range(b.num_rows):
+                    table = np.frombuffer(b["given"][r].as_py()).reshape(len(GIVEN), -1)
+                    names = dict(zip(GIVEN, table, strict=True))
+                    x = np.frombuffer(b["x"][r].as_py()).reshape(table.shape[1], width)
+                    w = names["previous"] if at is None else weights(program, turnover, names, x, at)[0]
+                    yield pa.RecordBatch.from_arrays([b["instrument"].slice(r, 1).flatten(), pa.array(w)], names=["instrument", "weight"])
+
+        found = self.rows.mapInArrow(run, f"instrument {self.kind}, weight double")
+        return self.rows.sparkSession.createDataFrame(found.toArrow(), found.schema)  # one number per instrument
+
+    def done(self) -> None:
+        self.kept.unpersist()
+
+
+def _by_multipliers(names: DataFrame, cov: Shrunk, program: Program) -> Solution | None:
+    """Nothing where the dual isn't smooth or steps fail."""
+    dual = _Dual(names, cov, program)
+    try:
+        turnover, fallbacks = _allowed(dual.bounds(), program)
+        if math.isnan(turnover) or not dual.n:
+            return Solution(dual.weights(turnover, None), "held", math.nan, math.nan, 0, [*fallbacks, "degenerate_rebalance"])
+        found = dual.solved(turnover) if dual.curved() else None
+        if found is None:
+            return None
+        at, sums, gap, steps = found
+        return Solution(dual.weights(turnover, at), "relaxed" if fallbacks else "optimal", sums.base, gap, steps, fallbacks)
+    finally:
+        dual.done()
 
 
 def _steps(step: _Step, matrix: Pairs | Factors, n: int, b: np.ndarray, pull: np.ndarray, push: float, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
@@ -199,19 +412,18 @@ def mean_variance(names: DataFrame, cov: DataFrame | Shrunk, program: Program =
     if "tradable" in have:
         closed = ~F.coalesce(F.col("tradable"), F.lit(False))
         lower, upper = F.when(closed, 0.0).otherwise(lower), F.when(closed, 0.0).otherwise(upper)
-    table = names.select("instrument", col("mu", 0.0).alias("mu"), previous.alias("previous"), lower.alias("lower"), upper.alias("upper"), col("reference", 0.0).alias("reference")).orderBy("instrument").collect()
+    names = names.select("instrument", col("mu", 0.0).alias("mu"), previous.alias("previous"), lower.alias("lower"), upper.alias("upper"), col("reference", 0.0).alias("reference"))
+    if isinstance(cov, Shrunk) and exposures is None and (found := _by_multipliers(names, cov, program)):
+        return found
+    table = names.orderBy("instrument").collect()
     labels = [r.instrument for r in table]
     n, spark = len(labels), names.sparkSession
     values = {c: np.array([r[c] for r in table], float) for c in ("mu", "previous", "lower", "upper", "reference")}
     kind = names.schema["instrument"].dataType.simpleString()
     out = lambda w: spark.createDataFrame(list(zip(labels, map(float, w), strict=True)), f"instrument {kind}, weight double")
     held = lambda why: Solution(out(values["previous"]), "held", math.nan, math.nan, 0, [*why, "degenerate_rebalance"])
-    fallbacks, turnover = [], program.turnover
-    needed = least_turnover(values, program.budget)
-    if needed > turnover + 1e-12:
-        turnover *= 1.5
-        fallbacks.append("turnover")
-    if math.isinf(needed) or needed > turnover + 1e-12 or not n:
+    turnover, fallbacks = _allowed(bounds_of(values), program)
+    if math.isnan(turnover) or not n:
         return held(fallbacks)
     numbers = spark.createDataFrame(list(zip(labels, range(n), strict=True)), f"name {kind}, k bigint")
     matrix = (Factors if isinstance(cov, Shrunk) else Pairs)(cov, numbers, n)
